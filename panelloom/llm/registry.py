@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe_codec
+from . import bpe_codec, language_cnn, token_counts
 
 QUERIES = {
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_language_cnn": language_cnn.op5_language_cnn,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
 }
 
