@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, language_cnn, substring_dedup, token_counts
+from . import bpe_codec, language_cnn, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_language_cnn": language_cnn.op5_language_cnn,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
 }
