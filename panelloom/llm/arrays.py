@@ -111,10 +111,11 @@ def spans(pre: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int = 0) -> np
     return (pre[hi] - pre[lo]) * powers(which, len(pre), True)[lo]
 
 
-def words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of the runs of bytes other than 0x20 and 0x09-0x0D; runs never cross documents."""
+def words(block: Block, ink: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of the runs of bytes in ink (all but 0x20 and 0x09-0x0D); runs never cross documents."""
     d = block.data
-    ink = (d != 32) & ((d < 9) | (d > 13))
+    if ink is None:
+        ink = (d != 32) & ((d < 9) | (d > 13))
     edge = np.zeros(len(d) + 1, bool)
     edge[block.offs] = True
     before = np.zeros(len(d) + 1, bool)
