@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, dart_minhash, language_cnn, substring_dedup, suffix_dedup, token_counts
+from . import bpe_codec, dart_minhash, decontaminate, language_cnn, substring_dedup, suffix_dedup, token_counts
 
 QUERIES = {
     "op3_dart_minhash": dart_minhash.op3_dart_minhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_language_cnn": language_cnn.op5_language_cnn,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
 }
 
