@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, dart_minhash, decontaminate, language_cnn, pii_semicrf, substring_dedup, suffix_dedup, token_counts
+from . import bpe_codec, dart_minhash, decontaminate, language_cnn, pii_semicrf, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_pii_semicrf": pii_semicrf.op1_pii_semicrf,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
 }
 
