@@ -7,9 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: With it, a job's shuffle files go when the job is done: a checkpointed table never needs them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df, checkpointed reliably: in the folder of spark.checkpoint.dir; only where none is set (tests), in a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
