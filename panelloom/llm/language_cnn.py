@@ -3,8 +3,9 @@
 Bytes (ASCII letters lowered) are embedded; filters of several widths slide over
 windows of a fixed length, each filter keeps its maximum over the window, and a
 softmax layer turns the maxima into language probabilities.  Training is plain
-numpy on the driver over a bounded sample of labelled documents (``SAMPLE``
-documents, chosen by a hash of their id, up to ``PER_DOC`` windows each).
+numpy on the driver over a bounded sample of labelled documents (about
+``SAMPLE`` documents, chosen by a hash of their id, up to ``PER_DOC`` windows
+each).
 Prediction covers every byte of every text: a document's probabilities are the
 byte-weighted mean over its consecutive windows.
 
@@ -131,21 +132,35 @@ def fold(key: str = "doc_id"):
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Net:
-    """Train on labelled rows outside the held-out fold; at most ``sample`` documents reach the driver."""
+    """Train on labelled rows outside the held-out fold.
+
+    About ``sample`` documents are chosen by a hash of their id against a
+    threshold that follows the number of labelled rows; only PER_DOC windows of
+    each, chosen on the executors, reach the driver.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~fold(key))
-    few = known.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.lit("lang"), F.col(key)).alias("h"), F.col(key).alias("k")).orderBy("h", "k", "t").limit(sample).select("t", "l").toPandas()
-    langs = sorted(few.l.unique()) if len(few) else ["und"]
-    raw = [t.encode() for t in few.t]
-    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    grid, row, n = cut_windows(np.frombuffer(b"".join(raw), np.uint8), offs)
-    rng = np.random.default_rng(11)
-    if len(row):
-        order = rng.permutation(len(row))
-        order = order[np.argsort(row[order], kind="stable")]
-        nth = np.arange(len(order)) - np.searchsorted(row[order], row[order])
-        order = order[nth < PER_DOC]
-        return train(grid[order], np.searchsorted(langs, few.l.to_numpy().astype(str))[row[order]], langs)
-    return train(np.zeros((1, WINDOW), np.uint8), np.zeros(1, np.int64), langs, steps=1)
+    total = max(1, known.count())
+    draw = F.pmod(F.xxhash64(F.lit("lang"), F.col(key)), F.lit(1 << 30))
+    few = known.where(draw < int(min(1.0, sample / total) * (1 << 30))).select(F.col(lang).alias("lang"), F.col(key).cast("string").alias("key"), F.col(text).alias("_text"))
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "_text", 1 << 20):
+            grid, row, _ = cut_windows(b.data, b.offs)
+            ids = b.rows.column("key").to_pylist()
+            chosen = [w for i in range(len(b)) for w in _some(np.flatnonzero(row == i), ids[i])]
+            yield pa.RecordBatch.from_arrays([b.rows.column("lang").take(pa.array(row[chosen].astype(np.int64))), pa.array([grid[w].tobytes() for w in chosen], pa.binary())], ["lang", "window"])
+
+    got = few.mapInArrow(pick, "lang string, window binary").toPandas().sort_values(["lang", "window"])
+    langs = sorted(got.lang.unique()) if len(got) else ["und"]
+    if not len(got):
+        return train(np.zeros((1, WINDOW), np.uint8), np.zeros(1, np.int64), langs, steps=1)
+    grid = np.frombuffer(b"".join(got.window), np.uint8).reshape(-1, WINDOW)
+    return train(grid, np.searchsorted(langs, got.lang.to_numpy().astype(str)), langs)
+
+
+def _some(windows: np.ndarray, name: str) -> np.ndarray:
+    """At most PER_DOC of a document's windows."""
+    return windows if len(windows) <= PER_DOC else np.sort(np.random.default_rng(list(name.encode())).choice(windows, PER_DOC, replace=False))
 
 
 def predict(docs: DataFrame, net: Net, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
