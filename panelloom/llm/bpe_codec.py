@@ -107,23 +107,20 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, offs: np.ndarray) -> tuple[np.nda
     return v.token_flat[ranges(v.token_off[ids], size)], ends[offs]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids array<int>, decoded string): the operator itself, for users who want the ids."""
+def encode_columns(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns, ids array<int>, and exact: whether the decoded ids are the text (null: empty)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in blocks(batches, text, BLOCK):
+        for b in blocks(batches, "_text", BLOCK):
             ids, offs = encode_block(v, b)
             raw, cut = decode_ids(v, ids, offs)
-            whole = raw.tobytes()
-            plain = [whole[cut[i] : cut[i + 1]].decode("utf-8", "replace") for i in range(len(b))]
-            yield pa.RecordBatch.from_arrays(
-                [b.rows.column(key), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32())), pa.array(plain, pa.string())],
-                [key, "ids", "decoded"],
-            )
+            exact = [np.array_equal(raw[cut[i] : cut[i + 1]], b.data[b.offs[i] : b.offs[i + 1]]) for i in range(len(b))]
+            lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(b.rows.column(k) for k in keep), lists, pa.array(exact, pa.bool_())], [*keep, "ids", "exact"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string")
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, f"{schema}, ids array<int>, exact boolean")
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:

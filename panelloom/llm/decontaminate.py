@@ -195,6 +195,12 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str
     return scored.where(F.col("score") >= least).groupBy("doc", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("e"))).alias("b")).select("doc", "item_id", F.col("b.score").alias("score"), (-F.col("b.e")).alias("end_word"))
 
 
+def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of documents without a leak; rows that share an id go together."""
+    bad = leaks(spark, docs, benchmark, text, key).select("doc").distinct()
+    return docs.join(bad, F.coalesce(docs[key].cast("long"), F.lit(NO_ID)) == bad["doc"], "left_anti")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "item_id", "score", "end_word")

@@ -184,6 +184,17 @@ def predict(docs: DataFrame, net: Net, text: str = "text", keep: tuple[str, ...]
     return docs.select(*keep, F.col(text).alias("_text"), letter).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def in_known_language(docs: DataFrame, net: Net, least: float = 0.3, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows whose text is in a learned language with probability ``least`` or more; a missing label is filled in.
+
+    Texts without a letter go, and mixtures in which no language leads.
+    """
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: p for c, p in zip(docs.columns, plain, strict=True)}
+    seen = predict(docs.toDF(*plain), net, at[text], tuple(plain)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return seen.select(*(F.coalesce(p, "lang_pred").alias(c) if c == lang else F.col(p).alias(c) for c, p in at.items()))
+
+
 def op5_language_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict(docs, fit(docs)).select("doc_id", fold().alias("held_out"), "lang_pred", "score")

@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder; only where none is set (tests), a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 #: With it, a job's shuffle files go when the job is done: a checkpointed table never needs them again.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def saved(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df, checkpointed reliably: in the folder of spark.checkpoint.dir; only where none is set (tests), in a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    """df, checkpointed reliably in the shared folder."""
+    shared_folder(spark)
     was = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
