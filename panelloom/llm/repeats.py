@@ -37,7 +37,7 @@ FLUSH = 500_000
 HOT = 64
 COVERED, OPEN, OPEN_HOT, WINDOW = range(4)
 REPLY = "owner long, kind int, blob binary"
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 127
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -88,9 +88,9 @@ def reply_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def buckets_for(docs: DataFrame, text: str) -> int:
-    """A prime number of buckets that keeps each near BUCKET_BYTES of text, 509 at least."""
+    """A prime number of buckets that keeps each near BUCKET_BYTES of text, LEAST_BUCKETS at least."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = max(509, total // BUCKET_BYTES)
+    n = max(LEAST_BUCKETS, total // BUCKET_BYTES)
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
         n += 1
     return int(n)

@@ -32,6 +32,7 @@ from .repeats import (
     COVERED, OPEN, OPEN_HOT, WINDOW, Answers, Units, answered, buckets_for, covered_units, exchange, of_named, owner_of, pack, prepared, reply_batch,
     scatter, segments, send_segments, send_windows, tags_of, unpack_all,
 )
+from .shared_store import saved
 
 BLOCK = 1 << 20
 SEED = 16
@@ -205,7 +206,7 @@ def dedup_bytes(docs: DataFrame, target: int = 50, text: str = "text", key: str
 
     n = buckets_for(docs, text)
     rows = prepared(docs, n, text, key)
-    first = exchange(send_segments(rows, n, byte_units, target, SEED, BLOCK), n, True, COVERED)
+    first = saved(docs.sparkSession, exchange(send_segments(rows, n, byte_units, target, SEED, BLOCK), n, True, COVERED))
     sorted_ones = send_bytes(rows, first, n, target).groupBy("owner").applyInArrow(judge_bytes(n, target), REPLY)
     hot_ones = exchange(send_windows(rows, first, n, byte_units, target, SEED, BLOCK, (OPEN_HOT,)), n, False, WINDOW)
     kind = docs.schema[key].dataType.simpleString()
