@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, dart_minhash, decontaminate, language_cnn, pii_semicrf, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import bpe_codec, dart_minhash, decontaminate, image_copies, language_cnn, pii_semicrf, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_pii_semicrf": pii_semicrf.op1_pii_semicrf,
+    "op2_image_copies": image_copies.op2_image_copies,
     "op3_dart_minhash": dart_minhash.op3_dart_minhash,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_language_cnn": language_cnn.op5_language_cnn,
