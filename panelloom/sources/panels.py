@@ -78,8 +78,8 @@ SQL = {
     "brand": """brand AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice / l_quantity) AS close
         FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)""",
     "ord": """ord AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS close FROM orders GROUP BY 1, 2)""",
-    "idx": """g AS (SELECT symbol, date, 0.01 * (close / avg(close) OVER (PARTITION BY symbol) - 1) AS g FROM px),
-        idx AS (SELECT symbol, date, 100 * product(1 + g) OVER (PARTITION BY symbol ORDER BY date) AS level FROM g)""",
+    "idx": """steps AS (SELECT symbol, date, 0.01 * (close / avg(close) OVER (PARTITION BY symbol) - 1) AS g FROM px),
+        idx AS (SELECT symbol, date, 100 * product(1 + g) OVER (PARTITION BY symbol ORDER BY date) AS level FROM steps)""",
     "ret": """ret AS (SELECT symbol, date, level, level / lag(level) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM idx)""",
     "macro": """macro AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, avg(l_discount) AS d, avg(l_tax) AS t, avg(l_quantity) AS q FROM lineitem GROUP BY 1)""",
     "scores": """scores AS (SELECT user_id, CAST(ts AS DATE) AS day,
