@@ -1,0 +1,280 @@
+"""Small numeric kernels for grouped-map functions: numpy in, numpy out.
+
+Each works on one window, one line or one decision date, so its input is bounded
+by the window, not by the table.
+"""
+
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+
+
+def hac_variance(z: np.ndarray, lags: int) -> float:
+    """Long-run variance with Bartlett weights; autocovariances are means over their own products."""
+    z = z - z.mean()
+    out = float(np.mean(z * z))
+    for k in range(1, min(lags, len(z) - 1) + 1):
+        out += 2 * (1 - k / (lags + 1)) * float(np.mean(z[k:] * z[:-k]))
+    return max(out, 0.0)
+
+
+def plug_in_lags(z: np.ndarray) -> int:
+    """Bandwidth from a first-order fit, between 1 and a quarter of the sample."""
+    z = z - z.mean()
+    den = float(z[:-1] @ z[:-1])
+    rho = float(np.clip(z[1:] @ z[:-1] / den if den > 0 else 0.0, -0.97, 0.97))
+    alpha = 4 * rho**2 / (1 - rho**2) ** 2
+    return int(np.clip(np.ceil(1.1447 * (alpha * len(z)) ** (1 / 3)), 1, max(1, len(z) // 4)))
+
+
+def rolling_sharpe(r: np.ndarray, window: int) -> np.ndarray:
+    if len(r) < window:
+        return np.zeros(0)
+    w = np.lib.stride_tricks.sliding_window_view(r, window)
+    sd = w.std(axis=1, ddof=1)
+    return np.where(sd > 0, w.mean(axis=1) / np.where(sd > 0, sd, 1) * np.sqrt(252), np.nan)
+
+
+def path_stability(r: np.ndarray, window: int = 252, target: float = 0.0) -> tuple[float, float, int]:
+    """(stability ratio, mean of the rolling Sharpe path, bandwidth); nan below ten points."""
+    path = rolling_sharpe(r, window)
+    path = path[np.isfinite(path)]
+    if len(path) < 10:
+        return np.nan, np.nan, 0
+    lags = plug_in_lags(path)
+    sigma = np.sqrt(hac_variance(path, lags))
+    return (float(path.mean()) - target) / sigma if sigma > 0 else np.nan, float(path.mean()), lags
+
+
+def block_length(x: np.ndarray) -> int:
+    """Automatic block length: a flat-top lag window on the sample autocovariances."""
+    n = len(x)
+    if n < 30:
+        return max(1, n // 4)
+    z = x - x.mean()
+    most = int(np.ceil(np.sqrt(n))) + 5
+    cov = np.array([float(z[k:] @ z[: n - k]) / n for k in range(most + 1)])
+    if cov[0] <= 0:
+        return 1
+    small = np.abs(cov / cov[0]) < 2 * np.sqrt(np.log10(n) / n)
+    m = next((k for k in range(1, most - 4) if small[k : k + 5].all()), most)
+    width = min(2 * m, most)
+    k = np.arange(-width, width + 1)
+    top = np.clip(2 * (1 - np.abs(k) / width), 0, 1) if width else np.ones(1)
+    g = float((top * np.abs(k) * cov[np.abs(k)]).sum())
+    d = 4 / 3 * float((top * cov[np.abs(k)]).sum()) ** 2
+    best = (2 * g * g / d) ** (1 / 3) * n ** (1 / 3) if d > 0 else 1
+    return int(np.clip(np.ceil(best), 1, np.ceil(min(3 * np.sqrt(n), n / 3))))
+
+
+def resampled_stability(r: np.ndarray, seeds: np.ndarray, block: int, window: int) -> np.ndarray:
+    """Stability ratio of one block resample for each seed."""
+    n, out = len(r), np.full(len(seeds), np.nan)
+    for i, s in enumerate(seeds):
+        rng = np.random.default_rng(int(s))
+        start = rng.integers(0, n - block + 1, -(-n // block))
+        out[i] = path_stability(r[(start[:, None] + np.arange(block)).ravel()[:n]], window)[0]
+    return out
+
+
+def hac_ols(y: np.ndarray, x: np.ndarray, lags: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, t values): intercept first, Bartlett sandwich without a small-sample factor."""
+    x = np.column_stack([np.ones(len(y)), x])
+    inv = np.linalg.inv(x.T @ x)
+    beta = inv @ x.T @ y
+    u = x * (y - x @ beta)[:, None]
+    meat = u.T @ u
+    for k in range(1, lags + 1):
+        g = u[k:].T @ u[:-k]
+        meat += (1 - k / (lags + 1)) * (g + g.T)
+    return beta, beta / np.sqrt(np.diag(inv @ meat @ inv))
+
+
+def absorption(x: np.ndarray) -> float:
+    """Share of total correlation variance in the top fifth of the components."""
+    x = x[:, ~np.isnan(x).any(axis=0)]
+    x = x[:, x.std(axis=0) > 0]
+    if x.shape[1] < 2:
+        return np.nan
+    ev = np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1]
+    return float(ev[: -(-len(ev) // 5)].sum() / ev.sum())
+
+
+def turbulence(past: np.ndarray, now: np.ndarray, ridge: float = 1e-6) -> float:
+    """Mahalanobis distance of a day from the window before it; nan for a window under two rows a column."""
+    if len(past) < 2 * past.shape[1]:
+        return np.nan
+    d = now - past.mean(axis=0)
+    return float(d @ np.linalg.pinv(np.cov(past.T) + ridge * np.eye(len(d))) @ d)
+
+
+def _tail_risk(r: np.ndarray, w: np.ndarray, alpha: float) -> float:
+    p = np.sort(r @ w)
+    return -float(p[: max(1, int(np.ceil(alpha * len(p))))].mean())
+
+
+def single_linkage(dist: np.ndarray) -> list[int]:
+    """Leaf order of single-linkage clustering; ties join the earlier clusters."""
+    groups = [[i] for i in range(len(dist))]
+    while len(groups) > 1:
+        a, b = min(itertools.combinations(range(len(groups)), 2), key=lambda p: (min(dist[i, j] for i in groups[p[0]] for j in groups[p[1]]), p))
+        groups[a] += groups.pop(b)
+    return groups[0]
+
+
+def risk_parity(r: np.ndarray, alpha: float = 0.05) -> np.ndarray:
+    """Hierarchical parity of tail risk: leaves by single linkage of correlation distance, split in halves from the top."""
+    n = r.shape[1]
+    if n == 1:
+        return np.ones(1)
+    order = single_linkage(np.sqrt(np.clip((1 - np.corrcoef(r.T)) / 2, 0, 1)))
+    own = np.array([max(_tail_risk(r[:, [i]], np.ones(1), alpha), 1e-12) for i in range(n)])
+    w, stack = np.ones(n), [order]
+    while stack:
+        part = stack.pop()
+        if len(part) > 1:
+            half = part[: len(part) // 2], part[len(part) // 2 :]
+            risk = []
+            for h in half:
+                inv = 1 / own[h]
+                risk.append(max(_tail_risk(r[:, h], inv / inv.sum(), alpha), 1e-12))
+            share = risk[1] / (risk[0] + risk[1])
+            w[half[0]] *= share
+            w[half[1]] *= 1 - share
+            stack += half
+    return w / w.sum()
+
+
+def shrunk_covariance(r: np.ndarray) -> np.ndarray:
+    """Covariance shrunk to a scaled identity by the estimated optimal intensity."""
+    x = r - r.mean(axis=0)
+    n, p = x.shape
+    s = x.T @ x / n
+    mu = np.trace(s) / p
+    d2 = ((s - mu * np.eye(p)) ** 2).sum() / p
+    b2 = min(d2, (((x**2).T @ (x**2) / n - s**2).sum() / n) / p)
+    k = b2 / d2 if d2 > 0 else 0
+    return k * mu * np.eye(p) + (1 - k) * s
+
+
+def long_only(mu: np.ndarray, cov: np.ndarray, aversion: float) -> np.ndarray:
+    """Maximum of mean - aversion / 2 variance over the simplex, by enumeration of supports (few assets)."""
+    n, best, out = len(mu), -np.inf, np.full(len(mu), 1 / len(mu))
+    for k in range(1, n + 1):
+        for sup in itertools.combinations(range(n), k):
+            i = list(sup)
+            kkt = np.block([[aversion * cov[np.ix_(i, i)], np.ones((k, 1))], [np.ones((1, k)), np.zeros((1, 1))]])
+            try:
+                w = np.linalg.solve(kkt, np.append(mu[i], 1.0))[:k]
+            except np.linalg.LinAlgError:
+                continue
+            if (w >= -1e-12).all():
+                full = np.zeros(n)
+                full[i] = np.clip(w, 0, None)
+                value = mu @ full - aversion / 2 * full @ cov @ full
+                if value > best:
+                    best, out = value, full
+    return out / out.sum()
+
+
+def posterior_weights(r: np.ndarray, prior: np.ndarray, pick: np.ndarray, view: np.ndarray, tau: float = 0.05) -> np.ndarray:
+    """Views blended with the returns implied by prior weights, then the long-only optimum."""
+    cov = shrunk_covariance(r)
+    var = prior @ cov @ prior
+    aversion = max(float(r.mean(axis=0) @ prior) / var, 1e-6) if var > 0 else 1.0
+    implied = aversion * cov @ prior
+    omega = np.diag(np.clip(np.diag(pick @ (tau * cov) @ pick.T), 1e-12, None))
+    gain = tau * cov @ pick.T @ np.linalg.inv(pick @ (tau * cov) @ pick.T + omega)
+    return long_only(implied + gain @ (view - pick @ implied), cov, aversion)
+
+
+def frontier_point(mu: np.ndarray, cov: np.ndarray, target: float) -> tuple[np.ndarray, bool]:
+    """Least-variance long-only weights with the target mean, by enumeration of supports; whether there are any."""
+    n, best, out = len(mu), np.inf, np.zeros(len(mu))
+    for k in range(1, n + 1):
+        for sup in itertools.combinations(range(n), k):
+            i = list(sup)
+            a = np.vstack([np.ones(k), mu[i]])
+            kkt = np.block([[cov[np.ix_(i, i)], a.T], [a, np.zeros((2, 2))]])
+            w = np.linalg.lstsq(kkt, np.concatenate([np.zeros(k), [1.0, target]]), rcond=None)[0][:k]
+            if (w >= -1e-10).all() and abs(w.sum() - 1) < 1e-8 and abs(mu[i] @ w - target) < 1e-8:
+                value = w @ cov[np.ix_(i, i)] @ w
+                if value < best - 1e-15:
+                    best, out = value, np.zeros(n)
+                    out[i] = np.clip(w, 0, None)
+    return out, bool(np.isfinite(best))
+
+
+def minimax(payoff: np.ndarray) -> tuple[np.ndarray, float]:
+    """Mixture of rows with the best worst column: equalising supports enumerated, best pure row if none serves."""
+    n, m = payoff.shape
+    best, mix = -np.inf, np.zeros(n)
+    for i in range(n):
+        if payoff[i].min() > best:
+            best, mix = payoff[i].min(), np.eye(n)[i]
+    for k in range(2, min(n, m) + 1):
+        for rows in itertools.combinations(range(n), k):
+            for cols in itertools.combinations(range(m), k):
+                a = payoff[np.ix_(rows, cols)]
+                kkt = np.block([[a.T, -np.ones((k, 1))], [np.ones((1, k)), np.zeros((1, 1))]])
+                try:
+                    w = np.linalg.solve(kkt, np.append(np.zeros(k), 1.0))[:k]
+                except np.linalg.LinAlgError:
+                    continue
+                if (w >= -1e-12).all() and (value := (w @ payoff[list(rows)]).min()) > best + 1e-12:
+                    best, mix = value, np.zeros(n)
+                    mix[list(rows)] = np.clip(w, 0, None)
+    return mix / mix.sum(), float(best)
+
+
+def cheapest_path(emission: np.ndarray, penalty: float) -> np.ndarray:
+    """States of least emission plus penalty a jump; ties stay, then take the lowest state."""
+    t, k = emission.shape
+    cost, back = emission[0].copy(), np.zeros((t, k), np.int64)
+    for i in range(1, t):
+        jump = int(cost.argmin())
+        stay = cost <= cost[jump] + penalty
+        back[i] = np.where(stay, np.arange(k), jump)
+        cost = emission[i] + np.where(stay, cost, cost[jump] + penalty)
+    path = np.empty(t, np.int64)
+    path[-1] = cost.argmin()
+    for i in range(t - 1, 0, -1):
+        path[i - 1] = back[i, path[i]]
+    return path
+
+
+def jump_model(x: np.ndarray, penalty: float, states: int = 2, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(states, centroids) of a statistical jump model: standardised features, quantile start, alternating fits."""
+    sd = x.std(axis=0)
+    z = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)
+    order = np.argsort(z[:, 0], kind="stable")
+    centre = np.array([z[c].mean(axis=0) for c in np.array_split(order, states)])
+    path = np.full(len(z), -1)
+    for _ in range(rounds):
+        emission = ((z[:, None] - centre) ** 2).sum(axis=2)
+        new = cheapest_path(emission, penalty)
+        if (new == path).all():
+            break
+        path = new
+        for k in range(states):
+            centre[k] = z[path == k].mean(axis=0) if (path == k).any() else z[emission.min(axis=1).argmax()]
+    return path, centre
+
+
+def signed_rank_tail(d: np.ndarray) -> tuple[float, float]:
+    """(sum of positive ranks, exact one-sided tail) of paired differences; zeros dropped, ranks averaged."""
+    d = d[d != 0]
+    n = len(d)
+    if not n:
+        return 0.0, 1.0
+    a = np.abs(d)
+    rank = np.array([((a < v).sum() + ((a == v).sum() + 1) / 2) for v in a])
+    doubled = np.rint(2 * rank).astype(int)
+    ways = np.zeros(doubled.sum() + 1)
+    ways[0] = 1
+    for v in doubled:
+        ways[v:] = ways[v:] + ways[: len(ways) - v].copy()
+    w = rank[d > 0].sum()
+    return float(w), float(ways[int(np.rint(2 * w)) :].sum() / 2.0**n)
