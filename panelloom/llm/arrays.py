@@ -141,17 +141,17 @@ def window_hashes(values: np.ndarray, n: int, which: int = 0) -> np.ndarray:
 
 
 def sliding_argmin(values: np.ndarray, n: int) -> np.ndarray:
-    """Leftmost position of the least of values[i:i+n], for every i, by doubling."""
-    pos = np.arange(len(values))
-    val, width = values, 1
+    """Position of the least of values[i:i+n], for every i, by doubling.
+
+    Values are compared on the bits that a position leaves free; ties go to the left.
+    """
+    low = np.uint64((1 << len(values).bit_length()) - 1)
+    best, width = (values & ~low) | np.arange(len(values), dtype=np.uint64), 1
     while width < n:
         step = min(width, n - width)
-        a, b = val[:-step], val[step:]
-        take = b < a
-        pos = np.where(take, pos[step:], pos[:-step])
-        val = np.where(take, b, a)
+        best = np.minimum(best[:-step], best[step:])
         width += step
-    return pos
+    return (best & low).astype(np.int64)
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

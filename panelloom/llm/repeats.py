@@ -111,49 +111,30 @@ class Units:
 class Segments:
     row: np.ndarray
     seed: np.ndarray  # unit position in the block
-    lo: np.ndarray  # first and last window start
-    hi: np.ndarray
+    lo: np.ndarray  # first window start
+    count: np.ndarray  # windows
     key: np.ndarray  # of the seed: 48 bits
     body: np.ndarray  # of the segment and the seed's place in it
-    head: np.ndarray  # index of the first equal segment of the same document
 
 
 def segments(u: Units, target: int, seed: int, body_bits: int = 40) -> Segments:
     n = len(u.values)
     none = np.zeros(0, np.int64)
-    if n < target:
-        return Segments(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)
+    row = np.repeat(np.arange(len(u.offs) - 1), np.diff(u.offs))
+    starts = np.arange(max(0, n - target + 1))
+    starts = starts[row[: len(starts)] == row[target - 1 :]] if len(starts) else starts
+    if not len(starts):
+        return Segments(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
     pre = prefix(u.values)
     at = np.arange(n - seed + 1)
     gram = mix(spans(pre, at, at + seed))
-    best = sliding_argmin(gram, target - seed + 1)
-    row = np.repeat(np.arange(len(u.offs) - 1), np.diff(u.offs))
-    starts = np.arange(n - target + 1)
-    ok = row[: len(starts)] == row[target - 1 :]
-    starts, best = starts[ok], best[ok]
-    if not len(starts):
-        return Segments(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none)
+    best = sliding_argmin(gram, target - seed + 1)[starts]
     first = np.flatnonzero(np.r_[True, (best[1:] != best[:-1]) | (row[starts[1:]] != row[starts[:-1]])])
     lo, at = starts[first], best[first]
-    hi = starts[np.r_[first[1:], len(starts)] - 1]
-    key = gram[at] >> np.uint64(16)
-    place = (at - lo).astype(np.uint64) << np.uint64(32) | (hi - lo).astype(np.uint64)
-    body = mix(spans(pre, lo, hi + target) ^ mix(place)) >> np.uint64(64 - body_bits)
-    row = row[lo]
-    return Segments(row, at, lo, hi, key, body, heads(row, key, body))
-
-
-def heads(*keys: np.ndarray) -> np.ndarray:
-    """Index of the first entry equal in all keys, for every entry."""
-    n = len(keys[0])
-    order = np.lexsort((np.arange(n), *keys[::-1]))
-    new = np.r_[True, np.zeros(max(0, n - 1), bool)][:n]
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    out = np.empty(n, np.int64)
-    out[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if n else order
-    return out
+    count = starts[np.r_[first[1:], len(starts)] - 1] - lo + 1
+    place = (at - lo).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64)
+    body = mix(spans(pre, lo, lo + count - 1 + target) ^ mix(place)) >> np.uint64(64 - body_bits)
+    return Segments(row[lo], at, lo, count, gram[at] >> np.uint64(16), body)
 
 
 # ---------------------------------------------------------------- the exchange
@@ -161,83 +142,89 @@ def heads(*keys: np.ndarray) -> np.ndarray:
 
 def settle(key: np.ndarray, body: np.ndarray, doc: np.ndarray, opens: bool) -> tuple[np.ndarray, np.ndarray]:
     """(order, verdict in that order): COVERED, OPEN, OPEN_HOT, or -1 for nothing to say."""
-    order = np.lexsort((doc, body, key))
-    key, body, doc = key[order], body[order], doc[order]
+    order = np.argsort(key)
     verdict = np.full(len(key), -1)
-    if not len(key):
+    if len(key) < 2:
+        return order, verdict
+    same = key[order[1:]] == key[order[:-1]]
+    shared = np.flatnonzero(np.r_[False, same] | np.r_[same, False])  # a lone key says nothing
+    if not len(shared):
         return order, verdict
+    mine = order[shared]
+    mine = mine[np.lexsort((doc[mine], body[mine], key[mine]))]
+    order[shared] = mine
+    key, body, doc = key[mine], body[mine], doc[mine]
     new_key = np.r_[True, key[1:] != key[:-1]]
     new = new_key | np.r_[True, body[1:] != body[:-1]]
-    at = np.flatnonzero(new)
-    least = doc[at][np.cumsum(new) - 1]
-    verdict[doc > least] = COVERED
+    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    said = np.where(doc > least, COVERED, -1)
     if opens:
         top = np.flatnonzero(new_key)
         several = np.minimum.reduceat(doc, top) < np.maximum.reduceat(doc, top)
         bodies = np.add.reduceat(new.astype(np.int64), top)
         of = np.cumsum(new_key) - 1
-        verdict[(verdict < 0) & (several & (bodies > 1))[of]] = OPEN
-        verdict[(verdict == OPEN) & (bodies > HOT)[of]] = OPEN_HOT
+        said[(said < 0) & (several & (bodies > 1))[of]] = OPEN
+        said[(said == OPEN) & (bodies > HOT)[of]] = OPEN_HOT
+    verdict[shared] = said
     return order, verdict
 
 
 class Sender:
-    """Gathers (key, body, doc, tag, pos) of a task and flushes them: keys to their buckets, local answers to their documents.
+    """Gathers (key, body, doc, tag, pos, ext) of a task and flushes them: keys to their buckets, local answers to their documents.
 
-    Rows with owner < n are for key buckets (kind -1); answers carry owner n + document bucket.
+    ext is the number of windows from pos on, and above it the seed's distance.
+    Key rows have owner < n and kind -1; answers carry owner n + document bucket.
+    An answer's blob holds doc, tag, pos, ext and, for open segments, the key.
     """
 
     def __init__(self, n: int, answer: int):
         self.n, self.answer, self.held, self.size = n, answer, [], 0
 
-    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, *columns: np.ndarray) -> Iterator[list[tuple[int, int, bytes]]]:
         self.held.append(columns)
         self.size += len(columns[0])
         if self.size >= FLUSH:
-            yield from self.flush()
+            yield self.flush()
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
+    def flush(self) -> list[tuple[int, int, bytes]]:
         if not self.size:
-            return
-        key, body, doc, tag, pos = (np.concatenate(c) for c in zip(*self.held, strict=True))
+            return []
+        key, body, doc, tag, pos, ext = (np.concatenate(c) for c in zip(*self.held, strict=True))
         self.held, self.size = [], 0
         order, verdict = settle(key, body, doc, False)
         hit = verdict == COVERED
-        rows = []
         mine, rest = order[hit], order[~hit]
-        for owner, blob in scatter(owner_of(doc[mine], self.n), [doc[mine], tag[mine], pos[mine]]):
-            rows.append((self.n + owner, self.answer, blob))
-        for owner, blob in scatter((key[rest] % np.uint64(self.n)).astype(np.int64), [key[rest], body[rest], doc[rest], tag[rest], pos[rest]]):
+        rows = answer_rows(self.n, self.answer, doc[mine], tag[mine], pos[mine], ext[mine])
+        for owner, blob in scatter((key[rest] % np.uint64(self.n)).astype(np.int64), [c[rest] for c in (key, body, doc, tag, pos, ext)]):
             rows.append((owner, -1, blob))
-        yield reply_batch(rows)
+        return rows
 
 
-def owner_of(doc: np.ndarray, n: int) -> np.ndarray:
-    return np.mod(doc.astype(np.int64), n)
+def answer_rows(n: int, kind: int, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, ext: np.ndarray, key: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
+    key = np.zeros(len(doc), np.uint64) if key is None else key
+    return [(n + to, kind, blob) for to, blob in scatter(np.mod(doc.astype(np.int64), n), [doc, tag, pos, ext, key])]
 
 
-def judge(n: int, opens: bool, answer: int) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
-        owner = table.column("owner")[0].as_py()
-        if owner >= n:  # answered already
-            return table
-        key, body, doc, tag, pos = unpack_all(table.column("blob"), 5)
-        doc = doc.view(np.int64)
-        order, verdict = settle(key, body, doc, opens)
-        rows = []
-        for kind in (COVERED, OPEN, OPEN_HOT):
-            mine = order[verdict == kind]
-            for to, blob in scatter(owner_of(doc[mine], n), [doc[mine], tag[mine], pos[mine]]):
-                rows.append((n + to, answer if kind == COVERED else kind, blob))
-        return pa.Table.from_batches([reply_batch(rows)])
-
-    return run
+def judge_keys(blobs: pa.ChunkedArray, n: int, opens: bool, answer: int) -> list[tuple[int, int, bytes]]:
+    key, body, doc, tag, pos, ext = unpack_all(blobs, 6)
+    doc = doc.view(np.int64)
+    order, verdict = settle(key, body, doc, opens)
+    rows = []
+    for kind in (COVERED, OPEN, OPEN_HOT):
+        m = order[verdict == kind]
+        rows += answer_rows(n, answer if kind == COVERED else kind, doc[m], tag[m], pos[m], ext[m], key[m] if kind == OPEN else None)
+    return rows
 
 
 def exchange(sent: DataFrame, n: int, opens: bool, answer: int) -> DataFrame:
-    """Answers for documents, from what the senders sent."""
-    keys = sent.where(F.col("owner") < n).groupBy("owner").applyInArrow(judge(n, opens, answer), REPLY)
-    return keys.unionAll(sent.where(F.col("owner") >= n))
+    """Answers for documents, from what the senders sent; answers given on the spot pass through."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.column("owner")[0].as_py() >= n:
+            return table
+        return pa.Table.from_batches([reply_batch(judge_keys(table.column("blob"), n, opens, answer))])
+
+    return sent.groupBy("owner").applyInArrow(run, REPLY)
 
 
 # ---------------------------------------------------------------- documents and their answers
@@ -265,11 +252,10 @@ def send_segments(docs: DataFrame, n: int, units: Callable[[Block], Units], targ
         for b in blocks(batches, "_text", most):
             u = units(b)
             s = segments(u, target, seed)
-            own = np.flatnonzero(s.head == np.arange(len(s.head)))
             doc, tag = tags_of(b.rows)
-            row = s.row[own]
-            yield from out.add(s.key[own], s.body[own], doc[row], tag[row], s.seed[own] - u.offs[row])
-        yield from out.flush()
+            for rows in out.add(s.key, s.body, doc[s.row], tag[s.row], s.lo - u.offs[s.row], (s.seed - s.lo) * (target + 1) + s.count):
+                yield reply_batch(rows)
+        yield reply_batch(out.flush())
 
     return docs.select("_text", "_doc", "_tag").mapInArrow(run, REPLY)
 
@@ -279,38 +265,28 @@ class Answers:
 
     def __init__(self, table: pa.Table, kinds: tuple[int, ...]):
         kind = table.column("kind").to_numpy()
-        self.by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.columns: dict[int, list[np.ndarray]] = {}
+        self.at: dict[int, dict[tuple[int, int], tuple[int, int]]] = {}
         for k in kinds:
-            doc, tag, pos = unpack_all(table.column("blob").filter(pa.array(kind == k)), 3)
-            doc, tag, pos = doc.view(np.int64), tag.view(np.int64), pos.view(np.int64)
-            order = np.lexsort((pos, tag, doc))
-            self.by[k] = doc[order], tag[order], pos[order]
+            doc, tag, *rest = unpack_all(table.column("blob").filter(pa.array(kind == k)), 5)
+            order = np.lexsort((tag, doc))
+            doc, tag = doc[order], tag[order]
+            cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]) if len(doc) else order
+            ends = [*cut[1:].tolist(), len(doc)]
+            self.at[k] = {x: (lo, hi) for x, lo, hi in zip(zip(doc[cut].view(np.int64).tolist(), tag[cut].tolist()), cut.tolist(), ends)}
+            self.columns[k] = [c[order].view(np.int64) for c in rest]
 
     def named(self) -> set[tuple[int, int]]:
-        return {x for doc, tag, _ in self.by.values() for x in zip(doc.tolist(), tag.tolist(), strict=True)}
+        return {x for at in self.at.values() for x in at}
 
-    def marks(self, kind: int, doc: np.ndarray, tag: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Positions in a block (unit offsets of its documents: offs) that have an answer of this kind."""
-        d, t, p = self.by[kind]
-        found = []
-        for i in range(len(doc)):
-            lo, hi = np.searchsorted(d, [doc[i], doc[i]], side="left")[0], np.searchsorted(d, doc[i], side="right")
-            mine = p[lo:hi][t[lo:hi] == tag[i]]
-            found.append(mine + offs[i])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
-
-
-def answered(seg: Segments, positions: np.ndarray) -> np.ndarray:
-    """Which segments, or equals of them in the same document, have their seed at one of the positions."""
-    hit = np.isin(seg.seed, positions)
-    return hit[seg.head] if len(hit) else hit
-
-
-def open_windows(seg: Segments, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, start) of every window of the picked segments."""
-    which = np.flatnonzero(pick)
-    count = seg.hi[which] - seg.lo[which] + 1
-    return np.repeat(which, count), ranges(seg.lo[which], count)
+    def of(self, kind: int, doc: np.ndarray, tag: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, pos in the block, ext, key) of the answers of this kind for a block's documents, whose units begin at offs."""
+        at = [self.at[kind].get(x, (0, 0)) for x in zip(doc.tolist(), tag.tolist())]
+        lo, size = np.array([a for a, _ in at], np.int64), np.array([b - a for a, b in at], np.int64)
+        pick = ranges(lo, size)
+        row = np.repeat(np.arange(len(doc)), size)
+        pos, ext, key = (c[pick] for c in self.columns[kind])
+        return row, pos + offs[row], ext, key
 
 
 def window_keys(u: Units, starts: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,52 +299,43 @@ def window_keys(u: Units, starts: np.ndarray, target: int) -> tuple[np.ndarray,
 def of_named(docs: pa.Table, answers: Answers) -> tuple[pa.Table, pa.Table]:
     """Rows that have answers, and the others."""
     named = answers.named()
-    has = pa.array([x in named for x in zip(docs.column("_doc").to_pylist(), docs.column("_tag").to_pylist(), strict=True)], pa.bool_())
-    return docs.filter(has), docs.filter(pa.array([not x for x in has.to_pylist()], pa.bool_()))
+    has = np.array([x in named for x in zip(docs.column("_doc").to_pylist(), docs.column("_tag").to_pylist(), strict=True)], bool)
+    return docs.filter(pa.array(has)), docs.filter(pa.array(~has))
+
+
+def add_windows(out: Sender, b: Block, u: Units, answers: Answers, kinds: tuple[int, ...], target: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Give the sender every window of the open segments of these kinds."""
+    doc, tag = tags_of(b.rows)
+    got = [answers.of(k, doc, tag, u.offs) for k in kinds]
+    row, lo, ext = (np.concatenate(c) for c in list(zip(*got, strict=True))[:3])
+    count = ext % (target + 1)
+    start, row = ranges(lo, count), np.repeat(row, count)
+    if len(start):
+        k1, k2 = window_keys(u, start, target)
+        yield from out.add(k1, k2, doc[row], tag[row], start - u.offs[row], np.ones(len(row), np.int64))
 
 
-def send_windows(docs: DataFrame, replies: DataFrame, n: int, units: Callable[[Block], Units], target: int, seed: int, most: int, kinds: tuple[int, ...]) -> DataFrame:
+def send_windows(docs: DataFrame, replies: DataFrame, n: int, units: Callable[[Block], Units], target: int, most: int, kinds: tuple[int, ...]) -> DataFrame:
     """Windows of the open segments, to be compared one by one."""
 
     def run(table: pa.Table, said: pa.Table) -> pa.Table:
         answers = Answers(said, kinds)
-        out, made = Sender(n, WINDOW), []
-        few, _ = of_named(table, answers)
-        for b in blocks(few.to_batches(), "_text", most):
-            u = units(b)
-            s = segments(u, target, seed)
-            doc, tag = tags_of(b.rows)
-            at = np.concatenate([answers.marks(k, doc, tag, u.offs) for k in kinds])
-            pick = answered(s, at) & (s.head == np.arange(len(s.head)))
-            which, start = open_windows(s, pick)
-            if not len(start):
-                continue
-            row = s.row[which]
-            k1, k2 = window_keys(u, start, target)
-            own = heads(row, k1, k2) == np.arange(len(row))
-            made += out.add(k1[own], k2[own], doc[row[own]], tag[row[own]], start[own] - u.offs[row[own]])
-        made += out.flush()
-        return pa.Table.from_batches(made or [reply_batch([])])
+        out, rows = Sender(n, WINDOW), []
+        for b in blocks(of_named(table, answers)[0].to_batches(), "_text", most):
+            for r in add_windows(out, b, units(b), answers, kinds, target):
+                rows += r
+        return pa.Table.from_batches([reply_batch(rows + out.flush())])
 
     open_ones = replies.where(F.col("kind").isin(*kinds))
     return docs.select("_text", "_doc", "_tag", "_owner").groupBy("_owner").cogroup(open_ones.groupBy("owner")).applyInArrow(run, REPLY)
 
 
-def covered_units(b: Block, u: Units, answers: Answers, target: int, seed: int, opens: tuple[int, ...]) -> np.ndarray:
-    """Mask of the block's units covered by windows that start in a smaller document."""
-    s = segments(u, target, seed)
+def covered_units(b: Block, offs: np.ndarray, answers: Answers, target: int) -> np.ndarray:
+    """Mask of the block's units (documents begin at offs) covered by windows that start in a smaller document."""
     doc, tag = tags_of(b.rows)
-    whole = answered(s, answers.marks(COVERED, doc, tag, u.offs))
-    edge = np.zeros(len(u.values) + 1, np.int64)
-    np.add.at(edge, s.lo[whole], 1)
-    np.add.at(edge, s.hi[whole] + target, -1)
-    single = answers.marks(WINDOW, doc, tag, u.offs)
-    if len(single):
-        at = np.concatenate([answers.marks(k, doc, tag, u.offs) for k in opens])
-        which, start = open_windows(s, answered(s, at))
-        row = s.row[which]
-        k1, k2 = window_keys(u, start, target)
-        start = start[np.isin(start, single)[heads(row, k1, k2)]]
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + target, -1)
+    edge = np.zeros(int(offs[-1]) + 1, np.int64)
+    for kind in (COVERED, WINDOW):
+        _, lo, ext, _ = answers.of(kind, doc, tag, offs)
+        np.add.at(edge, lo, 1)
+        np.add.at(edge, lo + ext % (target + 1) - 1 + target, -1)
     return np.cumsum(edge)[:-1] > 0

@@ -18,9 +18,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .arrays import Block, blocks, word_hashes, words
 from .repeats import COVERED, OPEN, OPEN_HOT, WINDOW, Answers, Units, buckets_for, covered_units, exchange, of_named, prepared, send_segments, send_windows
+from .shared_store import saved
 
 BLOCK = 2 << 20
 
@@ -35,12 +37,12 @@ def dedup_words(docs: DataFrame, target: int = 50, text: str = "text", key: str
     n = buckets_for(docs, text)
     seed = target // 2
     rows = prepared(docs, n, text, key)
-    first = exchange(send_segments(rows, n, word_units, target, seed, BLOCK), n, True, COVERED)
-    second = exchange(send_windows(rows, first, n, word_units, target, seed, BLOCK, (OPEN, OPEN_HOT)), n, False, WINDOW)
+    first = saved(docs.sparkSession, exchange(send_segments(rows, n, word_units, target, seed, BLOCK), n, True, COVERED))
+    second = exchange(send_windows(rows, first, n, word_units, target, BLOCK, (OPEN, OPEN_HOT)), n, False, WINDOW)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(table: pa.Table, said: pa.Table) -> pa.Table:
-        answers = Answers(said, (COVERED, OPEN, OPEN_HOT, WINDOW))
+        answers = Answers(said, (COVERED, WINDOW))
         few, rest = of_named(table, answers)
         ids, total, gone, kept = [*rest.column("_key").to_pylist()], [], [], []
         for t in rest.column("_text").to_pylist():
@@ -50,11 +52,11 @@ def dedup_words(docs: DataFrame, target: int = 50, text: str = "text", key: str
             kept.append(b" ".join(parts))
         for b in blocks(few.to_batches(), "_text", BLOCK):
             lo, hi, row = words(b)
-            u = Units(word_hashes(b, lo, hi), np.searchsorted(row, np.arange(len(b) + 1)))
-            drop = covered_units(b, u, answers, target, seed, (OPEN, OPEN_HOT))
+            offs = np.searchsorted(row, np.arange(len(b) + 1))
+            drop = covered_units(b, offs, answers, target)
             raw = b.data.tobytes()
             for i in range(len(b)):
-                x, y = u.offs[i], u.offs[i + 1]
+                x, y = offs[i], offs[i + 1]
                 keep = np.flatnonzero(~drop[x:y]) + x
                 total.append(int(y - x))
                 gone.append(int(y - x - len(keep)))
@@ -62,11 +64,9 @@ def dedup_words(docs: DataFrame, target: int = 50, text: str = "text", key: str
             ids += b.rows.column("_key").to_pylist()
         return pa.table([pa.array(ids, table.schema.field("_key").type), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [key, "n_words", "n_removed", "kept"])
 
-    return rows.groupBy("_owner").cogroup(first.unionAll(second).groupBy("owner")).applyInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, kept string")
+    return rows.groupBy("_owner").cogroup(first.where(F.col("kind") == COVERED).unionAll(second).groupBy("owner")).applyInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, kept string")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     out = dedup_words(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

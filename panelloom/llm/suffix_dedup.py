@@ -27,16 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import _BYTES, Block, blocks, byte_prefix, powers, ranges
+from .arrays import _BYTES, Block, blocks, byte_prefix, mix, powers, ranges
 from .repeats import (
-    COVERED, OPEN, OPEN_HOT, WINDOW, Answers, Units, answered, buckets_for, covered_units, exchange, of_named, owner_of, pack, prepared, reply_batch,
-    scatter, segments, send_segments, send_windows, tags_of, unpack_all,
+    COVERED, OPEN, OPEN_HOT, REPLY, WINDOW, Answers, Sender, Units, add_windows, answer_rows, buckets_for, covered_units, exchange, judge_keys, of_named,
+    pack, prepared, reply_batch, send_segments, tags_of, unpack_all,
 )
 from .shared_store import saved
 
 BLOCK = 1 << 20
 SEED = 16
-PARCEL = "owner long, blob binary, body binary"
+PARCEL = "owner long, kind int, blob binary, body binary"
+BYTES = -2
 
 
 def byte_units(b: Block) -> Units:
@@ -139,26 +140,31 @@ def classes(buf: np.ndarray, pos: np.ndarray, group: np.ndarray, target: int) ->
 # ---------------------------------------------------------------- open segments
 
 
-def send_bytes(docs: DataFrame, replies: DataFrame, n: int, target: int) -> DataFrame:
+def send_open(docs: DataFrame, replies: DataFrame, n: int, target: int) -> DataFrame:
+    """The bytes of open segments for their seed's bucket (kind BYTES), and the windows of hot ones by their hash."""
+
     def run(table: pa.Table, said: pa.Table) -> pa.Table:
-        answers = Answers(said, (OPEN,))
-        few, _ = of_named(table, answers)
-        rows: list[tuple[int, bytes, bytes]] = []
-        for b in blocks(few.to_batches(), "_text", BLOCK):
-            u = byte_units(b)
-            s = segments(u, target, SEED)
+        answers = Answers(said, (OPEN, OPEN_HOT))
+        out, rows, parcels = Sender(n, WINDOW), [], []
+        for b in blocks(of_named(table, answers)[0].to_batches(), "_text", BLOCK):
             doc, tag = tags_of(b.rows)
-            pick = np.flatnonzero(answered(s, answers.marks(OPEN, doc, tag, u.offs)) & (s.head == np.arange(len(s.head))))
-            owner = (s.key[pick] % np.uint64(n)).astype(np.int64)
+            r, lo, ext, key = answers.of(OPEN, doc, tag, b.offs)
+            owner = (key.view(np.uint64) % np.uint64(n)).astype(np.int64)
             order = np.argsort(owner, kind="stable")
-            pick, owner = pick[order], owner[order]
-            for lo, hi in _runs(owner):
-                k = pick[lo:hi]
-                r, count = s.row[k], s.hi[k] - s.lo[k] + 1
-                rows.append((int(owner[lo]), pack(s.key[k], doc[r], tag[r], s.lo[k] - u.offs[r], s.seed[k] - s.lo[k], count), b.data[ranges(s.lo[k], count + target - 1)].tobytes()))
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["owner", "blob", "body"])
-
-    open_ones = replies.where(F.col("kind") == OPEN)
+            owner = owner[order]
+            for x, y in _runs(owner):
+                k = order[x:y]
+                size = ext[k] % (target + 1) + target - 1
+                parcels.append((int(owner[x]), pack(key[k], doc[r[k]], tag[r[k]], lo[k] - b.offs[r[k]], ext[k]), b.data[ranges(lo[k], size)].tobytes()))
+            if answers.at[OPEN_HOT]:
+                for made in add_windows(out, b, byte_units(b), answers, (OPEN_HOT,), target):
+                    rows += made
+        rows += out.flush()
+        columns = [[p[0] for p in parcels] + [r[0] for r in rows], [BYTES] * len(parcels) + [r[1] for r in rows], [p[1] for p in parcels] + [r[2] for r in rows], [p[2] for p in parcels] + [None] * len(rows)]
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["owner", "kind", "blob", "body"])
+
+    open_ones = replies.where(F.col("kind").isin(OPEN, OPEN_HOT))
     return docs.select("_text", "_doc", "_tag", "_owner").groupBy("_owner").cogroup(open_ones.groupBy("owner")).applyInArrow(run, PARCEL)
 
 
@@ -168,52 +174,59 @@ def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(cut.tolist(), [*cut[1:].tolist(), len(sorted_values)], strict=True)
 
 
-def judge_bytes(n: int, target: int):
+def judge_open(n: int, target: int):
     def run(table: pa.Table) -> pa.Table:
-        key, doc, tag, start, rel, count = unpack_all(table.column("blob"), 6)
-        doc, start, rel, count = (x.view(np.int64) for x in (doc, start, rel, count))
-        buf = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint8)
-        size = count + target - 1
-        at = np.cumsum(size) - size
-        seg = np.repeat(np.arange(len(key)), count)
-        shift = ranges(np.zeros(len(key), np.int64), count)
-        pos, dist = at[seg] + shift, rel[seg] - shift
-        order = np.lexsort((dist, key[seg]))
-        new = np.r_[True, (np.diff(dist[order]) != 0) | (key[seg][order][1:] != key[seg][order][:-1])][: len(order)]
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        low, high = np.full(int(new.sum()), np.iinfo(np.int64).max), np.full(int(new.sum()), np.iinfo(np.int64).min)
-        np.minimum.at(low, group, doc[seg])
-        np.maximum.at(high, group, doc[seg])
-        keep = np.flatnonzero((low < high)[group])  # several documents
-        name = classes(buf, pos[keep], group[keep], target)
-        _, name = np.unique(name, return_inverse=True)
-        least = np.full(int(name.max()) + 1 if len(name) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, name, doc[seg[keep]])
-        hit = keep[doc[seg[keep]] > least[name]]
-        s = seg[hit]
-        return pa.Table.from_batches([reply_batch([(n + to, WINDOW, blob) for to, blob in scatter(owner_of(doc[s], n), [doc[s], tag[s], start[s] + shift[hit]])])])
+        if table.column("owner")[0].as_py() >= n:
+            return table.select(["owner", "kind", "blob"])
+        kind = table.column("kind").to_numpy()
+        rows = judge_keys(table.column("blob").filter(pa.array(kind == -1)), n, False, WINDOW)
+        parcels = table.filter(pa.array(kind == BYTES))
+        rows += judge_bytes(parcels.column("blob"), b"".join(parcels.column("body").to_pylist()), n, target)
+        return pa.Table.from_batches([reply_batch(rows)])
 
     return run
 
 
+def judge_bytes(blobs: pa.ChunkedArray, body: bytes, n: int, target: int) -> list[tuple[int, int, bytes]]:
+    """Answers for the windows of the segments in body that also start in a smaller document."""
+    key, doc, tag, start, ext = unpack_all(blobs, 5)
+    doc, start, ext = (x.view(np.int64) for x in (doc, start, ext))
+    buf = np.frombuffer(body, np.uint8)
+    rel, count = ext // (target + 1), ext % (target + 1)
+    size = count + target - 1
+    at = np.cumsum(size) - size
+    seg = np.repeat(np.arange(len(key)), count)
+    shift = ranges(np.zeros(len(key), np.int64), count)
+    pos = at[seg] + shift
+    # a group: the suffixes at one distance from one seed
+    _, group = np.unique(mix(key[seg] * np.uint64(64) + (rel[seg] - shift).astype(np.uint64)), return_inverse=True)
+    groups = int(group.max()) + 1 if len(group) else 0
+    low, high = np.full(groups, np.iinfo(np.int64).max), np.full(groups, np.iinfo(np.int64).min)
+    np.minimum.at(low, group, doc[seg])
+    np.maximum.at(high, group, doc[seg])
+    keep = np.flatnonzero((low < high)[group])  # several documents
+    name = classes(buf, pos[keep], group[keep], target)
+    _, name = np.unique(name, return_inverse=True)
+    least = np.full(int(name.max()) + 1 if len(name) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, name, doc[seg[keep]])
+    hit = keep[doc[seg[keep]] > least[name]]
+    s = seg[hit]
+    return answer_rows(n, WINDOW, doc[s], tag[s], start[s] + shift[hit], np.ones(len(hit), np.int64))
+
+
 # ---------------------------------------------------------------- the operator
 
 
 def dedup_bytes(docs: DataFrame, target: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_removed, span_starts, span_ends, kept): the removed runs and the remaining bytes."""
-    from .repeats import REPLY
-
     n = buckets_for(docs, text)
     rows = prepared(docs, n, text, key)
     first = saved(docs.sparkSession, exchange(send_segments(rows, n, byte_units, target, SEED, BLOCK), n, True, COVERED))
-    sorted_ones = send_bytes(rows, first, n, target).groupBy("owner").applyInArrow(judge_bytes(n, target), REPLY)
-    hot_ones = exchange(send_windows(rows, first, n, byte_units, target, SEED, BLOCK, (OPEN_HOT,)), n, False, WINDOW)
+    second = send_open(rows, first, n, target).groupBy("owner").applyInArrow(judge_open(n, target), REPLY)
     kind = docs.schema[key].dataType.simpleString()
-    opens = (OPEN, OPEN_HOT)
 
     def run(table: pa.Table, said: pa.Table) -> pa.Table:
-        answers = Answers(said, (COVERED, *opens, WINDOW))
+        answers = Answers(said, (COVERED, WINDOW))
         few, rest = of_named(table, answers)
         ids, kept, starts, ends = rest.column("_key").to_pylist(), [], [], []
         for t in rest.column("_text").to_pylist():
@@ -221,7 +234,7 @@ def dedup_bytes(docs: DataFrame, target: int = 50, text: str = "text", key: str
             starts.append([])
             ends.append([])
         for b in blocks(few.to_batches(), "_text", BLOCK):
-            drop = covered_units(b, byte_units(b), answers, target, SEED, opens)
+            drop = covered_units(b, b.offs, answers, target)
             for i in range(len(b)):
                 gone = np.concatenate([[0], drop[b.offs[i] : b.offs[i + 1]].view(np.int8), [0]])
                 edge = np.diff(gone)
@@ -238,7 +251,7 @@ def dedup_bytes(docs: DataFrame, target: int = 50, text: str = "text", key: str
             [key, "n_bytes", "n_removed", "span_starts", "span_ends", "kept"],
         )
 
-    said = first.unionAll(sorted_ones).unionAll(hot_ones)
+    said = first.where(F.col("kind") == COVERED).unionAll(second)
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept binary"
     return rows.groupBy("_owner").cogroup(said.groupBy("owner")).applyInArrow(run, schema)
 
