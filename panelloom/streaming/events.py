@@ -41,7 +41,7 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, sf_dir, daily, "complete")
 
 
-@query("q_stream_sliding", "SELECT first_day, count(*) AS n FROM (SELECT CAST(CAST(ts AS DATE) - k AS DATE) AS first_day FROM events, range(0, 5) t(k)) GROUP BY 1")
+@query("q_stream_sliding", "SELECT first_day, count(*) AS n FROM (SELECT CAST(ts AS DATE) - CAST(k AS INTEGER) AS first_day FROM events, range(0, 5) t(k)) GROUP BY 1")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, sf_dir, sliding, "complete")
 
