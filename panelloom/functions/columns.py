@@ -102,3 +102,13 @@ def positions(df: DataFrame, key: str) -> DataFrame:
     base = count.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = parted.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
     return inside.join(F.broadcast(base), "_p").withColumn("pos", F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")
+
+
+def running_total(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """df with out, the sum of value over all smaller keys: range partitions are summed first, so no task holds all rows."""
+    parted = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    total = parted.groupBy("_p").agg(F.sum(value).alias("_s"))
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = total.select("_p", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parted.withColumn("_i", inside).join(F.broadcast(base), "_p").withColumn(out, F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")

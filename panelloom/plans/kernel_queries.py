@@ -128,8 +128,8 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area under the curve by average rank sums: the scores are counted first, and only their distinct values are ranked."""
     j = P.table(spark, sf_dir, "labels").join(P.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     v = j.groupBy("n_chars").agg(F.count_if(F.col("toxic") == 1).alias("pos"), F.count_if(F.col("toxic") == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    a = v.withColumn("won", F.col("pos") * (below + F.col("neg") / 2)).agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"), F.sum("won").alias("won"))
+    v = C.running_total(v, "n_chars", "neg", "below")
+    a = v.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2)).agg(F.sum("pos").alias("n1"), F.sum("neg").alias("n0"), F.sum("won").alias("won"))
     return rounded(a.select("n1", "n0", (F.col("won") / (F.col("n1") * F.col("n0"))).alias("auc")))
 
 
