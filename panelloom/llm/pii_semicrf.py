@@ -291,6 +291,7 @@ def sentence(rng: random.Random) -> tuple[str, list[Span]]:
             (rng.choice([digits(1) + ".0", digits(1) + "." + digits(1), "version " + digits(1), "v" + digits(1) + "." + digits(2)]), "", "", ""),
             (rng.choice(["20" + digits(2), "19" + digits(2), f"20{digits(2)}-0{rng.randint(1, 9)}-1{digits(1)}", f"1{digits(1)}:{rng.randint(10, 59)}"]), "", "", ""),
             (rng.choice(["$" + digits(2) + "." + digits(2), digits(3), digits(2) + "%", digits(1) + "," + digits(3), digits(5), "no. " + digits(4), digits(7), digits(9), digits(16)]), "", "", ""),
+            (rng.choice([" ", ", ", "\n", " | "]).join(digits(rng.randint(1, 6)) for _ in range(rng.randint(3, 8))), "", "", ""),
             (rng.choice([word() + digits(1), word() + " @ " + word(), "@" + word(), f"{digits(3)}-{digits(2)}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(4)} {word()} {digits(4)}"]), "", "", ""),
         ]
     )
@@ -302,7 +303,7 @@ def sentence(rng: random.Random) -> tuple[str, list[Span]]:
 
 
 @lru_cache(1)
-def trained(n: int = 900, epochs: int = 3) -> Field:
+def trained(n: int = 1000, epochs: int = 3) -> Field:
     rng, field = random.Random(17), Field()
     data = [sentence(rng) for _ in range(n)]
     for e in range(epochs):
@@ -332,7 +333,7 @@ def find_spans(field: Field, text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start and kind."""
     base = base_spans(text)
     more: list[Span] = []
-    k = 0
+    k = done = 0
     for lo, hi in zones(text):
         near = [(a, b) for a, b, _ in base if a < hi and lo < b] if len(base) < 200 else None
         if near is None:
@@ -344,8 +345,10 @@ def find_spans(field: Field, text: str) -> tuple[list[Span], list[Span]]:
                     break
                 if b > lo:
                     near.append((a, b))
-        done = max((b for _, b, _ in more), default=0)
-        more += [s for s in field.decode(Zone(text, lo, hi), near) if s[0] >= done and not any(s[0] < y and x < s[1] for x, y in near)]
+        for s in field.decode(Zone(text, lo, hi), near):
+            if s[0] >= done and not any(s[0] < y and x < s[1] for x, y in near):
+                more.append(s)
+                done = s[1]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
