@@ -45,7 +45,7 @@ def sentinel_double(x: str | Column) -> Column:
 
 def locale_number(x: str | Column, digits: int, locale: str) -> Column:
     """Fixed digits with the decimal mark of the locale; null is empty."""
-    text = F.coalesce(F.format_string(f"%.{digits}f", _c(x)), F.lit(""))
+    text = F.when(_c(x).isNull(), "").otherwise(F.format_string(f"%.{digits}f", _c(x)))
     return F.translate(text, ".", ",") if locale == "de" else text
 
 
