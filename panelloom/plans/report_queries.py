@@ -164,3 +164,60 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of two lines side by side."""
     a = P.returns(spark, sf_dir).where(F.col("symbol").isin("AF", "NO")).groupBy("symbol").agg((F.stddev_samp("r") * F.sqrt(F.lit(252.0))).alias("vol"), (F.avg("r") * 252).alias("mean"), F.max("r").alias("best"))
     return rounded(a.unpivot("symbol", ["vol", "mean", "best"], "metric", "v").groupBy("metric").pivot("symbol", ["AF", "NO"]).agg(F.first("v")))
+
+
+@query(
+    "q_a17_monthly_rows",
+    with_panels("ret") + " SELECT symbol, CAST(year(date) AS BIGINT) AS y, CAST(month(date) AS BIGINT) AS m, min(date) AS window_start, max(date) AS window_end, count(*) AS n_obs, round(product(1 + r) - 1, 6) AS ret FROM ret WHERE r IS NOT NULL GROUP BY 1, 2, 3",
+)
+def monthly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = P.returns(spark, sf_dir).where("r is not null")
+    g = r.groupBy("symbol", F.year(AT).cast("long").alias("y"), F.month(AT).cast("long").alias("m"))
+    return rounded(g.agg(F.min(AT).alias("window_start"), F.max(AT).alias("window_end"), F.count("*").alias("n_obs"), (F.product(1 + F.col("r")) - 1).alias("ret")))
+
+
+@query(
+    "q_a22_view_switches",
+    """WITH v AS (SELECT CAST(ts AS DATE) AS day, event_type, max(value) AS c FROM events GROUP BY 1, 2), t AS (SELECT day, first(event_type ORDER BY c DESC, event_type) AS top, count(*) AS n, avg(abs(c)) AS m FROM v GROUP BY 1),
+    s AS (SELECT *, top <> lag(top) OVER (ORDER BY day) AS switched FROM t) SELECT round(avg(n), 6) AS views_per_date, round(avg(m), 6) AS mean_abs, round(count(*) FILTER (WHERE switched) * 1.0 / greatest(1, count(*) - 1), 6) AS switch_rate FROM s""",
+)
+def view_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views a date, their mean size, and how often the most confident one changes; the first maximum wins ties."""
+    v = P.table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.max("value").alias("c"))
+    t = v.groupBy("day").agg(F.min_by("event_type", F.struct(-F.col("c"), F.col("event_type"))).alias("top"), F.count("*").alias("n"), F.avg(F.abs("c")).alias("m"))
+    s = t.withColumn("switched", F.col("top") != F.lag("top").over(Window.orderBy("day")))  # a row a day
+    rate = F.count_if("switched") / F.greatest(F.lit(1), F.count("*") - 1)
+    return rounded(s.agg(F.avg("n").alias("views_per_date"), F.avg("m").alias("mean_abs"), rate.alias("switch_rate")))
+
+
+@query("q_a30_class_stats", "SELECT toxic AS arm, count(*) AS n, round(avg(n_chars), 6) AS mean_chars, round(stddev_samp(n_chars), 6) AS std_chars, round(avg(quality), 6) AS mean_quality, round(stddev_samp(quality), 6) AS std_quality FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+def class_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, mean and sample deviation of every feature by arm."""
+    j = P.table(spark, sf_dir, "labels").join(P.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    stats = [f(c).alias(f"{n}_{t}") for c, t in (("n_chars", "chars"), ("quality", "quality")) for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return rounded(j.groupBy(F.col("toxic").alias("arm")).agg(F.count("*").alias("n"), *stats))
+
+
+@query("q_k14_single_hold", with_panels("idx") + "SELECT date, round(level / first_value(level) OVER (ORDER BY date), 6) AS wealth FROM idx WHERE symbol = 'AF'")
+def single_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = P.px_index(spark, sf_dir).where("symbol = 'AF'")
+    return rounded(i.select(AT, (F.col("level") / F.first("level").over(S.upto(KEYS, AT))).alias("wealth")))
+
+
+@query("q_w26_first_of_month", with_panels("ret") + ", c AS (SELECT DISTINCT date FROM ret WHERE r IS NOT NULL) SELECT CAST(date_trunc('month', date) AS DATE) AS month, min(date) AS first_date, count(*) AS n FROM c GROUP BY 1")
+def first_of_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = P.returns(spark, sf_dir).where("r is not null").select(AT).distinct()
+    return c.groupBy(F.trunc(AT, "MM").alias("month")).agg(F.min(AT).alias("first_date"), F.count("*").alias("n"))
+
+
+@query(
+    "q_o16_coherent_windows",
+    with_panels("ret") + ", m AS (SELECT symbol, date_trunc('month', date) AS m, product(1 + r) AS g, min(date) AS lo, max(date) AS hi FROM ret WHERE r IS NOT NULL GROUP BY 1, 2), t AS (SELECT symbol, product(1 + r) AS g FROM ret WHERE r IS NOT NULL GROUP BY 1) SELECT m.symbol, count(*) AS months, min(lo) AS window_start, max(hi) AS window_end, abs(product(m.g) / t.g - 1) < 1e-9 AS compounds FROM m JOIN t ON m.symbol = t.symbol GROUP BY 1, t.g",
+)
+def coherent_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly rows of a line must compound to its total."""
+    r = P.returns(spark, sf_dir).where("r is not null")
+    m = r.groupBy("symbol", F.trunc(AT, "MM").alias("m")).agg(F.product(1 + F.col("r")).alias("g"), F.min(AT).alias("lo"), F.max(AT).alias("hi"))
+    t = r.groupBy("symbol").agg(F.product(1 + F.col("r")).alias("total"))
+    a = m.groupBy("symbol").agg(F.count("*").alias("months"), F.min("lo").alias("window_start"), F.max("hi").alias("window_end"), F.product("g").alias("g"))
+    return a.join(t, "symbol").select("symbol", "months", "window_start", "window_end", (F.abs(F.col("g") / F.col("total") - 1) < 1e-9).alias("compounds"))
