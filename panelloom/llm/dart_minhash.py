@@ -12,12 +12,12 @@ coordinate with probability equal to their weighted Jaccard similarity.
 Joining: documents of equal multisets share one node.  The signature is cut into
 bands; the nodes of a band bucket are compared with one leader of the bucket (the
 smallest id in even bands, the largest in odd ones), exactly, on their shingles.
-Nodes unlike the leader form the bucket's rest.  Rests of chance (texts that share
-a boilerplate line) can be large; so a rest is parted by every other band its
-nodes share, as copies share some six bands of twenty.  Each part elects
-``LEADERS`` leaders, and so on until no part has two nodes: the work is linear in the size of a bucket
-of copies, and no node is capped or dropped.  Classes are connected components of the
-links, found by label propagation with pointer jumping.
+That gathers groups of copies by one comparison a node.  Buckets that still hold
+more than one class are then compared whole: their nodes are dealt in blocks of
+``PART`` by class, and every two blocks that are not of one and the same class meet
+in a task of their own, which counts the common shingles of all pairs at once.  So
+every pair that shares a bucket is compared or of one class already.  Classes are
+connected components of the links, found by label propagation with pointer jumping.
 
 Null and empty texts have no shingle and are classes of their own, one for each
 id.  A null id takes part like any other and counts as the largest.  Rows that
@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,8 @@ N_WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 5
 K = BANDS * ROWS
 DARTS = K * math.log(K) + 2 * K
-LEADERS = 32
+PART = 256
+COLUMNS, MARGIN = 8192, 2
 BLOCK = 1 << 20
 NO_ID = (1 << 63) - 1
 #: Edges of the rank cells below 1; from there on every cell is one unit wide.
@@ -160,8 +160,8 @@ def sketch(docs: DataFrame, text: str, key: str) -> DataFrame:
     return rows.mapInArrow(run, "doc long, d1 long, d2 long, bands array<long>")
 
 
-def elements(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc, elems): the sorted 32-bit hashes of the weight units, for exact comparison."""
+def elements(docs: DataFrame, text: str) -> DataFrame:
+    """(d1, d2, elems): the sorted 32-bit hashes of the weight units, for exact comparison."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "_text", BLOCK):
@@ -169,10 +169,10 @@ def elements(docs: DataFrame, text: str, key: str) -> DataFrame:
             cut = np.searchsorted(row, np.arange(len(b) + 1))
             small = (col >> np.uint64(32)).astype(np.uint32)
             out = [np.sort(small[x:y]).tobytes() for x, y in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([b.rows.column("doc"), pa.array(out, pa.binary())], ["doc", "elems"])
+            d1, d2 = digest(row, col, len(b))
+            yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(out, pa.binary())], ["d1", "d2", "elems"])
 
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "doc long, elems binary")
+    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "d1 long, d2 long, elems binary")
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -217,51 +217,103 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 
 def near_links(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(membership (doc, rep) of rows with shingles, links (a, b) between representatives)."""
+    """(membership (doc, node) of rows with shingles, links (a, b) between nodes); rows that share an id are linked too."""
     rows = saved(spark, sketch(docs, text, key))
-    reps = saved(spark, rows.groupBy("d1", "d2").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")))
-    member = rows.select("doc", "d1", "d2").join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc", "rep")
-    band = reps.select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "hash"))
-    rest = saved(spark, elected(band, 1))
-    elems = saved(spark, elements(docs, text, key).join(rest.select("doc").distinct(), "doc").dropDuplicates(["doc"]))
-    found, turn = [], 0
-    while True:
-        pairs = rest.where("doc <> a").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
-        good = saved(spark, verified(pairs, elems, least))
-        found.append(good)
-        known = good.select("a", F.col("b").alias("doc")).unionAll(good.select(F.col("b").alias("a"), F.col("a").alias("doc"))).withColumn("linked", F.lit(True))
-        met = rest.join(known, ["a", "doc"], "left").groupBy("band", "hash", "doc").agg(F.max(F.coalesce("linked", F.col("doc") == F.col("a"))).alias("done"))
-        left = met.where("not done").select("band", "hash", "doc")
-        if turn == 0:
-            # crowded buckets: texts that share one band by chance; true copies share another
-            left = left.join(reps.select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band2", "hash2")), "doc").where("band2 > band")
-            left = left.select((F.col("band") * BANDS + F.col("band2")).alias("band"), F.xxhash64("hash", "hash2").alias("hash"), "doc")
-        rest = saved(spark, elected(left, LEADERS))
-        if rest.isEmpty():
-            return member, reduce(DataFrame.unionAll, found).distinct()
-        if turn == 0:
-            elems = saved(spark, elems.join(rest.select("doc").distinct(), "doc", "left_semi"))
-        turn += 1
-
-
-def elected(members: DataFrame, leaders: int) -> DataFrame:
-    """(band, hash, doc, a): members of buckets of two and more with each leader a of the bucket; leaders meet themselves too.
-
-    One leader is the smallest id in even bands, the largest in odd ones; several are the smallest ids of as many residues.
-    """
-    if leaders == 1:
-        lead = F.array(F.expr("if(band % 2 = 0, min(doc), max(doc))"))
-    else:
-        lead = F.array(*(F.min(F.when(F.pmod(F.xxhash64("doc"), F.lit(leaders)) == k, F.col("doc"))) for k in range(leaders)))
-    size = members.groupBy("band", "hash").agg(F.count("*").alias("n"), lead.alias("leads")).where("n > 1").drop("n")
-    return members.join(size, ["band", "hash"]).select("band", "hash", "doc", F.explode(F.array_compact("leads")).alias("a"))
+    # numbered before the checkpoint, so a node keeps its number
+    reps = saved(spark, rows.groupBy("d1", "d2").agg(F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    member = rows.select("doc", "d1", "d2").join(reps.select("d1", "d2", "node"), ["d1", "d2"]).select("doc", "node")
+    several = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc", "a")
+    same = member.join(several, "doc").where("node > a").select("a", F.col("node").alias("b"))
+    band = reps.select(F.col("node").alias("doc"), F.posexplode("bands").alias("band", "hash"))
+    rest = saved(spark, elected(band))
+    wanted = reps.select("d1", "d2", F.col("node").alias("doc")).join(rest.select("doc").distinct(), "doc")
+    elems = saved(spark, elements(docs, text).join(wanted, ["d1", "d2"]).select("doc", "elems").dropDuplicates(["doc"]))
+    pairs = rest.where("doc <> a").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
+    good = saved(spark, verified(pairs, elems, least))
+    label = components(spark, good).withColumnRenamed("node", "doc")
+    named = rest.select("band", "hash", "doc").join(label, "doc", "left").select("band", "hash", "doc", F.coalesce("label", "doc").alias("label"))
+    more = saved(spark, across(parts(saved(spark, named)), elems, least))
+    return member, good.unionAll(more).unionAll(same).distinct()
+
+
+def elected(members: DataFrame) -> DataFrame:
+    """(band, hash, doc, a): members of buckets of two and more with the leader a of the bucket, the smallest id in even bands, the largest in odd ones."""
+    lead = F.expr("if(band % 2 = 0, min(doc), max(doc))")
+    size = members.groupBy("band", "hash").agg(F.count("*").alias("n"), lead.alias("a")).where("n > 1").drop("n")
+    return members.join(size, ["band", "hash"]).select("band", "hash", "doc", "a")
+
+
+def parts(named: DataFrame) -> DataFrame:
+    """(task, doc, label, side) of the buckets with more than one class: 1 for a task's left block, 2 for its right one, 3 for a block that meets itself."""
+    bucket = ["band", "hash"]
+    cells = named.groupBy(*bucket, "label").agg(F.count("*").alias("n"))
+    mixed = cells.groupBy(*bucket).agg(F.count("*").alias("classes"), F.sum(F.when(F.col("n") <= PART, F.col("n")).otherwise(0)).alias("small")).where("classes > 1")
+    # a large class has blocks of its own, small ones share
+    own = F.xxhash64("label", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / PART)))
+    shared = F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), F.ceil(F.col("small") / PART)))
+    placed = named.join(cells.join(mixed, bucket), [*bucket, "label"]).select(*bucket, "doc", "label", F.when(F.col("n") > PART, own).otherwise(shared).alias("part"))
+    block = placed.groupBy(*bucket, "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    other = block.withColumnsRenamed({"part": "part2", "lo": "lo2", "hi": "hi2"})
+    meet = block.join(other, bucket).where("part <= part2 and least(lo, lo2) < greatest(hi, hi2)").withColumn("task", F.xxhash64(*bucket, "part", "part2"))
+    side = F.when(F.col("part") == F.col("part2"), F.array(F.struct("part", F.lit(3).alias("side")))).otherwise(F.array(F.struct("part", F.lit(1).alias("side")), F.struct(F.col("part2").alias("part"), F.lit(2).alias("side"))))
+    seats = meet.select(*bucket, "task", F.explode(side).alias("s")).select(*bucket, "task", "s.part", "s.side")
+    return placed.join(seats, [*bucket, "part"]).select("task", "doc", "label", "side")
+
+
+def across(tasks: DataFrame, elems: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of similarity ``least`` or more between the classes of each task; a pair whose classes have met by then is left out."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        doc, label, side = (rows.column(c).to_numpy() for c in ("doc", "label", "side"))
+        raw = rows.column("elems").to_pylist()
+        links = cross_links(doc, label, side, raw, least)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return tasks.join(elems, "doc").select("task", "doc", "label", "side", "elems").groupBy("task").applyInArrow(run, "a long, b long")
+
+
+def cross_links(doc: np.ndarray, label: np.ndarray, side: np.ndarray, raw: list[bytes], least: float) -> list[tuple[int, int]]:
+    """The links of one task: common units of all pairs by products of 0/1 tables, near pairs verified until their classes are one."""
+    units = [np.unique(np.frombuffer(x, np.uint32)) for x in raw]
+    size = np.array([len(x) // 4 for x in raw])
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
+    _, unit, n = np.unique(np.concatenate(units), return_inverse=True, return_counts=True)
+    rank = np.cumsum(n > 1) - 1
+    owner, unit = owner[n[unit] > 1], rank[unit[n[unit] > 1]]
+    common = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(unit, kind="stable")
+    owner, unit = owner[order], unit[order]
+    for lo in range(0, int(unit[-1]) + 1 if len(unit) else 0, COLUMNS):
+        x, y = np.searchsorted(unit, [lo, lo + COLUMNS])
+        table = np.zeros((len(units), min(COLUMNS, int(unit[-1]) + 1 - lo)), np.float32)
+        table[owner[x:y], unit[x:y] - lo] = 1
+        common += table[left] @ table[right].T
+    # equal units within a text (hashes that collide) count in ``similarity`` only: a margin lets it decide
+    near = (common + MARGIN >= least * (size[left][:, None] + size[right][None, :] - common - MARGIN)) & (label[left][:, None] != label[right][None, :])
+    i, j = np.nonzero(near)
+    root = {int(x): int(x) for x in label}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for p, q in zip(left[i].tolist(), right[j].tolist(), strict=True):
+        x, y = find(int(label[p])), find(int(label[q]))
+        if x != y and similarity(raw[p], raw[q]) >= least:
+            root[max(x, y)] = min(x, y)
+            out.append((min(int(doc[p]), int(doc[q])), max(int(doc[p]), int(doc[q]))))
+    return out
 
 
 def doc_classes(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILAR) -> DataFrame:
     """(doc, class_id) for every id that has a text with a shingle; doc is NO_ID for null ids."""
     member, links = near_links(spark, docs, text, key, least)
     label = components(spark, links)
-    return member.join(label.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc").agg(F.min(F.coalesce("label", "rep")).alias("class_id"))
+    named = member.join(label, "node", "left").select("doc", F.coalesce("label", "node").alias("label"))
+    return named.join(named.groupBy("label").agg(F.min("doc").alias("class_id")), "label").select("doc", "class_id").distinct()
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILAR) -> DataFrame:

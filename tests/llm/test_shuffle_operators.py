@@ -145,6 +145,23 @@ def test_near_classes(spark):
     assert kept.where("doc_id is not null").count() == kept.where("doc_id is not null").select("doc_id").distinct().count()
 
 
+@pytest.mark.parametrize("part", [256, 2])
+def test_pairs_of_one_bucket_are_compared(spark, monkeypatch, part):
+    """Pairs that share one bucket only: two nodes unlike its leader, and a node like an inner one alone."""
+    monkeypatch.setattr(dart_minhash, "PART", part, raising=False)
+    word = lambda k, lo, hi: " ".join(f"{k}{i}" for i in range(lo, hi))
+    bucket = {
+        0: [(1, word("a", 0, 60)), (2, word("b", 0, 60)), (3, word("b", 0, 60) + " end"), (4, word("c", 0, 60))],
+        1: [(11, word("d", 0, 100)), (12, word("d", 10, 110)), (13, word("d", 20, 120)), (14, word("e", 0, 50))],
+    }
+    rows = [(k, t) for docs in bucket.values() for k, t in docs]
+    bands = spark.createDataFrame([(k, [900 + b] + [k * 100 + i for i in range(1, dart_minhash.BANDS)]) for b, docs in bucket.items() for k, _ in docs], "doc long, bands array<long>")
+    sketch = dart_minhash.sketch
+    monkeypatch.setattr(dart_minhash, "sketch", lambda *args: sketch(*args).drop("bands").join(bands, "doc"))
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_classes(spark, frame(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4, 11: 11, 12: 11, 13: 11, 14: 14}
+
+
 def test_signatures_agree_as_often_as_weights_do():
     rng = random.Random(4)
     a = " ".join(f"w{i}" for i in range(400))
