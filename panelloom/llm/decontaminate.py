@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are lowered runs of letters, digits and bytes above 0x7F.  Every document
 is searched for the n-grams of the test items through a bit table of fixed size
 (a prefilter whose false hits the join removes); hits close together form a
-region.  The n-grams of the regions are counted over all documents, and each item
-keeps as seeds its n-grams that are no more frequent than its median one, so an
-item that leaked everywhere keeps all of its seeds.  Seeds are joined with the
-hits; every (region, item) pair that shares one is aligned word by word.  An
+region.  Every n-gram of an item is a seed, however frequent, so a stretch that
+leaked everywhere is found as well as a rare one.  Seeds are joined with the
+hits; of the (region, item) pairs that share one, those with too few words in common
+to reach ``LEAST`` in any order are left out, the others are aligned word by word.  An
 alignment scores MATCH, MISS or GAP a word and is divided by the item's best
 possible score; pairs of ``LEAST`` or more are leaks.
 
@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Block, blocks, mix, prefix, spans, word_hashes, words
@@ -145,6 +145,19 @@ def smith_waterman(text: np.ndarray, size: np.ndarray, item: np.ndarray, item_si
     return best, end
 
 
+def enough(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The (region, item) rows whose common words, matched without a gap, would score ``least`` or more."""
+    for batch in batches:
+        ok, tables = [], {}
+        for k, x, y in zip(batch.column("item_id").to_pylist(), batch.column("words").to_pylist(), batch.column("item_words").to_pylist(), strict=True):
+            word, n = tables[k, y] if (k, y) in tables else tables.setdefault((k, y), np.unique(np.frombuffer(y, np.uint64), return_counts=True))
+            text = np.frombuffer(x, np.uint64)
+            at = np.minimum(np.searchsorted(word, text), len(word) - 1)
+            seen = np.bincount(at[word[at] == text], minlength=len(word))
+            ok.append(np.minimum(seen, n).sum() >= least * n.sum() - 1e-6)
+        yield batch.filter(pa.array(ok, pa.bool_()))
+
+
 def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Score of each (region, item) row."""
     for batch in batches:
@@ -186,12 +199,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str
     found = saved(spark, regions(docs, bit_table(items), reach, text, key))
     hits = found.select("doc", "start", F.explode(F.array_distinct("grams")).alias("gram"))
     seeds = items.select("item_id", F.explode(F.array_distinct("grams")).alias("gram"))
-    common = hits.select("doc", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-    per_item = Window.partitionBy("item_id")  # an item's own grams
-    rare = seeds.join(common, "gram").withColumn("mid", F.expr("percentile(df, 0.5)").over(per_item)).where("df <= mid").select("item_id", "gram")
-    pairs = hits.join(near(rare), "gram").select("doc", "start", "item_id").distinct()
+    pairs = hits.join(near(seeds), "gram").select("doc", "start", "item_id").distinct()
     rows = pairs.join(found.select("doc", "start", "words"), ["doc", "start"]).join(near(items.select("item_id", F.col("words").alias("item_words"))), "item_id")
-    scored = rows.select("doc", "start", "words", "item_id", "item_words").mapInArrow(align, "doc long, item_id long, score double, end_word long")
+    scored = rows.select("doc", "start", "words", "item_id", "item_words").mapInArrow(lambda batches: align(enough(batches, least)), "doc long, item_id long, score double, end_word long")
     return scored.where(F.col("score") >= least).groupBy("doc", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("e"))).alias("b")).select("doc", "item_id", F.col("b.score").alias("score"), (-F.col("b.e")).alias("end_word"))
 
 

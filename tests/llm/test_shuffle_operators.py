@@ -211,6 +211,15 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
 
 
+def test_leaks_of_an_item_s_frequent_part(spark):
+    """Many documents with the first 18 of 40 words (0.45 of the best score), few with all."""
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    item = word("q", 40)
+    docs = [(i, word(f"d{i}x", 30) + " " + " ".join(item.split(" ")[:18])) for i in range(30)] + [(100 + i, item) for i in range(3)] + [(200, word("z", 60)), (201, "q0 q1 q2 " + word("y", 40))]
+    got = decontaminate.leaks(spark, frame(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {(r.doc, r.score) for r in got} == {(i, 0.45) for i in range(30)} | {(100 + i, 1.0) for i in range(3)}
+
+
 def test_image_copies(spark):
     rng = np.random.default_rng(7)
     base = [rng.integers(0, 256, (60 + 4 * i, 64)).astype(np.uint8) for i in range(12)]
