@@ -128,3 +128,13 @@ def test_signed_rank_tail_is_exact():
 def test_block_length_bounds():
     assert K.block_length(np.arange(20.0)) == 5
     assert 1 <= K.block_length(np.random.default_rng(0).normal(size=500)) <= 67
+
+
+def test_bootstrap_has_a_thousand_replicates_and_both_tails(spark, sf_dir):
+    from panelloom.plans import kernel_queries
+
+    rows = kernel_queries.bootstrap(spark, sf_dir).collect()
+    assert rows and all(r.n_boot == 1000 for r in rows)
+    # a failed replicate counts in both tails, a zero too; the others in one
+    assert all(1 + 1 / 1001 <= r.p + r.p_lower + 1e-9 and min(r.p, r.p_lower) >= 1 / 1001 for r in rows)
+    assert all(abs(x * 1001 - round(x * 1001)) < 1e-6 for r in rows for x in (r.p, r.p_lower))
