@@ -97,7 +97,7 @@ def absorption(x: np.ndarray) -> float:
     x = x[:, ~np.isnan(x).any(axis=0)]
     x = x[:, x.std(axis=0) > 0]
     if x.shape[1] < 2:
-        return np.nan
+        return 1.0 if x.shape[1] else np.nan
     ev = np.sort(np.linalg.eigvalsh(np.corrcoef(x.T)))[::-1]
     return float(ev[: -(-len(ev) // 5)].sum() / ev.sum())
 

@@ -152,16 +152,20 @@ def relative(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- grouped kernels (no SQL form; compared with plain numpy in tests)
 
 
-def windows_of(r: DataFrame, size: int, step: int) -> DataFrame:
-    """(end, date, symbol, r): the trailing window of every step-th date of the common calendar.
+def sessions_of(r: DataFrame) -> DataFrame:
+    """(date, pos): the dates on which every symbol has a return."""
+    names = r.agg(F.count_distinct("symbol").alias("names"))  # one row
+    d = r.groupBy(AT).agg(F.count("*").alias("n")).crossJoin(F.broadcast(names)).where("n = names").select(AT)
+    return C.positions(d, AT)
+
+
+def windows_of(r: DataFrame, size: int, step: int, first: int = 0) -> DataFrame:
+    """(end, date, symbol, r): the trailing window of every step-th date of the common calendar, counted from ``first``.
 
     A date belongs to at most size / step windows, whatever the history; only the
     date list is numbered, the panel itself is joined to it.
     """
-    names = r.agg(F.count_distinct("symbol").alias("names"))  # one row
-    d = r.groupBy(AT).agg(F.count("*").alias("n")).crossJoin(F.broadcast(names)).where("n = names").select(AT)
-    pos = C.positions(d, AT)
-    ends = pos.withColumn("end", F.explode(F.expr(f"filter(transform(sequence(0, {-(-size // step)}), k -> (ceil(pos / {step}) + k) * {step}), e -> e >= pos and e < pos + {size} and e >= {size - 1})")))
+    ends = sessions_of(r).withColumn("end", F.explode(F.expr(f"filter(transform(sequence(0, {-(-size // step)}), k -> (ceil((pos - {first}) / {step}) + k) * {step} + {first}), e -> e >= pos and e < pos + {size} and e >= {size - 1})")))
     return r.join(ends, AT).select("end", AT, "symbol", "r")
 
 
@@ -172,19 +176,24 @@ def _wide(pdf: pd.DataFrame) -> tuple[pd.DataFrame, object]:
 
 @query("q_w29_absorption")
 def absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Absorption ratio of trailing 120-session windows every fifth session."""
+    """Absorption ratio of trailing 252-session windows every fifth session from the first full one, carried forward between them."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         w, last = _wide(pdf)
         return pd.DataFrame({"date": [last], "absorption": [K.absorption(w.to_numpy())]})
 
+    size = 252
+
     r = P.returns(spark, sf_dir).where("r is not null").select("symbol", AT, "r")
-    return windows_of(r, 120, 5).groupBy("end").applyInPandas(one, "date date, absorption double")
+    got = windows_of(r, size, 5, size - 1).groupBy("end").applyInPandas(one, "date date, absorption double")
+    every = sessions_of(r).where(F.col("pos") >= size - 1).join(got, AT, "left")
+    carried = F.last(F.when(~F.isnan("absorption"), F.col("absorption")), ignorenulls=True).over(Window.orderBy(AT).rowsBetween(Window.unboundedPreceding, 0))  # sessions
+    return every.select(AT, F.coalesce(carried, F.lit(float("nan"))).alias("absorption"))
 
 
 @query("q_w30_turbulence")
 def turbulence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of every fifth session from the 119 before it."""
+    """Distance of every session from the 252 before it."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         w, last = _wide(pdf)
@@ -192,7 +201,7 @@ def turbulence(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"date": [last], "turbulence": [K.turbulence(x[:-1], x[-1])]})
 
     r = P.returns(spark, sf_dir).where("r is not null").select("symbol", AT, "r")
-    return windows_of(r, 120, 5).groupBy("end").applyInPandas(one, "date date, turbulence double")
+    return windows_of(r, 253, 1).groupBy("end").applyInPandas(one, "date date, turbulence double")
 
 
 @query("q_k2_bootstrap")
@@ -304,7 +313,7 @@ def signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_k17_paths")
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block-bootstrap paths of the monthly panel: starts come from a hash of path and block, so a lost task draws the same again."""
-    n_paths, horizon, block = 1000, 6, 3
+    n_paths, horizon, block = 10_000, 6, 3
     m = P.macro(spark, sf_dir)
     pos = m.select(F.row_number().over(Window.orderBy("month")).alias("pos"), "d", "t", "q")  # months
     size = m.agg(F.count("*").alias("n"))

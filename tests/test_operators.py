@@ -138,3 +138,23 @@ def test_bootstrap_has_a_thousand_replicates_and_both_tails(spark, sf_dir):
     # a failed replicate counts in both tails, a zero too; the others in one
     assert all(1 + 1 / 1001 <= r.p + r.p_lower + 1e-9 and min(r.p, r.p_lower) >= 1 / 1001 for r in rows)
     assert all(abs(x * 1001 - round(x * 1001)) < 1e-6 for r in rows for x in (r.p, r.p_lower))
+
+
+def test_turbulence_absorption_and_paths_are_whole(spark, sf_dir, monkeypatch):
+    from panelloom.operators import kernels as K
+    from panelloom.plans import kernel_queries as Q
+    from panelloom.sources import panels as P
+
+    import pandas as pd
+
+    w = pd.DataFrame(np.random.default_rng(3).normal(0, 0.01, (290, 4)), index=pd.bdate_range("2020-01-01", periods=290).date, columns=list("abcd"))
+    long = [(s, d, float(w.at[d, s])) for d in w.index for s in w.columns]
+    monkeypatch.setattr(P, "returns", lambda spark, sf_dir: spark.createDataFrame(long, "symbol string, date date, r double"))
+    x, dates = w.to_numpy(), list(w.index)
+    got = {r.date: r.turbulence for r in Q.turbulence(spark, sf_dir).collect()}
+    assert sorted(got) == dates[252:]
+    assert all(abs(got[dates[i]] - K.turbulence(x[i - 252 : i], x[i])) < 1e-6 for i in range(252, len(x), 17))
+    got = {r.date: r.absorption for r in Q.absorption(spark, sf_dir).collect()}
+    assert sorted(got) == dates[251:]
+    assert all(abs(got[dates[i]] - K.absorption(x[(e := i - (i - 251) % 5) - 251 : e + 1])) < 1e-9 for i in range(251, len(x), 7))
+    assert Q.paths(spark, sf_dir).select("path").distinct().count() == 10_000
