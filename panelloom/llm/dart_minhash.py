@@ -1,27 +1,32 @@
 """Near-duplicate classes by DartMinHash.
 
 A document is the multiset of its five-word shingles (fewer than five words: one
-shingle of all of them); a shingle's weight is its count.  Every unit of weight
-is a column of the (weight, rank) plane into which darts fall at rate one, placed
-by hashing alone, so that two documents see the same darts where both have
-weight.  All darts of rank below t / weight are read off; each is hashed to one
-of the signature's coordinates, which keeps its earliest dart.  A coordinate
-that stays empty makes its document read twice as far.  Two documents agree in a
-coordinate with probability equal to their weighted Jaccard similarity.
-
-Joining: documents of equal multisets share one node.  The signature is cut into
-bands; the nodes of a band bucket are compared with one leader of the bucket (the
-smallest id in even bands, the largest in odd ones), exactly, on their shingles.
-That gathers groups of copies by one comparison a node.  Buckets that still hold
-more than one class are then compared whole: their nodes are dealt in blocks of
-``PART`` by class, and every two blocks that are not of one and the same class meet
-in a task of their own, which counts the common shingles of all pairs at once.  So
-every pair that shares a bucket is compared or of one class already.  Classes are
-connected components of the links, found by label propagation with pointer jumping.
-
-Null and empty texts have no shingle and are classes of their own, one for each
-id.  A null id takes part like any other and counts as the largest.  Rows that
-share an id count as one document when classes are formed.
+shingle of all of them); a shingle's weight is its count.  Every shingle owns the
+strip of the (weight, rank) plane below its weight; the strip is cut into regions,
+[0, 1), [1, 2), [2, 4), [4, 8) ... along the weight and cells of bounded area along
+the rank, into which darts fall by hashing alone.  So a weight w costs log w regions,
+and two documents see the same darts where both have weight.  All darts of rank
+below t / weight are read off; each is hashed to one of the signature's coordinates,
+which keeps its earliest dart.  A coordinate that stays empty makes its document
+read twice as far.  Two documents agree in a coordinate with probability equal to
+their weighted Jaccard similarity.
+
+Joining: documents of equal multisets (128-bit digests) share one node.  The
+signature is cut into bands.  In every band bucket each node is compared with the
+bucket's leader, its smallest node, on the 64-bit hashes of all shingles.  What is
+unlike its leader is then compared with all other nodes of the bucket, in blocks of
+``PART``; pairs known to be of one class by then are left out.  So every pair that
+shares a bucket is compared or of one class, however large the bucket.  The
+probability that a pair of similarity 0.8 shares none of the 20 bands is 0.0004.
+
+A node keeps its smallest like leader and links that leader with its others; classes
+are connected components of these links, found by contracting each node into its
+smallest neighbour until no link is left.
+
+Null and empty texts have no shingle and are classes of their own.  Rows that share
+an id count as one document when classes are formed.  Rows with a null id are
+documents of their own, told apart by their text; they count as larger than all
+others, and a class without any id has a null class id.
 """
 
 from __future__ import annotations
@@ -31,28 +36,31 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import Block, blocks, mix, prefix, spans, word_hashes, words
-from .shared_store import saved
+from .arrays import Block, blocks, mix, prefix, ranges, spans, word_hashes, words
+from .shared_store import Scratch
 
 N_WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 5
 K = BANDS * ROWS
 DARTS = K * math.log(K) + 2 * K
 PART = 256
-COLUMNS, MARGIN = 8192, 2
+COLUMNS, FEW = 8192, 512
 BLOCK = 1 << 20
+#: Ids of so many rows at most are sent to every executor; more of them are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1
 #: Edges of the rank cells below 1; from there on every cell is one unit wide.
 LOW_EDGES = (0.0, 4.0**-6, 4.0**-5, 4.0**-4, 4.0**-3, 4.0**-2, 4.0**-1, 1.0)
 _CELL = np.uint64(0xC2B2AE3D27D4EB4F)
 _DART = np.uint64(0x165667B19E3779F9)
+_REGION = np.uint64(0x9E3779B97F4A7C15)
 
 
-def columns(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every unit of weight: a shingle and how often it has been seen in its document."""
+def weights(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle hash, weight) of the distinct shingles of every document, by row and hash."""
     lo, hi, row = words(b)
     h = word_hashes(b, lo, hi)
     first = np.searchsorted(row, np.arange(len(b) + 1))
@@ -63,26 +71,24 @@ def columns(b: Block) -> tuple[np.ndarray, np.ndarray]:
     shingle = mix(spans(prefix(h), at, np.minimum(at + N_WORDS, first[doc + 1])))
     order = np.lexsort((shingle, doc))
     d, s = doc[order], shingle[order]
-    new = np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])][: len(d)]
-    begin = np.flatnonzero(new)
-    nth = np.arange(len(d)) - begin[np.cumsum(new) - 1] if len(d) else np.zeros(0, np.int64)
-    return d, mix(s + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    begin = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])][: len(d)])
+    return d[begin], s[begin], np.diff(np.r_[begin, len(d)])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def _throw(col: np.ndarray, row: np.ndarray, low: np.ndarray, wide: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Darts (row, rank, id) of the given cells: a Poisson number in each, placed by hash."""
-    seed = mix(col ^ (cell.astype(np.uint64) + np.uint64(1)) * _CELL)
-    u, p = _unit(seed), np.exp(-wide)
+def _throw(seed: np.ndarray, own: np.ndarray, low: np.ndarray, wide: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Darts (region, scaled rank, id) of the given cells: a Poisson number in each, placed by hash."""
+    start = mix(seed ^ (cell.astype(np.uint64) + np.uint64(1)) * _CELL)
+    u, p = _unit(start), np.exp(-wide)
     total, out, k = p.copy(), [], 0
     live = np.flatnonzero(u >= total)
     while len(live):
         k += 1
-        dart = mix(seed[live] + np.uint64(k) * _DART)
-        out.append((row[live], low[live] + wide[live] * _unit(mix(dart)), dart))
+        dart = mix(start[live] + np.uint64(k) * _DART)
+        out.append((own[live], low[live] + wide[live] * _unit(mix(dart)), dart))
         p = p * wide / k
         total = total + p
         live = live[u[live] >= total[live]] if k < 20 else live[:0]
@@ -91,248 +97,348 @@ def _throw(col: np.ndarray, row: np.ndarray, low: np.ndarray, wide: np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def darts(col: np.ndarray, row: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All darts of rank below reach[row]."""
+def darts(seed: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(region, scaled rank, id) of all darts of scaled rank below reach, for regions of one unit of area a unit of scaled rank."""
     out = []
     for i, (a, z) in enumerate(zip(LOW_EDGES, LOW_EDGES[1:])):
-        at = np.flatnonzero(reach[row] > a)
-        out.append(_throw(col[at], row[at], np.full(len(at), a), np.full(len(at), z - a), np.full(len(at), i)))
-    more = np.maximum(0, np.ceil(reach[row]).astype(np.int64) - 1)
+        at = np.flatnonzero(reach > a)
+        out.append(_throw(seed[at], at, np.full(len(at), a), np.full(len(at), z - a), np.full(len(at), i)))
+    more = np.maximum(0, np.ceil(reach).astype(np.int64) - 1)
     if more.any():
-        at = np.repeat(np.arange(len(row)), more)
+        at = np.repeat(np.arange(len(seed)), more)
         low = 1 + np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more)
-        out.append(_throw(col[at], row[at], low.astype(np.float64), np.ones(len(at)), low + len(LOW_EDGES)))
-    r, rank, dart = (np.concatenate(x) for x in zip(*out, strict=True))
-    near = rank < reach[r]
-    return r[near], rank[near], dart[near]
+        out.append(_throw(seed[at], at, low.astype(np.float64), np.ones(len(at)), low + len(LOW_EDGES)))
+    own, rank, dart = (np.concatenate(x) for x in zip(*out, strict=True))
+    near = rank < reach[own]
+    return own[near], rank[near], dart[near]
 
 
-def signatures(row: np.ndarray, col: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def signatures(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """n x K earliest darts, and which rows have a signature (those with any weight)."""
-    weight = np.bincount(row, minlength=n)
-    sig, have = np.zeros((n, K), np.uint64), weight > 0
+    total = np.bincount(row, weight, minlength=n)
+    # regions along the weight: [0, 1), then [2 ** (i - 1), 2 ** i) for i from 1 on
+    count = 1 + np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64)
+    item = np.repeat(np.arange(len(row)), count)
+    step = ranges(np.zeros(len(row), np.int64), count)
+    tall = np.where(step > 0, 2.0 ** (step - 1), 1.0)
+    seed = np.where(step > 0, mix(shingle[item] + step.astype(np.uint64) * _REGION), shingle[item])
+    own_row = row[item]
+    sig, have = np.zeros((n, K), np.uint64), total > 0
     todo, scale = have.copy(), 1.0
     while todo.any():
-        pick = todo[row]
-        reach = np.where(todo, scale * DARTS / np.maximum(1, weight), 0)
-        r, rank, dart = darts(col[pick], row[pick], reach)
-        slot = r * K + (dart % np.uint64(K)).astype(np.int64)
+        pick = np.flatnonzero(todo[own_row])
+        reach = scale * DARTS / total[own_row[pick]] * tall[pick]
+        own, rank, dart = darts(seed[pick], reach)
+        own = pick[own]
+        height = np.where(step[own] > 0, tall[own] * (1 + _unit(mix(dart ^ _REGION))), 0)
+        own, rank, dart = (x[height < weight[item[own]]] for x in (own, rank / tall[own], dart))
+        slot = own_row[own] * K + (dart % np.uint64(K)).astype(np.int64)
         order = np.lexsort((dart, rank, slot))
         slot, dart = slot[order], dart[order]
         first = np.r_[True, slot[1:] != slot[:-1]][: len(slot)]
         sig.reshape(-1)[slot[first]] = dart[first]
-        full = np.bincount(slot[first] // K, minlength=n) == K
-        todo &= ~full
+        todo &= ~(np.bincount(slot[first] // K, minlength=n) == K)
         scale *= 2
     return sig, have
 
 
-def digest(row: np.ndarray, col: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def digest(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Two independent order-free hashes of each row's multiset."""
     out = []
+    at = np.searchsorted(row, np.arange(n + 1))
     for salt in (_CELL, _DART):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(col + salt), dtype=np.uint64)])
-        at = np.searchsorted(row, np.arange(n + 1))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(mix(shingle + salt) + weight.astype(np.uint64)), dtype=np.uint64)])
         out.append(mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)))
     return out[0], out[1]
 
 
+def named(docs: DataFrame, text: str, key: str) -> list[Column]:
+    """doc, the id (NO_ID for null), and alt, which tells rows without an id apart by their text."""
+    return [F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.when(F.col(key).isNull(), F.xxhash64(F.col(text))).otherwise(F.lit(0)).alias("alt")]
+
+
 def sketch(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc, d1, d2, bands) for every row with a shingle."""
+    """(doc, alt, own, d1, d2, bands) of every row; own is a hash of the text, d1, d2 and bands are null for rows without a shingle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "_text", BLOCK):
-            row, col = columns(b)
-            sig, have = signatures(row, col, len(b))
-            d1, d2 = digest(row, col, len(b))
+            row, shingle, weight = weights(b)
+            sig, have = signatures(row, shingle, weight, len(b))
+            d1, d2 = digest(row, shingle, weight, len(b))
             band = np.zeros((len(b), BANDS), np.uint64)
             for i in range(BANDS):
                 for j in range(ROWS):
                     band[:, i] = mix(band[:, i] * np.uint64(31) + sig[:, i * ROWS + j] + np.uint64(i))
-            at = np.flatnonzero(have)
-            flat = pa.array(band[at].view(np.int64).ravel())
+            size = np.where(have, BANDS, 0)
+            flat = pa.array(band[have].view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), flat)
+            none = ~have
             yield pa.RecordBatch.from_arrays(
-                [b.rows.column("doc").take(pa.array(at)), pa.array(d1[at].view(np.int64)), pa.array(d2[at].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * BANDS, pa.int32()), flat)],
-                ["doc", "d1", "d2", "bands"],
+                [*(b.rows.column(c) for c in ("doc", "alt", "own")), pa.array(d1.view(np.int64), mask=none), pa.array(d2.view(np.int64), mask=none), lists], ["doc", "alt", "own", "d1", "d2", "bands"]
             )
 
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "doc long, d1 long, d2 long, bands array<long>")
+    rows = docs.select(*named(docs, text, key), F.xxhash64(F.col(text)).alias("own"), F.col(text).alias("_text"))
+    return rows.mapInArrow(run, "doc long, alt long, own long, d1 long, d2 long, bands array<long>")
 
 
-def elements(docs: DataFrame, text: str) -> DataFrame:
-    """(d1, d2, elems): the sorted 32-bit hashes of the weight units, for exact comparison."""
+def elements(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFrame:
+    """(node, elems) of the wanted (node, doc, alt, d1, d2): the sorted 64-bit hashes of all units of weight of one text of each node."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for b in blocks(batches, "_text", BLOCK):
-            row, col = columns(b)
-            cut = np.searchsorted(row, np.arange(len(b) + 1))
-            small = (col >> np.uint64(32)).astype(np.uint32)
-            out = [np.sort(small[x:y]).tobytes() for x, y in zip(cut, cut[1:])]
-            d1, d2 = digest(row, col, len(b))
-            yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(out, pa.binary())], ["d1", "d2", "elems"])
+            row, shingle, weight = weights(b)
+            d1, d2 = digest(row, shingle, weight, len(b))
+            right = (d1.view(np.int64) == b.rows.column("d1").to_numpy()) & (d2.view(np.int64) == b.rows.column("d2").to_numpy())
+            unit = mix(np.repeat(shingle, weight) + ranges(np.zeros(len(weight), np.int64), weight).astype(np.uint64) * _REGION)
+            cut = np.searchsorted(np.repeat(row, weight), np.arange(len(b) + 1))
+            nodes, out = [], []
+            for i, node in enumerate(b.rows.column("node").to_pylist()):
+                if right[i] and node not in given:  # a text that is repeated, or another text of the id
+                    given.add(node)
+                    nodes.append(node)
+                    out.append(np.sort(unit[cut[i] : cut[i + 1]]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], ["node", "elems"])
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "d1 long, d2 long, elems binary")
+    rows = docs.select(*named(docs, text, key), F.col(text).alias("_text")).join(wanted, ["doc", "alt"])
+    return rows.select("node", "d1", "d2", "_text").mapInArrow(run, "node long, elems binary")
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity from sorted weight units."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.sort(np.concatenate([x, y]))
-    common = int((both[1:] == both[:-1]).sum())
-    return common / max(1, len(both) - common)
+def within(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df to be broadcast if it has ``most`` rows at the most, else as it is; for written tables, whose count is cheap."""
+    return F.broadcast(df) if df.count() <= most else df
+
 
+# ---------------------------------------------------------------- comparing nodes
 
-def verified(pairs: DataFrame, elems: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of similarity ``least`` or more.  Members are dealt by (leader, salt), so a leader of many is spread."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1024)))
-    member = salted.join(elems.withColumnsRenamed({"doc": "b", "elems": "eb"}), "b")
-    leader = salted.select("a", "salt").distinct().join(elems.withColumnsRenamed({"doc": "a", "elems": "ea"}), "a")
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Weighted Jaccard similarity from sorted weight units."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0.0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    common = int((y[at] == x).sum())
+    return common / (len(x) + len(y) - common)
+
+
+def whole_tasks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by task, cut anew so that no task is split."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        task = batch.column("task").to_numpy()
+        last = int(np.argmax(task == task[-1]))
+        if held and held[-1].column("task")[-1].as_py() != task[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def compared(seats: DataFrame, elems: DataFrame, least: float) -> DataFrame:
+    """Links (a, b), a < b, of similarity ``least`` or more between left and right nodes of each task.
+
+    seats has (task, node, label, side): 1 for left, 2 for right, 3 for both.
+    Pairs whose labels are the same, or have met in the task by then, are left out.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = [similarity(x, y) >= least for x, y in zip(batch.column("ea").to_pylist(), batch.column("eb").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for table in whole_tasks(batches):
+            task, node, label, side = (table.column(c).to_numpy() for c in ("task", "node", "label", "side"))
+            units = [np.frombuffer(x, np.uint64) for x in table.column("elems").to_pylist()]
+            cut = np.flatnonzero(np.r_[True, task[1:] != task[:-1], True])
+            links = []
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                links += task_links(node[lo:hi], label[lo:hi], side[lo:hi], units[lo:hi], least)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    rows = seats.join(elems, "node").select("task", "node", "label", "side", "elems")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+
+
+def task_links(node: np.ndarray, label: np.ndarray, side: np.ndarray, units: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """The links of one task, as many as join its labels and no more."""
+    _, once = np.unique(np.stack([node, side]), axis=1, return_index=True)  # a node's units may have been written twice
+    left, right = once[(side[once] & 1) > 0], once[(side[once] & 2) > 0]
+    size = np.array([len(u) for u in units])
+    near = label[left][:, None] != label[right][None, :]
+    near &= np.minimum(size[left][:, None], size[right][None, :]) >= least * np.maximum(size[left][:, None], size[right][None, :])
+    if near.sum() > FEW:
+        common = common_units(units, left, right)
+        near &= common + 1 >= least * (size[left][:, None] + size[right][None, :] - common - 1)
+    root = {int(x): int(x) for x in label}
 
-    return member.join(leader.hint("merge"), ["a", "salt"]).select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
 
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+        p, q = int(left[i]), int(right[j])
+        x, y = find(int(label[p])), find(int(label[q]))
+        if x != y and similarity(units[p], units[q]) >= least:
+            root[max(x, y)] = min(x, y)
+            out.append((min(int(node[p]), int(node[q])), max(int(node[p]), int(node[q]))))
+    return out
 
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each connected component; only nodes with links.
 
-    Each step takes the least label of the neighbours and then that label's own label.
-    """
-    both = saved(spark, links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
-    label, total = saved(spark, label), None
-    while True:
-        seen = both.join(label.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "label")
-        step = label.unionAll(seen).groupBy("node").agg(F.min("label").alias("label"))
-        to = label.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        label = saved(spark, step.join(to, "label").select("node", F.least("label", "to").alias("label")))
-        # labels only fall, so an unchanged sum is an unchanged table
-        was, total = total, label.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if total == was:
-            return label
-
-
-def near_links(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(membership (doc, node) of rows with shingles, links (a, b) between nodes); rows that share an id are linked too."""
-    rows = saved(spark, sketch(docs, text, key))
-    # numbered before the checkpoint, so a node keeps its number
-    reps = saved(spark, rows.groupBy("d1", "d2").agg(F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
-    member = rows.select("doc", "d1", "d2").join(reps.select("d1", "d2", "node"), ["d1", "d2"]).select("doc", "node")
-    several = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc", "a")
-    same = member.join(several, "doc").where("node > a").select("a", F.col("node").alias("b"))
-    band = reps.select(F.col("node").alias("doc"), F.posexplode("bands").alias("band", "hash"))
-    rest = saved(spark, elected(band))
-    wanted = reps.select("d1", "d2", F.col("node").alias("doc")).join(rest.select("doc").distinct(), "doc")
-    elems = saved(spark, elements(docs, text).join(wanted, ["d1", "d2"]).select("doc", "elems").dropDuplicates(["doc"]))
-    pairs = rest.where("doc <> a").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
-    good = saved(spark, verified(pairs, elems, least))
-    label = components(spark, good).withColumnRenamed("node", "doc")
-    named = rest.select("band", "hash", "doc").join(label, "doc", "left").select("band", "hash", "doc", F.coalesce("label", "doc").alias("label"))
-    more = saved(spark, across(parts(saved(spark, named)), elems, least))
-    return member, good.unionAll(more).unionAll(same).distinct()
-
-
-def elected(members: DataFrame) -> DataFrame:
-    """(band, hash, doc, a): members of buckets of two and more with the leader a of the bucket, the smallest id in even bands, the largest in odd ones."""
-    lead = F.expr("if(band % 2 = 0, min(doc), max(doc))")
-    size = members.groupBy("band", "hash").agg(F.count("*").alias("n"), lead.alias("a")).where("n > 1").drop("n")
-    return members.join(size, ["band", "hash"]).select("band", "hash", "doc", "a")
-
-
-def parts(named: DataFrame) -> DataFrame:
-    """(task, doc, label, side) of the buckets with more than one class: 1 for a task's left block, 2 for its right one, 3 for a block that meets itself."""
-    bucket = ["band", "hash"]
-    cells = named.groupBy(*bucket, "label").agg(F.count("*").alias("n"))
-    mixed = cells.groupBy(*bucket).agg(F.count("*").alias("classes"), F.sum(F.when(F.col("n") <= PART, F.col("n")).otherwise(0)).alias("small")).where("classes > 1")
-    # a large class has blocks of its own, small ones share
-    own = F.xxhash64("label", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / PART)))
-    shared = F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), F.ceil(F.col("small") / PART)))
-    placed = named.join(cells.join(mixed, bucket), [*bucket, "label"]).select(*bucket, "doc", "label", F.when(F.col("n") > PART, own).otherwise(shared).alias("part"))
-    block = placed.groupBy(*bucket, "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    other = block.withColumnsRenamed({"part": "part2", "lo": "lo2", "hi": "hi2"})
-    meet = block.join(other, bucket).where("part <= part2 and least(lo, lo2) < greatest(hi, hi2)").withColumn("task", F.xxhash64(*bucket, "part", "part2"))
-    side = F.when(F.col("part") == F.col("part2"), F.array(F.struct("part", F.lit(3).alias("side")))).otherwise(F.array(F.struct("part", F.lit(1).alias("side")), F.struct(F.col("part2").alias("part"), F.lit(2).alias("side"))))
-    seats = meet.select(*bucket, "task", F.explode(side).alias("s")).select(*bucket, "task", "s.part", "s.side")
-    return placed.join(seats, [*bucket, "part"]).select("task", "doc", "label", "side")
-
-
-def across(tasks: DataFrame, elems: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) of similarity ``least`` or more between the classes of each task; a pair whose classes have met by then is left out."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        doc, label, side = (rows.column(c).to_numpy() for c in ("doc", "label", "side"))
-        raw = rows.column("elems").to_pylist()
-        links = cross_links(doc, label, side, raw, least)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    return tasks.join(elems, "doc").select("task", "doc", "label", "side", "elems").groupBy("task").applyInArrow(run, "a long, b long")
-
-
-def cross_links(doc: np.ndarray, label: np.ndarray, side: np.ndarray, raw: list[bytes], least: float) -> list[tuple[int, int]]:
-    """The links of one task: common units of all pairs by products of 0/1 tables, near pairs verified until their classes are one."""
-    units = [np.unique(np.frombuffer(x, np.uint32)) for x in raw]
-    size = np.array([len(x) // 4 for x in raw])
-    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+def common_units(units: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Units in common of all left and right texts, by products of 0/1 tables."""
     owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
     _, unit, n = np.unique(np.concatenate(units), return_inverse=True, return_counts=True)
     rank = np.cumsum(n > 1) - 1
     owner, unit = owner[n[unit] > 1], rank[unit[n[unit] > 1]]
-    common = np.zeros((len(left), len(right)), np.float32)
     order = np.argsort(unit, kind="stable")
     owner, unit = owner[order], unit[order]
-    for lo in range(0, int(unit[-1]) + 1 if len(unit) else 0, COLUMNS):
+    common = np.zeros((len(left), len(right)), np.float32)
+    width = int(unit[-1]) + 1 if len(unit) else 0
+    for lo in range(0, width, COLUMNS):
         x, y = np.searchsorted(unit, [lo, lo + COLUMNS])
-        table = np.zeros((len(units), min(COLUMNS, int(unit[-1]) + 1 - lo)), np.float32)
+        table = np.zeros((len(units), min(COLUMNS, width - lo)), np.float32)
         table[owner[x:y], unit[x:y] - lo] = 1
         common += table[left] @ table[right].T
-    # equal units within a text (hashes that collide) count in ``similarity`` only: a margin lets it decide
-    near = (common + MARGIN >= least * (size[left][:, None] + size[right][None, :] - common - MARGIN)) & (label[left][:, None] != label[right][None, :])
-    i, j = np.nonzero(near)
-    root = {int(x): int(x) for x in label}
+    return common
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
 
-    out = []
-    for p, q in zip(left[i].tolist(), right[j].tolist(), strict=True):
-        x, y = find(int(label[p])), find(int(label[q]))
-        if x != y and similarity(raw[p], raw[q]) >= least:
-            root[max(x, y)] = min(x, y)
-            out.append((min(int(doc[p]), int(doc[q])), max(int(doc[p]), int(doc[q]))))
-    return out
+# ---------------------------------------------------------------- classes
 
 
-def doc_classes(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILAR) -> DataFrame:
-    """(doc, class_id) for every id that has a text with a shingle; doc is NO_ID for null ids."""
-    member, links = near_links(spark, docs, text, key, least)
-    label = components(spark, links)
-    named = member.join(label, "node", "left").select("doc", F.coalesce("label", "node").alias("label"))
-    return named.join(named.groupBy("label").agg(F.min("doc").alias("class_id")), "label").select("doc", "class_id").distinct()
+def components(scratch: Scratch, links: DataFrame, name: str = "components") -> DataFrame:
+    """(node, label): the smallest node of each connected component of links (a, b); only nodes with links.
+
+    Every turn contracts each node into its smallest neighbour, if that is
+    smaller, and keeps the links that are left between different nodes.
+    """
+    edge = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    edge, label, turn = scratch.keep(edge, f"{name}-links-0"), None, 0
+    while turn == 0 or not edge.isEmpty():
+        both = edge.unionAll(edge.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        into = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), f"{name}-into-{turn}")
+        ends = edge.join(into.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(into.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        turn += 1
+        edge = scratch.keep(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), f"{name}-links-{turn}")
+        scratch.drop(f"{name}-links-{turn - 1}")
+        further = into.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+        label = into if label is None else label.join(further, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+    return scratch.keep(label, name)
+
+
+def near_links(scratch: Scratch, docs: DataFrame, reps: DataFrame, text: str, key: str, least: float) -> DataFrame:
+    """Links (a, b) between nodes; their components are the classes of similar nodes."""
+    band = reps.select("node", F.posexplode("bands").alias("band", "hash"))
+    size = band.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
+    rest = scratch.keep(band.join(scratch.keep(size, "buckets"), ["band", "hash"]), "members")
+    wanted = scratch.keep(reps.select("node", "at.doc", "at.alt", "d1", "d2").join(rest.select("node").distinct(), "node"), "wanted")
+    elems = scratch.keep(elements(docs, within(wanted), text, key), "elements")
+    # every node against its leaders; the members of a large bucket are dealt in blocks of their own
+    pair = rest.where("node <> a").groupBy("a", "node").agg(F.max("n").alias("n")).withColumn("k", F.ceil(F.col("n") / PART))
+    pair = pair.select("a", "node", F.xxhash64("a", "k", F.pmod(F.xxhash64("node"), F.col("k"))).alias("task"))
+    leader = pair.select("task", F.col("a").alias("node"), F.lit(1).alias("side")).distinct()
+    seats = pair.select("task", "node", F.lit(2).alias("side")).unionAll(leader)
+    good = scratch.keep(compared(seats.withColumn("label", F.col("node")), elems, least), "stars")
+    star = scratch.keep(good.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"), F.collect_set("a").alias("likes")), "labels")
+    members = rest.where("node <> a").join(star, "node", "left")
+    members = scratch.keep(members.select("band", "hash", "node", F.coalesce(F.array_contains("likes", F.col("a")), F.lit(False)).alias("like"), F.coalesce("label", "node").alias("label")), "marked")
+    scratch.drop("members", "buckets", "wanted")
+    more = scratch.keep(compared(seated(scratch, members), elems, least), "more")
+    scratch.drop("marked", "mixed", "elements")
+    leaders = star.select(F.col("label").alias("a"), F.explode("likes").alias("b")).where("a <> b").distinct()
+    return more.unionAll(star.select(F.col("label").alias("a"), F.col("node").alias("b"))).unionAll(leaders)
+
+
+def seated(scratch: Scratch, members: DataFrame) -> DataFrame:
+    """Seats for the buckets in which a node is unlike the leader: those nodes against one another and against the like ones.
+
+    members has (band, hash, node, like, label) without the leaders, which have met
+    all others.  Buckets of the same nodes are taken once.
+    """
+    same = [F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")]
+    mixed = members.groupBy("band", "hash").agg(F.count_if("like").alias("likes"), F.count_if(~F.col("like")).alias("unlikes"), F.min("label").alias("lo"), F.max("label").alias("hi"), *same)
+    mixed = mixed.where("unlikes > 0 and lo < hi").groupBy("likes", "unlikes", "h1", "h2").agg(F.min(F.struct("band", "hash")).alias("b"))
+    blocks_of = lambda n: F.ceil(F.col(n) / PART).cast("int")
+    small = F.col("likes") + F.col("unlikes") <= PART
+    mixed = mixed.select("b.band", "b.hash", F.when(small, 0).otherwise(blocks_of("likes")).alias("kl"), F.when(small, 1).otherwise(blocks_of("unlikes")).alias("ku"))
+    placed = members.join(scratch.keep(mixed, "mixed"), ["band", "hash"])
+    part = F.pmod(F.xxhash64("node"), F.when(F.col("like"), F.greatest("kl", F.lit(1))).otherwise(F.col("ku"))).cast("int")
+    seat = lambda i, j, side, kind: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # an unlike block meets itself and every other unlike block, as the left of the two where its number is the smaller
+    among = F.transform(to("ku"), lambda j: seat(F.least("part", j), F.greatest("part", j), F.when(j == F.col("part"), 3).when(j > F.col("part"), 1).otherwise(2), "unlike"))
+    across = F.when(F.col("kl") > 0, F.transform(to("kl"), lambda j: seat(F.col("part"), j, F.lit(1), "like")))
+    others = F.transform(to("ku"), lambda i: seat(i, F.col("part"), F.lit(2), "like"))
+    alone = F.array(seat(F.col("part"), F.col("part"), F.lit(3), "unlike"))
+    seats = F.when(F.col("kl") + F.col("ku") == 1, alone).when(F.col("like"), others).otherwise(F.concat(among, F.coalesce(across, F.array().cast("array<struct<kind:string,i:int,j:int,side:int>>"))))
+    placed = placed.withColumn("part", part).withColumn("s", F.explode(seats))
+    return placed.select(F.xxhash64("band", "hash", "s.kind", "s.i", "s.j").alias("task"), "node", "label", "s.side")
+
+
+def row_classes(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILAR) -> DataFrame:
+    """(doc, alt, own, lead) of every row: lead is the smallest (doc, alt) of its class, null for rows without a shingle."""
+    scratch = Scratch(spark)
+    rows = scratch.keep(sketch(docs, text, key), "sketches")
+    found = rows.where("d1 is not null")
+    first = F.min(F.struct("doc", "alt")).alias("at")
+    # numbered before it is written, so a node keeps its number
+    reps = scratch.keep(found.groupBy("d1", "d2").agg(F.first("bands").alias("bands"), first).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    links = near_links(scratch, docs, reps, text, key, least)
+    # texts that share an id are of one class, a text without a shingle too
+    pair = F.when(F.col("d1").isNotNull(), F.struct("d1", "d2"))
+    several = rows.groupBy("doc", "alt").agg(F.count("*").alias("n"), F.count(pair).alias("full"), F.min(pair).alias("lo"), F.max(pair).alias("hi"))
+    several = scratch.keep(several.where("lo <> hi or full between 1 and n - 1").select("doc", "alt"), "several")
+    shared = not several.isEmpty()
+    if shared:
+        texts = found.join(several, ["doc", "alt"]).join(reps, ["d1", "d2"]).select("doc", "alt", "node")
+        links = links.unionAll(texts.join(texts.groupBy("doc", "alt").agg(F.min("node").alias("a")), ["doc", "alt"]).select("a", F.col("node").alias("b")))
+    label = components(scratch, links)
+    nodes = reps.select("d1", "d2", "at", "node")
+    lead = label.join(nodes, "node").groupBy("label").agg(F.min("at").alias("lead"))
+    lead = label.join(lead, "label").select("node", "lead")
+    classes = scratch.keep(nodes.join(lead, "node", "left").select("d1", "d2", F.coalesce("lead", "at").alias("lead")), "classes")
+    out = rows.select("doc", "alt", "own", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc", "alt", "own", "lead")
+    if shared:
+        theirs = out.join(several, ["doc", "alt"], "left_semi").groupBy("doc", "alt").agg(F.min("lead").alias("_lead"))
+        out = out.join(theirs, ["doc", "alt"], "left").select("doc", "alt", "own", F.coalesce("lead", "_lead").alias("lead"))
+    return out
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILAR) -> DataFrame:
     """(key, class_id) for every row: the smallest id of its class."""
-    rows = docs.select(key, F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"))
-    return rows.join(doc_classes(spark, docs, text, key, least), "doc", "left").select(key, F.coalesce("class_id", "doc").alias("class_id"))
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    rows = row_classes(spark, docs, text, key, least).withColumn("_class", F.coalesce("lead.doc", "doc"))
+    return rows.select(known("doc").alias(key), known("_class").alias("class_id"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows whose id is the smallest of its class; of rows that share an id, the one with the greatest text.
+    """One row of each class: that of the smallest id; of rows that share that id, the one whose text has the smallest hash.
 
-    Rows with a null id stay unless a document with an id is in their class.
+    Classes of rows without an id keep one row each.  Which rows go is decided on
+    ids; the texts pass once.
     """
-    classes = doc_classes(spark, docs, text, key).where("doc <> class_id").select("doc")
-    kept = docs.join(classes, F.coalesce(docs[key].cast("long"), F.lit(NO_ID)) == classes["doc"], "left_anti")
-    again = kept.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("n")).where("n > 1").select("_k")
-    once = kept.join(again, kept[key] == again["_k"], "left_anti")
-    twice = kept.join(again, kept[key] == again["_k"], "left_semi").groupBy(F.col(key).alias("_k")).agg(F.max(F.struct(F.col(text).alias("_t"), F.struct(*docs.columns).alias("_r"))).alias("_m"))
-    return once.unionByName(twice.select("_m._r.*"))
+    scratch = Scratch(spark)
+    rows = scratch.keep(row_classes(spark, docs, text, key), "classes")
+    leads = F.col("lead").isNull() | ((F.col("doc") == F.col("lead.doc")) & (F.col("alt") == F.col("lead.alt")))
+    gone = scratch.keep(rows.where(~leads).select("doc", "alt").distinct(), "gone")
+    again = rows.where(leads).groupBy("doc", "alt").agg(F.count("*").alias("n"), F.min("own").alias("own")).where("n > 1")
+    again = scratch.keep(again.select("doc", "alt", "own"), "again")
+    ids = [c.alias(f"_{n}") for c, n in zip(named(docs, text, key), ("doc", "alt"), strict=True)]
+    full = docs.select(*ids, F.xxhash64(F.col(text)).alias("_own"), F.struct(*docs.columns).alias("_row"))
+    on = lambda t: (F.col("_doc") == t["doc"]) & (F.col("_alt") == t["alt"])
+    away = scratch.keep(gone.unionAll(again.select("doc", "alt")), "away")
+    once = full.join(within(away), on(away), "left_anti").select("_row.*")
+    if again.isEmpty():
+        return once
+    # few rows as a rule: an id that occurs more than once
+    twice = full.join(within(again), on(again) & (F.col("_own") == again["own"]), "left_semi")
+    return once.unionByName(twice.groupBy("_doc", "_alt").agg(F.min("_row").alias("_row")).select("_row.*"))
 
 
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Block, blocks, mix, prefix, spans, word_hashes, words
-from .shared_store import saved
+from .shared_store import Scratch
 
 GRAM, LEAST = 3, 0.4
 MATCH, MISS, GAP = 2, -1, -1
@@ -192,11 +192,12 @@ def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST) -> DataFrame:
     """(doc, item_id, score, end_word): every document with a passage that aligns with a test item; doc is the id, NO_ID for null."""
-    items = saved(spark, item_rows(benchmark))
+    scratch = Scratch(spark)
+    items = scratch.keep(item_rows(benchmark), "items")
     longest, total = items.agg(F.max("n"), F.sum("n")).first()
     reach = int(longest or 1) * 3 // 2
     near = F.broadcast if (total or 0) <= BROADCAST_WORDS else (lambda df: df)  # a larger benchmark is joined by shuffling
-    found = saved(spark, regions(docs, bit_table(items), reach, text, key))
+    found = scratch.keep(regions(docs, bit_table(items), reach, text, key), "regions")
     hits = found.select("doc", "start", F.explode(F.array_distinct("grams")).alias("gram"))
     seeds = items.select("item_id", F.explode(F.array_distinct("grams")).alias("gram"))
     pairs = hits.join(near(seeds), "gram").select("doc", "start", "item_id").distinct()

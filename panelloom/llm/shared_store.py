@@ -1,38 +1,63 @@
-"""Cutting lineage through the cluster's shared checkpoint folder."""
+"""Cutting lineage through tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it, a job's shuffle files go when the job is done: a written table never needs them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _users, _was = threading.Lock(), [0], [None]
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder; only where none is set (tests), a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return context.getCheckpointDir()
+    """The folder of spark.checkpoint.dir, which every executor and the driver see; an error where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/")
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+class _Tidy:
+    """Shuffle files are freed after each job while any thread is inside; the old setting comes back with the last one out."""
 
+    def __init__(self, spark: SparkSession):
+        self.conf = spark.conf
+
+    def __enter__(self) -> None:
+        with _lock:
+            if not _users[0]:
+                _was[0] = self.conf.get(_CLEANUP, None)
+                self.conf.set(_CLEANUP, "true")
+            _users[0] += 1
+
+    def __exit__(self, *_: object) -> None:
+        with _lock:
+            _users[0] -= 1
+            if not _users[0]:
+                self.conf.unset(_CLEANUP) if _was[0] is None else self.conf.set(_CLEANUP, _was[0])
 
-#: With it, a job's shuffle files go when the job is done: a checkpointed table never needs them again.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+class Scratch:
+    """Tables of one run, written as Parquet under a folder of their own and read again; ``drop`` removes those that are done with."""
 
-def saved(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df, checkpointed reliably in the shared folder."""
-    shared_folder(spark)
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint()
-    finally:
-        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        with _Tidy(self.spark):
+            df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again."""
+    return Scratch(spark).keep(df, name)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrays import Block, blocks, word_hashes, words
 from .repeats import COVERED, OPEN, OPEN_HOT, WINDOW, Answers, Units, buckets_for, covered_units, exchange, of_named, prepared, send_segments, send_windows
-from .shared_store import saved
+from .shared_store import written
 
 BLOCK = 2 << 20
 
@@ -37,7 +37,7 @@ def dedup_words(docs: DataFrame, target: int = 50, text: str = "text", key: str
     n = buckets_for(docs, text)
     seed = target // 2
     rows = prepared(docs, n, text, key)
-    first = saved(docs.sparkSession, exchange(send_segments(rows, n, word_units, target, seed, BLOCK), n, True, COVERED))
+    first = written(docs.sparkSession, exchange(send_segments(rows, n, word_units, target, seed, BLOCK), n, True, COVERED), "seeds")
     second = exchange(send_windows(rows, first, n, word_units, target, BLOCK, (OPEN, OPEN_HOT)), n, False, WINDOW)
     kind = docs.schema[key].dataType.simpleString()
 

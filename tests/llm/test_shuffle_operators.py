@@ -116,33 +116,64 @@ def test_hash_collisions_are_caught(monkeypatch):
     assert got[0] == got[2] != got[1]
 
 
-def test_near_classes(spark):
-    rows = invented(3, 160)
-    shingles = {}
+def bags_of(rows):
+    """(document, shingles) of every text; a null id is told apart by its text."""
+    out = []
     for k, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         if w:
-            shingles.setdefault(dart_minhash.NO_ID if k is None else k, []).append(collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))))
-    root = {k: k for k, _ in [(dart_minhash.NO_ID if k is None else k, 0) for k, _ in rows]}
+            out.append(((k, "") if k is not None else (dart_minhash.NO_ID, t), collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))))
+    return out
+
+
+def plain_classes(rows):
+    """The smallest document of each document's class, over all pairs."""
+    root = {k: k for k in [(k, "") if k is not None else (dart_minhash.NO_ID, t or "") for k, t in rows]}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = [(k, c) for k, cs in shingles.items() for c in cs]
-    for i, (a, x) in enumerate(ids):
-        for b, y in ids[:i]:
+    bags = bags_of(rows)
+    for i, (a, x) in enumerate(bags):
+        for b, y in bags[:i]:
             both = sum((x & y).values())
             if both and both / (sum(x.values()) + sum(y.values()) - both) >= 0.8:
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
-    got = {(r.doc_id, r.class_id) for r in dart_minhash.near_classes(spark, frame(spark, rows)).collect()}
-    assert got == {(k, find(dart_minhash.NO_ID if k is None else k)) for k, _ in rows}
+    return {k: find(k) for k in root}
+
+
+def test_near_classes(spark):
+    rows = invented(3, 160)
+    want = plain_classes(rows)
+    known = lambda k: None if k == dart_minhash.NO_ID else k
+    got = collections.Counter((r.doc_id, r.class_id) for r in dart_minhash.near_classes(spark, frame(spark, rows)).collect())
+    assert got == collections.Counter((k, known(want[(k, "") if k is not None else (dart_minhash.NO_ID, t or "")][0])) for k, t in rows)
     kept = dart_minhash.one_of_each(spark, frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "kind", "body"]
-    assert {r.doc_id for r in kept.where("doc_id is not null").collect()} == {k for k, _ in rows if k is not None and find(k) == k}
-    assert kept.where("doc_id is not null").count() == kept.where("doc_id is not null").select("doc_id").distinct().count()
+    kept = kept.collect()
+    leads = {k for k, v in want.items() if k == v}
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(k for k, _ in leads if k != dart_minhash.NO_ID)
+    assert {r.text for r in kept if r.doc_id is None} == {t for k, t in leads if k == dart_minhash.NO_ID}
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, word("a", 40)), (None, word("a", 40)), (None, word("b", 40)), (None, word("b", 40)), (None, word("c", 40)), (None, None), (None, None)]
+    kept = dart_minhash.one_of_each(spark, frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, word("b", 40)), (0, word("c", 40)), (1, word("a", 40))]
+
+
+@pytest.mark.parametrize("most", [1_000_000, -1])
+def test_large_and_small_sides_give_the_same(spark, monkeypatch, most):
+    """Ids that are too many to be sent to every executor are joined by shuffling."""
+    monkeypatch.setattr(dart_minhash.within, "__defaults__", (most,))
+    rows = invented(9, 60)
+    want = plain_classes(rows)
+    got = {r.doc_id for r in dart_minhash.one_of_each(spark, frame(spark, rows)).collect()}
+    assert got - {None} == {k for (k, t), v in want.items() if (k, t) == v} - {dart_minhash.NO_ID}
 
 
 @pytest.mark.parametrize("part", [256, 2])
@@ -157,25 +188,31 @@ def test_pairs_of_one_bucket_are_compared(spark, monkeypatch, part):
     rows = [(k, t) for docs in bucket.values() for k, t in docs]
     bands = spark.createDataFrame([(k, [900 + b] + [k * 100 + i for i in range(1, dart_minhash.BANDS)]) for b, docs in bucket.items() for k, _ in docs], "doc long, bands array<long>")
     sketch = dart_minhash.sketch
-    monkeypatch.setattr(dart_minhash, "sketch", lambda *args: sketch(*args).drop("bands").join(bands, "doc"))
+    monkeypatch.setattr(dart_minhash, "sketch", lambda *args: sketch(*args).drop("bands").join(bands, "doc").select("doc", "alt", "own", "d1", "d2", "bands"))
     got = {r.doc_id: r.class_id for r in dart_minhash.near_classes(spark, frame(spark, rows)).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 4: 4, 11: 11, 12: 11, 13: 11, 14: 14}
 
 
 def test_signatures_agree_as_often_as_weights_do():
-    rng = random.Random(4)
-    a = " ".join(f"w{i}" for i in range(400))
-    w = a.split(" ")
-    for i in rng.sample(range(400), 12):
-        w[i] = "edit"
-    b = " ".join(w)
+    """Edited copies, and texts that differ in how often they repeat their shingles."""
     import pyarrow as pa
 
-    block = next(arrays.blocks([pa.RecordBatch.from_arrays([pa.array([a, b, "one two"])], ["text"])]))
-    row, col = dart_minhash.columns(block)
-    sig, have = dart_minhash.signatures(row, col, 3)
-    x, y = set(col[row == 0].tolist()), set(col[row == 1].tolist())
-    assert have.all() and abs((sig[0] == sig[1]).mean() - len(x & y) / len(x | y)) < 0.15
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    edited = list(base)
+    for i in rng.sample(range(400), 12):
+        edited[i] = "edit"
+    loop = lambda n: ("a b c d e " * n).strip()
+    texts = [" ".join(base), " ".join(edited), "one two", *(loop(n) for n in (40, 50, 100))]
+    block = next(arrays.blocks([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    row, shingle, weight = dart_minhash.weights(block)
+    sig, have = dart_minhash.signatures(row, shingle, weight, len(texts))
+    bag = [dict(zip(shingle[row == i].tolist(), weight[row == i].tolist())) for i in range(len(texts))]
+    assert have.all() and max(weight) > 90
+    for i, j in [(0, 1), (3, 4), (4, 5), (0, 3)]:
+        keys = set(bag[i]) | set(bag[j])
+        low, high = (sum(f(bag[i].get(k, 0), bag[j].get(k, 0)) for k in keys) for f in (min, max))
+        assert abs((sig[i] == sig[j]).mean() - low / high) < 0.16, (i, j)
 
 
 def local_score(text, item):
