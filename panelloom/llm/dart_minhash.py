@@ -12,16 +12,9 @@ read twice as far.  Two documents agree in a coordinate with probability equal t
 their weighted Jaccard similarity.
 
 Joining: documents of equal multisets (128-bit digests) share one node.  The
-signature is cut into bands.  In every band bucket each node is compared with the
-bucket's leader, its smallest node, on the 64-bit hashes of all shingles.  What is
-unlike its leader is then compared with all other nodes of the bucket, in blocks of
-``PART``; pairs known to be of one class by then are left out.  So every pair that
-shares a bucket is compared or of one class, however large the bucket.  The
-probability that a pair of similarity 0.8 shares none of the 20 bands is 0.0004.
-
-A node keeps its smallest like leader and links that leader with its others; classes
-are connected components of these links, found by contracting each node into its
-smallest neighbour until no link is left.
+signature is cut into bands; nodes that share a band bucket become one class if
+they are similar, decided on the 64-bit hashes of all shingles (see ``buckets``).
+The probability that a pair of similarity 0.8 shares none of the 20 bands is 0.0004.
 
 Null and empty texts have no shingle and are classes of their own.  Rows that share
 an id count as one document when classes are formed.  Rows with a null id are
@@ -32,26 +25,23 @@ others, and a class without any id has a null class id.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Block, blocks, mix, prefix, ranges, spans, word_hashes, words
+from .buckets import Judge, classed, known, linked, named, nodes_of, within
 from .shared_store import Scratch
 
 N_WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 5
 K = BANDS * ROWS
 DARTS = K * math.log(K) + 2 * K
-PART = 256
 COLUMNS, FEW = 8192, 512
 BLOCK = 1 << 20
-#: Ids of so many rows at most are sent to every executor; more of them are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
-NO_ID = (1 << 63) - 1
 #: Edges of the rank cells below 1; from there on every cell is one unit wide.
 LOW_EDGES = (0.0, 4.0**-6, 4.0**-5, 4.0**-4, 4.0**-3, 4.0**-2, 4.0**-1, 1.0)
 _CELL = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -152,11 +142,6 @@ def digest(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) ->
     return out[0], out[1]
 
 
-def named(docs: DataFrame, text: str, key: str) -> list[Column]:
-    """doc, the id (NO_ID for null), and alt, which tells rows without an id apart by their text."""
-    return [F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.when(F.col(key).isNull(), F.xxhash64(F.col(text))).otherwise(F.lit(0)).alias("alt")]
-
-
 def sketch(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(doc, alt, own, d1, d2, bands) of every row; own is a hash of the text, d1, d2 and bands are null for rows without a shingle."""
 
@@ -177,7 +162,7 @@ def sketch(docs: DataFrame, text: str, key: str) -> DataFrame:
                 [*(b.rows.column(c) for c in ("doc", "alt", "own")), pa.array(d1.view(np.int64), mask=none), pa.array(d2.view(np.int64), mask=none), lists], ["doc", "alt", "own", "d1", "d2", "bands"]
             )
 
-    rows = docs.select(*named(docs, text, key), F.xxhash64(F.col(text)).alias("own"), F.col(text).alias("_text"))
+    rows = docs.select(*named(text, key), F.xxhash64(F.col(text)).alias("own"), F.col(text).alias("_text"))
     return rows.mapInArrow(run, "doc long, alt long, own long, d1 long, d2 long, bands array<long>")
 
 
@@ -200,15 +185,10 @@ def elements(docs: DataFrame, wanted: DataFrame, text: str, key: str) -> DataFra
                     out.append(np.sort(unit[cut[i] : cut[i + 1]]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], ["node", "elems"])
 
-    rows = docs.select(*named(docs, text, key), F.col(text).alias("_text")).join(wanted, ["doc", "alt"])
+    rows = docs.select(*named(text, key), F.col(text).alias("_text")).join(wanted, ["doc", "alt"])
     return rows.select("node", "d1", "d2", "_text").mapInArrow(run, "node long, elems binary")
 
 
-def within(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df to be broadcast if it has ``most`` rows at the most, else as it is; for written tables, whose count is cheap."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 # ---------------------------------------------------------------- comparing nodes
 
 
@@ -224,76 +204,28 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
     return common / (len(x) + len(y) - common)
 
 
-def whole_tasks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches sorted by task, cut anew so that no task is split."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        task = batch.column("task").to_numpy()
-        last = int(np.argmax(task == task[-1]))
-        if held and held[-1].column("task")[-1].as_py() != task[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        if last:
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def compared(seats: DataFrame, elems: DataFrame, least: float) -> DataFrame:
-    """Links (a, b), a < b, of similarity ``least`` or more between left and right nodes of each task.
-
-    seats has (task, node, label, side): 1 for left, 2 for right, 3 for both.
-    Pairs whose labels are the same, or have met in the task by then, are left out.
-    """
+def judge(least: float) -> Judge:
+    """Pairs of similarity ``least`` or more; where many are asked for, their common units are counted first."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_tasks(batches):
-            task, node, label, side = (table.column(c).to_numpy() for c in ("task", "node", "label", "side"))
-            units = [np.frombuffer(x, np.uint64) for x in table.column("elems").to_pylist()]
-            cut = np.flatnonzero(np.r_[True, task[1:] != task[:-1], True])
-            links = []
-            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                links += task_links(node[lo:hi], label[lo:hi], side[lo:hi], units[lo:hi], least)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
-
-    rows = seats.join(elems, "node").select("task", "node", "label", "side", "elems")
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
-
-
-def task_links(node: np.ndarray, label: np.ndarray, side: np.ndarray, units: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """The links of one task, as many as join its labels and no more."""
-    _, once = np.unique(np.stack([node, side]), axis=1, return_index=True)  # a node's units may have been written twice
-    left, right = once[(side[once] & 1) > 0], once[(side[once] & 2) > 0]
-    size = np.array([len(u) for u in units])
-    near = label[left][:, None] != label[right][None, :]
-    near &= np.minimum(size[left][:, None], size[right][None, :]) >= least * np.maximum(size[left][:, None], size[right][None, :])
-    if near.sum() > FEW:
-        common = common_units(units, left, right)
-        near &= common + 1 >= least * (size[left][:, None] + size[right][None, :] - common - 1)
-    root = {int(x): int(x) for x in label}
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
+    def of(content: dict[str, list], left: np.ndarray, right: np.ndarray, asked: np.ndarray) -> tuple[Iterable[tuple[int, int]], Callable[[int, int], bool]]:
+        units = [np.frombuffer(x, np.uint64) for x in content["elems"]]
+        size = np.array([len(u) for u in units])
+        a, b = size[left][:, None], size[right]
+        near = asked & (np.minimum(a, b) >= least * np.maximum(a, b))
+        if near.sum() > FEW:
+            common = common_units(units, left, right)
+            near &= common + 1 >= least * (a + b - common - 1)
+        i, j = np.nonzero(near)
+        return zip(left[i].tolist(), right[j].tolist(), strict=True), lambda p, q: similarity(units[p], units[q]) >= least
 
-    out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-        p, q = int(left[i]), int(right[j])
-        x, y = find(int(label[p])), find(int(label[q]))
-        if x != y and similarity(units[p], units[q]) >= least:
-            root[max(x, y)] = min(x, y)
-            out.append((min(int(node[p]), int(node[q])), max(int(node[p]), int(node[q]))))
-    return out
+    return of
 
 
 def common_units(units: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Units in common of all left and right texts, by products of 0/1 tables."""
     owner = np.repeat(np.arange(len(units)), [len(u) for u in units])
+    if not len(owner):
+        return np.zeros((len(left), len(right)), np.float32)
     _, unit, n = np.unique(np.concatenate(units), return_inverse=True, return_counts=True)
     rank = np.cumsum(n > 1) - 1
     owner, unit = owner[n[unit] > 1], rank[unit[n[unit] > 1]]
@@ -312,107 +244,25 @@ def common_units(units: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 # ---------------------------------------------------------------- classes
 
 
-def components(scratch: Scratch, links: DataFrame, name: str = "components") -> DataFrame:
-    """(node, label): the smallest node of each connected component of links (a, b); only nodes with links.
-
-    Every turn contracts each node into its smallest neighbour, if that is
-    smaller, and keeps the links that are left between different nodes.
-    """
-    edge = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    edge, label, turn = scratch.keep(edge, f"{name}-links-0"), None, 0
-    while turn == 0 or not edge.isEmpty():
-        both = edge.unionAll(edge.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        into = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), f"{name}-into-{turn}")
-        ends = edge.join(into.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(into.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
-        turn += 1
-        edge = scratch.keep(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), f"{name}-links-{turn}")
-        scratch.drop(f"{name}-links-{turn - 1}")
-        further = into.select(F.col("node").alias("label"), F.col("label").alias("_to"))
-        label = into if label is None else label.join(further, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
-    return scratch.keep(label, name)
-
-
-def near_links(scratch: Scratch, docs: DataFrame, reps: DataFrame, text: str, key: str, least: float) -> DataFrame:
-    """Links (a, b) between nodes; their components are the classes of similar nodes."""
-    band = reps.select("node", F.posexplode("bands").alias("band", "hash"))
-    size = band.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
-    rest = scratch.keep(band.join(scratch.keep(size, "buckets"), ["band", "hash"]), "members")
-    wanted = scratch.keep(reps.select("node", "at.doc", "at.alt", "d1", "d2").join(rest.select("node").distinct(), "node"), "wanted")
-    elems = scratch.keep(elements(docs, within(wanted), text, key), "elements")
-    # every node against its leaders; the members of a large bucket are dealt in blocks of their own
-    pair = rest.where("node <> a").groupBy("a", "node").agg(F.max("n").alias("n")).withColumn("k", F.ceil(F.col("n") / PART))
-    pair = pair.select("a", "node", F.xxhash64("a", "k", F.pmod(F.xxhash64("node"), F.col("k"))).alias("task"))
-    leader = pair.select("task", F.col("a").alias("node"), F.lit(1).alias("side")).distinct()
-    seats = pair.select("task", "node", F.lit(2).alias("side")).unionAll(leader)
-    good = scratch.keep(compared(seats.withColumn("label", F.col("node")), elems, least), "stars")
-    star = scratch.keep(good.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"), F.collect_set("a").alias("likes")), "labels")
-    members = rest.where("node <> a").join(star, "node", "left")
-    members = scratch.keep(members.select("band", "hash", "node", F.coalesce(F.array_contains("likes", F.col("a")), F.lit(False)).alias("like"), F.coalesce("label", "node").alias("label")), "marked")
-    scratch.drop("members", "buckets", "wanted")
-    more = scratch.keep(compared(seated(scratch, members), elems, least), "more")
-    scratch.drop("marked", "mixed", "elements")
-    leaders = star.select(F.col("label").alias("a"), F.explode("likes").alias("b")).where("a <> b").distinct()
-    return more.unionAll(star.select(F.col("label").alias("a"), F.col("node").alias("b"))).unionAll(leaders)
-
-
-def seated(scratch: Scratch, members: DataFrame) -> DataFrame:
-    """Seats for the buckets in which a node is unlike the leader: those nodes against one another and against the like ones.
-
-    members has (band, hash, node, like, label) without the leaders, which have met
-    all others.  Buckets of the same nodes are taken once.
-    """
-    same = [F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2")]
-    mixed = members.groupBy("band", "hash").agg(F.count_if("like").alias("likes"), F.count_if(~F.col("like")).alias("unlikes"), F.min("label").alias("lo"), F.max("label").alias("hi"), *same)
-    mixed = mixed.where("unlikes > 0 and lo < hi").groupBy("likes", "unlikes", "h1", "h2").agg(F.min(F.struct("band", "hash")).alias("b"))
-    blocks_of = lambda n: F.ceil(F.col(n) / PART).cast("int")
-    small = F.col("likes") + F.col("unlikes") <= PART
-    mixed = mixed.select("b.band", "b.hash", F.when(small, 0).otherwise(blocks_of("likes")).alias("kl"), F.when(small, 1).otherwise(blocks_of("unlikes")).alias("ku"))
-    placed = members.join(scratch.keep(mixed, "mixed"), ["band", "hash"])
-    part = F.pmod(F.xxhash64("node"), F.when(F.col("like"), F.greatest("kl", F.lit(1))).otherwise(F.col("ku"))).cast("int")
-    seat = lambda i, j, side, kind: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    # an unlike block meets itself and every other unlike block, as the left of the two where its number is the smaller
-    among = F.transform(to("ku"), lambda j: seat(F.least("part", j), F.greatest("part", j), F.when(j == F.col("part"), 3).when(j > F.col("part"), 1).otherwise(2), "unlike"))
-    across = F.when(F.col("kl") > 0, F.transform(to("kl"), lambda j: seat(F.col("part"), j, F.lit(1), "like")))
-    others = F.transform(to("ku"), lambda i: seat(i, F.col("part"), F.lit(2), "like"))
-    alone = F.array(seat(F.col("part"), F.col("part"), F.lit(3), "unlike"))
-    seats = F.when(F.col("kl") + F.col("ku") == 1, alone).when(F.col("like"), others).otherwise(F.concat(among, F.coalesce(across, F.array().cast("array<struct<kind:string,i:int,j:int,side:int>>"))))
-    placed = placed.withColumn("part", part).withColumn("s", F.explode(seats))
-    return placed.select(F.xxhash64("band", "hash", "s.kind", "s.i", "s.j").alias("task"), "node", "label", "s.side")
-
-
 def row_classes(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILAR) -> DataFrame:
     """(doc, alt, own, lead) of every row: lead is the smallest (doc, alt) of its class, null for rows without a shingle."""
     scratch = Scratch(spark)
     rows = scratch.keep(sketch(docs, text, key), "sketches")
-    found = rows.where("d1 is not null")
-    first = F.min(F.struct("doc", "alt")).alias("at")
-    # numbered before it is written, so a node keeps its number
-    reps = scratch.keep(found.groupBy("d1", "d2").agg(F.first("bands").alias("bands"), first).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links = near_links(scratch, docs, reps, text, key, least)
-    # texts that share an id are of one class, a text without a shingle too
-    pair = F.when(F.col("d1").isNotNull(), F.struct("d1", "d2"))
-    several = rows.groupBy("doc", "alt").agg(F.count("*").alias("n"), F.count(pair).alias("full"), F.min(pair).alias("lo"), F.max(pair).alias("hi"))
-    several = scratch.keep(several.where("lo <> hi or full between 1 and n - 1").select("doc", "alt"), "several")
-    shared = not several.isEmpty()
-    if shared:
-        texts = found.join(several, ["doc", "alt"]).join(reps, ["d1", "d2"]).select("doc", "alt", "node")
-        links = links.unionAll(texts.join(texts.groupBy("doc", "alt").agg(F.min("node").alias("a")), ["doc", "alt"]).select("a", F.col("node").alias("b")))
-    label = components(scratch, links)
-    nodes = reps.select("d1", "d2", "at", "node")
-    lead = label.join(nodes, "node").groupBy("label").agg(F.min("at").alias("lead"))
-    lead = label.join(lead, "label").select("node", "lead")
-    classes = scratch.keep(nodes.join(lead, "node", "left").select("d1", "d2", F.coalesce("lead", "at").alias("lead")), "classes")
-    out = rows.select("doc", "alt", "own", "d1", "d2").join(classes, ["d1", "d2"], "left").select("doc", "alt", "own", "lead")
-    if shared:
-        theirs = out.join(several, ["doc", "alt"], "left_semi").groupBy("doc", "alt").agg(F.min("lead").alias("_lead"))
-        out = out.join(theirs, ["doc", "alt"], "left").select("doc", "alt", "own", F.coalesce("lead", "_lead").alias("lead"))
-    return out
+    nodes = nodes_of(scratch, rows, ["bands"])
+    band = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
+    size = band.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
+    members = band.join(scratch.keep(size, "buckets"), ["band", "hash"]).withColumns({"probe": F.lit(True), "lead_probe": F.lit(True)})
+    members = scratch.keep(members, "members")
+    wanted = nodes.select("node", "at.doc", "at.alt", "d1", "d2").join(members.select("node").distinct(), "node")
+    content = scratch.keep(elements(docs, within(scratch.keep(wanted, "wanted")), text, key), "elements")
+    links = linked(scratch, members, ["band", "hash"], content, judge(least))
+    out = classed(scratch, rows, nodes, links)
+    scratch.drop("members", "buckets", "wanted", "elements")
+    return out.drop("node")
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILAR) -> DataFrame:
     """(key, class_id) for every row: the smallest id of its class."""
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     rows = row_classes(spark, docs, text, key, least).withColumn("_class", F.coalesce("lead.doc", "doc"))
     return rows.select(known("doc").alias(key), known("_class").alias("class_id"))
 
@@ -429,7 +279,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, text: str = "text", key: s
     gone = scratch.keep(rows.where(~leads).select("doc", "alt").distinct(), "gone")
     again = rows.where(leads).groupBy("doc", "alt").agg(F.count("*").alias("n"), F.min("own").alias("own")).where("n > 1")
     again = scratch.keep(again.select("doc", "alt", "own"), "again")
-    ids = [c.alias(f"_{n}") for c, n in zip(named(docs, text, key), ("doc", "alt"), strict=True)]
+    ids = [c.alias(f"_{n}") for c, n in zip(named(text, key), ("doc", "alt"), strict=True)]
     full = docs.select(*ids, F.xxhash64(F.col(text)).alias("_own"), F.struct(*docs.columns).alias("_row"))
     on = lambda t: (F.col("_doc") == t["doc"]) & (F.col("_alt") == t["alt"])
     away = scratch.keep(gone.unionAll(again.select("doc", "alt")), "away")

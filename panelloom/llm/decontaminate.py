@@ -1,8 +1,8 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are lowered runs of letters, digits and bytes above 0x7F.  Every document
-is searched for the n-grams of the test items through a bit table of fixed size
-(a prefilter whose false hits the join removes); hits close together form a
+is searched for the n-grams of the test items through a bit table of 16 bits a gram,
+up to MOST_BITS (a prefilter whose false hits the join removes); hits close together form a
 region.  Every n-gram of an item is a seed, however frequent, so a stretch that
 leaked everywhere is found as well as a rare one.  Seeds are joined with the
 hits; of the (region, item) pairs that share one, those with too few words in common
@@ -10,10 +10,11 @@ to reach ``LEAST`` in any order are left out, the others are aligned word by wor
 alignment scores MATCH, MISS or GAP a word and is divided by the item's best
 possible score; pairs of ``LEAST`` or more are leaks.
 
-Items shorter than ``GRAM`` words have no seed and are not searched for.  Null
-and empty texts or items never match.  A null document id is returned as null.
-Repeated rows give one result for each (id, item): the best alignment, the first
-among equals.
+An item of fewer than ``GRAM`` words would be found in very many texts; it matches
+documents that consist of its words and nothing else.  Null and empty texts or items
+never match.  Rows with a null id are documents of their own, told apart by their
+text.  Repeated rows give one result for each (document, item): the best alignment,
+the first among equals.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Block, blocks, mix, prefix, spans, word_hashes, words
+from .buckets import known, named, within
 from .shared_store import Scratch
 
 GRAM, LEAST = 3, 0.4
 MATCH, MISS, GAP = 2, -1, -1
-TABLE_BITS = 1 << 23
+LEAST_BITS, MOST_BITS = 23, 30
 BROADCAST_WORDS = 500_000
 BLOCK = 1 << 20
-NO_ID = (1 << 63) - 1
 
 
 def _ink(b: Block) -> np.ndarray:
@@ -52,6 +53,12 @@ def gram_values(values: np.ndarray, n: int) -> np.ndarray:
     return mix(spans(prefix(values), at, at + n))
 
 
+def whole_value(values: np.ndarray) -> np.ndarray:
+    """The one gram of a text of fewer than GRAM words."""
+    n = len(values)
+    return mix(spans(prefix(values), np.zeros(1, np.int64), np.full(1, n)) ^ np.uint64(0x9FB21C651E98DF25 + n))
+
+
 def item_rows(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
     """(item_id, n, words, grams): word hashes and gram hashes of every item."""
 
@@ -65,44 +72,52 @@ def item_rows(benchmark: DataFrame, text: str = "text", key: str = "item_id") ->
                     ids.append(k)
                     size.append(len(w))
                     own.append(w.tobytes())
-                    grams.append(gram_values(w, GRAM).view(np.int64).tolist() if len(w) >= GRAM else [])
+                    grams.append((gram_values(w, GRAM) if len(w) >= GRAM else whole_value(w)).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(own, pa.binary()), pa.array(grams, pa.list_(pa.int64()))], ["item_id", "n", "words", "grams"])
 
     rows = benchmark.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), F.lower(text).alias("_text"))
     return rows.mapInArrow(run, "item_id long, n int, words binary, grams array<long>")
 
 
-def bit_table(items: DataFrame) -> np.ndarray:
-    """Bits of all item grams; its size is fixed whatever the benchmark's."""
-    slots = items.select(F.explode("grams").alias("g")).select((F.shiftrightunsigned("g", 41)).cast("int").alias("s")).distinct()
+def bit_table(items: DataFrame, grams: int) -> np.ndarray:
+    """Bits of all item grams, at the place that the top bits of a gram's hash name."""
+    wide = min(MOST_BITS, max(LEAST_BITS, (16 * grams - 1).bit_length()))
+    slots = items.select(F.explode("grams").alias("g")).select(F.shiftrightunsigned("g", 64 - wide).cast("int").alias("s")).distinct()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(TABLE_BITS // 8, np.uint8)
+        bits = np.zeros(1 << (wide - 3), np.uint8)
         for batch in batches:
             s = batch.column("s").to_numpy()
             np.bitwise_or.at(bits, s >> 3, np.uint8(1) << (s & 7).astype(np.uint8))
         if bits.any():
             yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
-    bits = np.zeros(TABLE_BITS // 8, np.uint8)
+    bits = np.zeros(1 << (wide - 3), np.uint8)
     for r in slots.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
         bits |= np.frombuffer(r.bits, np.uint8)
     return bits
 
 
 def regions(docs: DataFrame, bits: np.ndarray, reach: int, text: str, key: str) -> DataFrame:
-    """(doc, start, words, grams, at): stretches of a document around possible hits, with the hits in them."""
-    spread = docs.sparkSession.sparkContext.broadcast(bits)  # TABLE_BITS bits
+    """(doc, alt, start, words, grams, at): stretches of a document around possible hits, with the hits in them."""
+    spread = docs.sparkSession.sparkContext.broadcast(bits)  # MOST_BITS bits at the most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = spread.value
+        shift = np.uint64(64 - (len(table) * 8 - 1).bit_length())
         for b in blocks(batches, "_text", BLOCK):
             v, offs = word_values(b)
             g = gram_values(v, GRAM)
-            row = np.repeat(np.arange(len(b)), np.diff(offs))
-            slot = (g >> np.uint64(41)).astype(np.int64)
+            size = np.diff(offs)
+            row = np.repeat(np.arange(len(b)), size)
+            short = np.flatnonzero((size > 0) & (size < GRAM))
+            g = np.r_[g, np.zeros(len(v) - len(g), np.uint64)]
+            for i in short:
+                g[offs[i]] = whole_value(v[offs[i] : offs[i + 1]])[0]
+            slot = (g >> shift).astype(np.int64)
             hit = np.flatnonzero((table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-            hit = hit[row[hit] == row[hit + GRAM - 1]] if len(hit) else hit
+            hit = hit[hit + np.minimum(GRAM, size[row[hit]]) <= offs[row[hit] + 1]] if len(hit) else hit
+            hit = hit[(size[row[hit]] >= GRAM) | (hit == offs[row[hit]])] if len(hit) else hit
             if not len(hit):
                 continue
             new = np.r_[True, (np.diff(hit) > reach) | (row[hit[1:]] != row[hit[:-1]])]
@@ -114,14 +129,14 @@ def regions(docs: DataFrame, bits: np.ndarray, reach: int, text: str, key: str)
             cut = pa.array(np.r_[first, len(hit)], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.rows.column("doc").take(pa.array(r)), pa.array(lo - offs[r]), pa.array([v[x:y].tobytes() for x, y in zip(lo, hi)], pa.binary()),
+                    b.rows.column("doc").take(pa.array(r)), b.rows.column("alt").take(pa.array(r)), pa.array(lo - offs[r]), pa.array([v[x:y].tobytes() for x, y in zip(lo, hi)], pa.binary()),
                     pa.ListArray.from_arrays(cut, pa.array(g[hit].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(hit - np.repeat(lo, last - first + 1), pa.int64())),
                 ],
-                ["doc", "start", "words", "grams", "at"],
+                ["doc", "alt", "start", "words", "grams", "at"],
             )
 
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.lower(text).alias("_text"))
-    return rows.mapInArrow(run, "doc long, start long, words binary, grams array<long>, at array<long>")
+    rows = docs.select(*named(text, key), F.lower(text).alias("_text"))
+    return rows.mapInArrow(run, "doc long, alt long, start long, words binary, grams array<long>, at array<long>")
 
 
 def smith_waterman(text: np.ndarray, size: np.ndarray, item: np.ndarray, item_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,31 +202,35 @@ def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if s > best[o]:
                         best[o], first[o] = s, base[i] + end[z]
             start = part.column("start").to_numpy()
-            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("item_id"), pa.array(best), pa.array(start + first)], ["doc", "item_id", "score", "end_word"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc", "alt", "item_id")), pa.array(best), pa.array(start + first)], ["doc", "alt", "item_id", "score", "end_word"])
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """(doc, item_id, score, end_word): every document with a passage that aligns with a test item; doc is the id, NO_ID for null."""
+    """(doc, alt, item_id, score, end_word): every document with a passage that aligns with a test item; doc is the id, NO_ID for null (see ``buckets.named``)."""
     scratch = Scratch(spark)
     items = scratch.keep(item_rows(benchmark), "items")
-    longest, total = items.agg(F.max("n"), F.sum("n")).first()
+    longest, total, grams = items.agg(F.max("n"), F.sum("n"), F.sum(F.size("grams"))).first()
     reach = int(longest or 1) * 3 // 2
     near = F.broadcast if (total or 0) <= BROADCAST_WORDS else (lambda df: df)  # a larger benchmark is joined by shuffling
-    found = scratch.keep(regions(docs, bit_table(items), reach, text, key), "regions")
-    hits = found.select("doc", "start", F.explode(F.array_distinct("grams")).alias("gram"))
+    found = scratch.keep(regions(docs, bit_table(items, grams or 1), reach, text, key), "regions")
+    at = ["doc", "alt", "start"]
+    hits = found.select(*at, F.explode(F.array_distinct("grams")).alias("gram"))
     seeds = items.select("item_id", F.explode(F.array_distinct("grams")).alias("gram"))
-    pairs = hits.join(near(seeds), "gram").select("doc", "start", "item_id").distinct()
-    rows = pairs.join(found.select("doc", "start", "words"), ["doc", "start"]).join(near(items.select("item_id", F.col("words").alias("item_words"))), "item_id")
-    scored = rows.select("doc", "start", "words", "item_id", "item_words").mapInArrow(lambda batches: align(enough(batches, least)), "doc long, item_id long, score double, end_word long")
-    return scored.where(F.col("score") >= least).groupBy("doc", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("e"))).alias("b")).select("doc", "item_id", F.col("b.score").alias("score"), (-F.col("b.e")).alias("end_word"))
+    pairs = hits.join(near(seeds), "gram").select(*at, "item_id").distinct()
+    rows = pairs.join(found.select(*at, "words"), at).join(near(items.select("item_id", F.col("words").alias("item_words"))), "item_id")
+    scored = rows.select(*at, "words", "item_id", "item_words").mapInArrow(lambda batches: align(enough(batches, least)), "doc long, alt long, item_id long, score double, end_word long")
+    best = scored.where(F.col("score") >= least).groupBy("doc", "alt", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("e"))).alias("b"))
+    return best.select("doc", "alt", "item_id", F.col("b.score").alias("score"), (-F.col("b.e")).alias("end_word"))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of documents without a leak; rows that share an id go together."""
-    bad = leaks(spark, docs, benchmark, text, key).select("doc").distinct()
-    return docs.join(bad, F.coalesce(docs[key].cast("long"), F.lit(NO_ID)) == bad["doc"], "left_anti")
+    bad = Scratch(spark).keep(leaks(spark, docs, benchmark, text, key).select("doc", "alt").distinct(), "leaks")
+    doc, alt = named(text, key)
+    rows = docs.select(doc.alias("_doc"), alt.alias("_alt"), F.struct(*docs.columns).alias("_row"))
+    return rows.join(within(bad), (F.col("_doc") == bad["doc"]) & (F.col("_alt") == bad["alt"]), "left_anti").select("_row.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "item_id", "score", "end_word")
+    return found.select(known("doc").alias("doc_id"), "item_id", "score", "end_word")

@@ -10,7 +10,7 @@ import re
 import numpy as np
 import pytest
 
-from panelloom.llm import arrays, dart_minhash, decontaminate, image_copies, repeats, substring_dedup, suffix_dedup
+from panelloom.llm import arrays, buckets, dart_minhash, decontaminate, image_copies, repeats, substring_dedup, suffix_dedup
 
 
 def invented(seed: int, n: int) -> list[tuple[int | None, str | None]]:
@@ -122,13 +122,13 @@ def bags_of(rows):
     for k, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         if w:
-            out.append(((k, "") if k is not None else (dart_minhash.NO_ID, t), collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))))
+            out.append(((k, "") if k is not None else (buckets.NO_ID, t), collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))))
     return out
 
 
 def plain_classes(rows):
     """The smallest document of each document's class, over all pairs."""
-    root = {k: k for k in [(k, "") if k is not None else (dart_minhash.NO_ID, t or "") for k, t in rows]}
+    root = {k: k for k in [(k, "") if k is not None else (buckets.NO_ID, t or "") for k, t in rows]}
 
     def find(x):
         while root[x] != x:
@@ -148,15 +148,15 @@ def plain_classes(rows):
 def test_near_classes(spark):
     rows = invented(3, 160)
     want = plain_classes(rows)
-    known = lambda k: None if k == dart_minhash.NO_ID else k
+    known = lambda k: None if k == buckets.NO_ID else k
     got = collections.Counter((r.doc_id, r.class_id) for r in dart_minhash.near_classes(spark, frame(spark, rows)).collect())
-    assert got == collections.Counter((k, known(want[(k, "") if k is not None else (dart_minhash.NO_ID, t or "")][0])) for k, t in rows)
+    assert got == collections.Counter((k, known(want[(k, "") if k is not None else (buckets.NO_ID, t or "")][0])) for k, t in rows)
     kept = dart_minhash.one_of_each(spark, frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "kind", "body"]
     kept = kept.collect()
     leads = {k for k, v in want.items() if k == v}
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(k for k, _ in leads if k != dart_minhash.NO_ID)
-    assert {r.text for r in kept if r.doc_id is None} == {t for k, t in leads if k == dart_minhash.NO_ID}
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(k for k, _ in leads if k != buckets.NO_ID)
+    assert {r.text for r in kept if r.doc_id is None} == {t for k, t in leads if k == buckets.NO_ID}
 
 
 def test_rows_without_an_id_are_documents_of_their_own(spark):
@@ -169,17 +169,17 @@ def test_rows_without_an_id_are_documents_of_their_own(spark):
 @pytest.mark.parametrize("most", [1_000_000, -1])
 def test_large_and_small_sides_give_the_same(spark, monkeypatch, most):
     """Ids that are too many to be sent to every executor are joined by shuffling."""
-    monkeypatch.setattr(dart_minhash.within, "__defaults__", (most,))
+    monkeypatch.setattr(buckets.within, "__defaults__", (most,))
     rows = invented(9, 60)
     want = plain_classes(rows)
     got = {r.doc_id for r in dart_minhash.one_of_each(spark, frame(spark, rows)).collect()}
-    assert got - {None} == {k for (k, t), v in want.items() if (k, t) == v} - {dart_minhash.NO_ID}
+    assert got - {None} == {k for (k, t), v in want.items() if (k, t) == v} - {buckets.NO_ID}
 
 
 @pytest.mark.parametrize("part", [256, 2])
 def test_pairs_of_one_bucket_are_compared(spark, monkeypatch, part):
     """Pairs that share one bucket only: two nodes unlike its leader, and a node like an inner one alone."""
-    monkeypatch.setattr(dart_minhash, "PART", part, raising=False)
+    monkeypatch.setattr(buckets, "PART", part)
     word = lambda k, lo, hi: " ".join(f"{k}{i}" for i in range(lo, hi))
     bucket = {
         0: [(1, word("a", 0, 60)), (2, word("b", 0, 60)), (3, word("b", 0, 60) + " end"), (4, word("c", 0, 60))],
@@ -240,12 +240,12 @@ def test_leaks(spark):
     edited = items[1][1].split(" ")
     edited[4:6], edited[15] = ["other"], "changed"
     docs = [(1, text(50) + " " + items[0][1].upper() + ", " + text(50)), (2, text(80) + " " + " ".join(edited) + text(20)), (3, text(200)), (4, None), (5, ""), (None, items[2][1])]
-    docs += [(100 + i, items[3][1]) for i in range(30)]
+    docs += [(100 + i, items[3][1]) for i in range(30)] + [(300, "Two words!"), (301, "so two words more"), (302, "two"), (None, "a clean text without an id")]
     got = decontaminate.leaks(spark, frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
-    want = {(1, 0), (2, 1), (decontaminate.NO_ID, 2)} | {(100 + i, 3) for i in range(30)}
+    want = {(1, 0), (2, 1), (decontaminate.NO_ID, 2)} | {(100 + i, 3) for i in range(30)} | {(300, 10)}
     assert {(r.doc, r.item_id) for r in got} == want
     kept = decontaminate.without_leaks(spark, frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 4, 5, 301, 302]
 
 
 def test_leaks_of_an_item_s_frequent_part(spark):
@@ -257,15 +257,128 @@ def test_leaks_of_an_item_s_frequent_part(spark):
     assert {(r.doc, r.score) for r in got} == {(i, 0.45) for i in range(30)} | {(100 + i, 1.0) for i in range(3)}
 
 
+def image_frame(spark, rows):
+    return spark.createDataFrame([(k, None if p is None else p if isinstance(p, bytes) else image_copies.to_pgm(p), "x", 2) for k, p in rows], "page_id long, image binary, corners string, node int")
+
+
+def classes_of(spark, rows):
+    return [(r.page_id, r.class_id) for r in image_copies.copy_classes(spark, image_frame(spark, rows), "page_id").collect()]
+
+
+def edited(rng, p, most=5):
+    return np.clip(p.astype(int) + rng.integers(-most, most + 1, p.shape), 0, 255).astype(np.uint8)
+
+
 def test_image_copies(spark):
     rng = np.random.default_rng(7)
     base = [rng.integers(0, 256, (60 + 4 * i, 64)).astype(np.uint8) for i in range(12)]
-    rows = [(i, image_copies.to_pgm(p)) for i, p in enumerate(base)]
-    rows += [(100 + i, image_copies.to_pgm(p)) for i, p in enumerate(base[:4])]
-    rows += [(200 + i, image_copies.to_pgm(np.clip(p.astype(int) + rng.integers(-5, 6, p.shape), 0, 255).astype(np.uint8))) for i, p in enumerate(base[4:8])]
-    rows += [(300 + i, image_copies.to_pgm(p[8:])) for i, p in enumerate(base[8:])]
-    rows += [(400, None), (401, b"P5 9"), (402, b""), (None, rows[0][1])]
-    got = {r.page_id: r.class_id for r in image_copies.copy_classes(spark, spark.createDataFrame(rows, "page_id long, image binary"), "page_id").collect()}
-    assert all(got[i] == i for i in range(12)) and all(got[100 + i] == i for i in range(4)) and all(got[200 + i] == 4 + i for i in range(4))
-    assert sum(got[300 + i] == 8 + i for i in range(4)) >= 2
-    assert [got[k] for k in (400, 401, 402, None)] == [400, 401, 402, 0]
+    rows = list(enumerate(base)) + [(100 + i, p) for i, p in enumerate(base[:4])]
+    rows += [(200 + i, edited(rng, p)) for i, p in enumerate(base[4:8])] + [(300 + i, p[8:]) for i, p in enumerate(base[8:])]
+    rows += [(400, None), (401, b"P5 9"), (402, b""), (None, base[0]), (None, base[0]), (None, rng.integers(0, 256, (50, 50)).astype(np.uint8)), (5, base[1]), (500, b"P5 -2 -3 255\n123456")]
+    rows += [(600 + i, image_copies.halved(p)) for i, p in enumerate(base[:4])] + [(700 + i, np.rot90(p)) for i, p in enumerate(base[4:8])] + [(800 + i, p[20:60, 10:50]) for i, p in enumerate(base[8:])]
+    got = classes_of(spark, rows)
+    want = {**{i: i for i in range(12)}, **{100 + i: i for i in range(4)}, **{200 + i: 4 + i for i in range(4)}, **{300 + i: 8 + i for i in range(4)}, **{k: k for k in (400, 401, 402, 500)}}
+    want |= {**{600 + i: i for i in range(4)}, **{700 + i: 4 + i for i in range(4)}, **{800 + i: 8 + i for i in range(4)}}
+    # id 5 has two contents, which are of one class with all copies of both
+    want |= {k: 1 for k in (5, 201, 701)}
+    assert {k: c for k, c in got if k is not None} == want
+    assert sorted((c for k, c in got if k is None), key=str) == [0, 0, None]
+    assert classes_of(spark, []) == []
+
+
+def test_copies_among_images_that_share_their_parts(spark):
+    """An image of ten bands, each from another image, and its edited copy, are one class whatever else holds the bands."""
+    rng = np.random.default_rng(8)
+    source = [rng.integers(0, 256, (100, 64)).astype(np.uint8) for _ in range(10)]
+    bands = np.concatenate([p[10 * i : 10 * i + 10] for i, p in enumerate(source)])
+    copy = bands.copy()
+    copy[[5, 33, 71], [7, 20, 50]] ^= 128
+    rows = list(enumerate(source)) + [(50, bands), (51, copy)]
+    assert dict(classes_of(spark, rows)) == {**{i: i for i in range(10)}, 50: 50, 51: 50}
+
+
+@pytest.mark.parametrize("part", [256, 3])
+def test_images_are_compared_like_all_pairs(spark, monkeypatch, part):
+    """Images with a common border, copies, crops and collages, against every pair compared."""
+    monkeypatch.setattr(buckets, "PART", part)
+    rng = np.random.default_rng(9)
+    border = rng.integers(0, 256, (14, 40)).astype(np.uint8)
+    body = [rng.integers(0, 256, (int(rng.integers(20, 70)), 40)).astype(np.uint8) for _ in range(24)]
+    images = [np.concatenate([border, p]) for p in body] + [np.concatenate([border, edited(rng, p, 4)]) for p in body[:8]] + [p[: len(p) * 3 // 4] for p in body[8:14]]
+    images += [np.concatenate([border, body[i][:18], body[i + 1][:18], body[i + 2][:18]]) for i in range(14, 20)]
+    found = []
+    for p in images:
+        found.append(image_copies.entered(image_copies.describe([p])[1]))
+    words = [image_copies.table_words(c) for c in found]
+    root = list(range(len(images)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(images)):
+        for j in range(i):
+            common = len(np.intersect1d(words[i], words[j])) >= max(1, image_copies.SHARE * min(len(words[i]), len(words[j])))
+            votes = image_copies.agreeing(found[j], found[i])
+            if common and votes >= image_copies.LEAST_VOTES and votes >= image_copies.LEAST_SHARE * min(len(found[i]), len(found[j])):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert dict(classes_of(spark, list(enumerate(images)))) == {i: find(i) for i in range(len(images))}
+
+
+def recall(pairs):
+    hit = 0
+    for p, q in pairs:
+        a, b = (image_copies.entered(image_copies.describe([x])[1]) for x in (p, q))
+        wa, wb = image_copies.table_words(a), image_copies.table_words(b)
+        votes = image_copies.agreeing(a, b)
+        hit += len(np.intersect1d(wa, wb)) >= max(1, image_copies.SHARE * min(len(wa), len(wb))) and votes >= image_copies.LEAST_VOTES and votes >= image_copies.LEAST_SHARE * min(len(a), len(b))
+    return hit / len(pairs)
+
+
+def test_recall_of_crops_edits_and_scales():
+    rng, pick = np.random.default_rng(0), random.Random(1)
+    vocabulary = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=pick.randint(2, 9))) for _ in range(3000)]
+    noise = [rng.integers(0, 256, (90, 64)).astype(np.uint8) for _ in range(60)]
+    for change in (lambda p: edited(rng, p), image_copies.halved, np.rot90, lambda p: p[8:], lambda p: p[20:60, 10:50]):
+        assert recall([(p, change(p)) for p in noise]) >= 0.9
+    assert recall(list(zip(noise, noise[1:]))) == 0
+
+    def page():
+        out = []
+        for _ in range(5):
+            w = pick.choices(vocabulary, k=pick.randint(25, 60))
+            for i in range(pick.randint(6, 12), len(w), 11):
+                w[i] += "."
+            out.append(" ".join(w))
+        return out
+
+    def one_word(paragraphs):
+        out = []
+        for p in paragraphs:
+            w = p.split(" ")
+            w[pick.randrange(len(w))] = pick.choice(vocabulary)
+            out.append(" ".join(w))
+        return out
+
+    image = lambda p: image_copies.parse_pgm(image_copies.render("\n".join(p)))
+    pages = [page() for _ in range(100)]
+    for change in (lambda p: p[:2], lambda p: p[3:], one_word, lambda p: ["extra " + p[0], *p[1:]]):
+        assert recall([(image(p), image(change(p))) for p in pages]) >= 0.9
+
+
+def test_pgm_headers():
+    read = image_copies.parse_pgm
+    assert read(b"P5\n# made by hand\n2 1\n# more\n255\n\x01\x02").tolist() == [[1, 2]]
+    assert read(b"P5 2 1 65535 \xff\xff\x00\x00").tolist() == [[255, 0]]
+    assert read(b"P5 2 1 15\n\x0f\x00").tolist() == [[255, 0]]
+    assert read(b"P5 " + b" " * 100 + b"1 1 255\n\x07").tolist() == [[7]]
+    assert [read(x) for x in (b"P5 -2 -3 255\n123456", b"P5 0 3 255\n", b"P5 2 2 255\n123", b"P2 1 1 255\n1", b"", None, b"P5 99999999999 99999999999 255\n1")] == [None] * 7
+
+
+def test_a_tall_image_is_described_in_strips(monkeypatch):
+    p = np.random.default_rng(3).integers(0, 256, (500, 30)).astype(np.uint8)
+    whole = image_copies.describe([p])[1]
+    monkeypatch.setattr(image_copies, "STRIP", 64)
+    assert sorted(image_copies.describe([p])[1].tolist()) == sorted(whole.tolist())
