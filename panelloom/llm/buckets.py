@@ -144,12 +144,13 @@ def screened(seats: DataFrame, content: DataFrame, screen: Screen) -> DataFrame:
 # ---------------------------------------------------------------- buckets
 
 
-def linked(scratch: Scratch, members: DataFrame, by: list[str], content: DataFrame, judge: Judge, first: tuple[DataFrame, Screen] | None = None) -> DataFrame:
+def linked(scratch: Scratch, members: DataFrame, by: list[str], content: DataFrame, judge: Judge, first: tuple[DataFrame, Screen] | None = None, settled: bool = False) -> DataFrame:
     """Links (a, b) whose components are the classes of near nodes.
 
     members has the columns ``by`` (a bucket), n (its nodes), node, probe, and the
     bucket's leader a with its lead_probe.  With ``first``, smaller contents and a
-    screen for them, the contents travel only for nodes that pass it.
+    screen for them, the contents travel only for nodes that pass it.  With ``settled``
+    the classes by leaders alone are found first, so that fewer pairs are left.
     """
     few = lambda seats, name: scratch.keep(screened(seats, *first), name) if first else seats
     # every node against its leaders; the members of a large bucket are dealt in blocks of their own
@@ -160,14 +161,20 @@ def linked(scratch: Scratch, members: DataFrame, by: list[str], content: DataFra
     seats = few(seats.withColumns({"label": F.col("node"), "role": F.lit(PROBE)}), "star-seats")
     good = scratch.keep(compared(seats, content, judge), "stars")
     star = scratch.keep(good.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"), F.collect_set("a").alias("likes")), "labels")
-    marked = members.where("node <> a").join(star, "node", "left")
+    links = star.select(F.col("label").alias("a"), F.col("node").alias("b")).unionAll(star.select(F.col("label").alias("a"), F.explode("likes").alias("b")).where("a <> b").distinct())
+    if settled:
+        by_leaders = components(scratch, links, "settled")
+        links = by_leaders.select(F.col("label").alias("a"), F.col("node").alias("b"))
+        label = star.select("node", "likes").join(by_leaders, "node", "full")  # a leader need not be like one itself
+    else:
+        label = star
+    marked = members.where("node <> a").join(label, "node", "left")
     like = F.coalesce(F.array_contains("likes", F.col("a")), F.lit(False))
     role = F.when(F.col("probe"), PROBE).otherwise(0) + F.when(like, LIKE).otherwise(0)
     marked = scratch.keep(marked.select(*by, "node", role.alias("role"), F.coalesce("label", "node").alias("label")), "marked")
     more = scratch.keep(compared(few(seated(scratch, marked, by), "seats"), content, judge), "more")
     scratch.drop("marked", "mixed", "star-seats", "seats")
-    leaders = star.select(F.col("label").alias("a"), F.explode("likes").alias("b")).where("a <> b").distinct()
-    return more.unionAll(star.select(F.col("label").alias("a"), F.col("node").alias("b"))).unionAll(leaders)
+    return more.unionAll(links)
 
 
 #: Which roles must meet: unlike probes all others, unlike others the like probes.

@@ -242,7 +242,7 @@ def test_leaks(spark):
     docs = [(1, text(50) + " " + items[0][1].upper() + ", " + text(50)), (2, text(80) + " " + " ".join(edited) + text(20)), (3, text(200)), (4, None), (5, ""), (None, items[2][1])]
     docs += [(100 + i, items[3][1]) for i in range(30)] + [(300, "Two words!"), (301, "so two words more"), (302, "two"), (None, "a clean text without an id")]
     got = decontaminate.leaks(spark, frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
-    want = {(1, 0), (2, 1), (decontaminate.NO_ID, 2)} | {(100 + i, 3) for i in range(30)} | {(300, 10)}
+    want = {(1, 0), (2, 1), (buckets.NO_ID, 2)} | {(100 + i, 3) for i in range(30)} | {(300, 10)}
     assert {(r.doc, r.item_id) for r in got} == want
     kept = decontaminate.without_leaks(spark, frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 4, 5, 301, 302]
