@@ -12,7 +12,7 @@ moves between tasks as packed arrays in two kinds of shuffle:
    Where one seed has differing segments, the first document of each stays
    *open*; a seed of one document alone is done.
 2. **Windows.**  Open segments alone are extended to full windows, which are
-   compared one by one.
+   compared one by one; or first to longer grams around the seed, level by level.
 
 Before each shuffle a task keeps only the smallest document of each key, as all
 others of it are answered on the spot.  So a key held by a third of all
@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Block, blocks, mix, prefix, ranges, sliding_argmin, spans
+from .buckets import NO_ID, within
+from .shared_store import Scratch
 
-NO_ID = (1 << 63) - 1  # stands for a null id: after every other document
 FLUSH = 500_000
 HOT = 64
 COVERED, OPEN, OPEN_HOT, WINDOW = range(4)
@@ -169,12 +170,27 @@ def settle(key: np.ndarray, body: np.ndarray, doc: np.ndarray, opens: bool) -> t
     return order, verdict
 
 
+def survivors(key: np.ndarray, told: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, whether the key has several documents, whether the row is of the key's smallest one), in that order; told: others had it."""
+    order = np.lexsort((doc, key))
+    key, told, doc = key[order], told[order], doc[order]
+    if not len(key):
+        return order, np.zeros(0, bool), np.zeros(0, bool)
+    new = np.r_[True, key[1:] != key[:-1]]
+    top, of = np.flatnonzero(new), np.cumsum(new) - 1
+    last = np.r_[top[1:], len(key)] - 1
+    several = (doc[top] < doc[last]) | (np.maximum.reduceat(told, top) > 0)
+    return order, several[of], doc == doc[top][of]
+
+
 class Sender:
     """Gathers (key, body, doc, tag, pos, ext) of a task and flushes them: keys to their buckets, local answers to their documents.
 
     ext is the number of windows from pos on, and above it the seed's distance.
     Key rows have owner < n and kind -1; answers carry owner n + document bucket.
     An answer's blob holds doc, tag, pos, ext and, for open segments, the key.
+    With ``answer`` OPEN the body says whether other documents had the key, and only
+    the smallest document's rows travel; the others are known to survive.
     """
 
     def __init__(self, n: int, answer: int):
@@ -191,8 +207,14 @@ class Sender:
             return []
         key, body, doc, tag, pos, ext = (np.concatenate(c) for c in zip(*self.held, strict=True))
         self.held, self.size = [], 0
-        order, verdict = settle(key, body, doc, False)
-        hit = verdict == COVERED
+        if self.answer == OPEN:
+            order, several, least = survivors(key, body, doc)
+            hit = several & ~least
+            body = body.copy()
+            body[order] = several
+        else:
+            order, verdict = settle(key, body, doc, False)
+            hit = verdict == COVERED
         mine, rest = order[hit], order[~hit]
         rows = answer_rows(self.n, self.answer, doc[mine], tag[mine], pos[mine], ext[mine])
         for owner, blob in scatter((key[rest] % np.uint64(self.n)).astype(np.int64), [c[rest] for c in (key, body, doc, tag, pos, ext)]):
@@ -202,12 +224,16 @@ class Sender:
 
 def answer_rows(n: int, kind: int, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, ext: np.ndarray, key: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
     key = np.zeros(len(doc), np.uint64) if key is None else key
-    return [(n + to, kind, blob) for to, blob in scatter(np.mod(doc.astype(np.int64), n), [doc, tag, pos, ext, key])]
+    return [(n + to, kind, blob) for to, blob in scatter(np.mod(doc.astype(np.int64) ^ tag.astype(np.int64), n), [doc, tag, pos, ext, key])]
 
 
 def judge_keys(blobs: pa.ChunkedArray, n: int, opens: bool, answer: int) -> list[tuple[int, int, bytes]]:
     key, body, doc, tag, pos, ext = unpack_all(blobs, 6)
     doc = doc.view(np.int64)
+    if answer == OPEN:
+        order, several, _ = survivors(key, body, doc)
+        m = order[several]
+        return answer_rows(n, OPEN, doc[m], tag[m], pos[m], ext[m])
     order, verdict = settle(key, body, doc, opens)
     rows = []
     for kind in (COVERED, OPEN, OPEN_HOT):
@@ -230,30 +256,34 @@ def exchange(sent: DataFrame, n: int, opens: bool, answer: int) -> DataFrame:
 # ---------------------------------------------------------------- documents and their answers
 
 
-def prepared(docs: DataFrame, n: int, text: str, key: str) -> DataFrame:
-    """key, text, _doc (null ids last), _tag (tells texts of one id apart) and _owner, the document bucket."""
-    doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
-    return docs.select(
-        F.col(key).alias("_key"),
-        F.col(text).alias("_text"),
-        doc.alias("_doc"),
-        F.coalesce(F.xxhash64(F.col(text)).bitwiseAND(65535), F.lit(0)).alias("_tag"),
-        (F.pmod(doc, F.lit(n)) + n).alias("_owner"),
-    )
+def prepared(scratch: Scratch, docs: DataFrame, n: int, text: str, key: str) -> DataFrame:
+    """key, text, _doc (null ids last), _tag and _owner, the document bucket.
+
+    The tag tells texts of one id apart: 0 where an id has one text, else 63 bits of
+    the text's hash.  Null ids share one id, so all of them have it.
+    """
+    own = F.xxhash64(F.col(text)).bitwiseAND((1 << 63) - 1)
+    several = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_id")).agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi")
+    several = scratch.keep(several.select("_id"), "several")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(key).cast("long").alias("_id"), own.alias("_own"))
+    rows = rows.withColumn("_more", F.lit(False)) if several.isEmpty() else rows.join(within(several.withColumn("_more", F.lit(True))), "_id", "left")
+    tag = F.when(F.col("_id").isNull() | F.col("_more"), F.col("_own")).otherwise(F.lit(0))
+    rows = rows.select("_key", "_text", F.coalesce("_id", F.lit(NO_ID)).alias("_doc"), tag.alias("_tag"))
+    return rows.withColumn("_owner", F.pmod(F.col("_doc").bitwiseXOR(F.col("_tag")), F.lit(n)) + n)
 
 
 def tags_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_doc", "_tag"))
 
 
-def send_segments(docs: DataFrame, n: int, units: Callable[[Block], Units], target: int, seed: int, most: int) -> DataFrame:
+def send_segments(docs: DataFrame, n: int, units: Callable[[Block], Units], target: int, seed: int, most: int, answer: int = COVERED) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sender(n, COVERED)
+        out = Sender(n, answer)
         for b in blocks(batches, "_text", most):
             u = units(b)
             s = segments(u, target, seed)
             doc, tag = tags_of(b.rows)
-            for rows in out.add(s.key, s.body, doc[s.row], tag[s.row], s.lo - u.offs[s.row], (s.seed - s.lo) * (target + 1) + s.count):
+            for rows in out.add(s.key, np.zeros_like(s.body) if answer == OPEN else s.body, doc[s.row], tag[s.row], s.lo - u.offs[s.row], (s.seed - s.lo) * (target + 1) + s.count):
                 yield reply_batch(rows)
         yield reply_batch(out.flush())
 
@@ -315,6 +345,35 @@ def add_windows(out: Sender, b: Block, u: Units, answers: Answers, kinds: tuple[
         yield from out.add(k1, k2, doc[row], tag[row], start - u.offs[row], np.ones(len(row), np.int64))
 
 
+def send_longer(docs: DataFrame, replies: DataFrame, n: int, units: Callable[[Block], Units], target: int, seed: int, size: int, most: int) -> DataFrame:
+    """The grams of ``size`` units around the surviving ones of ``seed`` units, as far inside each window as there is room.
+
+    Windows that follow one another mostly share the gram that has the seed in its
+    middle; where the window ends before that, it is the window's first or last one.
+    """
+
+    def run(table: pa.Table, said: pa.Table) -> pa.Table:
+        answers = Answers(said, (OPEN,))
+        out, rows = Sender(n, OPEN), []
+        for b in blocks(of_named(table, answers)[0].to_batches(), "_text", most):
+            u = units(b)
+            doc, tag = tags_of(b.rows)
+            row, lo, ext, _ = answers.of(OPEN, doc, tag, u.offs)
+            count = ext % (target + 1)
+            segment = np.repeat(np.arange(len(row)), count)
+            start = ranges(lo, count)
+            at = np.clip((lo + ext // (target + 1) - (size - seed) // 2)[segment], start, start + target - size)
+            first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (segment[1:] != segment[:-1])][: len(at)])
+            if len(first):
+                own, g, s = row[segment[first]], at[first], start[first]
+                key = mix(spans(prefix(u.values), g, g + size)) >> np.uint64(16)
+                for r in out.add(key, np.zeros(len(key), np.uint64), doc[own], tag[own], s - u.offs[own], (g - s) * (target + 1) + np.diff(np.r_[first, len(at)])):
+                    rows += r
+        return pa.Table.from_batches([reply_batch(rows + out.flush())])
+
+    return docs.select("_text", "_doc", "_tag", "_owner").groupBy("_owner").cogroup(replies.where(F.col("kind") == OPEN).groupBy("owner")).applyInArrow(run, REPLY)
+
+
 def send_windows(docs: DataFrame, replies: DataFrame, n: int, units: Callable[[Block], Units], target: int, most: int, kinds: tuple[int, ...]) -> DataFrame:
     """Windows of the open segments, to be compared one by one."""
 
@@ -330,11 +389,11 @@ def send_windows(docs: DataFrame, replies: DataFrame, n: int, units: Callable[[B
     return docs.select("_text", "_doc", "_tag", "_owner").groupBy("_owner").cogroup(open_ones.groupBy("owner")).applyInArrow(run, REPLY)
 
 
-def covered_units(b: Block, offs: np.ndarray, answers: Answers, target: int) -> np.ndarray:
+def covered_units(b: Block, offs: np.ndarray, answers: Answers, target: int, kinds: tuple[int, ...] = (COVERED, WINDOW)) -> np.ndarray:
     """Mask of the block's units (documents begin at offs) covered by windows that start in a smaller document."""
     doc, tag = tags_of(b.rows)
     edge = np.zeros(int(offs[-1]) + 1, np.int64)
-    for kind in (COVERED, WINDOW):
+    for kind in kinds:
         _, lo, ext, _ = answers.of(kind, doc, tag, offs)
         np.add.at(edge, lo, 1)
         np.add.at(edge, lo + ext % (target + 1) - 1 + target, -1)

@@ -1,10 +1,12 @@
 """Removal of repeated word windows by level-wise doubling.
 
-Windows of half the target length are compared first, at the places every longer
-window is bound to contain (see ``repeats``).  Only those repeated in another
-document are extended to twice that length; whatever is still repeated then
-covers its words.  Windows of one level that are not repeated never reach the
-next.
+Of every window of ``target`` words the gram of an eighth of its length with the
+least hash is its seed, which windows that follow one another mostly share (see
+``repeats``).  Grams that occur in more than one document survive; they alone are
+extended to twice their length, as far inside each window as there is room, level by
+level.  Those still repeated when the next length would pass the target become whole
+windows, which are compared one by one.  Equal windows have equal grams at every
+level, so none is lost; the loop also ends when no candidate survives.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D, unchanged.  A
 word is removed if some window of ``target`` words over it also starts in a
@@ -21,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Block, blocks, word_hashes, words
-from .repeats import COVERED, OPEN, OPEN_HOT, WINDOW, Answers, Units, buckets_for, covered_units, exchange, of_named, prepared, send_segments, send_windows
-from .shared_store import written
+from .repeats import OPEN, WINDOW, Answers, Units, buckets_for, covered_units, exchange, of_named, prepared, send_longer, send_segments, send_windows
+from .shared_store import Scratch
 
 BLOCK = 2 << 20
 
@@ -35,14 +37,20 @@ def word_units(b: Block) -> Units:
 def dedup_words(docs: DataFrame, target: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_words, n_removed, kept): kept holds the remaining words joined by one space."""
     n = buckets_for(docs, text)
-    seed = target // 2
-    rows = prepared(docs, n, text, key)
-    first = written(docs.sparkSession, exchange(send_segments(rows, n, word_units, target, seed, BLOCK), n, True, COVERED), "seeds")
-    second = exchange(send_windows(rows, first, n, word_units, target, BLOCK, (OPEN, OPEN_HOT)), n, False, WINDOW)
+    scratch = Scratch(docs.sparkSession)
+    rows = prepared(scratch, docs, n, text, key)
+    size = -(-target // 8)
+    alive = scratch.keep(exchange(send_segments(rows, n, word_units, target, size, BLOCK, OPEN), n, False, OPEN), f"level-{size}")
+    while 2 * size < target and not alive.isEmpty():
+        longer = exchange(send_longer(rows, alive, n, word_units, target, size, 2 * size, BLOCK), n, False, OPEN)
+        size *= 2
+        alive = scratch.keep(longer, f"level-{size}")
+        scratch.drop(f"level-{size // 2}")
+    said = exchange(send_windows(rows, alive, n, word_units, target, BLOCK, (OPEN,)), n, False, WINDOW)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(table: pa.Table, said: pa.Table) -> pa.Table:
-        answers = Answers(said, (COVERED, WINDOW))
+        answers = Answers(said, (WINDOW,))
         few, rest = of_named(table, answers)
         ids, total, gone, kept = [*rest.column("_key").to_pylist()], [], [], []
         for t in rest.column("_text").to_pylist():
@@ -53,7 +61,7 @@ def dedup_words(docs: DataFrame, target: int = 50, text: str = "text", key: str
         for b in blocks(few.to_batches(), "_text", BLOCK):
             lo, hi, row = words(b)
             offs = np.searchsorted(row, np.arange(len(b) + 1))
-            drop = covered_units(b, offs, answers, target)
+            drop = covered_units(b, offs, answers, target, (WINDOW,))
             raw = b.data.tobytes()
             for i in range(len(b)):
                 x, y = offs[i], offs[i + 1]
@@ -64,7 +72,7 @@ def dedup_words(docs: DataFrame, target: int = 50, text: str = "text", key: str
             ids += b.rows.column("_key").to_pylist()
         return pa.table([pa.array(ids, table.schema.field("_key").type), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [key, "n_words", "n_removed", "kept"])
 
-    return rows.groupBy("_owner").cogroup(first.where(F.col("kind") == COVERED).unionAll(second).groupBy("owner")).applyInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, kept string")
+    return rows.groupBy("_owner").cogroup(said.groupBy("owner")).applyInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, kept string")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

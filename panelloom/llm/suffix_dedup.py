@@ -32,7 +32,7 @@ from .repeats import (
     COVERED, OPEN, OPEN_HOT, REPLY, WINDOW, Answers, Sender, Units, add_windows, answer_rows, buckets_for, covered_units, exchange, judge_keys, of_named,
     pack, prepared, reply_batch, send_segments, tags_of, unpack_all,
 )
-from .shared_store import written
+from .shared_store import Scratch
 
 BLOCK = 1 << 20
 SEED = 16
@@ -220,8 +220,9 @@ def judge_bytes(blobs: pa.ChunkedArray, body: bytes, n: int, target: int) -> lis
 def dedup_bytes(docs: DataFrame, target: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_removed, span_starts, span_ends, kept): the removed runs and the remaining bytes."""
     n = buckets_for(docs, text)
-    rows = prepared(docs, n, text, key)
-    first = written(docs.sparkSession, exchange(send_segments(rows, n, byte_units, target, SEED, BLOCK), n, True, COVERED), "seeds")
+    scratch = Scratch(docs.sparkSession)
+    rows = prepared(scratch, docs, n, text, key)
+    first = scratch.keep(exchange(send_segments(rows, n, byte_units, target, SEED, BLOCK), n, True, COVERED), "seeds")
     second = send_open(rows, first, n, target).groupBy("owner").applyInArrow(judge_open(n, target), REPLY)
     kind = docs.schema[key].dataType.simpleString()
 

@@ -91,6 +91,43 @@ def test_bytes(spark, monkeypatch, flush, hot):
     assert got == want
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    """Rows that share an id, among them very many without one, keep their own answers."""
+    rng = random.Random(12)
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    base = word("a", 70)
+    rows = [(1, base), (5, base + " tail"), (5, word("b", 81)), (5, None), (9, base), (9, "")]
+    rows += [(None, base + f" {i}" if i % 10 == 0 else word(f"n{i}x", rng.randint(1, 70))) for i in range(600)] + [(None, None)] * 3
+    cut = lambda t: tuple(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    want = sorted((str(k), int(m.sum()), " ".join(w for w, x in zip(cut(t), m) if not x)) for (k, t), m in zip(rows, covered(rows, cut, 50)))
+    assert sorted((str(r.doc_id), r.n_removed, r.kept) for r in substring_dedup.dedup_words(frame(spark, rows)).collect()) == want
+    raw = lambda t: (t or "").encode()
+    want = sorted((str(k), int(m.sum()), bytes(np.frombuffer(raw(t), np.uint8)[~m])) for (k, t), m in zip(rows, covered(rows, raw, 50)))
+    assert sorted((str(r.doc_id), r.n_removed, bytes(r.kept)) for r in suffix_dedup.dedup_bytes(frame(spark, rows)).collect()) == want
+
+
+@pytest.mark.parametrize("target", [3, 8, 9, 33])
+def test_levels_of_any_length(spark, target):
+    rows = invented(11, 60)
+    cut = lambda t: tuple(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    want = sorted((str(k), int(m.sum())) for (k, t), m in zip(rows, covered(rows, cut, target)))
+    assert sorted((str(r.doc_id), r.n_removed) for r in substring_dedup.dedup_words(frame(spark, rows), target=target).collect()) == want
+
+
+def test_a_very_long_text(spark):
+    """One text of half a million words, repeated in parts, beside short ones."""
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(5000)]
+    long = " ".join(rng.choices(words, k=500_000))
+    part = long.split(" ")[1000:1100]
+    rows = [(1, long), (2, " ".join(part)), (3, "x " * 30 + " ".join(part[:60])), (4, "clean " * 10)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_words(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 100, 3: 60, 4: 0}
+    assert {r.doc_id: r.class_id for r in dart_minhash.near_classes(spark, frame(spark, [*rows, (9, long + " end")])).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 9: 1}
+    items = spark.createDataFrame([(7, " ".join(part[:30]))], "item_id long, text string")
+    assert {r.doc for r in decontaminate.leaks(spark, frame(spark, rows), items).collect()} == {1, 2, 3}
+
+
 def test_empty_tables(spark):
     none = frame(spark, [(1, "a")]).limit(0)
     assert substring_dedup.dedup_words(none).count() == 0 and suffix_dedup.dedup_bytes(none).count() == 0
