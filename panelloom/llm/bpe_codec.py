@@ -23,7 +23,7 @@ from .arrays import Block, blocks, ranges
 from .pretokens import Vocabulary, distinct, pretokens, vocabulary
 
 _NONE = np.int64(1) << 60
-BLOCK = 3 << 20
+BLOCK = 1 << 18
 
 
 def _ranks(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -41,7 +41,7 @@ BANDS, ROWS = 20, 5
 K = BANDS * ROWS
 DARTS = K * math.log(K) + 2 * K
 COLUMNS, FEW = 8192, 512
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Edges of the rank cells below 1; from there on every cell is one unit wide.
 LOW_EDGES = (0.0, 4.0**-6, 4.0**-5, 4.0**-4, 4.0**-3, 4.0**-2, 4.0**-1, 1.0)
 _CELL = np.uint64(0xC2B2AE3D27D4EB4F)

@@ -34,7 +34,7 @@ GRAM, LEAST = 3, 0.4
 MATCH, MISS, GAP = 2, -1, -1
 LEAST_BITS, MOST_BITS = 23, 30
 BROADCAST_WORDS = 500_000
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _ink(b: Block) -> np.ndarray:

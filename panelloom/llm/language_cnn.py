@@ -29,6 +29,7 @@ from .arrays import blocks
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
 REACH = max(WIDTHS)
 SAMPLE, PER_DOC, STEPS, BATCH = 2400, 4, 700, 128
+BLOCK = 1 << 18
 
 
 @dataclass
@@ -144,7 +145,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     few = known.where(draw < int(min(1.0, sample / total) * (1 << 30))).select(F.col(lang).alias("lang"), F.col(key).cast("string").alias("key"), F.col(text).alias("_text"))
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "_text", 1 << 20):
+        for b in blocks(batches, "_text", BLOCK):
             grid, row, _ = cut_windows(b.data, b.offs)
             ids = b.rows.column("key").to_pylist()
             chosen = [w for i in range(len(b)) for w in _some(np.flatnonzero(row == i), ids[i])]
@@ -168,7 +169,7 @@ def predict(docs: DataFrame, net: Net, text: str = "text", keep: tuple[str, ...]
     names = np.array(net.langs, object)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "_text", 1 << 20):
+        for b in blocks(batches, "_text", BLOCK):
             grid, row, n = cut_windows(b.data, b.offs)
             p = np.zeros((len(b), len(names)))
             np.add.at(p, row, forward(net, grid) * n[:, None])

@@ -26,7 +26,7 @@ from .arrays import Block, blocks, word_hashes, words
 from .repeats import OPEN, WINDOW, Answers, Units, buckets_for, covered_units, exchange, of_named, prepared, send_longer, send_segments, send_windows
 from .shared_store import Scratch
 
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 
 def word_units(b: Block) -> Units:

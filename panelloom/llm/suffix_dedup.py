@@ -34,7 +34,7 @@ from .repeats import (
 )
 from .shared_store import Scratch
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 SEED = 16
 PARCEL = "owner long, kind int, blob binary, body binary"
 BYTES = -2

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .arrays import Block, blocks
 from .pretokens import LETTER, NUMBER, OTHER, SPACE, WHITE, Vocabulary, char_classes, code_points, distinct, piece_cuts, special_spans, vocabulary
 
-BLOCK = 3 << 20
+BLOCK = 1 << 18
 CHUNK = 128
 
 # ---------------------------------------------------------------- the splitter

@@ -30,7 +30,7 @@ from .language_cnn import fold
 
 SIZE, SAMPLE, LEAST_Z, STARTS = 1 << 18, 8000, 4.0, (4, 5, 6)
 EPOCHS, RIDGE, FAIR, THRESHOLD = 30, 2e-4, 4.0, 0.3
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 # fixed values: identity terms by group, neutral words among them
 GROUPS = [
     "person woman man girl boy trans transgender nonbinary female male".split(),
