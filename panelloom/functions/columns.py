@@ -104,11 +104,39 @@ def positions(df: DataFrame, key: str) -> DataFrame:
     return inside.join(F.broadcast(base), "_p").withColumn("pos", F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")
 
 
-def running_total(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """df with out, the sum of value over all smaller keys: range partitions are summed first, so no task holds all rows."""
-    parted = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    total = parted.groupBy("_p").agg(F.sum(value).alias("_s"))
-    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select("_p", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parted.withColumn("_i", inside).join(F.broadcast(base), "_p").withColumn(out, F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")
+def running_total(df: DataFrame, key: str, value: str, out: str, by: str | None = None) -> DataFrame:
+    """df with out, the sum of value over all smaller keys (of the same ``by``): range partitions are summed first, so no task holds all rows."""
+    own = [by] if by else []
+    parted = df.repartitionByRange(*own, key).withColumn("_p", F.spark_partition_id())
+    total = parted.groupBy("_p", *own).agg(F.sum(value).alias("_s"))
+    earlier = Window.partitionBy(*own).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = total.select("_p", *own, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_p", *own).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parted.withColumn("_i", inside).join(F.broadcast(base), ["_p", *own]).withColumn(out, F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")
+
+
+def certification(auc: str, lo: str, hi: str, p: str, control_p: str, parsed: str, alpha: float = 0.05, unlike: float = 0.1, least: float = 0.9) -> Column:
+    """Labels in order of precedence; an unknown control or parse rate never certifies."""
+    c = F.col
+    fired = F.coalesce(c(control_p) < alpha, F.lit(False))
+    clean = (c(p) > unlike) & (c(lo) <= 0.5) & (c(hi) >= 0.5) & F.coalesce(c(parsed) >= least, F.lit(False))
+    return F.when((c(p) < alpha) & (c(auc) > 0.5), "recalls").when(~fired, "detector_unvalidated").when(clean, "certified_no_recall").otherwise("inconclusive")
+
+
+def _known(*names: str) -> Column:
+    ok = F.lit(True)
+    for n in names:
+        ok = ok & F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
+    return ok
+
+
+def gates(t: str, appraisal: str, stable: str, premium: str, calmar: str, base_calmar: str, drawdown: str, base_drawdown: str) -> tuple[dict[str, Column], Column]:
+    """The four gates, and the name of the first that fails; an unknown input fails its gate."""
+    passed = {
+        "skill": _known(t, appraisal) & (F.col(t) > 2.0),
+        "stability": F.coalesce(F.col(stable), F.lit(False)),
+        "recall": _known(premium) & (F.abs(premium) <= 0.05),
+        "risk_shape": _known(calmar, base_calmar, drawdown, base_drawdown) & (F.col(calmar) >= F.col(base_calmar)) & (F.abs(drawdown) <= F.abs(base_drawdown)),
+    }
+    passed = {k: F.coalesce(v, F.lit(False)) for k, v in passed.items()}
+    return passed, F.coalesce(*(F.when(~v, k) for k, v in passed.items()))

@@ -16,32 +16,38 @@ from .registry import query, rounded
 
 KEYS, AT = ["symbol"], "date"
 
-_PATH = """, path AS (SELECT symbol, date, CASE WHEN count(r) OVER f >= 252 THEN avg(r) OVER f / nullif(stddev_samp(r) OVER f, 0) * sqrt(252) END AS s FROM ret WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING)),
-    z AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, s, s - avg(s) OVER (PARTITION BY symbol) AS z FROM path WHERE s IS NOT NULL),
+
+
+def long_run_sql(source: str) -> str:
+    """CTEs from source (symbol, date, s) to lr (symbol, lags, n, v): bandwidth and long-run variance of every line."""
+    return f""", z AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, s, s - avg(s) OVER (PARTITION BY symbol) AS z FROM {source} WHERE s IS NOT NULL),
     l AS (SELECT *, lag(z) OVER (PARTITION BY symbol ORDER BY i) AS p FROM z),
-    rho AS (SELECT symbol, count(*) AS n, greatest(-0.97, least(0.97, sum(z * p) / sum(CASE WHEN i < n_ THEN z * z END))) AS rho FROM (SELECT *, max(i) OVER (PARTITION BY symbol) AS n_ FROM l) GROUP BY 1),
-    band AS (SELECT symbol, n, CAST(least(greatest(n // 4, 1), greatest(1, ceil(1.1447 * pow(4 * rho * rho / pow(1 - rho * rho, 2) * n, 1.0 / 3)))) AS BIGINT) AS lags FROM rho),
-    prod AS (SELECT a.symbol, k, avg(a.z * b.z) AS g FROM z a JOIN band USING (symbol), LATERAL (SELECT unnest(range(0, lags + 1)) AS k) t JOIN z b ON b.symbol = a.symbol AND b.i = a.i - k GROUP BY 1, 2),
+    rho AS (SELECT symbol, count(*) AS n, greatest(-0.97, least(0.97, avg(z * p) / avg(z * z))) AS rho FROM l GROUP BY 1),
+    band AS (SELECT symbol, n, CAST(greatest(1, least(n // 4, floor(1.1447 * pow(4 * rho * rho / pow(1 - rho * rho, 2) * n, 1.0 / 3)))) AS BIGINT) AS lags FROM rho),
+    prod AS (SELECT a.symbol, k, avg(a.z * b.z) AS g FROM z a JOIN band USING (symbol), LATERAL (SELECT unnest(range(0, lags + 1)) AS k) t
+      JOIN z b ON b.symbol = a.symbol AND b.i = a.i - k GROUP BY 1, 2),
     lr AS (SELECT symbol, lags, n, greatest(0, sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / (lags + 1.0)) * g END)) AS v FROM prod JOIN band USING (symbol) GROUP BY 1, 2, 3)"""
 
 
+_PATH = """, path AS (SELECT symbol, date, CASE WHEN count(r) OVER f >= 252 THEN avg(r) OVER f / nullif(stddev_samp(r) OVER f, 0) * sqrt(252) END AS s FROM ret
+    WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING))""" + long_run_sql("path")
+
+
+def long_run(path: DataFrame) -> DataFrame:
+    """symbol, n, mean, lags, lr_var of the values s (symbol, date, s) of every line, one kernel call a line."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = pdf.sort_values("date").s.to_numpy()
+        lags = K.plug_in_lags(z)
+        return pd.DataFrame({"symbol": [pdf.symbol.iloc[0]], "n": [len(z)], "mean": [z.mean()], "lags": [lags], "lr_var": [K.hac_variance(z, lags)]})
+
+    return path.where("s is not null").groupBy("symbol").applyInPandas(one, "symbol string, n long, mean double, lags long, lr_var double")
+
+
 def _stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, n, mean_rolling, lags, lr_var: the rolling Sharpe path and its long-run variance (A41, A42), by a lag self-join."""
-    path = P.returns(spark, sf_dir).select("symbol", AT, S.rolling_sharpe("r", S.trailing(KEYS, AT, 252), 252).alias("s")).where("s is not null")
-    own, w = Window.partitionBy("symbol"), Window.partitionBy("symbol").orderBy("i")
-    z = path.withColumn("i", F.row_number().over(S.ordered(KEYS, AT))).withColumns({"z": F.col("s") - F.avg("s").over(own), "last": F.count("*").over(own)})
-    rho = z.withColumn("p", F.lag("z").over(w)).groupBy("symbol").agg(
-        F.count("*").alias("n"), F.avg("s").alias("mean_rolling"),
-        F.greatest(F.lit(-0.97), F.least(F.lit(0.97), F.sum(F.col("z") * F.col("p")) / F.sum(F.when(F.col("i") < F.col("last"), F.col("z") * F.col("z"))))).alias("rho"),
-    )
-    raw = F.ceil(1.1447 * F.pow(4 * F.pow("rho", 2) / F.pow(1 - F.pow("rho", 2), 2) * F.col("n"), 1.0 / 3))
-    band = rho.withColumn("lags", F.least(F.greatest(F.floor(F.col("n") / 4), F.lit(1)), F.greatest(F.lit(1), raw)).cast("long"))
-    left = z.select("symbol", "i", F.col("z").alias("a")).join(band.select("symbol", "lags"), "symbol").select("symbol", "a", F.explode(F.expr("sequence(0L, lags)")).alias("k"), "lags", "i")
-    prod = left.select("symbol", "a", "k", "lags", (F.col("i") - F.col("k")).alias("i")).join(z.select("symbol", "i", F.col("z").alias("b")), ["symbol", "i"])
-    g = prod.groupBy("symbol", "k", "lags").agg(F.avg(F.col("a") * F.col("b")).alias("g"))
-    weight = F.when(F.col("k") == 0, F.col("g")).otherwise(2 * (1 - F.col("k") / (F.col("lags") + 1)) * F.col("g"))
-    lr = g.groupBy("symbol").agg(F.greatest(F.lit(0.0), F.sum(weight)).alias("lr_var"))
-    return band.join(lr, "symbol").select("symbol", "n", "mean_rolling", "lags", "lr_var")
+    """The long-run variance of the rolling Sharpe path."""
+    path = P.returns(spark, sf_dir).select("symbol", AT, S.rolling_sharpe("r", S.trailing(KEYS, AT, 252), 252).alias("s"))
+    return long_run(path).withColumnRenamed("mean", "mean_rolling")
 
 
 @query("q_a41_long_run_variance", with_panels("ret") + _PATH + " SELECT symbol, n, lags, round(v, 5) AS lr_var FROM lr")
@@ -91,17 +97,23 @@ def hac_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", F.round("beta", 6).alias("beta"), F.round("alpha", 6).alias("alpha"), F.round("t_alpha", 5).alias("t_alpha"))
 
 
-@query("q_k13_buy_hold", with_panels("idx") + ", f AS (SELECT symbol, date, level / first_value(level) OVER (PARTITION BY symbol ORDER BY date) AS rel FROM idx) SELECT date, round(sum(rel) / count(*), 6) AS wealth, count(*) AS n FROM f GROUP BY 1 HAVING count(*) = 6")
+@query("q_k13_buy_hold", with_panels("idx") + ", f AS (SELECT symbol, date, level / first_value(level) OVER (PARTITION BY symbol ORDER BY date) AS rel FROM idx) SELECT date, round(sum(rel) / count(*), 6) AS wealth, count(*) AS n FROM f GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM idx)")
 def buy_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal first weights, never rebalanced; dates on which every symbol has a level."""
     f = P.px_index(spark, sf_dir).withColumn("rel", F.col("level") / F.first("level").over(S.upto(KEYS, AT)))
-    return rounded(f.groupBy(AT).agg((F.sum("rel") / F.count("*")).alias("wealth"), F.count("*").alias("n")).where("n = 6"))
+    wealth = f.groupBy(AT).agg((F.sum("rel") / F.count("*")).alias("wealth"), F.count("*").alias("n"))
+    return rounded(wealth.crossJoin(F.broadcast(_names(f))).where("n = names").drop("names"))
+
+
+def _names(df: DataFrame) -> DataFrame:
+    """One row: how many symbols there are."""
+    return df.agg(F.count_distinct("symbol").alias("names"))
 
 
 @query(
     "q_k12_rebalanced",
     with_panels("idx")
-    + """, c AS (SELECT date FROM idx GROUP BY 1 HAVING count(*) = 6), m AS (SELECT date, min(date) OVER (PARTITION BY date_trunc('month', date)) AS reb FROM c),
+    + """, c AS (SELECT date FROM idx GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM idx)), m AS (SELECT date, min(date) OVER (PARTITION BY date_trunc('month', date)) AS reb FROM c),
     g AS (SELECT m.date, m.reb, avg(i.level / b.level) AS growth FROM m JOIN idx i USING (date) JOIN idx b ON b.symbol = i.symbol AND b.date = m.reb GROUP BY 1, 2),
     e AS (SELECT reb, lead(reb) OVER (ORDER BY reb) AS nxt FROM (SELECT DISTINCT reb FROM m)), s AS (SELECT e.reb, e.nxt, avg(n.level / b.level) AS seg FROM e JOIN idx b ON b.date = e.reb JOIN idx n ON n.symbol = b.symbol AND n.date = e.nxt GROUP BY 1, 2),
     w AS (SELECT nxt AS reb, product(seg) OVER (ORDER BY reb) AS w FROM s UNION ALL SELECT min(reb), 1.0 FROM e)
@@ -110,7 +122,7 @@ def buy_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rebalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weights restored at the first common session of every month: wealth inside a month is the wealth at its start times the mean relative."""
     i = P.px_index(spark, sf_dir)
-    c = i.groupBy(AT).agg(F.count("*").alias("n")).where("n = 6").select(AT, F.min(AT).over(Window.partitionBy(F.trunc(AT, "MM"))).alias("reb"))
+    c = i.groupBy(AT).agg(F.count("*").alias("n")).crossJoin(F.broadcast(_names(i))).where("n = names").select(AT, F.min(AT).over(Window.partitionBy(F.trunc(AT, "MM"))).alias("reb"))
     rel = i.join(c, AT).join(i.select("symbol", F.col(AT).alias("reb"), F.col("level").alias("base")), ["symbol", "reb"])
     g = rel.groupBy(AT, "reb").agg(F.avg(F.col("level") / F.col("base")).alias("growth"))
     e = c.select("reb").distinct().withColumn("nxt", F.lead("reb").over(Window.orderBy("reb")))  # a row a month
@@ -133,15 +145,6 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(a.select("n1", "n0", (F.col("won") / (F.col("n1") * F.col("n0"))).alias("auc")))
 
 
-@query("q_k31_verdict", with_panels("scores") + ", a AS (SELECT user_id, count(pit) AS n, avg(CASE WHEN pit IS NULL THEN 0.0 ELSE 1 END) AS parse, abs(corr(pit, nonpit)) AS c FROM scores GROUP BY 1) SELECT user_id, CASE WHEN c > 0.9 AND NOT isnan(c) THEN 'recalls' WHEN parse < 0.7 THEN 'detector_unvalidated' WHEN n >= 5 THEN 'certified' ELSE 'inconclusive' END AS verdict FROM a")
-def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels in order of precedence (K4, K31); an unknown statistic never recalls."""
-    a = P.scores(spark, sf_dir).groupBy("user_id").agg(F.count("pit").alias("n"), F.avg(F.col("pit").isNotNull().cast("double")).alias("parse"), F.abs(F.corr("pit", "nonpit")).alias("c"))
-    known = F.col("c").isNotNull() & ~F.isnan("c")
-    label = F.when(known & (F.col("c") > 0.9), "recalls").when(F.col("parse") < 0.7, "detector_unvalidated").when(F.col("n") >= 5, "certified").otherwise("inconclusive")
-    return a.select("user_id", label.alias("verdict"))
-
-
 @query("q_k46_relative", with_panels("idx") + ", f AS (SELECT symbol, date, level / first_value(level) OVER (PARTITION BY symbol ORDER BY date) AS v FROM idx) SELECT a.symbol, a.date, round(a.v / b.v, 6) AS relative FROM f a JOIN f b ON a.date = b.date AND b.symbol = 'NO' WHERE a.symbol <> 'NO'")
 def relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = P.px_index(spark, sf_dir).withColumn("v", F.col("level") / F.first("level").over(S.upto(KEYS, AT)))
@@ -272,7 +275,7 @@ def jump_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        path, centre = K.jump_model(pdf[["ret", "vol"]].to_numpy(), 20.0)
+        path, centre, _ = K.jump_model(pdf[["ret", "vol"]].to_numpy(), 20.0)
         order = np.argsort(np.argsort(-centre[:, 0], kind="stable"))
         return pd.DataFrame({"symbol": pdf.symbol, "date": pdf.date, "state": order[path]})
 

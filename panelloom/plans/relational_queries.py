@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import quality as Q
 from ..operators import series as S
 from ..sources import panels as P
 from ..sources.panels import with_panels
 from .registry import query, rounded
+from .series_queries import robust_z_sql
 
 KEYS, AT = ["symbol"], "date"
 
@@ -95,15 +97,31 @@ def complete_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.macro(spark, sf_dir).crossJoin(F.broadcast(line)).where("month < now").select("month", "q"))
 
 
-@query("q_p10_windows", with_panels("px") + ", b AS (SELECT symbol, min(date) AS lo, max(date) AS hi FROM px GROUP BY 1), w AS (SELECT symbol, label, s, e FROM b, LATERAL (VALUES ('full', lo, hi), ('development', lo, lo + 1000), ('holdout', lo + 1001, hi)) v(label, s, e)) SELECT w.symbol, label, s, e, count(*) AS n FROM w JOIN px ON px.symbol = w.symbol AND px.date BETWEEN s AND e GROUP BY 1, 2, 3, 4")
+@query(
+    "q_p10_windows",
+    with_panels("px")
+    + """, b AS (SELECT symbol, min(date) AS lo, max(date) AS hi, CASE symbol WHEN 'AF' THEN min(date) - 1 WHEN 'NO' THEN max(date) ELSE min(date) + 1000 END AS dev FROM px GROUP BY 1),
+    w AS (SELECT symbol, 'full' AS label, lo AS s, hi AS e, true AS available, NULL AS coincides FROM b
+      UNION ALL SELECT symbol, 'development', lo, least(dev, hi), lo <= dev, CASE WHEN lo <= dev AND hi <= dev THEN 'full' END FROM b
+      UNION ALL SELECT symbol, 'holdout', greatest(dev + 1, lo), hi, hi >= dev + 1, CASE WHEN hi >= dev + 1 AND lo >= dev + 1 THEN 'full' END FROM b)
+    SELECT w.symbol, label, available, coincides, CASE WHEN available THEN s END AS s, CASE WHEN available THEN e END AS e, count(px.date) AS n
+    FROM w LEFT JOIN px ON px.symbol = w.symbol AND available AND px.date BETWEEN s AND e GROUP BY 1, 2, 3, 4, 5, 6""",
+)
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the full, development and holdout windows of every symbol: one pass, no range join."""
+    """The full, development and holdout windows of every symbol: one that is the whole span says so, one outside it is not available. One pass, no range join."""
     px = P.px_line(spark, sf_dir).select("symbol", AT)
-    own = Window.partitionBy("symbol")
-    px = px.withColumns({"lo": F.min(AT).over(own), "hi": F.max(AT).over(own)})
-    label = lambda n, s, e: F.struct(F.lit(n).alias("label"), s.alias("s"), e.alias("e"))
-    w = F.array(label("full", F.col("lo"), F.col("hi")), label("development", F.col("lo"), F.date_add("lo", 1000)), label("holdout", F.date_add("lo", 1001), F.col("hi")))
-    return px.withColumn("w", F.explode(w)).where(F.col(AT).between(F.col("w.s"), F.col("w.e"))).groupBy("symbol", "w.label", "w.s", "w.e").agg(F.count("*").alias("n"))
+    b = px.groupBy("symbol").agg(F.min(AT).alias("lo"), F.max(AT).alias("hi"))
+    b = b.withColumn("dev", F.when(F.col("symbol") == "AF", F.date_add("lo", -1)).when(F.col("symbol") == "NO", F.col("hi")).otherwise(F.date_add("lo", 1000)))
+    cut = F.date_add("dev", 1)
+    row = lambda label, s, e, ok, same: F.struct(F.lit(label).alias("label"), s.alias("s"), e.alias("e"), ok.alias("available"), F.when(ok & same, "full").alias("coincides"))
+    w = b.select("symbol", F.explode(F.array(
+        row("full", F.col("lo"), F.col("hi"), F.lit(True), F.lit(False)),
+        row("development", F.col("lo"), F.least("dev", "hi"), F.col("lo") <= F.col("dev"), F.col("hi") <= F.col("dev")),
+        row("holdout", F.greatest(cut, F.col("lo")), F.col("hi"), F.col("hi") >= cut, F.col("lo") >= cut),
+    )).alias("w")).select("symbol", "w.*")
+    inside = F.col(AT).between(F.col("s"), F.col("e")) & F.col("available")
+    known = lambda c: F.when(F.col("available"), F.col(c)).alias(c)
+    return px.join(F.broadcast(w), "symbol").groupBy("symbol", "label", "available", "coincides", known("s"), known("e")).agg(F.count_if(inside).alias("n"))  # three windows a symbol
 
 
 @query("q_p15_index_checks", with_panels("px") + ", l AS (SELECT symbol, date, lag(date) OVER (PARTITION BY symbol ORDER BY date) AS p FROM px) SELECT symbol, count(*) AS n, count(DISTINCT date) AS n_dates, count(*) FILTER (WHERE p >= date) AS disorder FROM l GROUP BY 1")
@@ -166,9 +184,21 @@ def asof_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _macro_as_of(spark, sf_dir, strict=True)
 
 
-@query("q_j10_asof_inclusive", with_panels("ord", "macro") + "SELECT o.symbol, o.date, round(m.q, 6) AS q FROM ord o ASOF LEFT JOIN macro m ON o.date >= m.month")
+@query(
+    "q_j10_asof_inclusive",
+    with_panels("ord")
+    + """, f AS (SELECT d::DATE AS date FROM (SELECT unnest(generate_series((SELECT min(date) FROM ord), (SELECT max(date) FROM ord), INTERVAL 1 DAY)) AS d) WHERE isodow(d) = 5), s AS (SELECT DISTINCT symbol FROM ord)
+    SELECT f.date, s.symbol, CASE WHEN f.date - o.date <= 3 THEN round(o.close, 6) END AS v, CAST(f.date - o.date AS BIGINT) AS age FROM (f CROSS JOIN s) ASOF LEFT JOIN ord o ON o.symbol = s.symbol AND f.date >= o.date""",
+)
 def asof_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _macro_as_of(spark, sf_dir, strict=False)
+    """The latest observation at or before every Friday, with its age in days; one older than three days gives no value."""
+    px = P.px_orders(spark, sf_dir)
+    span = px.agg(F.min(AT).alias("lo"), F.max(AT).alias("hi"))
+    fridays = span.select(F.explode(F.sequence("lo", "hi")).alias(AT)).where(F.weekday(AT) == 4)
+    cut = fridays.crossJoin(F.broadcast(px.select("symbol").distinct()))
+    seen = px.select("symbol", AT, F.struct(F.col(AT).alias("at"), F.col("close").alias("v")).alias("o"))
+    got = S.as_of(cut, seen, KEYS, AT, "o", False, "o").withColumn("age", F.datediff(AT, "o.at").cast("long"))
+    return rounded(got.select(AT, "symbol", F.when(F.col("age") <= 3, F.col("o.v")).alias("v"), "age"))
 
 
 def _macro_as_of(spark: SparkSession, sf_dir: str, strict: bool) -> DataFrame:
@@ -276,13 +306,21 @@ def label_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- orders, sets, reshapes
 
 
-@query("q_o3_top_per_category", "SELECT r_name AS category, c_custkey, c_acctbal, rnk, 1.0::DOUBLE / count(*) OVER () AS weight FROM (SELECT r_name, c_custkey, c_acctbal, row_number() OVER (PARTITION BY r_name ORDER BY c_acctbal DESC, c_custkey) AS rnk FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) WHERE rnk <= 3")
+@query(
+    "q_o3_top_per_category",
+    """WITH want AS (SELECT * FROM (VALUES ('EUROPE', 1), ('AFRICA', 2), ('ASIA', 3)) t(category, place)), k AS (SELECT place, category, c_custkey, c_acctbal, row_number() OVER (PARTITION BY category ORDER BY c_acctbal DESC, c_custkey) AS rnk
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN want ON category = r_name) SELECT place, category, c_custkey, c_acctbal, rnk, 1.0::DOUBLE / count(*) OVER () AS weight FROM k WHERE rnk <= 3""",
+)
 def top_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best three of every category, equally weighted: the report is a top-k."""
+    """The best three of every requested category with its place in the request, equally weighted; a category with fewer is an error. The report is a top-k, kept small before the shuffle."""
     c, n, r = (P.table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    want = spark.createDataFrame([("EUROPE", 1), ("AFRICA", 2), ("ASIA", 3)], "category string, place int")
     j = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
-    top = j.select(F.col("r_name").alias("category"), "c_custkey", "c_acctbal", F.row_number().over(Window.partitionBy("r_name").orderBy(F.desc("c_acctbal"), "c_custkey")).cast("long").alias("rnk")).where("rnk <= 3")
-    return top.withColumn("weight", 1.0 / F.count("*").over(Window.partitionBy()))  # three rows a category
+    j = j.select(F.col("r_name").alias("category"), "c_custkey", "c_acctbal").join(F.broadcast(want), "category")
+    top = j.withColumn("rnk", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("c_acctbal"), "c_custkey")).cast("long")).where("rnk <= 3")
+    found = F.count("*").over(Window.partitionBy("category"))
+    short = F.when(found < 3, F.raise_error(F.concat(F.lit("too few in "), "category")).cast("long")).otherwise(F.col("rnk"))
+    return top.select("place", "category", "c_custkey", "c_acctbal", short.alias("rnk"), (1.0 / F.count("*").over(Window.partitionBy())).alias("weight"))  # three rows a category
 
 
 @query("q_o5_top_abs", with_panels("ret") + ", z AS (SELECT symbol, date, (r - avg(r) OVER (PARTITION BY symbol)) / stddev_samp(r) OVER (PARTITION BY symbol) AS z FROM ret) SELECT symbol, date, round(z, 5) AS z FROM z WHERE z IS NOT NULL ORDER BY abs(z) DESC, symbol, date LIMIT 20")
@@ -347,11 +385,15 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _regimes(spark, sf_dir).select("month", C.bin_regime("z_d", "z_t", "z_q").alias("label"))
 
 
-@query("q_f18_fridays", "SELECT d::DATE AS friday, CAST(isodow(d) AS INTEGER) AS dow FROM (SELECT unnest(generate_series((SELECT min(l_shipdate)::DATE FROM lineitem), (SELECT max(l_shipdate)::DATE FROM lineitem), INTERVAL 1 DAY)) AS d) WHERE isodow(d) = 5")
+@query(
+    "q_f18_fridays",
+    "SELECT strftime(d + INTERVAL 22 HOUR, '%Y-%m-%d %H:%M:%S') AS cutoff_utc, CAST(isodow(d) AS INTEGER) AS dow FROM (SELECT unnest(generate_series((SELECT min(l_shipdate)::DATE FROM lineitem), (SELECT max(l_shipdate)::DATE FROM lineitem), INTERVAL 1 DAY)) AS d) WHERE isodow(d) = 5",
+)
 def fridays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every Friday at 22 h UTC, whatever the session's zone: a wall time without a zone."""
     span = P.table(spark, sf_dir, "lineitem").agg(F.to_date(F.min("l_shipdate")).alias("lo"), F.to_date(F.max("l_shipdate")).alias("hi"))
-    d = span.select(F.explode(F.sequence("lo", "hi")).alias("friday"))
-    return d.where(F.weekday("friday") == 4).select("friday", (F.weekday("friday") + 1).alias("dow"))
+    d = span.select(F.explode(F.sequence("lo", "hi")).alias("friday")).where(F.weekday("friday") == 4)
+    return d.select(F.date_format(F.col("friday").cast("timestamp_ntz") + F.expr("interval 22 hours"), "yyyy-MM-dd HH:mm:ss").alias("cutoff_utc"), (F.weekday("friday") + 1).alias("dow"))
 
 
 @query("q_f20_business_day", "SELECT o_orderkey, CASE isodow(o_orderdate) WHEN 1 THEN o_orderdate::DATE - 3 WHEN 7 THEN o_orderdate::DATE - 2 ELSE o_orderdate::DATE - 1 END AS before FROM orders")
@@ -366,9 +408,21 @@ def json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.least(F.lit(1.0), k / 50).alias("clipped"))
 
 
-@query("q_f22_axis_regex", "SELECT conv_id, turn, TRY_CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS BIGINT) AS first_number, length(text) AS n FROM conversations")
+_AXIS = r"""(?i)["']?\\bk\\b["']?\\s*(?::|=|->)\\s*([+-]?[0-9]*\\.?[0-9]+(?:e[+-]?[0-9]+)?)""".replace("\\\\", "\\")
+
+
+@query(
+    "q_f22_axis_regex",
+    "WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN concat('K -> ', value, ' then k=1') WHEN 2 THEN concat('the ''k'' = -', abs(value), 'e1;') ELSE 'weak 3' END AS reply FROM events) SELECT event_id, TRY_CAST(nullif(regexp_extract(reply, '"
+    + _AXIS.replace("'", "''")
+    + "', 1), '') AS DOUBLE) AS k FROM r",
+)
 def axis_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract("text", "([0-9]+)", 1).try_cast("bigint").alias("first_number"), F.length("text").cast("long").alias("n"))
+    """The number named by an axis in a reply: quotes or none, a colon, an equals sign or an arrow, a sign and an exponent; the first match."""
+    e = P.table(spark, sf_dir, "events")
+    by = F.col("event_id") % 4
+    reply = F.when(by == 0, F.col("props")).when(by == 1, F.concat(F.lit("K -> "), F.col("value").cast("string"), F.lit(" then k=1"))).when(by == 2, F.concat(F.lit("the 'k' = -"), F.abs("value").cast("string"), F.lit("e1;"))).otherwise("weak 3")
+    return e.select("event_id", F.regexp_extract(reply, _AXIS, 1).try_cast("double").alias("k"))
 
 
 @query("q_f26_last_match", "SELECT item_id, list_last(regexp_extract_all(text, '[a-z]+ing')) AS last_ing, CAST(len(regexp_extract_all(text, '[a-z]+ing')) AS INTEGER) AS n FROM benchmark")
@@ -390,23 +444,52 @@ def tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.select("symbol", AT, C.within("close", "v", 1e-6).alias("ok"))
 
 
+#: The price panel with faults put in by rule, so that every flag has rows.
+_FAULTY = with_panels("px") + """, fpx AS (SELECT symbol, date, CASE WHEN n % 400 = 100 THEN high * 1.004 WHEN n % 400 = 150 THEN high * 1.1 ELSE open END AS open, CASE WHEN n % 400 = 200 THEN low * 0.5 ELSE high END AS high, low,
+      CASE WHEN n % 300 = 250 THEN close * 1.5 WHEN n % 500 >= 490 THEN 900.0 ELSE close END AS close, CASE WHEN n % 500 >= 490 THEN 0 ELSE volume END AS volume
+      FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM px)),
+    fb AS (SELECT *, greatest(0, close / high - 1, 1 - close / low) AS out_close, greatest(0, close / high - 1, 1 - close / low, open / high - 1, 1 - open / low) AS out_any, ln(close) - lag(ln(close)) OVER (PARTITION BY symbol ORDER BY date) AS r FROM fpx)""" + robust_z_sql("fb") + """,
+    fc AS (SELECT *, high < low OR open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 OR out_any > 0.01 AS structural, close <= 0 OR high < low OR out_close > 0.01 AS bad_close, lead(r) OVER (PARTITION BY symbol ORDER BY date) AS nx,
+      coalesce(close = lag(close) OVER (PARTITION BY symbol ORDER BY date), false) AND coalesce(volume, 0) = 0 AS flat, count(z) OVER (PARTITION BY date) AS seen, count(*) FILTER (WHERE abs(z) > 3) OVER (PARTITION BY date) AS moved FROM mz),
+    fd AS (SELECT *, coalesce(sign(nx) = -sign(r) AND abs(nx) >= 0.6 * abs(r), false) AS undone, seen >= 5 AND moved / greatest(seen, 1) >= 0.5 AS market, sum(CASE WHEN flat THEN 0 ELSE 1 END) OVER (PARTITION BY symbol ORDER BY date) AS run FROM fc),
+    fe AS (SELECT *, coalesce(abs(z) > 6 AND abs(r) >= 0.002, false) AND undone AND NOT market AS spike FROM fd),
+    ff AS (SELECT *, out_any > 0 AND NOT structural AS ohlc_quirk, spike AND abs(r) >= ln(1.05) AS fat_finger, spike AND NOT abs(r) >= ln(1.05) AS jitter, coalesce(abs(r) >= ln(1.8), false) AND NOT undone AS level_shift,
+      flat AND count(*) FILTER (WHERE flat) OVER (PARTITION BY symbol, run) >= 5 AS stale FROM fe), flags AS (SELECT *, structural OR fat_finger OR jitter OR level_shift OR stale AS any_error FROM ff)"""
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = P.px_line(spark, sf_dir).withColumn("n", F.row_number().over(S.ordered(KEYS, AT)))
+    at = lambda m, k: F.col("n") % m == k
+    dead = F.col("n") % 500 >= 490
+    return px.select(
+        "symbol", AT, F.when(at(400, 100), F.col("high") * 1.004).when(at(400, 150), F.col("high") * 1.1).otherwise(F.col("open")).alias("open"), F.when(at(400, 200), F.col("low") * 0.5).otherwise(F.col("high")).alias("high"), "low",
+        F.when(at(300, 250), F.col("close") * 1.5).when(dead, 900.0).otherwise(F.col("close")).alias("close"), F.when(dead, 0).otherwise(F.col("volume")).alias("volume"),
+    )
+
+
+@query("q_f40_qc_flags", _FAULTY + " SELECT symbol, date, structural, fat_finger, jitter, level_shift, stale, ohlc_quirk, bad_close, any_error AS any, round(z, 4) AS z FROM flags")
+def qc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every flag of every row of a panel with faults."""
+    x = Q.flagged(_faulty(spark, sf_dir))
+    return rounded(x.select("symbol", AT, *Q.ERRORS, "ohlc_quirk", "bad_close", "any", "z"), 4)
+
+
 @query(
-    "q_f40_qc_flags",
-    with_panels("px")
-    + """, r AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM px), z AS (SELECT *, (r - avg(r) OVER (PARTITION BY symbol)) / stddev_samp(r) OVER (PARTITION BY symbol) AS z FROM r),
-    m AS (SELECT date, count(*) >= 5 AND avg(CASE WHEN abs(z) > 3 THEN 1.0 ELSE 0 END) >= 0.5 AS market FROM z GROUP BY 1)
-    SELECT symbol, count(*) FILTER (WHERE NOT (low <= open AND open <= high AND low <= close AND close <= high)) AS structural, count(*) FILTER (WHERE abs(z) > 3 AND NOT market) AS fat_finger, count(*) FILTER (WHERE NOT (close > 0)) AS bad_close FROM z JOIN m USING (date) GROUP BY 1""",
+    "q_a27_qc_summary",
+    _FAULTY + " SELECT coalesce(symbol, 'TOTAL') AS symbol, count(*) AS n_rows, " + ", ".join(f"round(avg(CAST({c} AS INTEGER)) * 100, 6) AS {n}" for c, n in [*((x, x) for x in ("structural", "fat_finger", "jitter", "level_shift", "stale", "ohlc_quirk")), ("any_error", '"any"')]) + " FROM flags GROUP BY ROLLUP (symbol)",
 )
-def qc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structural, outlier and bad-close flags; a day on which half of at least five symbols jump is the market's."""
-    own = Window.partitionBy("symbol")
-    z = P.px_line(spark, sf_dir).withColumn("r", S.simple_return("close", S.ordered(KEYS, AT)))
-    z = z.withColumn("z", (F.col("r") - F.avg("r").over(own)) / F.stddev_samp("r").over(own))
-    jump = F.coalesce(F.abs("z") > 3, F.lit(False))
-    day = Window.partitionBy(AT)
-    z = z.withColumn("market", (F.count("*").over(day) >= 5) & (F.avg(jump.cast("double")).over(day) >= 0.5))
-    fine = F.col("open").between(F.col("low"), F.col("high")) & F.col("close").between(F.col("low"), F.col("high"))
-    return z.groupBy("symbol").agg(F.count_if(~fine).alias("structural"), F.count_if(jump & ~F.col("market")).alias("fat_finger"), F.count_if(~(F.col("close") > 0)).alias("bad_close"))
+def qc_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cent of rows flagged, a symbol at a time and over all rows."""
+    return rounded(Q.summary(Q.flagged(_faulty(spark, sf_dir))))
+
+
+@query(
+    "q_f40_clean",
+    _FAULTY + ", g AS (SELECT *, NOT (bad_close OR fat_finger OR jitter) AS good FROM flags) SELECT symbol, date, round(CASE WHEN good THEN open END, 6) AS open, round(CASE WHEN good THEN high END, 6) AS high, round(CASE WHEN good THEN low END, 6) AS low, round(last_value(CASE WHEN good THEN close END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date), 6) AS close, volume FROM g",
+)
+def qc_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel without its bad rows' prices, closes carried forward."""
+    return rounded(Q.cleaned(Q.flagged(_faulty(spark, sf_dir))))
 
 
 @query("q_a34_wilson", "SELECT source, count(*) AS n, sum(toxic)::BIGINT AS k, round((p + z * z / (2 * n_) - z * sqrt(p * (1 - p) / n_ + z * z / (4 * n_ * n_))) / (1 + z * z / n_), 6) AS lo, round((p + z * z / (2 * n_) + z * sqrt(p * (1 - p) / n_ + z * z / (4 * n_ * n_))) / (1 + z * z / n_), 6) AS hi FROM (SELECT *, avg(toxic) OVER (PARTITION BY source) AS p, count(*) OVER (PARTITION BY source) AS n_, 1.96::DOUBLE AS z FROM labels JOIN documents USING (doc_id)) GROUP BY source, p, n_, z")
@@ -418,9 +501,9 @@ def wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(a.select("source", "n", "k", lo.alias("lo"), hi.alias("hi")))
 
 
-@query("q_a33_score_report", with_panels("scores") + "SELECT user_id, count(*) AS n, round(avg(pit), 6) AS mean, round(quantile_cont(pit, 0.9), 6) AS p90, round(avg(CASE WHEN pit IS NULL THEN 1.0 ELSE 0 END), 6) AS fail_rate FROM scores GROUP BY 1")
+@query("q_a33_score_report", with_panels("scores") + "SELECT user_id, count(*) AS n, round(avg(pit), 6) AS mean, round(median(pit), 6) AS med, round(quantile_cont(pit, 0.9), 6) AS p90, round(avg(CASE WHEN pit IS NULL THEN 1.0 ELSE 0 END), 6) AS fail_rate FROM scores GROUP BY 1")
 def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(P.scores(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.avg("pit").alias("mean"), S.percentile("pit", 0.9).alias("p90"), F.avg(F.col("pit").isNull().cast("double")).alias("fail_rate")))
+    return rounded(P.scores(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.avg("pit").alias("mean"), F.median("pit").alias("med"), S.percentile("pit", 0.9).alias("p90"), F.avg(F.col("pit").isNull().cast("double")).alias("fail_rate")))
 
 
 @query("q_a31_stability", with_panels("scores") + ", x AS (SELECT user_id, day, pit, abs(pit - lag(pit) OVER (PARTITION BY user_id ORDER BY day)) AS c FROM scores WHERE pit IS NOT NULL) SELECT user_id, round(CASE WHEN count(*) < 2 THEN 0 ELSE stddev_pop(pit) END, 6) AS std, round(coalesce(avg(c), 0), 6) AS mac FROM x GROUP BY 1")

@@ -9,28 +9,17 @@ from ..functions import columns as C
 from ..operators import series as S
 from ..sources import panels as P
 from ..sources.panels import with_panels
+from .kernel_queries import long_run, long_run_sql
 from .registry import query, rounded
 
 KEYS, AT = ["symbol"], "date"
 
 
-@query(
-    "q_a46_hac_t",
-    with_panels("ret")
-    + """, z AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, r, r - avg(r) OVER (PARTITION BY symbol) AS z FROM ret WHERE r IS NOT NULL),
-    g AS (SELECT a.symbol, k, avg(a.z * b.z) AS g FROM z a, range(0, 11) t(k) JOIN z b ON b.symbol = a.symbol AND b.i = a.i - k GROUP BY 1, 2),
-    v AS (SELECT symbol, sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / 11.0) * g END) AS v FROM g GROUP BY 1)
-    SELECT z.symbol, round(avg(r) / sqrt(v / count(*)), 5) AS t FROM z JOIN v ON v.symbol = z.symbol GROUP BY 1, v""",
-)
+@query("q_a46_hac_t", with_panels("ret") + ", rs AS (SELECT symbol, date, r AS s FROM ret)" + long_run_sql("rs") + ", m AS (SELECT symbol, avg(s) AS m FROM z GROUP BY 1) SELECT symbol, lags, round(m / sqrt(v / n), 5) AS t FROM lr JOIN m USING (symbol)")
 def hac_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """t value of the mean return with ten Bartlett lags, by a lag self-join."""
-    r = P.returns(spark, sf_dir).where("r is not null")
-    z = r.withColumns({"i": F.row_number().over(S.ordered(KEYS, AT)), "z": F.col("r") - F.avg("r").over(Window.partitionBy("symbol"))})
-    left = z.select("symbol", F.col("z").alias("a"), "i", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k")).select("symbol", "a", "k", (F.col("i") - F.col("k")).alias("i"))
-    g = left.join(z.select("symbol", "i", F.col("z").alias("b")), ["symbol", "i"]).groupBy("symbol", "k").agg(F.avg(F.col("a") * F.col("b")).alias("g"))
-    v = g.groupBy("symbol").agg(F.sum(F.when(F.col("k") == 0, F.col("g")).otherwise(2 * (1 - F.col("k") / 11) * F.col("g"))).alias("v"))
-    m = r.groupBy("symbol").agg(F.avg("r").alias("m"), F.count("*").alias("n"))
-    return rounded(m.join(v, "symbol").select("symbol", (F.col("m") / F.sqrt(F.col("v") / F.col("n"))).alias("t")), 5)
+    """t value of the mean return over its long-run variance, with the plug-in bandwidth."""
+    v = long_run(P.returns(spark, sf_dir).select("symbol", AT, F.col("r").alias("s")))
+    return rounded(v.select("symbol", "lags", (F.col("mean") / F.sqrt(F.col("lr_var") / F.col("n"))).alias("t")), 5)
 
 
 @query(
