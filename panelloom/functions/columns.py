@@ -140,3 +140,35 @@ def gates(t: str, appraisal: str, stable: str, premium: str, calmar: str, base_c
     }
     passed = {k: F.coalesce(v, F.lit(False)) for k, v in passed.items()}
     return passed, F.coalesce(*(F.when(~v, k) for k, v in passed.items()))
+
+
+def overlaps(lo: str, hi: str, other_lo: str, other_hi: str) -> Column:
+    """Whether two closed intervals meet."""
+    return (F.col(lo) <= F.col(other_hi)) & (F.col(other_lo) <= F.col(hi))
+
+
+def cash_pin(scale: str | Column, base: float = 0.25) -> Column:
+    """The cash weight that a scale of the rest leaves."""
+    return 1 - _c(scale) * (1 - base)
+
+
+def to_usd(price: str | Column, unit: str, rate: float) -> Column:
+    """A price in pence or in a currency, in dollars."""
+    return _c(price) * (0.01 if unit == "GBp" else 1.0) * rate
+
+
+def stability_verdict(ratio: str, p: str, alpha: float = 0.05) -> tuple[Column, Column, Column]:
+    """(stable, stably below, sentence) of a ratio with its tail probability."""
+    r, q = F.col(ratio), F.col(p)
+    stable, below = (q < alpha) & (r > 0), (q < alpha) & (r < 0)
+    said = lambda word: F.format_string(f"SSR=%.2f {word} p=%.3f", r, q)
+    return stable, below, F.when(r.isNull() | q.isNull(), "insufficient").when(stable, said("stable")).when(below, said("below")).otherwise(said("open"))
+
+
+def views(reply: str | Column) -> Column:
+    """Views (asset_long, expected, confidence) of a reply: a JSON array, perhaps between code fences; items without a name or a number are left out."""
+    bare = F.regexp_replace(F.trim(_c(reply)), r"(?s)^`+\s*(?:json)?\s*|\s*`+$", "")
+    items = F.from_json(F.when(bare.startswith("["), bare), "array<string>")
+    field = lambda x, name: F.get_json_object(x, f"$.{name}")
+    view = lambda x: F.struct(field(x, "asset_long").alias("asset_long"), field(x, "expected_excess_annualized").try_cast("double").alias("expected"), field(x, "confidence").try_cast("double").alias("confidence"))
+    return F.filter(F.transform(items, view), lambda v: v["asset_long"].isNotNull() & v["expected"].isNotNull() & v["confidence"].isNotNull())

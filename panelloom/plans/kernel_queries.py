@@ -168,8 +168,10 @@ def windows_of(r: DataFrame, size: int, step: int, first: int = 0) -> DataFrame:
     A date belongs to at most size / step windows, whatever the history; only the
     date list is numbered, the panel itself is joined to it.
     """
-    ends = sessions_of(r).withColumn("end", F.explode(F.expr(f"filter(transform(sequence(0, {-(-size // step)}), k -> (ceil((pos - {first}) / {step}) + k) * {step} + {first}), e -> e >= pos and e < pos + {size} and e >= {size - 1})")))
-    return r.join(ends, AT).select("end", AT, "symbol", "r")
+    days = sessions_of(r)
+    last = days.agg(F.max("pos").alias("last"))  # one row
+    ends = days.crossJoin(F.broadcast(last)).withColumn("end", F.explode(F.expr(f"filter(transform(sequence(0, {-(-size // step)}), k -> (ceil((pos - {first}) / {step}) + k) * {step} + {first}), e -> e >= pos and e < pos + {size} and e >= {size - 1})")))
+    return r.join(ends.where("end <= last"), AT).select("end", AT, "symbol", "r")
 
 
 def _wide(pdf: pd.DataFrame) -> tuple[pd.DataFrame, object]:
