@@ -172,3 +172,8 @@ def views(reply: str | Column) -> Column:
     field = lambda x, name: F.get_json_object(x, f"$.{name}")
     view = lambda x: F.struct(field(x, "asset_long").alias("asset_long"), field(x, "expected_excess_annualized").try_cast("double").alias("expected"), field(x, "confidence").try_cast("double").alias("confidence"))
     return F.filter(F.transform(items, view), lambda v: v["asset_long"].isNotNull() & v["expected"].isNotNull() & v["confidence"].isNotNull())
+
+
+def finite_positive(x: str | Column) -> Column:
+    """Whether a number is finite and above zero; null is not."""
+    return F.coalesce((_c(x) > 0) & ~F.isnan(_c(x)) & (_c(x) < float("inf")), F.lit(False))

@@ -34,3 +34,9 @@ def columns(spark: SparkSession, table: str) -> DataFrame:
 
 def preview(spark: SparkSession, table: str, n: int = 5) -> DataFrame:
     return spark.table(table).limit(n)
+
+
+def table_shapes(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """(table, position, column) of the named tables of a folder, from their files' footers."""
+    rows = [(n, i, f.name) for n in names for i, f in enumerate(spark.read.parquet(f"{sf_dir}/{n}.parquet").schema.fields, 1)]
+    return spark.createDataFrame(rows, "table string, position int, column string")
