@@ -129,6 +129,8 @@ class Vocabulary:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.char = {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(hidden)}}
         self.added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
+        if len(self.added) > 1:
+            raise ValueError(f"one added token at the most is supported, the file has {len(self.added)}")
         self.special = next(iter(self.added), b"")
         self.special_id = self.added.get(self.special, -1)
         self.n = 1 + max([*vocab.values(), *self.added.values()])

@@ -7,7 +7,8 @@ text, identity terms are swapped for others of their group (a text without one
 is given one), and the squared change of the score is added.  What is left of an
 identity term's weight is what it shares with every term of its group; pairs of a
 text with and without the term take that away too, so that a neutral mention of
-a group does not raise a score.
+a group does not raise a score.  The pairs of a step are made from every fourth
+text of its batch and one group each, drawn anew in every epoch.
 
 Training takes at most about ``SAMPLE`` labelled texts, chosen by a hash of the
 id; scoring covers whole texts.  Null and empty texts have no feature and score

@@ -241,6 +241,56 @@ def test_language_held_out(spark, sf_dir):
     assert (got.lang == got.lang_pred).mean() > 0.95
 
 
+def plain_probabilities(net, data):
+    """Byte-weighted mean over the windows of one text, filter by filter."""
+    low = [b + 32 if 65 <= b <= 90 else b for b in data]
+    total = np.zeros(len(net.langs))
+    for lo in range(0, len(low), language_cnn.WINDOW):
+        window = low[lo : lo + language_cnn.WINDOW]
+        padded = window + [0] * (language_cnn.WINDOW - len(window) + language_cnn.REACH - 1)
+        top = np.full(len(net.bias), -np.inf)
+        for at in range(language_cnn.WINDOW):
+            seen = np.concatenate([net.embed[b] for b in padded[at : at + language_cnn.REACH]])
+            top = np.maximum(top, seen @ net.kernel)
+        logits = np.maximum(top + net.bias, 0) @ net.out + net.shift
+        p = np.exp(logits - logits.max())
+        total += p / p.sum() * len(window)
+    return total / max(1, len(low))
+
+
+def test_language_scores_against_plain_filters(spark):
+    rng = np.random.default_rng(3)
+    net = language_cnn.train(rng.integers(97, 123, (60, language_cnn.WINDOW)).astype(np.uint8), rng.integers(0, 3, 60), ["a", "b", "c"], steps=20)
+    assert all(not net.kernel[w * language_cnn.EMBED :, k * language_cnn.FILTERS : (k + 1) * language_cnn.FILTERS].any() for k, w in enumerate(language_cnn.WIDTHS))
+    texts = ["Short Text", "x" * 700 + " éü " + "Ab" * 90, "word " * 60]
+    got = {r.doc_id: r for r in language_cnn.predict(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), net).collect()}
+    for i, t in enumerate(texts):
+        p = plain_probabilities(net, t.encode())
+        assert got[i].lang_pred == net.langs[int(p.argmax())] and abs(got[i].score - p.max()) < 1e-4
+
+
+def test_toxicity_scores_against_a_plain_sum(spark):
+    model = toxicity.Model(np.random.default_rng(1).normal(0, 0.3, toxicity.SIZE).astype(np.float32), -0.7)
+    texts = ["Some words, some WORDS again and 12 numbers", "", None, "é longerword longerwords"]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        names = set()
+        for w in re.findall(rb"[a-z\x80-\xff]+", (t or "").lower().encode()):
+            names |= {(w, 0)} | {(w[:n], n) for n in toxicity.STARTS if len(w) > n}
+        slot = set()
+        for w, n in names:
+            b = block([w.decode("utf-8", "surrogateescape")]) if n == 0 else None
+            if n == 0:
+                lo, hi, _ = arrays.words(b, np.ones(len(b.data), bool))
+                slot.add(int(arrays.word_hashes(b, lo, hi)[0] % np.uint64(toxicity.SIZE)))
+            else:
+                pre = arrays.byte_prefix(np.frombuffer(w, np.uint8), 1)
+                slot.add(int(arrays.mix(arrays.spans(pre, np.array([0]), np.array([n]), 1) + np.uint64(n))[0] % np.uint64(toxicity.SIZE)))
+        want = 1 / (1 + np.exp(-(model.bias + sum(float(model.weights[s]) for s in slot))))
+        assert abs(got[i] - want) < 1e-6
+    assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
 def test_pii_of_odd_rows(spark, odd):
     got = pii_semicrf.pii_spans(odd, keep=("doc_id", "score")).collect()
     assert len(got) == odd.count()
