@@ -13,12 +13,12 @@ import numpy as np
 
 
 def hac_variance(z: np.ndarray, lags: int) -> float:
-    """Long-run variance with Bartlett weights; autocovariances are means over their own products."""
-    z = z - z.mean()
-    out = float(np.mean(z * z))
-    for k in range(1, min(lags, len(z) - 1) + 1):
-        out += 2 * (1 - k / (lags + 1)) * float(np.mean(z[k:] * z[:-k]))
-    return max(out, 0.0)
+    """Long-run variance with Bartlett weights; autocovariances are means over their own products, all of them from one transform."""
+    z, n = z - z.mean(), len(z)
+    lags = min(lags, n - 1)
+    power = np.fft.rfft(z, 1 << (2 * n - 1).bit_length())
+    cov = np.fft.irfft(power * power.conj())[: lags + 1] / (n - np.arange(lags + 1))
+    return max(float(cov[0] + 2 * (1 - np.arange(1, lags + 1) / (lags + 1)) @ cov[1:]), 0.0)
 
 
 def plug_in_lags(z: np.ndarray) -> int:
@@ -33,11 +33,15 @@ def plug_in_lags(z: np.ndarray) -> int:
 
 
 def rolling_sharpe(r: np.ndarray, window: int) -> np.ndarray:
+    """Annualised ratio of every window from running sums of the centred returns; nan where a window is flat."""
     if len(r) < window:
         return np.zeros(0)
-    w = np.lib.stride_tricks.sliding_window_view(r, window)
-    sd = w.std(axis=1, ddof=1)
-    return np.where(sd > 0, w.mean(axis=1) / np.where(sd > 0, sd, 1) * np.sqrt(252), np.nan)
+    centre = r.mean()
+    sums = np.concatenate([np.zeros((2, 1)), np.cumsum([r - centre, (r - centre) ** 2], axis=1)], axis=1)
+    first, second = (sums[:, window:] - sums[:, :-window]) / window
+    var = (second - first**2) * window / (window - 1)
+    ok = var > 1e-12 * max(float(second.mean()), 1e-300)
+    return np.where(ok, (first + centre) / np.sqrt(np.where(ok, var, 1)) * np.sqrt(252), np.nan)
 
 
 def path_stability(r: np.ndarray, window: int = 252, target: float = 0.0) -> tuple[float, float, int]:

@@ -49,6 +49,16 @@ def test_bandwidth_and_long_run_variance(n, rho):
     assert math.isclose(K.hac_variance(z, lags), max(total, 0.0), rel_tol=1e-9)
 
 
+def test_rolling_sharpe_like_pandas():
+    r = series(400, 0.2, 5) * 0.01
+    r[100:180] = 0.002
+    w = pd.Series(r).rolling(50)
+    want = (w.mean() / w.std() * np.sqrt(252)).to_numpy()[49:]
+    got = K.rolling_sharpe(r, 50)
+    flat = np.array([np.ptp(r[i : i + 50]) == 0 for i in range(351)])
+    assert np.isnan(got[flat]).all() and np.allclose(got[~flat], want[~flat], rtol=1e-7)
+
+
 def plain_block(x):
     n, m = len(x), sum(x) / len(x)
     z = [v - m for v in x]
