@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +12,7 @@ from ..operators import series as S
 from ..sources import catalog
 from ..sources import panels as P
 from ..sources.panels import with_panels
+from ..sources.scratch import new_folder
 from .registry import query, rounded
 
 KEYS, AT = ["symbol"], "date"
@@ -58,20 +56,10 @@ def shape_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, "missing" if c not in have else "ok" if have[c] in kinds else "type") for c, kinds in want.items()], "name string, finding string")
 
 
-def _new_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only on a local master, whose executors are the driver."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-
-
 @query("q_s25_parquet_sink", with_panels("scores") + "SELECT user_id, day, round(pit, 9) AS pit FROM scores WHERE pit IS NOT NULL")
 def parquet_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table with its date as a column, written into a new folder and read again (S25, S29: an existing folder is an error)."""
-    folder = _new_folder(spark)
+    folder = new_folder(spark, "table")
     P.scores(spark, sf_dir).where("pit is not null").select("user_id", "day", F.round("pit", 9).alias("pit")).write.mode("errorifexists").parquet(folder)
     return spark.read.parquet(folder)
 
@@ -86,7 +74,7 @@ def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_s30_jsonl_source", "SELECT event_id, user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL")
 def jsonl_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence written as one JSON object a line and read with a declared schema; lines without a whole k go."""
-    folder = _new_folder(spark)
+    folder = new_folder(spark, "table")
     rows = P.table(spark, sf_dir, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
     rows.write.mode("errorifexists").json(folder)
     return spark.read.schema("event_id long, user_id long, k long").json(folder).where("k is not null")

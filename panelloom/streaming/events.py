@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only on a local master, whose executors are the driver."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.scratch import new_folder
 
 
 def _drained(spark: SparkSession, sf_dir: str, build) -> DataFrame:
     """Run a streaming job over the table's file until it is drained; every batch is written as Parquet by the executors, and the last one read."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    folder, out, done = _folder(spark), build(source), []
+    folder, out, done = new_folder(spark, "stream"), build(source), []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
