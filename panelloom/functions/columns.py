@@ -177,3 +177,12 @@ def views(reply: str | Column) -> Column:
 def finite_positive(x: str | Column) -> Column:
     """Whether a number is finite and above zero; null is not."""
     return F.coalesce((_c(x) > 0) & ~F.isnan(_c(x)) & (_c(x) < float("inf")), F.lit(False))
+
+
+def sign_tail(k: str | Column, n: str | Column) -> Column:
+    """Chance of k heads or more in n fair throws, summed over logarithms of binomial coefficients."""
+    start = F.struct((-_c(n) * F.ln(F.lit(2.0))).alias("term"), F.lit(0.0).alias("total"))
+    step = lambda a, j: F.struct(
+        (a["term"] + F.when(j < _c(n), F.ln((_c(n) - j) / (j + 1.0))).otherwise(0.0)).alias("term"), (a["total"] + F.when(j >= _c(k), F.exp(a["term"])).otherwise(0.0)).alias("total")
+    )
+    return F.least(F.lit(1.0), F.aggregate(F.sequence(F.lit(0), _c(n).cast("int")), start, step, lambda a: a["total"]))

@@ -253,6 +253,8 @@ def minimax(payoff: np.ndarray) -> tuple[np.ndarray, float]:
 def cheapest_path(emission: np.ndarray, penalty: float) -> np.ndarray:
     """States of least emission plus penalty a jump; ties stay, then take the lowest state."""
     t, k = emission.shape
+    if k == 2:
+        return _cheapest_of_two(emission, penalty)
     cost, back = emission[0].copy(), np.zeros((t, k), np.int64)
     for i in range(1, t):
         jump = int(cost.argmin())
@@ -266,6 +268,27 @@ def cheapest_path(emission: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
+def _cheapest_of_two(emission: np.ndarray, penalty: float) -> np.ndarray:
+    """cheapest_path of two states: plain numbers, as each row is too short for arrays."""
+    first, second = emission[:, 0].tolist(), emission[:, 1].tolist()
+    a, b = first[0], second[0]
+    from_a, from_b = [0], [1]
+    for x, y in zip(first[1:], second[1:], strict=True):
+        best = b if b < a else a
+        move, to = best + penalty, 1 if b < a else 0
+        stay_a, stay_b = a <= move, b <= move
+        from_a.append(0 if stay_a else to)
+        from_b.append(1 if stay_b else to)
+        a, b = x + (a if stay_a else move), y + (b if stay_b else move)
+    path = np.empty(len(first), np.int64)
+    state = 1 if b < a else 0
+    path[-1] = state
+    for i in range(len(first) - 1, 0, -1):
+        state = from_b[i] if state else from_a[i]
+        path[i - 1] = state
+    return path
+
+
 def sparse_weights(x: np.ndarray, path: np.ndarray, budget: float) -> np.ndarray:
     """Feature weights of length one and sum ``budget`` at most, by the spread between states; weak features get none."""
     spread = sum((path == k).sum() * (x[path == k].mean(axis=0) - x.mean(axis=0)) ** 2 for k in np.unique(path))
@@ -441,3 +464,47 @@ def signed_rank_tail(d: np.ndarray) -> tuple[float, float]:
         ways[v:] = ways[v:] + ways[: len(ways) - v].copy()
     w = rank[d > 0].sum()
     return float(w), float(ways[int(np.rint(2 * w)) :].sum() / 2.0**n)
+
+
+def student_tail(t: float, df: int) -> float:
+    """Chance that Student's t with a whole number of degrees of freedom exceeds t, by its finite series."""
+    if df < 1 or np.isnan(t):
+        return float("nan")
+    angle = np.arctan2(abs(t), np.sqrt(df))
+    c2 = np.cos(angle) ** 2
+    term = np.cos(angle) if df % 2 else 1.0
+    total, first = 0.0, 1 if df % 2 else 0
+    for j in range(first, df - 1, 2):  # powers of the cosine: 1, 3, ... or 0, 2, ...
+        total += term
+        term *= c2 * (j + 1) / (j + 2)
+    inside = 2 / np.pi * (angle + np.sin(angle) * total) if df % 2 else np.sin(angle) * total
+    upper = (1 - inside) / 2
+    return float(upper if t >= 0 else 1 - upper)
+
+
+def student_quantile(p: float, df: int) -> float:
+    """The t value below which a share p lies, by bisection."""
+    if df < 1:
+        return float("nan")
+    lo, hi = -1.0, 1.0
+    while student_tail(hi, df) > 1 - p:
+        hi *= 2
+    while student_tail(lo, df) < 1 - p:
+        lo *= 2
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if student_tail(mid, df) > 1 - p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def mean_correlation(x: np.ndarray, halflife: float) -> float:
+    """Mean correlation of the pairs of columns, rows weighted by half-lives of their age; nan for fewer than two of either."""
+    if min(x.shape) < 2:
+        return float("nan")
+    w = 0.5 ** (np.arange(len(x))[::-1] / halflife)
+    z = x - w @ x / w.sum()
+    cov = (z * w[:, None]).T @ z
+    sd = np.sqrt(np.diag(cov))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        c = (cov / np.outer(sd, sd))[np.triu_indices(x.shape[1], 1)]
+    return float(np.nanmean(c)) if not np.isnan(c).all() else float("nan")

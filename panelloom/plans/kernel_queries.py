@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -174,6 +176,27 @@ def windows_of(r: DataFrame, size: int, step: int, first: int = 0) -> DataFrame:
     return r.join(ends.where("end <= last"), AT).select("end", AT, "symbol", "r")
 
 
+def slid(r: DataFrame, size: int, step: int, first: int, value: Callable[[np.ndarray], float], block: int = 256) -> DataFrame:
+    """(date, value) of the trailing window of ``size`` common sessions at every step-th one counted from ``first``.
+
+    A block of sessions and the ``size - 1`` before it are one group, in which the window slides: a row is in
+    1 + size / block groups instead of size / step.
+    """
+    days = sessions_of(r)
+    top = days.agg(F.floor(F.max("pos") / block).alias("top"))  # one row
+    of = F.explode(F.sequence(F.floor(F.col("pos") / block), F.floor((F.col("pos") + size - 1) / block)))
+    inside = days.withColumn("block", of).crossJoin(F.broadcast(top)).where("block <= top").select(AT, "pos", "block")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo = int(pdf.block.iloc[0]) * block
+        w = pdf.pivot(index="pos", columns="symbol", values="r").sort_index()
+        x, at, dates = w.to_numpy(), w.index.to_numpy(), pdf.drop_duplicates("pos").set_index("pos").date
+        ends = [k for k in range(size - 1, len(at)) if at[k] >= lo and (at[k] - first) % step == 0]
+        return pd.DataFrame({"date": pd.Series([dates[at[k]] for k in ends], dtype=object), "value": [value(x[k - size + 1 : k + 1]) for k in ends]})
+
+    return r.join(inside, AT).groupBy("block").applyInPandas(run, "date date, value double")
+
+
 def _wide(pdf: pd.DataFrame) -> tuple[pd.DataFrame, object]:
     w = pdf.pivot(index="date", columns="symbol", values="r").sort_index()
     return w, w.index[-1]
@@ -182,15 +205,9 @@ def _wide(pdf: pd.DataFrame) -> tuple[pd.DataFrame, object]:
 @query("q_w29_absorption")
 def absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absorption ratio of trailing 252-session windows every fifth session from the first full one, carried forward between them."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, last = _wide(pdf)
-        return pd.DataFrame({"date": [last], "absorption": [K.absorption(w.to_numpy())]})
-
     size = 252
-
     r = P.returns(spark, sf_dir).where("r is not null").select("symbol", AT, "r")
-    got = windows_of(r, size, 5, size - 1).groupBy("end").applyInPandas(one, "date date, absorption double")
+    got = slid(r, size, 5, size - 1, K.absorption).withColumnRenamed("value", "absorption")
     every = sessions_of(r).where(F.col("pos") >= size - 1).join(got, AT, "left")
     carried = F.last(F.when(~F.isnan("absorption"), F.col("absorption")), ignorenulls=True).over(Window.orderBy(AT).rowsBetween(Window.unboundedPreceding, 0))  # sessions
     return every.select(AT, F.coalesce(carried, F.lit(float("nan"))).alias("absorption"))
@@ -199,14 +216,8 @@ def absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_w30_turbulence")
 def turbulence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of every session from the 252 before it."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, last = _wide(pdf)
-        x = w.to_numpy()
-        return pd.DataFrame({"date": [last], "turbulence": [K.turbulence(x[:-1], x[-1])]})
-
     r = P.returns(spark, sf_dir).where("r is not null").select("symbol", AT, "r")
-    return windows_of(r, 253, 1).groupBy("end").applyInPandas(one, "date date, turbulence double")
+    return slid(r, 253, 1, 0, lambda x: K.turbulence(x[:-1], x[-1])).withColumnRenamed("value", "turbulence")
 
 
 @query("q_k2_bootstrap")
