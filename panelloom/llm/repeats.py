@@ -22,6 +22,7 @@ keys and of documents are sized by the bytes of the table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -36,9 +37,10 @@ from .shared_store import Scratch
 
 FLUSH = 500_000
 HOT = 64
-COVERED, OPEN, OPEN_HOT, WINDOW = range(4)
+KEYS, COVERED, OPEN, OPEN_HOT, WINDOW, BYTES = range(-1, 5)
 REPLY = "owner long, kind int, blob binary"
-BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 127
+PARCEL = REPLY + ", body binary"
+BUCKET_BYTES, LEAST_BUCKETS, SHELVES = 16 << 20, 127, 4096
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -88,13 +90,87 @@ def reply_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def buckets_for(docs: DataFrame, text: str) -> int:
-    """A prime number of buckets that keeps each near BUCKET_BYTES of text, LEAST_BUCKETS at least."""
+@dataclass(frozen=True)
+class Deal:
+    """n buckets of keys, and n of documents after them, in shelves of ``width``.
+
+    With a width of one a row is sent to its bucket.  Else it is sent to its shelf,
+    named by the shelf's first bucket, and from there to its bucket (``dealt``):
+    a flush makes one parcel a shelf, and a shelf's task one a bucket of it, so
+    neither falls apart into parcels of a row or two.
+    """
+
+    n: int
+    width: int
+
+    def shelf(self, owner: np.ndarray) -> np.ndarray:
+        first = np.where(owner >= self.n, self.n, 0)
+        return first + (owner - first) // self.width * self.width
+
+    def of_keys(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) % np.uint64(self.n)).astype(np.int64)
+
+    def of_docs(self, doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        return self.n + np.mod(doc.astype(np.int64) ^ tag.astype(np.int64), self.n)
+
+
+def deal_for(docs: DataFrame, text: str) -> Deal:
+    """A prime number of buckets that keeps each near BUCKET_BYTES of text, LEAST_BUCKETS at least; above SHELVES, as many shelves as buckets in each."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(LEAST_BUCKETS, total // BUCKET_BYTES)
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
         n += 1
-    return int(n)
+    return Deal(int(n), 1 if n <= SHELVES else math.isqrt(n))
+
+
+def dealt(sent: DataFrame, deal: Deal, target: int = 0, most: int = FLUSH) -> DataFrame:
+    """What was sent to shelves, in parcels of one bucket; ``most`` rows (64 bytes of a body count as one) are held at once.
+
+    A parcel of kind BYTES has a body: the segments of its rows one after the other.
+    """
+    if deal.width == 1:
+        return sent
+    with_body = "body" in sent.columns
+
+    def parcels(kind: int, held: list[tuple[bytes, bytes | None]]) -> Iterator[tuple[int, int, bytes, bytes | None]]:
+        columns = [np.concatenate(c) for c in zip(*(unpack(blob, 6 if kind == KEYS else 5) for blob, _ in held), strict=True)]
+        owner = deal.of_keys(columns[0]) if kind in (KEYS, BYTES) else deal.of_docs(columns[0], columns[1])
+        if kind != BYTES:
+            for to, blob in scatter(owner, columns):
+                yield to, kind, blob, None
+            return
+        body = np.frombuffer(b"".join(b for _, b in held), np.uint8)
+        size = columns[4].view(np.int64) % (target + 1) + target - 1
+        at = np.cumsum(size) - size
+        order = np.argsort(owner, kind="stable")
+        cut = np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]])
+        for lo, hi in zip(cut, [*cut[1:], len(order)], strict=True):
+            k = order[lo:hi]
+            yield int(owner[k[0]]), kind, pack(*(c[k] for c in columns)), body[ranges(at[k], size[k])].tobytes()
+
+    def flush(held: dict[int, list[tuple[bytes, bytes | None]]]) -> pa.RecordBatch:
+        rows = [r for kind in sorted(held) for r in parcels(kind, held[kind])]
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))]
+        names = ["owner", "kind", "blob", "body"]
+        return pa.RecordBatch.from_arrays(columns if with_body else columns[:3], names if with_body else names[:3])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for b in batches:
+            bodies = b.column("body").to_pylist() if with_body else [None] * len(b)
+            for kind, blob, body in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist(), bodies, strict=True):
+                rows = int(np.frombuffer(blob, np.int64, 1)[0])
+                if rows:
+                    held.setdefault(kind, []).append((blob, body))
+                size += rows + len(body or b"") // 64
+                if size >= most:
+                    yield flush(held)
+                    held, size = {}, 0
+        yield flush(held)
+
+    first = F.when(F.col("owner") >= deal.n, F.lit(deal.n)).otherwise(0)
+    shelf = (first + F.floor((F.col("owner") - first) / deal.width) * deal.width).alias("_shelf")
+    return sent.repartition(shelf).mapInArrow(run, PARCEL if with_body else REPLY)
 
 
 # ---------------------------------------------------------------- segments
@@ -193,8 +269,8 @@ class Sender:
     the smallest document's rows travel; the others are known to survive.
     """
 
-    def __init__(self, n: int, answer: int):
-        self.n, self.answer, self.held, self.size = n, answer, [], 0
+    def __init__(self, deal: Deal, answer: int):
+        self.deal, self.answer, self.held, self.size = deal, answer, [], 0
 
     def add(self, *columns: np.ndarray) -> Iterator[list[tuple[int, int, bytes]]]:
         self.held.append(columns)
@@ -216,47 +292,47 @@ class Sender:
             order, verdict = settle(key, body, doc, False)
             hit = verdict == COVERED
         mine, rest = order[hit], order[~hit]
-        rows = answer_rows(self.n, self.answer, doc[mine], tag[mine], pos[mine], ext[mine])
-        for owner, blob in scatter((key[rest] % np.uint64(self.n)).astype(np.int64), [c[rest] for c in (key, body, doc, tag, pos, ext)]):
-            rows.append((owner, -1, blob))
+        rows = answer_rows(self.deal, self.answer, doc[mine], tag[mine], pos[mine], ext[mine])
+        for owner, blob in scatter(self.deal.shelf(self.deal.of_keys(key[rest])), [c[rest] for c in (key, body, doc, tag, pos, ext)]):
+            rows.append((owner, KEYS, blob))
         return rows
 
 
-def answer_rows(n: int, kind: int, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, ext: np.ndarray, key: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
+def answer_rows(deal: Deal, kind: int, doc: np.ndarray, tag: np.ndarray, pos: np.ndarray, ext: np.ndarray, key: np.ndarray | None = None) -> list[tuple[int, int, bytes]]:
     key = np.zeros(len(doc), np.uint64) if key is None else key
-    return [(n + to, kind, blob) for to, blob in scatter(np.mod(doc.astype(np.int64) ^ tag.astype(np.int64), n), [doc, tag, pos, ext, key])]
+    return [(to, kind, blob) for to, blob in scatter(deal.shelf(deal.of_docs(doc, tag)), [doc, tag, pos, ext, key])]
 
 
-def judge_keys(blobs: pa.ChunkedArray, n: int, opens: bool, answer: int) -> list[tuple[int, int, bytes]]:
+def judge_keys(blobs: pa.ChunkedArray, deal: Deal, opens: bool, answer: int) -> list[tuple[int, int, bytes]]:
     key, body, doc, tag, pos, ext = unpack_all(blobs, 6)
     doc = doc.view(np.int64)
     if answer == OPEN:
         order, several, _ = survivors(key, body, doc)
         m = order[several]
-        return answer_rows(n, OPEN, doc[m], tag[m], pos[m], ext[m])
+        return answer_rows(deal, OPEN, doc[m], tag[m], pos[m], ext[m])
     order, verdict = settle(key, body, doc, opens)
     rows = []
     for kind in (COVERED, OPEN, OPEN_HOT):
         m = order[verdict == kind]
-        rows += answer_rows(n, answer if kind == COVERED else kind, doc[m], tag[m], pos[m], ext[m], key[m] if kind == OPEN else None)
+        rows += answer_rows(deal, answer if kind == COVERED else kind, doc[m], tag[m], pos[m], ext[m], key[m] if kind == OPEN else None)
     return rows
 
 
-def exchange(sent: DataFrame, n: int, opens: bool, answer: int) -> DataFrame:
+def exchange(sent: DataFrame, deal: Deal, opens: bool, answer: int) -> DataFrame:
     """Answers for documents, from what the senders sent; answers given on the spot pass through."""
 
     def run(table: pa.Table) -> pa.Table:
-        if table.column("owner")[0].as_py() >= n:
+        if table.column("owner")[0].as_py() >= deal.n:
             return table
-        return pa.Table.from_batches([reply_batch(judge_keys(table.column("blob"), n, opens, answer))])
+        return pa.Table.from_batches([reply_batch(judge_keys(table.column("blob"), deal, opens, answer))])
 
-    return sent.groupBy("owner").applyInArrow(run, REPLY)
+    return dealt(dealt(sent, deal).groupBy("owner").applyInArrow(run, REPLY), deal)
 
 
 # ---------------------------------------------------------------- documents and their answers
 
 
-def prepared(scratch: Scratch, docs: DataFrame, n: int, text: str, key: str) -> DataFrame:
+def prepared(scratch: Scratch, docs: DataFrame, deal: Deal, text: str, key: str) -> DataFrame:
     """key, text, _doc (null ids last), _tag and _owner, the document bucket.
 
     The tag tells texts of one id apart: 0 where an id has one text, else 63 bits of
@@ -269,16 +345,16 @@ def prepared(scratch: Scratch, docs: DataFrame, n: int, text: str, key: str) ->
     rows = rows.withColumn("_more", F.lit(False)) if several.isEmpty() else rows.join(within(several.withColumn("_more", F.lit(True))), "_id", "left")
     tag = F.when(F.col("_id").isNull() | F.col("_more"), F.col("_own")).otherwise(F.lit(0))
     rows = rows.select("_key", "_text", F.coalesce("_id", F.lit(NO_ID)).alias("_doc"), tag.alias("_tag"))
-    return rows.withColumn("_owner", F.pmod(F.col("_doc").bitwiseXOR(F.col("_tag")), F.lit(n)) + n)
+    return rows.withColumn("_owner", F.pmod(F.col("_doc").bitwiseXOR(F.col("_tag")), F.lit(deal.n)) + deal.n)
 
 
 def tags_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return tuple(rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_doc", "_tag"))
 
 
-def send_segments(docs: DataFrame, n: int, units: Callable[[Block], Units], target: int, seed: int, most: int, answer: int = COVERED) -> DataFrame:
+def send_segments(docs: DataFrame, deal: Deal, units: Callable[[Block], Units], target: int, seed: int, most: int, answer: int = COVERED) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sender(n, answer)
+        out = Sender(deal, answer)
         for b in blocks(batches, "_text", most):
             u = units(b)
             s = segments(u, target, seed)
@@ -345,7 +421,7 @@ def add_windows(out: Sender, b: Block, u: Units, answers: Answers, kinds: tuple[
         yield from out.add(k1, k2, doc[row], tag[row], start - u.offs[row], np.ones(len(row), np.int64))
 
 
-def send_longer(docs: DataFrame, replies: DataFrame, n: int, units: Callable[[Block], Units], target: int, seed: int, size: int, most: int) -> DataFrame:
+def send_longer(docs: DataFrame, replies: DataFrame, deal: Deal, units: Callable[[Block], Units], target: int, seed: int, size: int, most: int) -> DataFrame:
     """The grams of ``size`` units around the surviving ones of ``seed`` units, as far inside each window as there is room.
 
     Windows that follow one another mostly share the gram that has the seed in its
@@ -354,7 +430,7 @@ def send_longer(docs: DataFrame, replies: DataFrame, n: int, units: Callable[[Bl
 
     def run(table: pa.Table, said: pa.Table) -> pa.Table:
         answers = Answers(said, (OPEN,))
-        out, rows = Sender(n, OPEN), []
+        out, rows = Sender(deal, OPEN), []
         for b in blocks(of_named(table, answers)[0].to_batches(), "_text", most):
             u = units(b)
             doc, tag = tags_of(b.rows)
@@ -374,12 +450,12 @@ def send_longer(docs: DataFrame, replies: DataFrame, n: int, units: Callable[[Bl
     return docs.select("_text", "_doc", "_tag", "_owner").groupBy("_owner").cogroup(replies.where(F.col("kind") == OPEN).groupBy("owner")).applyInArrow(run, REPLY)
 
 
-def send_windows(docs: DataFrame, replies: DataFrame, n: int, units: Callable[[Block], Units], target: int, most: int, kinds: tuple[int, ...]) -> DataFrame:
+def send_windows(docs: DataFrame, replies: DataFrame, deal: Deal, units: Callable[[Block], Units], target: int, most: int, kinds: tuple[int, ...]) -> DataFrame:
     """Windows of the open segments, to be compared one by one."""
 
     def run(table: pa.Table, said: pa.Table) -> pa.Table:
         answers = Answers(said, kinds)
-        out, rows = Sender(n, WINDOW), []
+        out, rows = Sender(deal, WINDOW), []
         for b in blocks(of_named(table, answers)[0].to_batches(), "_text", most):
             for r in add_windows(out, b, units(b), answers, kinds, target):
                 rows += r

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Block, blocks, word_hashes, words
-from .repeats import OPEN, WINDOW, Answers, Units, buckets_for, covered_units, exchange, of_named, prepared, send_longer, send_segments, send_windows
+from .repeats import OPEN, WINDOW, Answers, Units, covered_units, deal_for, exchange, of_named, prepared, send_longer, send_segments, send_windows
 from .shared_store import Scratch
 
 BLOCK = 1 << 19
@@ -36,17 +36,17 @@ def word_units(b: Block) -> Units:
 
 def dedup_words(docs: DataFrame, target: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_words, n_removed, kept): kept holds the remaining words joined by one space."""
-    n = buckets_for(docs, text)
+    deal = deal_for(docs, text)
     scratch = Scratch(docs.sparkSession)
-    rows = prepared(scratch, docs, n, text, key)
+    rows = prepared(scratch, docs, deal, text, key)
     size = -(-target // 8)
-    alive = scratch.keep(exchange(send_segments(rows, n, word_units, target, size, BLOCK, OPEN), n, False, OPEN), f"level-{size}")
+    alive = scratch.keep(exchange(send_segments(rows, deal, word_units, target, size, BLOCK, OPEN), deal, False, OPEN), f"level-{size}")
     while 2 * size < target and not alive.isEmpty():
-        longer = exchange(send_longer(rows, alive, n, word_units, target, size, 2 * size, BLOCK), n, False, OPEN)
+        longer = exchange(send_longer(rows, alive, deal, word_units, target, size, 2 * size, BLOCK), deal, False, OPEN)
         size *= 2
         alive = scratch.keep(longer, f"level-{size}")
         scratch.drop(f"level-{size // 2}")
-    said = exchange(send_windows(rows, alive, n, word_units, target, BLOCK, (OPEN,)), n, False, WINDOW)
+    said = exchange(send_windows(rows, alive, deal, word_units, target, BLOCK, (OPEN,)), deal, False, WINDOW)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(table: pa.Table, said: pa.Table) -> pa.Table:

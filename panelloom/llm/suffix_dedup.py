@@ -29,15 +29,13 @@ from pyspark.sql import functions as F
 
 from .arrays import _BYTES, Block, blocks, byte_prefix, mix, powers, ranges
 from .repeats import (
-    COVERED, OPEN, OPEN_HOT, REPLY, WINDOW, Answers, Sender, Units, add_windows, answer_rows, buckets_for, covered_units, exchange, judge_keys, of_named,
+    BYTES, COVERED, KEYS, OPEN, OPEN_HOT, PARCEL, REPLY, WINDOW, Answers, Deal, Sender, Units, add_windows, answer_rows, covered_units, deal_for, dealt, exchange, judge_keys, of_named,
     pack, prepared, reply_batch, send_segments, tags_of, unpack_all,
 )
 from .shared_store import Scratch
 
 BLOCK = 1 << 18
 SEED = 16
-PARCEL = "owner long, kind int, blob binary, body binary"
-BYTES = -2
 
 
 def byte_units(b: Block) -> Units:
@@ -140,16 +138,16 @@ def classes(buf: np.ndarray, pos: np.ndarray, group: np.ndarray, target: int) ->
 # ---------------------------------------------------------------- open segments
 
 
-def send_open(docs: DataFrame, replies: DataFrame, n: int, target: int) -> DataFrame:
+def send_open(docs: DataFrame, replies: DataFrame, deal: Deal, target: int) -> DataFrame:
     """The bytes of open segments for their seed's bucket (kind BYTES), and the windows of hot ones by their hash."""
 
     def run(table: pa.Table, said: pa.Table) -> pa.Table:
         answers = Answers(said, (OPEN, OPEN_HOT))
-        out, rows, parcels = Sender(n, WINDOW), [], []
+        out, rows, parcels = Sender(deal, WINDOW), [], []
         for b in blocks(of_named(table, answers)[0].to_batches(), "_text", BLOCK):
             doc, tag = tags_of(b.rows)
             r, lo, ext, key = answers.of(OPEN, doc, tag, b.offs)
-            owner = (key.view(np.uint64) % np.uint64(n)).astype(np.int64)
+            owner = deal.shelf(deal.of_keys(key))
             order = np.argsort(owner, kind="stable")
             owner = owner[order]
             for x, y in _runs(owner):
@@ -174,20 +172,20 @@ def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(cut.tolist(), [*cut[1:].tolist(), len(sorted_values)], strict=True)
 
 
-def judge_open(n: int, target: int):
+def judge_open(deal: Deal, target: int):
     def run(table: pa.Table) -> pa.Table:
-        if table.column("owner")[0].as_py() >= n:
+        if table.column("owner")[0].as_py() >= deal.n:
             return table.select(["owner", "kind", "blob"])
         kind = table.column("kind").to_numpy()
-        rows = judge_keys(table.column("blob").filter(pa.array(kind == -1)), n, False, WINDOW)
+        rows = judge_keys(table.column("blob").filter(pa.array(kind == KEYS)), deal, False, WINDOW)
         parcels = table.filter(pa.array(kind == BYTES))
-        rows += judge_bytes(parcels.column("blob"), b"".join(parcels.column("body").to_pylist()), n, target)
+        rows += judge_bytes(parcels.column("blob"), b"".join(parcels.column("body").to_pylist()), deal, target)
         return pa.Table.from_batches([reply_batch(rows)])
 
     return run
 
 
-def judge_bytes(blobs: pa.ChunkedArray, body: bytes, n: int, target: int) -> list[tuple[int, int, bytes]]:
+def judge_bytes(blobs: pa.ChunkedArray, body: bytes, deal: Deal, target: int) -> list[tuple[int, int, bytes]]:
     """Answers for the windows of the segments in body that also start in a smaller document."""
     key, doc, tag, start, ext = unpack_all(blobs, 5)
     doc, start, ext = (x.view(np.int64) for x in (doc, start, ext))
@@ -211,7 +209,7 @@ def judge_bytes(blobs: pa.ChunkedArray, body: bytes, n: int, target: int) -> lis
     np.minimum.at(least, name, doc[seg[keep]])
     hit = keep[doc[seg[keep]] > least[name]]
     s = seg[hit]
-    return answer_rows(n, WINDOW, doc[s], tag[s], start[s] + shift[hit], np.ones(len(hit), np.int64))
+    return answer_rows(deal, WINDOW, doc[s], tag[s], start[s] + shift[hit], np.ones(len(hit), np.int64))
 
 
 # ---------------------------------------------------------------- the operator
@@ -219,11 +217,11 @@ def judge_bytes(blobs: pa.ChunkedArray, body: bytes, n: int, target: int) -> lis
 
 def dedup_bytes(docs: DataFrame, target: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_removed, span_starts, span_ends, kept): the removed runs and the remaining bytes."""
-    n = buckets_for(docs, text)
+    deal = deal_for(docs, text)
     scratch = Scratch(docs.sparkSession)
-    rows = prepared(scratch, docs, n, text, key)
-    first = scratch.keep(exchange(send_segments(rows, n, byte_units, target, SEED, BLOCK), n, True, COVERED), "seeds")
-    second = send_open(rows, first, n, target).groupBy("owner").applyInArrow(judge_open(n, target), REPLY)
+    rows = prepared(scratch, docs, deal, text, key)
+    first = scratch.keep(exchange(send_segments(rows, deal, byte_units, target, SEED, BLOCK), deal, True, COVERED), "seeds")
+    second = dealt(dealt(send_open(rows, first, deal, target), deal, target).groupBy("owner").applyInArrow(judge_open(deal, target), REPLY), deal)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(table: pa.Table, said: pa.Table) -> pa.Table:

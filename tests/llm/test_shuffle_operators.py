@@ -91,6 +91,46 @@ def test_bytes(spark, monkeypatch, flush, hot):
     assert got == want
 
 
+@pytest.mark.parametrize("width,most", [(11, 500_000), (60, 30)])
+def test_shelves_before_buckets(spark, monkeypatch, width, most):
+    """Rows dealt to shelves and from there to buckets get the same answers."""
+    for m in (substring_dedup, suffix_dedup):
+        monkeypatch.setattr(m, "deal_for", lambda docs, text: repeats.Deal(127, width))
+    monkeypatch.setattr(repeats.dealt, "__defaults__", (0, most))
+    rows = invented(3, 80)
+    cut = lambda t: tuple(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    want = sorted((str(k), int(m.sum()), " ".join(w for w, x in zip(cut(t), m) if not x)) for (k, t), m in zip(rows, covered(rows, cut, 20)))
+    assert sorted((str(r.doc_id), r.n_removed, r.kept) for r in substring_dedup.dedup_words(frame(spark, rows), target=20).collect()) == want
+    raw = lambda t: (t or "").encode()
+    want = sorted((str(k), int(m.sum()), bytes(np.frombuffer(raw(t), np.uint8)[~m])) for (k, t), m in zip(rows, covered(rows, raw, 50)))
+    assert sorted((str(r.doc_id), r.n_removed, bytes(r.kept)) for r in suffix_dedup.dedup_bytes(frame(spark, rows)).collect()) == want
+
+
+def test_parcels_are_of_one_bucket(spark):
+    deal = repeats.Deal(101, 10)
+    rng = np.random.default_rng(5)
+    key, doc, ext = rng.integers(0, 1 << 40, 400).astype(np.uint64), rng.integers(0, 50, 400), rng.integers(1, 4, 400)
+    tag, zero = np.zeros(400, np.int64), np.zeros(400, np.int64)
+    body = {(int(k), int(d)): bytes([int(k) % 251]) * int(e + 3 - 1) for k, d, e in zip(key, doc, ext)}
+    rows = [(to, repeats.KEYS, blob, None) for to, blob in repeats.scatter(deal.shelf(deal.of_keys(key)), [key, zero, doc, tag, zero, ext])]
+    rows += [(to, kind, blob, None) for to, kind, blob in repeats.answer_rows(deal, repeats.OPEN, doc, tag, zero, ext, key)]
+    for to, blob in repeats.scatter(deal.shelf(deal.of_keys(key)), [key, doc, tag, zero, ext]):
+        k, d = (c.view(np.int64) for c in repeats.unpack(blob, 5)[:2])
+        rows.append((to, repeats.BYTES, blob, b"".join(body[a, b] for a, b in zip(k.tolist(), d.tolist()))))
+    seen = {repeats.KEYS: [], repeats.OPEN: [], repeats.BYTES: []}
+    for r in repeats.dealt(spark.createDataFrame(rows, repeats.PARCEL), deal, 3, 90).collect():
+        c = repeats.unpack(bytes(r.blob), 6 if r.kind == repeats.KEYS else 5)
+        if r.kind == repeats.OPEN:
+            assert (deal.of_docs(c[0], c[1]) == r.owner).all()
+            seen[r.kind] += zip(c[4].tolist(), c[0].tolist())
+        else:
+            assert (deal.of_keys(c[0]) == r.owner).all()
+            seen[r.kind] += zip(c[0].tolist(), c[2 if r.kind == repeats.KEYS else 1].tolist())
+        if r.kind == repeats.BYTES:
+            assert bytes(r.body) == b"".join(body[a, b] for a, b in zip(c[0].tolist(), c[1].tolist()))
+    assert all(sorted(v) == sorted(zip(key.tolist(), doc.tolist())) for v in seen.values())
+
+
 def test_texts_of_one_id_are_told_apart(spark):
     """Rows that share an id, among them very many without one, keep their own answers."""
     rng = random.Random(12)
