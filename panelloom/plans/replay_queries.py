@@ -136,7 +136,8 @@ def directional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIGNED = {k: f"printf('%+.2f', {c})" for k, c in sorted(_MACRO.items())}
-_LEVELS = {"discount": "d", "quantity": "q", "tax": "t"}
+# square roots: means of cents fall on ties of the sixth digit, which the order of a sum decides
+_LEVELS = {"discount": "sqrt(d)", "quantity": "sqrt(q)", "tax": "sqrt(t)"}
 _LOADINGS_SQL = _fill(
     T.LOADINGS,
     macro_block="concat_ws(chr(10), " + ", ".join(f"'  - {k}: ' || {v}" for k, v in _SIGNED.items()) + ")",
@@ -159,7 +160,7 @@ def _prompt() -> Column:
 def loadings_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The anonymous loadings prompt of every month, and the same with date, names and raw levels after it."""
     m = _regimes(spark, sf_dir).join(P.macro(spark, sf_dir), "month")
-    raw = {k: F.col(c) for k, c in _LEVELS.items()}
+    raw = {k: F.expr(c) for k, c in _LEVELS.items()}
     return m.select("month", _prompt().alias("prompt"), T.identified(_prompt(), F.col("month").cast("string"), NAMES, raw).alias("identifying"))
 
 
@@ -170,14 +171,14 @@ def loadings_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT month, "
     + _fill(
         T.PROSE, as_of="CAST(month AS VARCHAR)", names=_quoted(", ".join(NAMES.values())), categories=_quoted(", ".join(T.ASSETS.values())),
-        levels="concat_ws('; ', " + ", ".join(f"'{k} prints at ' || format('{{:g}}', {c} * 1e5)" for k, c in _LEVELS.items()) + ")", macro_block="concat_ws('; ', " + ", ".join(f"'{k} at ' || {v}" for k, v in _SIGNED.items()) + ")",
+        levels="concat_ws('; ', " + ", ".join(f"'{k} prints at ' || format('{{:g}}', {c} * 1e6)" for k, c in _LEVELS.items()) + ")", macro_block="concat_ws('; ', " + ", ".join(f"'{k} at ' || {v}" for k, v in _SIGNED.items()) + ")",
     )
     + " AS prompt FROM z JOIN macro USING (month)",
 )
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The narrative control prompt of every month; levels in hundred-thousandths, so that some need an exponent."""
+    """The narrative control prompt of every month; levels in millionths, so that some need an exponent."""
     m = _regimes(spark, sf_dir).join(P.macro(spark, sf_dir), "month")
-    raw = {k: F.col(c) * 1e5 for k, c in _LEVELS.items()}
+    raw = {k: F.expr(c) * 1e6 for k, c in _LEVELS.items()}
     return m.select("month", T.prose(F.col("month").cast("string"), list(NAMES.values()), {k: F.col(c) for k, c in _MACRO.items()}, raw).alias("prompt"))
 
 
