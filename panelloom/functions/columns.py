@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..sources.scratch import new_folder
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -92,27 +94,38 @@ def conviction(loadings: str | Column) -> Column:
     return F.least(F.lit(1.0), F.sqrt(F.aggregate(F.map_values(_c(loadings)), F.lit(0.0), lambda a, v: a + v * v)) / F.sqrt(F.lit(5.0)))
 
 
+def _ranged(df: DataFrame, *keys: str) -> DataFrame:
+    """df in ranges of its keys, with the number of its range in _p, written once: every reader sees the same ranges, however Spark prunes, coalesces or recomputes its branch."""
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, "ranged")
+    parted = df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
+    parted.write.parquet(folder)
+    return spark.read.schema(parted.schema).parquet(folder)
+
+
 def positions(df: DataFrame, key: str) -> DataFrame:
-    """df with pos, the rank of its unique key from 0: range partitions are counted, then numbered inside each.
+    """df with pos, the rank of its unique key from 0: range partitions are written and counted, then numbered inside each.
 
     Only the counts of the partitions meet in one place.
     """
-    parted = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    parted = _ranged(df, key)
     count = parted.groupBy("_p").agg(F.count("*").alias("_n"))
     base = count.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = parted.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
-    return inside.join(F.broadcast(base), "_p").withColumn("pos", F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")
+    return inside.join(F.broadcast(base), "_p").withColumn("pos", F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")  # a row a shuffle partition
 
 
 def running_total(df: DataFrame, key: str, value: str, out: str, by: str | None = None) -> DataFrame:
-    """df with out, the sum of value over all smaller keys (of the same ``by``): range partitions are summed first, so no task holds all rows."""
+    """df with out, the sum of value over all smaller keys (of the same ``by``, null being one of its values): written range partitions are summed first, so no task holds all rows."""
     own = [by] if by else []
-    parted = df.repartitionByRange(*own, key).withColumn("_p", F.spark_partition_id())
+    parted = _ranged(df, *own, key)
     total = parted.groupBy("_p", *own).agg(F.sum(value).alias("_s"))
     earlier = Window.partitionBy(*own).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = total.select("_p", *own, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
+    base = total.select(F.col("_p").alias("_q"), *(F.col(c).alias("_by") for c in own), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
     inside = F.coalesce(F.sum(value).over(Window.partitionBy("_p", *own).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parted.withColumn("_i", inside).join(F.broadcast(base), ["_p", *own]).withColumn(out, F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")
+    same = F.col("_p") == F.col("_q")
+    for c in own:
+        same = same & F.col(c).eqNullSafe(F.col("_by"))
+    return parted.withColumn("_i", inside).join(base, same).withColumn(out, F.col("_base") + F.col("_i")).drop("_p", "_i", "_base", "_q", "_by")
 
 
 def certification(auc: str, lo: str, hi: str, p: str, control_p: str, parsed: str, alpha: float = 0.05, unlike: float = 0.1, least: float = 0.9) -> Column:
