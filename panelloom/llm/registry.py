@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, dart_minhash, decontaminate, image_copies, language_cnn, oracles, piece_codec, pii_semicrf, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import bpe_codec, dart_minhash, decontaminate, image_copies, language_cnn, oracles, piece_codec, pii_semicrf, source_audit, substring_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_pii_semicrf": pii_semicrf.op1_pii_semicrf,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
     "op11_piece_codec": piece_codec.op11_piece_codec,
+    "op12_source_audit": source_audit.op12_source_audit,
 }
 
-ORACLES: dict[str, str] = {"op6_suffix_dedup": oracles.OP6, "op7_substring_dedup": oracles.OP7}
+ORACLES: dict[str, str] = {"op6_suffix_dedup": oracles.OP6, "op7_substring_dedup": oracles.OP7, "op12_source_audit": source_audit.ORACLE}
