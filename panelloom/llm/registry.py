@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, dart_minhash, decontaminate, image_copies, language_cnn, oracles, piece_codec, pii_semicrf, source_audit, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import bpe_codec, dart_minhash, decontaminate, image_copies, language_cnn, oracles, piece_codec, pii_semicrf, source_audit, substring_dedup, suffix_dedup, token_counts, token_links, toxicity
 
 QUERIES = {
     "op1_pii_semicrf": pii_semicrf.op1_pii_semicrf,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_bpe_codec": bpe_codec.op10_bpe_codec,
     "op11_piece_codec": piece_codec.op11_piece_codec,
     "op12_source_audit": source_audit.op12_source_audit,
+    "op13_token_links": token_links.op13_token_links,
 }
 
 ORACLES: dict[str, str] = {"op6_suffix_dedup": oracles.OP6, "op7_substring_dedup": oracles.OP7, "op12_source_audit": source_audit.ORACLE}
