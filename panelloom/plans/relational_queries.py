@@ -263,7 +263,7 @@ _REGIME = "CASE WHEN z_d > 1 THEN 'inflation' WHEN z_t > 1 OR z_q < -1.5 THEN 'r
 _Z = ", z AS (SELECT month, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS z_{c}" for c in "dtq") + " FROM macro)"
 
 
-def _regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def regime_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = P.macro(spark, sf_dir)
     stat = m.agg(*(f(c).alias(f"{n}_{c}") for c in "dtq" for n, f in (("m", F.avg), ("s", F.stddev_samp))))  # one row
     z = m.crossJoin(F.broadcast(stat)).select("month", *(((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias(f"z_{c}") for c in "dtq"))
@@ -273,7 +273,7 @@ def _regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_j12_label_ffill", with_panels("ret", "macro") + _Z + f", g AS (SELECT month, {_REGIME} AS regime FROM z) SELECT r.symbol, g.regime, count(*) AS n, round(avg(r.r) * 252, 6) AS ann FROM ret r ASOF JOIN g ON r.date >= g.month WHERE r.r IS NOT NULL GROUP BY 1, 2")
 def label_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean return by symbol and month-start regime carried forward (A29, F12): every date has its month's label, so an equi-join does."""
-    g = _regimes(spark, sf_dir).select("month", "regime")
+    g = regime_months(spark, sf_dir).select("month", "regime")
     r = P.returns(spark, sf_dir).where("r is not null").withColumn("month", F.trunc(AT, "MM"))
     return rounded(r.join(g, "month").groupBy("symbol", "regime").agg(F.count("*").alias("n"), (F.avg("r") * 252).alias("ann")))
 
@@ -287,7 +287,7 @@ _MIX = [("equal", "AF", 0.5), ("equal", "NO", 0.5), ("tilt", "AF", 0.2), ("tilt"
 )
 def payoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annualised payoff of fixed mixes in every regime."""
-    g = _regimes(spark, sf_dir).select("month", "regime")
+    g = regime_months(spark, sf_dir).select("month", "regime")
     a = P.returns(spark, sf_dir).where("r is not null").withColumn("month", F.trunc(AT, "MM")).join(g, "month").groupBy("symbol", "regime").agg(F.avg("r").alias("m"))
     w = spark.createDataFrame(_MIX, "portfolio string, symbol string, w double")
     return rounded(a.join(F.broadcast(w), "symbol").groupBy("portfolio", "regime").agg((F.sum(F.col("w") * F.col("m")) * 252).alias("payoff")))
@@ -296,7 +296,7 @@ def payoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_a28_label_share", with_panels("macro") + _Z + f", g AS (SELECT {_REGIME} AS regime FROM z), v AS (SELECT * FROM (VALUES ('inflation'), ('recession'), ('normal'), ('boom')) t(regime)) SELECT v.regime, count(g.regime) AS n, round(count(g.regime) * 1.0 / (SELECT count(*) FROM g), 6) AS share FROM v LEFT JOIN g USING (regime) GROUP BY 1")
 def label_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label frequencies over a fixed vocabulary, zeros included."""
-    g = _regimes(spark, sf_dir).select("regime")
+    g = regime_months(spark, sf_dir).select("regime")
     v = spark.createDataFrame([(x,) for x in ("inflation", "recession", "normal", "boom")], "regime string")
     counted = v.join(g.groupBy("regime").agg(F.count("*").alias("n")), "regime", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = g.agg(F.count("*").alias("total"))  # one row
@@ -377,12 +377,12 @@ def scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_f12_regimes", with_panels("macro") + _Z + f" SELECT month, {_REGIME} AS regime FROM z")
 def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _regimes(spark, sf_dir).select("month", "regime")
+    return regime_months(spark, sf_dir).select("month", "regime")
 
 
 @query("q_f13_bins", with_panels("macro") + _Z + " SELECT month, CASE WHEN coalesce(z_t, 0) > 1 THEN 'credit_stress' WHEN coalesce(z_d, 0) > 0.5 AND coalesce(z_q, 0) < 0 THEN 'stagflation_risk' WHEN coalesce(z_d, 0) < 0 AND coalesce(z_t, 0) < 0 THEN 'goldilocks' ELSE 'neutral' END AS label FROM z")
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _regimes(spark, sf_dir).select("month", C.bin_regime("z_d", "z_t", "z_q").alias("label"))
+    return regime_months(spark, sf_dir).select("month", C.bin_regime("z_d", "z_t", "z_q").alias("label"))
 
 
 @query(
@@ -434,7 +434,7 @@ def last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_f27_prompt", with_panels("macro") + _Z + " SELECT month, printf('state %s: d=%+.3f q=%+.3f t=%+.3f', strftime(month, '%Y-%m'), z_d, z_q, z_t) AS prompt, sha256(strftime(month, '%Y-%m')) AS id FROM z")
 def prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deterministic template with sorted keys, and its hash."""
-    m = _regimes(spark, sf_dir).withColumn("ym", F.date_format("month", "yyyy-MM"))
+    m = regime_months(spark, sf_dir).withColumn("ym", F.date_format("month", "yyyy-MM"))
     return m.select("month", F.format_string("state %s: d=%+.3f q=%+.3f t=%+.3f", "ym", "z_d", "z_q", "z_t").alias("prompt"), F.sha2("ym", 256).alias("id"))
 
 

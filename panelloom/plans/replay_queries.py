@@ -15,7 +15,7 @@ from ..sources.panels import with_panels
 from .decision_queries import _VIEWS, _views
 from .kernel_queries import long_run, long_run_sql
 from .registry import query, rounded
-from .relational_queries import _Z, _regimes
+from .relational_queries import _Z, regime_months
 
 AT = "date"
 NAMES = {"Asset_A": "AF", "Asset_B": "NF", "Asset_C": "NO", "Asset_D": "RF"}
@@ -82,7 +82,7 @@ _REPLY = "'{' || concat_ws(', ', " + ", ".join(f"'\"{a}\": ' || CAST({a} AS VARC
 
 def _loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """month, z_d, z_t, z_q and a loading on every axis."""
-    z = _regimes(spark, sf_dir)
+    z = regime_months(spark, sf_dir)
     return z.select("month", "z_d", "z_t", "z_q", *(C.clip(F.round(F.expr(e), 2), -1, 1).alias(a) for a, e in _LOADED.items()))
 
 
@@ -130,7 +130,7 @@ def directional(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = P.returns(spark, sf_dir).select("symbol", AT, S.simple_return("level", w, 252).alias("t12"), (S.rolling_std("r", f, 252) * F.sqrt(F.lit(252.0))).alias("vol"))
     a = t.groupBy("symbol", F.trunc(AT, "MM").alias("month")).agg(F.max_by(F.struct("t12", "vol"), AT).alias("x"))
     p = a.groupBy("month").agg(*(F.max(F.when(F.col("symbol") == s, F.col(f"x.{c}"))).alias(f"{s}_{c}") for s in NAMES.values() for c in ("t12", "vol")))
-    m = _regimes(spark, sf_dir).join(p, "month")
+    m = regime_months(spark, sf_dir).join(p, "month")
     assets = [(n, {label: F.col(f"{s}_{c}") for label, c in _TRAIL.items()}) for n, s in NAMES.items()]
     return m.select("month", T.directional({k: F.col(c) for k, c in _MACRO.items()}, assets).alias("prompt"))
 
@@ -159,7 +159,7 @@ def _prompt() -> Column:
 )
 def loadings_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The anonymous loadings prompt of every month, and the same with date, names and raw levels after it."""
-    m = _regimes(spark, sf_dir).join(P.macro(spark, sf_dir), "month")
+    m = regime_months(spark, sf_dir).join(P.macro(spark, sf_dir), "month")
     raw = {k: F.expr(c) for k, c in _LEVELS.items()}
     return m.select("month", _prompt().alias("prompt"), T.identified(_prompt(), F.col("month").cast("string"), NAMES, raw).alias("identifying"))
 
@@ -177,7 +177,7 @@ def loadings_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The narrative control prompt of every month; levels in millionths, so that some need an exponent."""
-    m = _regimes(spark, sf_dir).join(P.macro(spark, sf_dir), "month")
+    m = regime_months(spark, sf_dir).join(P.macro(spark, sf_dir), "month")
     raw = {k: F.expr(c) * 1e6 for k, c in _LEVELS.items()}
     return m.select("month", T.prose(F.col("month").cast("string"), list(NAMES.values()), {k: F.col(c) for k, c in _MACRO.items()}, raw).alias("prompt"))
 

@@ -20,7 +20,7 @@ from ..sources.scratch import new_folder
 from .decision_queries import _ASSETS, _MIXES, _returns
 from .kernel_queries import sessions_of, slid
 from .registry import query, rounded
-from .relational_queries import _regimes
+from .relational_queries import regime_months
 
 AT = "date"
 
@@ -79,7 +79,7 @@ def game(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The shares do not enter the game.
     """
-    z = _regimes(spark, sf_dir)
+    z = regime_months(spark, sf_dir)
     r = P.returns(spark, sf_dir).where(F.col("r").isNotNull() & F.col("symbol").isin(*_ASSETS)).withColumn("month", F.trunc(AT, "MM"))
     mean = r.join(z.select("month", "regime"), "month").groupBy("symbol", "regime").agg((F.avg("r") * 252).alias("ann"))
     mix = spark.createDataFrame([(n, a, w / sum(ws)) for n, ws in _MIXES.items() for a, w in zip(_ASSETS, ws, strict=True)], "name string, symbol string, w double")
