@@ -263,11 +263,15 @@ _REGIME = "CASE WHEN z_d > 1 THEN 'inflation' WHEN z_t > 1 OR z_q < -1.5 THEN 'r
 _Z = ", z AS (SELECT month, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS z_{c}" for c in "dtq") + " FROM macro)"
 
 
-def regime_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+def macro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-sample z-scores of the macro series."""
     m = P.macro(spark, sf_dir)
     stat = m.agg(*(f(c).alias(f"{n}_{c}") for c in "dtq" for n, f in (("m", F.avg), ("s", F.stddev_samp))))  # one row
-    z = m.crossJoin(F.broadcast(stat)).select("month", *(((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias(f"z_{c}") for c in "dtq"))
-    return z.withColumn("regime", C.rule_regime("z_d", "z_t", "z_q"))
+    return m.crossJoin(F.broadcast(stat)).select("month", *(((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).alias(f"z_{c}") for c in "dtq"))
+
+
+def regime_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return macro_scores(spark, sf_dir).withColumn("regime", C.rule_regime("z_d", "z_t", "z_q"))
 
 
 @query("q_j12_label_ffill", with_panels("ret", "macro") + _Z + f", g AS (SELECT month, {_REGIME} AS regime FROM z) SELECT r.symbol, g.regime, count(*) AS n, round(avg(r.r) * 252, 6) AS ann FROM ret r ASOF JOIN g ON r.date >= g.month WHERE r.r IS NOT NULL GROUP BY 1, 2")
