@@ -308,15 +308,20 @@ def sparse_weights(x: np.ndarray, path: np.ndarray, budget: float) -> np.ndarray
     return cut(hi)
 
 
-def jump_model(x: np.ndarray, penalty: float, states: int = 2, rounds: int = 20, budget: float | None = None, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def standardised(x: np.ndarray) -> np.ndarray:
+    """Columns less their mean over their population deviation; a flat column is only centred."""
+    sd = x.std(axis=0)
+    return (x - x.mean(axis=0)) / np.where(sd < 1e-8, 1, sd)
+
+
+def jump_model(x: np.ndarray, penalty: float, states: int = 2, rounds: int = 30, budget: float | None = None, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(states, centroids, feature weights) of a statistical jump model on standardised features.
 
     Centroids start at the observations in the middle of equal shares of the first
     feature; an empty state takes the worst fitted observation.  With a budget,
     feature weights and fits take turns.
     """
-    sd = x.std(axis=0)
-    z = (x - x.mean(axis=0)) / np.where(sd < 1e-12, 1, sd)
+    z = standardised(x)
     weight = np.ones(z.shape[1])
 
     def distance(centre: np.ndarray) -> np.ndarray:
@@ -365,6 +370,25 @@ def state_names(path: np.ndarray, centre: np.ndarray, gap: float = 0.0) -> np.nd
     return names[path]
 
 
+def latest_regime(x: np.ndarray, penalty: float, budget: float | None = None, gap: float = 0.5, margin: float = 0.0) -> str:
+    """Name of the state whose weighted centroid is nearest to the last row of a fit on all rows.
+
+    neutral where the two nearest differ by less than ``margin``, or where the
+    states lie closer than ``gap`` on the first feature.
+    """
+    _, centre, weight = jump_model(x, penalty, budget=budget)
+    far = ((standardised(x)[-1] - centre) ** 2 * weight).sum(axis=1)
+    nearest = np.sort(far)
+    if len(far) > 1 and nearest[1] - nearest[0] < margin:
+        return "neutral"
+    return str(state_names(np.array([far.argmin()]), centre, gap)[0])
+
+
+def walked_regimes(x: np.ndarray, at: list[int], penalty: float, least: int = 504) -> list[str]:
+    """The latest regime of every prefix x[:i]; neutral below ``least`` rows."""
+    return [latest_regime(x[:i], penalty) if i >= least else "neutral" for i in at]
+
+
 def expanding_rank(x: np.ndarray) -> np.ndarray:
     """Average rank of every value among those up to it."""
     seen: list[float] = []

@@ -120,3 +120,15 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
     both = rows.withColumn("_own", F.lit(True)).unionByName(seen, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(out, F.last("_v", True).over(w)).where("_own").drop("_side", "_v", "_own")
+
+
+def jump_features(px: DataFrame, keys: list[str], at: str, level: str, halflife: float = 21) -> DataFrame:
+    """keys, at, a, b, c of every session with a return: weighted mean of log returns, their root mean square, and that of the falls alone.
+
+    The session without a return counts as one without a fall.
+    """
+    own = Window.partitionBy(*keys)
+    x = px.withColumns({"_r": log_return(level, ordered(keys, at)), "_pos": -F.row_number().over(own.orderBy(F.desc(at)))})
+    x = x.withColumns({"_r2": F.col("_r") * F.col("_r"), "_d2": F.when(F.col("_r") < 0, F.col("_r") * F.col("_r")).otherwise(0.0)})
+    mean = lambda c: ewm_mean(c, "_pos", halflife, upto(keys, at))
+    return x.select(*keys, at, mean("_r").alias("a"), F.sqrt(mean("_r2")).alias("b"), F.sqrt(mean("_d2")).alias("c")).where("a is not null")

@@ -576,21 +576,12 @@ def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_k25_labels")
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walk-forward regime of every line at the first session of every year: a sparse jump model on the rows strictly before, neutral below 504 of them."""
-    x = P.returns(spark, sf_dir).withColumn("pos", -F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc(AT))))
-    x = x.withColumns({"r2": F.col("r") * F.col("r"), "d2": F.when(F.col("r") < 0, F.col("r") * F.col("r")).when(F.col("r").isNotNull(), 0.0)})
-    mean = lambda c: S.ewm_mean(c, "pos", 21, S.upto(KEYS, AT))
-    f = x.select("symbol", AT, mean("r").alias("a"), F.sqrt(mean("r2")).alias("b"), F.sqrt(mean("d2")).alias("c")).where("a is not null")
+    """Walk-forward regime of every line at the first session of every year: a jump model on the rows strictly before, neutral below 504 of them or where its states are close."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date").reset_index(drop=True)
-        v, out = pdf[["a", "b", "c"]].to_numpy(), []
-        for i in np.flatnonzero(np.r_[True, pdf.date.map(lambda d: d.year).to_numpy()[1:] != pdf.date.map(lambda d: d.year).to_numpy()[:-1]]):
-            label = "neutral"
-            if i >= 504:
-                path, centre, _ = K.jump_model(v[:i], 50.0, budget=1.5)
-                label = K.state_names(path, centre)[-1]
-            out.append((pdf.symbol[0], pdf.date[i], i, label))
-        return pd.DataFrame(out, columns=["symbol", "date", "n_before", "label"])
-
-    return f.groupBy("symbol").applyInPandas(run, "symbol string, date date, n_before long, label string")
+        pdf = pdf.sort_values("date")
+        year = pdf.date.map(lambda d: d.year).to_numpy()
+        at = np.flatnonzero(np.r_[True, year[1:] != year[:-1]])
+        return pd.DataFrame({"symbol": pdf.symbol.iloc[0], "date": pdf.date.to_numpy()[at], "n_before": at, "label": K.walked_regimes(pdf[["a", "b", "c"]].to_numpy(), at.tolist(), 50.0)})
+
+    return S.jump_features(P.px_index(spark, sf_dir), KEYS, AT, "level").groupBy("symbol").applyInPandas(run, "symbol string, date date, n_before long, label string")

@@ -262,30 +262,21 @@ _DEV = (date(1996, 1, 2), date(1999, 6, 30))
 
 
 def monthly_labels(line: DataFrame, penalties: tuple[float, ...]) -> DataFrame:
-    """(lam, month, regime): the sparse jump model's last state on the rows (date, level) strictly before the first session of every month, neutral below 504 of them.
+    """(lam, month, regime): the jump model's label on the rows (date, level) strictly before the first session of every month, neutral below 504 of them or where its states are close.
 
-    A month's rows are one group: its history, as the refit has it.
+    The line is copied once a penalty; every month reads a prefix of it, so what is shuffled grows with the line alone.
     """
-    own = Window.partitionBy(F.lit(1))
-    x = line.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(AT)))  # one line
-    x = x.withColumn("r", S.simple_return("level", Window.partitionBy(F.lit(1)).orderBy(AT))).withColumn("back", F.max("pos").over(own) - F.col("pos"))
-    x = x.withColumns({"k": F.lit(1), "desc": -F.col("back"), "r2": F.col("r") * F.col("r"), "d2": F.when(F.col("r") < 0, F.col("r") * F.col("r")).when(F.col("r").isNotNull(), 0.0)})
-    mean = lambda c: S.ewm_mean(c, "desc", 21, S.upto(["k"], AT))
-    f = x.select(AT, F.trunc(AT, "MM").alias("month"), mean("r").alias("a"), F.sqrt(mean("r2")).alias("b"), F.sqrt(mean("d2")).alias("c")).where("a is not null")
-    months = f.select("month").distinct().withColumnRenamed("month", "of")
-    before = f.join(F.broadcast(months), F.col("month") < F.col("of"))
+    f = S.jump_features(line.withColumn("k", F.lit(1)), ["k"], AT, "level")  # one line
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, out = pdf.sort_values("date")[["a", "b", "c"]].to_numpy(), []
-        for lam in penalties:
-            label = "neutral"
-            if len(v) >= 504:
-                path, centre, _ = K.jump_model(v, lam, budget=1.5)
-                label = K.state_names(path, centre)[-1]
-            out.append((lam, pdf.of.iloc[0], label))
-        return pd.DataFrame(out, columns=["lam", "month", "regime"])
-
-    return before.groupBy("of").applyInPandas(run, "lam double, month date, regime string")
+        pdf = pdf.sort_values("date")
+        month = pd.to_datetime(pdf.date).dt.to_period("M").dt.to_timestamp().dt.date.to_numpy()
+        at = np.flatnonzero(np.r_[True, month[1:] != month[:-1]])
+        lam = float(pdf.lam.iloc[0])
+        return pd.DataFrame({"lam": lam, "month": month[at], "regime": K.walked_regimes(pdf[["a", "b", "c"]].to_numpy(), at.tolist(), lam)})
+
+    copies = f.withColumn("lam", F.explode(F.array(*(F.lit(float(x)) for x in penalties))))
+    return copies.groupBy("lam").applyInPandas(run, "lam double, month date, regime string")
 
 
 def monthly_buckets(r: DataFrame, windows: tuple[int, ...]) -> DataFrame:

@@ -211,20 +211,100 @@ def test_caps(spark, wide):
         assert math.isclose(g["value"], g["cagr"] / abs(g["maxdd"]), rel_tol=1e-9)
 
 
+def plain_regime(x, penalty, gap=0.5, margin=0.0, kappa=None):
+    """A jump model and its latest label, state by state and row by row."""
+    sd = x.std(axis=0)
+    z = (x - x.mean(axis=0)) / np.where(sd < 1e-8, 1.0, sd)
+    n, w = len(z), np.ones(z.shape[1])
+
+    def walk(cost):
+        best, came = [list(cost[0])], []
+        for t in range(1, n):
+            row, back = [], []
+            for s in (0, 1):
+                move = best[-1][1 - s] + penalty
+                stay = best[-1][s] <= move
+                back.append(s if stay else 1 - s)
+                row.append(cost[t, s] + (best[-1][s] if stay else move))
+            best.append(row), came.append(back)
+        path = [int(np.argmin(best[-1]))]
+        for back in reversed(came):
+            path.append(back[path[-1]])
+        return np.array(path[::-1])
+
+    cost_of = lambda c: np.stack([0.5 * ((z - c[s]) ** 2 * w).sum(axis=1) for s in (0, 1)], axis=1)
+
+    def assign(c):
+        cost, c = cost_of(c), c.copy()
+        path = walk(cost)
+        for s in (0, 1):
+            if s not in path:
+                c[s] = z[int(np.argmax(cost[np.arange(n), path]))]
+                cost = cost_of(c)
+                path = walk(cost)
+        return c, path, cost[np.arange(n), path].sum() + penalty * (np.diff(path) != 0).sum()
+
+    order = np.argsort(z[:, 0], kind="stable")
+    c, path, _ = assign(z[[order[int(0.25 * n)], order[int(0.75 * n)]]])
+    last = math.inf
+    for _ in range(30):
+        c, path, value = assign(np.array([z[path == s].mean(axis=0) if (path == s).any() else c[s] for s in (0, 1)]))
+        if abs(last - value) < 1e-6:
+            break
+        last = value
+    near = [((z[-1] - c[s]) ** 2 * w).sum() for s in (0, 1)]
+    if abs(near[0] - near[1]) < margin or abs(c[0, 0] - c[1, 0]) < gap:
+        return "neutral"
+    return "bull" if (near[1] < near[0]) == (c[1, 0] > c[0, 0]) else "bear"
+
+
+def features_of(p):
+    """The three features of a frame (date, level) by pandas."""
+    r = np.log(p.level).diff()
+    w = lambda s: s.ewm(halflife=21).mean()
+    return pd.DataFrame({"date": p.date, "a": w(r), "b": np.sqrt(w(r**2)), "c": np.sqrt(w(r.where(r < 0, 0.0) ** 2))}).dropna()
+
+
 def test_labels_of_months(spark):
     line = search_queries.P.px_index(spark, LARGER).where("symbol = 'AF'").select("date", "level")
-    got = search_queries.monthly_labels(line.where("date < '1996-12-01'"), (50.0,)).toPandas().set_index("month").regime.to_dict()
-    p = line.toPandas().sort_values("date").reset_index(drop=True)
-    r = p.level / p.level.shift(1) - 1
-    w = lambda s: s.ewm(halflife=21).mean()
-    v = pd.DataFrame({"date": p.date, "a": w(r), "b": np.sqrt(w(r**2)), "c": np.sqrt(w(r.clip(upper=0) ** 2))}).dropna()
-    for m, label in sorted(got.items())[-3:]:
-        x = v[v.date < m][["a", "b", "c"]].to_numpy()
-        want = "neutral"
-        if len(x) >= 504:
-            path, centre, _ = K.jump_model(x, 50.0, budget=1.5)
-            want = K.state_names(path, centre)[-1]
-        assert label == want
+    got = search_queries.monthly_labels(line.where("date < '1998-06-01'"), (50.0, 5.0)).toPandas()
+    v = features_of(line.toPandas().sort_values("date").reset_index(drop=True))
+    seen = set()
+    for lam in (50.0, 5.0):
+        mine = got[got.lam == lam].set_index("month").regime.to_dict()
+        assert len(mine) > 40
+        for m, label in sorted(mine.items())[::9]:
+            x = v[v.date < m][["a", "b", "c"]].to_numpy()
+            assert label == (plain_regime(x, lam) if len(x) >= 504 else "neutral"), (lam, m)
+            seen.add(label)
+    assert len(seen) > 1
+
+
+def test_labels_of_years(spark):
+    got = registry.QUERIES["q_k25_labels"](spark, LARGER).toPandas()
+    px = search_queries.P.px_index(spark, LARGER).toPandas().sort_values("date")
+    for s in ("AF", "NO"):
+        v = features_of(px[px.symbol == s].reset_index(drop=True))
+        for r in got[got.symbol == s].itertuples():
+            x = v[v.date < r.date][["a", "b", "c"]].to_numpy()
+            assert len(x) == r.n_before
+            assert r.label == (plain_regime(x, 50.0) if len(x) >= 504 else "neutral")
+
+
+def test_guards_of_labels():
+    rng = np.random.default_rng(4)
+    apart = np.repeat([0.0, 3.0, 0.0, 3.0], 60)[:, None] * [1, -1, 0] + rng.normal(0, 0.3, (240, 3))
+    assert K.latest_regime(apart, 20.0) == plain_regime(apart, 20.0) == "bull"
+    assert K.latest_regime(-apart, 20.0) == "bear"
+    assert K.latest_regime(apart, 20.0, gap=5.0) == plain_regime(apart, 20.0, gap=5.0) == "neutral"  # states too close for that gap
+    assert K.latest_regime(apart, 20.0, margin=1e6) == "neutral"
+    level = rng.normal(0, 1, (240, 3)) * [1e-12, 1, 1]
+    assert K.latest_regime(level, 20.0) == plain_regime(level, 20.0) == "neutral"
+    # the last row lies nearer to the other state than the path says: the nearest centroid decides
+    turned = apart.copy()
+    turned[-1] = apart[0]
+    path, centre, _ = K.jump_model(turned, 20.0)
+    assert path[-1] == path[-2] and K.latest_regime(turned, 20.0) == "bear"
 
 
 def test_ladder_with_two_factors(spark, wide):
