@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import kernels as K
+from ..operators import rebalance
 from ..operators import series as S
 from ..sources import panels as P
 from ..sources.panels import with_panels
@@ -134,6 +135,38 @@ def rebalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.join(w, "reb").select(AT, (F.col("w") * F.col("growth")).alias("wealth")))
 
 
+_TARGETS = """, n AS (SELECT symbol, row_number() OVER (ORDER BY symbol) - 1 AS i FROM (SELECT DISTINCT symbol FROM ord)),
+    m AS (SELECT month, date, row_number() OVER (ORDER BY month) - 1 AS k FROM (SELECT date_trunc('month', date) AS month, min(date) AS date FROM ord GROUP BY 1)),
+    t AS (SELECT 'equal' AS rule, date, symbol, 0.2::DOUBLE AS weight FROM m, n UNION ALL SELECT 'tilt', date, symbol, CASE WHEN (k + i) % 7 = 0 THEN NULL ELSE 0.1 + 0.04 * i END FROM m, n WHERE k % 3 = 0
+      UNION ALL SELECT 'turn', date, symbol, CASE WHEN i = k % 5 THEN 1.5::DOUBLE WHEN i = (k + 1) % 5 THEN -0.5 ELSE 0 END FROM m, n UNION ALL SELECT 'hold', date, symbol, 0.3 - 0.05 * i FROM m, n WHERE k = 0)"""
+
+
+@query(
+    "q_k12_simulated",
+    with_panels("ord").replace("WITH", "WITH RECURSIVE")
+    + _TARGETS
+    + """, g AS (SELECT d.date, n.symbol, 100 + o.close / 10000 AS p, last_value(100 + o.close / 10000 IGNORE NULLS) OVER (PARTITION BY n.symbol ORDER BY d.date) AS last FROM (SELECT DISTINCT date FROM ord) d CROSS JOIN n LEFT JOIN ord o USING (date, symbol)),
+    o AS (SELECT t.rule, t.date, row_number() OVER (PARTITION BY t.rule ORDER BY t.date) AS k, list(weight ORDER BY symbol) AS w, list(p ORDER BY symbol) AS p, list(last ORDER BY symbol) AS l FROM t JOIN g USING (date, symbol) GROUP BY 1, 2),
+    s AS (SELECT rule, 0::BIGINT AS k, NULL::DATE AS date, 10000.0::DOUBLE AS cash, [0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS u FROM (SELECT DISTINCT rule FROM o)
+      UNION ALL SELECT rule, k, date, v - list_sum(list_transform(list_zip(u2, l), lambda x: coalesce(x[1] * x[2], 0))), u2 FROM
+        (SELECT *, list_transform(list_zip(w, p, u), lambda x: CASE WHEN x[1] IS NOT NULL AND x[2] IS NOT NULL THEN x[1] * v / x[2] ELSE x[3] END) AS u2 FROM
+          (SELECT o.*, s.u, s.cash + list_sum(list_transform(list_zip(s.u, o.l), lambda x: coalesce(x[1] * x[2], 0))) AS v FROM s JOIN o ON o.rule = s.rule AND o.k = s.k + 1))),
+    l AS (SELECT date, list(last ORDER BY symbol) AS l FROM g GROUP BY 1)
+    SELECT d.rule, d.date, round(coalesce(s.cash, 10000), 4) + 0.0 AS cash, round(coalesce(s.cash + list_sum(list_transform(list_zip(s.u, d.l), lambda x: coalesce(x[1] * x[2], 0))), 10000), 4) AS wealth
+    FROM (SELECT l.*, r.rule FROM l CROSS JOIN (SELECT DISTINCT rule FROM o) r) d ASOF LEFT JOIN (SELECT * FROM s WHERE k > 0) s ON s.rule = d.rule AND d.date >= s.date""",
+)
+def simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four sets of targets on lines with missing prices: equal weights every month, a tilt of every quarter that leaves lines out, a leveraged turn, and a first purchase that is held."""
+    px = P.px_orders(spark, sf_dir).select("symbol", AT, (100 + F.col("close") / 10000).alias("price"))  # damped
+    names = px.select("symbol").distinct().withColumn("i", F.row_number().over(Window.orderBy("symbol")) - 1)  # five lines
+    months = px.groupBy(F.trunc(AT, "MM").alias("month")).agg(F.min(AT).alias(AT)).withColumn("k", F.row_number().over(Window.orderBy("month")) - 1).crossJoin(F.broadcast(names))  # months
+    i, k = F.col("i"), F.col("k")
+    rule = lambda name, weight, where: months.where(where).select(F.lit(name).alias("rule"), AT, "symbol", weight.cast("double").alias("weight"))
+    targets = rule("equal", F.lit(0.2), "true").unionByName(rule("tilt", F.when((k + i) % 7 != 0, 0.1 + 0.04 * i), "k % 3 = 0"))
+    targets = targets.unionByName(rule("turn", F.when(i == k % 5, 1.5).when(i == (k + 1) % 5, -0.5).otherwise(0.0), "true")).unionByName(rule("hold", 0.3 - 0.05 * i, "k = 0"))
+    return rounded(rebalance.simulated(px, targets), 4).withColumn("cash", F.col("cash") + F.lit(0.0))  # no negative zero
+
+
 @query(
     "q_k30_auc",
     "WITH j AS (SELECT toxic, n_chars FROM labels JOIN documents USING (doc_id)), r AS (SELECT toxic, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rk FROM j) SELECT count(*) FILTER (WHERE toxic = 1) AS n1, count(*) FILTER (WHERE toxic = 0) AS n0, round((sum(rk) FILTER (WHERE toxic = 1) - count(*) FILTER (WHERE toxic = 1) * (count(*) FILTER (WHERE toxic = 1) + 1) / 2.0) / (count(*) FILTER (WHERE toxic = 1) * count(*) FILTER (WHERE toxic = 0)), 6) AS auc FROM r",
