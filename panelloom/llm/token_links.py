@@ -45,11 +45,8 @@ SELECT d.row, l.a_id, l.b_id, l.hi
 FROM (SELECT b.id AS b_id, b.hi, a.id AS a_id, a.hi AS a_hi FROM b ASOF JOIN a ON b.hi > a.lo) l JOIN d ON l.hi >> {bits} = d.bin AND d.lo < l.hi AND l.hi <= d.hi
 WHERE l.a_hi = l.hi""".format(bits=BIN)
 _PAIRS = "SELECT row, a_id, b_id, count(*) AS n FROM link GROUP BY ALL ORDER BY row, a_id, b_id"
-_GROUPS = """
-WITH t AS (SELECT 0 AS side, * FROM a UNION ALL SELECT 1, * FROM b),
-g AS (SELECT t.side, t.id, t.lo, coalesce(sum(CASE WHEN link.hi IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY t.side ORDER BY t.lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cut
-    FROM t LEFT JOIN link ON link.hi = t.hi)
-SELECT side, id, cut FROM g ORDER BY cut, side, lo"""
+#: Tokens of one side in order, with the number of common ends before each: the group it is in.
+_GROUPS = "SELECT t.id, count(link.hi) OVER (ORDER BY t.lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cut FROM {side} t LEFT JOIN link ON link.hi = t.hi ORDER BY t.lo"
 _COMMA, _BAR, _SEMICOLON = b",|;"
 
 
@@ -61,14 +58,16 @@ def _decimals(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(said), np.uint8), np.cumsum(size) - size, size
 
 
-def written_groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of sorted groups as text, a mark behind each, and where each token's text begins."""
-    side, ids, cut = (table.column(c).to_numpy() for c in ("side", "id", "cut"))
+def written_groups(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of both sides, merged by group, as text with a mark behind each, and where each token's text begins."""
+    key = np.concatenate([x.column("cut").to_numpy() * 2 + side for side, x in enumerate((a, b))])
+    order = np.argsort(key, kind="stable")  # two sorted runs: one merge
+    key, ids = key[order], np.concatenate([x.column("id").to_numpy() for x in (a, b)])[order]
     flat, offs, size = _decimals(1 << 17 if not len(ids) or ids.max() < 1 << 17 else int(ids.max()) + 1)
-    text = flat[ranges(offs[ids], size[ids])]
-    ends = np.cumsum(size[ids])
-    mark = np.where(np.diff(cut, append=-1) != 0, _SEMICOLON, np.where(np.diff(side, append=0) != 0, _BAR, _COMMA))
-    text[ends - 1] = mark
+    size = size[ids]
+    text, ends = flat[ranges(offs[ids], size)], np.cumsum(size)
+    step = np.diff(key, append=-1)
+    text[ends - 1] = np.where(step == 0, _COMMA, np.where((step == 1) & (key % 2 == 0), _BAR, _SEMICOLON))
     return text, np.concatenate([[0], ends])
 
 
@@ -111,10 +110,10 @@ def stretches(a_end: np.ndarray, b_end: np.ndarray, most: int = STRETCH) -> Iter
 
 
 def _table(ids: np.ndarray, end: np.ndarray, lo: int, hi: int) -> pa.Table:
-    """Intervals within a byte range."""
+    """Intervals within a byte range, counted from its start."""
     i, j = np.searchsorted(end, lo, side="right"), np.searchsorted(end, hi, side="right")
-    start = np.concatenate([[lo], end[i:j]])[:-1]
-    return pa.table({"id": pa.array(ids[i:j], pa.int32()), "lo": start, "hi": end[i:j]})
+    stop = (end[i:j] - lo).astype(np.int32)
+    return pa.table({"id": pa.array(ids[i:j], pa.int32()), "lo": np.concatenate([[0], stop])[:-1].astype(np.int32), "hi": stop})
 
 
 def align_block(con, v: Vocabulary, p: piece_codec.Pieces, block: Block, most: int = STRETCH) -> pa.RecordBatch:
@@ -128,12 +127,14 @@ def align_block(con, v: Vocabulary, p: piece_codec.Pieces, block: Block, most: i
         ta, tb = _table(a[0], a[1], lo, hi), _table(b[0], b[1], lo, hi)
         rows = np.flatnonzero((starts < hi) & (ends > lo) & good)
         con.register("a", ta), con.register("b", tb)
-        first = np.maximum(starts[rows], lo) >> BIN
-        bins = (np.minimum(ends[rows], hi) >> BIN) - first + 1
-        con.register("d", pa.table({"row": np.repeat(rows, bins), "lo": np.repeat(starts[rows], bins), "hi": np.repeat(ends[rows], bins), "bin": ranges(first, bins)}))
+        begin, end = np.maximum(starts[rows] - lo, 0), np.minimum(ends[rows], hi) - lo
+        first = begin >> BIN
+        bins = (end >> BIN) - first + 1
+        spread = {"row": np.repeat(rows, bins), "lo": np.repeat(begin, bins), "hi": np.repeat(end, bins), "bin": ranges(first, bins)}
+        con.register("d", pa.table({k: x.astype(np.int32) for k, x in spread.items()}))
         con.execute(f"CREATE OR REPLACE TEMP TABLE link AS {_LINKS}")
         pairs.append(con.sql(_PAIRS).to_arrow_table())
-        flat, offs = written_groups(con.sql(_GROUPS).to_arrow_table())
+        flat, offs = written_groups(*(con.sql(_GROUPS.format(side=x)).to_arrow_table() for x in "ab"))
         n = len(offs) - 1
         for r in rows.tolist():
             x, y = (min(max(int(t) - done, 0), n) for t in (tokens[r], tokens[r + 1]))
