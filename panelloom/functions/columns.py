@@ -102,18 +102,23 @@ def _ranged(df: DataFrame, *keys: str) -> DataFrame:
     return spark.read.schema(parted.schema).parquet(folder)
 
 
-def positions(df: DataFrame, key: str) -> DataFrame:
-    """df with pos, the rank of its unique key from 0: range partitions are written and counted, then numbered inside each.
+def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with pos, the rank of its unique keys from 0: range partitions are written and counted, then numbered inside each.
 
     Only the counts of the partitions meet in one place.
     """
-    parted = _ranged(df, key)
+    parted = _ranged(df, *keys)
     count = parted.groupBy("_p").agg(F.count("*").alias("_n"))
     base = count.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inside = parted.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
+    inside = parted.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)) - 1)
     return inside.join(F.broadcast(base), "_p").withColumn("pos", F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")  # a row a shuffle partition
 
 
+def positions(df: DataFrame, key: str) -> DataFrame:
+    """df with pos, the rank of its unique key from 0."""
+    return numbered(df, [key])
+
+
 def running_total(df: DataFrame, key: str, value: str, out: str, by: str | None = None) -> DataFrame:
     """df with out, the sum of value over all smaller keys (of the same ``by``, null being one of its values): written range partitions are summed first, so no task holds all rows."""
     own = [by] if by else []

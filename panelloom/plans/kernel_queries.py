@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import kernels as K
-from ..operators import rebalance
+from ..operators import rebalance, regression
 from ..operators import series as S
 from ..sources import panels as P
 from ..sources.panels import with_panels
@@ -86,18 +86,11 @@ def annual_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT symbol, round(b, 6) AS beta, round(a * 252, 6) AS alpha, round(a / sqrt((sxx * sxx * uu - 2 * sx * sxx * uv + sx * sx * vv) / pow(n * sxx - sx * sx, 2)), 5) AS t_alpha FROM f JOIN s USING (symbol)""",
 )
 def hac_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regression on the benchmark with a five-lag sandwich t value of the intercept, one kernel call a symbol."""
+    """Regression on the benchmark with a five-lag sandwich t value of the intercept."""
     r = P.returns(spark, sf_dir).where("r is not null")
     x = r.where("symbol = 'NO'").select(AT, F.col("r").alias("x"))
-    pairs = r.where("symbol <> 'NO'").join(x, AT).select("symbol", AT, F.col("r").alias("y"), "x")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        beta, t = K.hac_ols(pdf.y.to_numpy(), pdf.x.to_numpy())
-        return pd.DataFrame({"symbol": [pdf.symbol.iloc[0]], "beta": [beta[1]], "alpha": [beta[0] * 252], "t_alpha": [t[0]]})
-
-    out = pairs.groupBy("symbol").applyInPandas(fit, "symbol string, beta double, alpha double, t_alpha double")
-    return out.select("symbol", F.round("beta", 6).alias("beta"), F.round("alpha", 6).alias("alpha"), F.round("t_alpha", 5).alias("t_alpha"))
+    out = regression.fitted(r.where("symbol <> 'NO'").join(x, AT).select("symbol", AT, F.col("r").alias("y"), "x"), "symbol", AT, "y", ["x"])
+    return out.select("symbol", F.round(F.col("beta")[1], 6).alias("beta"), F.round(F.col("beta")[0] * 252, 6).alias("alpha"), F.round(F.col("t")[0], 5).alias("t_alpha"))
 
 
 @query("q_k13_buy_hold", with_panels("idx") + ", f AS (SELECT symbol, date, level / first_value(level) OVER (PARTITION BY symbol ORDER BY date) AS rel FROM idx) SELECT date, round(sum(rel) / count(*), 6) AS wealth, count(*) AS n FROM f GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM idx)")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import kernels as K
+from ..operators import regression
 from ..operators import series as S
 from ..operators.search import keep_or_revert
 from ..sources import panels as P
@@ -142,28 +143,18 @@ _DIAGNOSTIC = "HRP_BL_AI_NONPIT"
 def ladder(returns: DataFrame, factors: DataFrame) -> DataFrame:
     """(rung, n, appraisal, alpha_ann, t_alpha_hac, r2, idio_vol_ann, calmar, max_drawdown) of every rung's returns (rung, date, r) against its own factors (date, one column each) on their common dates."""
     names = [c for c in factors.columns if c != AT]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        y, x = pdf.r.to_numpy(), pdf[names].to_numpy()
-        out = {"rung": [pdf.rung.iloc[0]], "n": [len(y)]}
-        nan = float("nan")
-        if len(y) > len(names) + 1:
-            beta, t = K.hac_ols(y, x)
-            u = y - beta[0] - x @ beta[1:]
-            idio, spread = u.std(ddof=1) * np.sqrt(252), ((y - y.mean()) ** 2).sum()
-            fitted = [beta[0] * 252 / idio if idio >= 1e-8 else nan, beta[0] * 252, t[0], 1 - (u**2).sum() / spread if spread > 0 else nan, idio]
-        else:
-            fitted = [nan] * 5
-        curve = np.cumprod(1 + y)
-        fall = (curve / np.maximum.accumulate(curve) - 1).min()
-        days = (pdf.date.iloc[-1] - pdf.date.iloc[0]).days
-        growth = (curve[-1] / curve[0]) ** (365.25 / max(days, 1)) - 1
-        keys = ["appraisal", "alpha_ann", "t_alpha_hac", "r2", "idio_vol_ann"]
-        return pd.DataFrame(out | {k: [v] for k, v in zip(keys, fitted, strict=True)} | {"calmar": [growth / abs(fall) if fall < 0 else nan], "max_drawdown": [fall]})
-
-    kinds = ", ".join(f"{k} double" for k in ("appraisal", "alpha_ann", "t_alpha_hac", "r2", "idio_vol_ann", "calmar", "max_drawdown"))
-    return returns.join(factors, AT).groupBy("rung").applyInPandas(fit, f"rung string, n long, {kinds}")
+    rows = returns.join(factors, AT)
+    idio = F.col("s") * F.sqrt(F.lit(252.0))
+    alpha, t = F.col("beta")[0] * 252, F.col("t")[0]
+    fit = regression.fitted(rows, "rung", AT, "r", names).select(
+        "rung", "n", F.when(idio >= 1e-8, alpha / idio).alias("appraisal"), alpha.alias("alpha_ann"), t.alias("t_alpha_hac"), "r2", idio.alias("idio_vol_ann")
+    )
+    w = S.upto(["rung"], AT)
+    curve = rows.select("rung", AT, F.product(1 + F.col("r")).over(w).alias("e")).withColumn("fall", F.col("e") / F.max("e").over(w) - 1)
+    shape = curve.groupBy("rung").agg(F.min("fall").alias("max_drawdown"), (F.max_by("e", AT) / F.min_by("e", AT)).alias("growth"), F.greatest(F.datediff(F.max(AT), F.min(AT)), F.lit(1)).alias("days"))
+    calmar = F.when(F.col("max_drawdown") < 0, (F.pow("growth", 365.25 / F.col("days")) - 1) / F.abs("max_drawdown"))
+    got = fit.join(shape, "rung").select(*fit.columns, calmar.alias("calmar"), "max_drawdown")
+    return got.select(*(F.coalesce(c, F.lit(float("nan"))).alias(c) if k == "double" else F.col(c) for c, k in got.dtypes))
 
 
 @query(
