@@ -10,7 +10,7 @@ import pytest
 
 from panelloom.plans import registry
 
-for _name in ("plans.series_queries", "plans.relational_queries", "plans.kernel_queries", "plans.report_queries", "plans.decision_queries", "plans.source_queries", "plans.replay_queries", "plans.search_queries", "plans.function_queries", "streaming.events", "streaming.stateful"):
+for _name in ("plans.series_queries", "plans.relational_queries", "plans.kernel_queries", "plans.report_queries", "plans.decision_queries", "plans.source_queries", "plans.replay_queries", "plans.search_queries", "plans.function_queries", "plans.contract_queries", "streaming.events", "streaming.stateful"):
     __import__(f"panelloom.{_name}")
 
 
