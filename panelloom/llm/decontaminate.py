@@ -1,16 +1,25 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Words are lowered runs of letters, digits and bytes above 0x7F.  Every document
-is searched for the n-grams of the test items through a bit table of 16 bits a gram,
-up to MOST_BITS (a prefilter whose false hits the join removes); hits close together form a
-region.  Every n-gram of an item is a seed, however frequent, so a stretch that
-leaked everywhere is found as well as a rare one.  Seeds are joined with the
-hits; of the (region, item) pairs that share one, those with too few words in common
-to reach ``LEAST`` in any order are left out, the others are aligned word by word.  An
-alignment scores MATCH, MISS or GAP a word and is divided by the item's best
-possible score; pairs of ``LEAST`` or more are leaks.
-
-An item of fewer than ``GRAM`` words would be found in very many texts; it matches
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Words are lowered runs of letters, digits and bytes above 0x7F.  An alignment scores
+MATCH, MISS or GAP a word and is divided by the item's best possible score; pairs of
+``LEAST`` or more are leaks, and every such pair is found:
+
+From one matched word of an alignment to the next, a item words and b text words on,
+the score gains MATCH less the words passed over, which is above zero only for a and
+b of 1 or 2.  A leak has to gain more than nothing, so it holds a pair of words that
+stand 1 or 2 apart in the item and in the text.  These pairs are the n-grams.  A word
+starts one step, which gains MATCH at the most; so an item may do without the pairs
+that start at some of its words, as long as MATCH times their number is less than
+what a leak must gain.  The pairs in most documents are left out, about two fifths of
+an item; those that are left are its seeds.
+
+Pairs of the items are counted in all documents, then seeds are looked up there, each
+time through a bit table of the grams (a prefilter whose false hits a join removes).
+Documents with a seed meet their texts again, and the words that an alignment around
+a seed can reach are cut out item by item; those with too few words in common to
+reach ``LEAST`` in any order are left out, the others are aligned word by word.
+
+An item of fewer than ``SHORT`` words would be found in very many texts; it matches
 documents that consist of its words and nothing else.  Null and empty texts or items
 never match.  Rows with a null id are documents of their own, told apart by their
 text.  Repeated rows give one result for each (document, item): the best alignment,
@@ -23,16 +32,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import Block, blocks, mix, prefix, spans, word_hashes, words
 from .buckets import known, named, within
 from .shared_store import Scratch
 
-GRAM, LEAST = 3, 0.4
+LEAST, SHORT, APART = 0.4, 3, (1, 2)
 MATCH, MISS, GAP = 2, -1, -1
-LEAST_BITS, MOST_BITS = 23, 30
+LEAST_BITS, MOST_BITS, PROBES = 23, 30, 2
 BROADCAST_WORDS = 500_000
 BLOCK = 1 << 18
 
@@ -48,95 +57,151 @@ def word_values(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(b, lo, hi), np.searchsorted(row, np.arange(len(b) + 1))
 
 
-def gram_values(values: np.ndarray, n: int) -> np.ndarray:
-    at = np.arange(max(0, len(values) - n + 1))
-    return mix(spans(prefix(values), at, at + n))
+def pair_values(values: np.ndarray, apart: int) -> np.ndarray:
+    """The gram of every word and the one ``apart`` words on, in that order; how far they stand apart does not matter."""
+    first, second = values[: max(0, len(values) - apart)], values[apart:]
+    return mix(first ^ (mix(second) >> np.uint64(1)))
 
 
 def whole_value(values: np.ndarray) -> np.ndarray:
-    """The one gram of a text of fewer than GRAM words."""
+    """The one gram of a text of fewer than SHORT words."""
     n = len(values)
     return mix(spans(prefix(values), np.zeros(1, np.int64), np.full(1, n)) ^ np.uint64(0x9FB21C651E98DF25 + n))
 
 
 def item_rows(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
-    """(item_id, n, words, grams): word hashes and gram hashes of every item."""
+    """(item_id, n, words, grams, at): word hashes of every item, its grams, and the word that each starts at."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "_text", BLOCK):
             v, offs = word_values(b)
-            ids, size, own, grams = [], [], [], []
+            ids, size, own, grams, at = [], [], [], [], []
             for i, k in enumerate(b.rows.column("item_id").to_pylist()):
                 w = v[offs[i] : offs[i + 1]]
                 if len(w):
                     ids.append(k)
                     size.append(len(w))
                     own.append(w.tobytes())
-                    grams.append((gram_values(w, GRAM) if len(w) >= GRAM else whole_value(w)).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(own, pa.binary()), pa.array(grams, pa.list_(pa.int64()))], ["item_id", "n", "words", "grams"])
+                    g = [pair_values(w, d) for d in APART] if len(w) >= SHORT else [whole_value(w)]
+                    grams.append(np.concatenate(g).view(np.int64).tolist())
+                    at.append(np.concatenate([np.arange(len(x)) for x in g]).tolist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(own, pa.binary()), pa.array(grams, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))], ["item_id", "n", "words", "grams", "at"]
+            )
 
     rows = benchmark.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("item_id"), F.lower(text).alias("_text"))
-    return rows.mapInArrow(run, "item_id long, n int, words binary, grams array<long>")
+    return rows.mapInArrow(run, "item_id long, n int, words binary, grams array<long>, at array<int>")
+
+
+def _probes(grams: np.ndarray, wide: int) -> list[np.ndarray]:
+    """The places of grams in a table of 2 ** wide bits."""
+    return [(x >> np.uint64(64 - wide)).astype(np.int64) for x in (grams, mix(grams))][:PROBES]
 
 
-def bit_table(items: DataFrame, grams: int) -> np.ndarray:
-    """Bits of all item grams, at the place that the top bits of a gram's hash name."""
-    wide = min(MOST_BITS, max(LEAST_BITS, (16 * grams - 1).bit_length()))
-    slots = items.select(F.explode("grams").alias("g")).select(F.shiftrightunsigned("g", 64 - wide).cast("int").alias("s")).distinct()
+def bit_table(grams: DataFrame, n: int) -> np.ndarray:
+    """Bits of all grams (gram), at the places that their hashes name."""
+    wide = min(MOST_BITS, max(LEAST_BITS, (32 * n - 1).bit_length()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (wide - 3), np.uint8)
         for batch in batches:
-            s = batch.column("s").to_numpy()
-            np.bitwise_or.at(bits, s >> 3, np.uint8(1) << (s & 7).astype(np.uint8))
+            for slot in _probes(batch.column("gram").to_numpy().view(np.uint64), wide):
+                np.bitwise_or.at(bits, slot >> 3, np.uint8(1) << (slot & 7).astype(np.uint8))
         if bits.any():
             yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
     bits = np.zeros(1 << (wide - 3), np.uint8)
-    for r in slots.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+    for r in grams.select("gram").distinct().coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
         bits |= np.frombuffer(r.bits, np.uint8)
     return bits
 
 
-def regions(docs: DataFrame, bits: np.ndarray, reach: int, text: str, key: str) -> DataFrame:
-    """(doc, alt, start, words, grams, at): stretches of a document around possible hits, with the hits in them."""
-    spread = docs.sparkSession.sparkContext.broadcast(bits)  # MOST_BITS bits at the most
+def _hits(b: Block, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word of the row, gram) of the pairs, or whole short texts, of a block that may be in the table."""
+    v, offs = word_values(b)
+    size, wide = np.diff(offs), (len(table) * 8 - 1).bit_length()
+    row = np.repeat(np.arange(len(b)), size)
+    at, grams = [], []
+    for d in APART:
+        g = pair_values(v, d)
+        inside = row[: len(g)] == row[d : d + len(g)]
+        at.append(np.flatnonzero(inside))
+        grams.append(g[inside])
+    short = np.flatnonzero((size > 0) & (size < SHORT))
+    at.append(offs[short])
+    grams.append(np.array([whole_value(v[offs[i] : offs[i + 1]])[0] for i in short], np.uint64))
+    at, grams = np.concatenate(at), np.concatenate(grams)
+    for k in range(PROBES):
+        slot = _probes(grams, wide)[k]
+        ok = (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+        at, grams = at[ok], grams[ok]
+    return row[at], at - offs[row[at]], grams.view(np.int64)
+
+
+def document_counts(docs: DataFrame, grams: DataFrame, n: int, text: str) -> DataFrame:
+    """(gram, docs): in how many documents each gram of the table, and some others, occur."""
+    spread = docs.sparkSession.sparkContext.broadcast(bit_table(grams, n))  # MOST_BITS bits at the most
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = spread.value
-        shift = np.uint64(64 - (len(table) * 8 - 1).bit_length())
         for b in blocks(batches, "_text", BLOCK):
-            v, offs = word_values(b)
-            g = gram_values(v, GRAM)
-            size = np.diff(offs)
-            row = np.repeat(np.arange(len(b)), size)
-            short = np.flatnonzero((size > 0) & (size < GRAM))
-            g = np.r_[g, np.zeros(len(v) - len(g), np.uint64)]
-            for i in short:
-                g[offs[i]] = whole_value(v[offs[i] : offs[i + 1]])[0]
-            slot = (g >> shift).astype(np.int64)
-            hit = np.flatnonzero((table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-            hit = hit[hit + np.minimum(GRAM, size[row[hit]]) <= offs[row[hit] + 1]] if len(hit) else hit
-            hit = hit[(size[row[hit]] >= GRAM) | (hit == offs[row[hit]])] if len(hit) else hit
-            if not len(hit):
-                continue
-            new = np.r_[True, (np.diff(hit) > reach) | (row[hit[1:]] != row[hit[:-1]])]
-            first = np.flatnonzero(new)
-            last = np.r_[first[1:], len(hit)] - 1
-            r = row[hit[first]]
-            lo = np.maximum(offs[r], hit[first] - reach)
-            hi = np.minimum(offs[r + 1], hit[last] + GRAM + reach)
-            cut = pa.array(np.r_[first, len(hit)], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.rows.column("doc").take(pa.array(r)), b.rows.column("alt").take(pa.array(r)), pa.array(lo - offs[r]), pa.array([v[x:y].tobytes() for x, y in zip(lo, hi)], pa.binary()),
-                    pa.ListArray.from_arrays(cut, pa.array(g[hit].view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(hit - np.repeat(lo, last - first + 1), pa.int64())),
-                ],
-                ["doc", "alt", "start", "words", "grams", "at"],
-            )
+            row, _, g = _hits(b, spread.value)
+            key, gram = np.unique(g, return_inverse=True)
+            each = np.unique(gram * len(b) + row) // max(1, len(b))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(each, minlength=len(key)))], ["gram", "docs"])
+
+    return docs.select(F.lower(text).alias("_text")).mapInArrow(run, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
+
+
+def seeds_of(items: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """(gram, item_id): the grams of every item without those that start at its commonest words, as many as a leak cannot live on."""
+    each = items.select("item_id", "n", F.explode(F.arrays_zip("grams", "at")).alias("g")).select("item_id", "n", F.col("g.grams").alias("gram"), F.col("g.at").alias("at"))
+    cost = each.join(counts, "gram", "left").groupBy("item_id", "n", "at").agg(F.sum(F.coalesce("docs", F.lit(0))).alias("cost"), F.collect_set("gram").alias("grams"))
+    spare = F.greatest(F.lit(0), F.ceil((least * F.col("n") * MATCH - MATCH) / MATCH - 1e-9) - 1)  # MATCH * spare < what a leak gains
+    common = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("cost"), "at"))  # the words of an item
+    kept = cost.withColumn("k", common).where(F.col("k") > F.when(F.col("n") < SHORT, 0).otherwise(spare))
+    return kept.select(F.explode("grams").alias("gram"), "item_id").distinct()
+
+
+def seed_hits(docs: DataFrame, seeds: DataFrame, n: int, text: str, key: str) -> DataFrame:
+    """(doc, alt, pos, gram) of every seed, and some others, in the documents."""
+    spread = docs.sparkSession.sparkContext.broadcast(bit_table(seeds, n))  # MOST_BITS bits at the most
 
-    rows = docs.select(*named(text, key), F.lower(text).alias("_text"))
-    return rows.mapInArrow(run, "doc long, alt long, start long, words binary, grams array<long>, at array<long>")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "_text", BLOCK):
+            row, pos, g = _hits(b, spread.value)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.rows.column("doc").take(take), b.rows.column("alt").take(take), pa.array(pos), pa.array(g)], ["doc", "alt", "pos", "gram"])
+
+    return docs.select(*named(text, key), F.lower(text).alias("_text")).mapInArrow(run, "doc long, alt long, pos long, gram long")
+
+
+def regions(found: DataFrame, least: float) -> DataFrame:
+    """(doc, alt, item_id, start, words): the stretches of texts (doc, alt, _text, seeds: array of (item_id, n, pos)) that an alignment through a seed can reach.
+
+    A leak of n item words spans at most ``MATCH * (1 - least) * n`` text words besides the n.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "_text", BLOCK):
+            v, offs = word_values(b)
+            rows, items, starts, parts = [], [], [], []
+            for i, hits in enumerate(b.rows.column("seeds").to_pylist()):
+                size = int(offs[i + 1] - offs[i])
+                by_item: dict[tuple[int, int], list[int]] = {}
+                for h in hits:
+                    by_item.setdefault((h["item_id"], h["n"]), []).append(h["pos"])
+                for (item, n), at in by_item.items():
+                    reach = int(np.ceil(n * (1 + MATCH * (1 - least)))) + 2
+                    at = np.unique(at)
+                    cut = np.flatnonzero(np.diff(at) > 2 * reach) + 1
+                    for run_of in np.split(at, cut):
+                        lo, hi = max(0, int(run_of[0]) - reach), min(size, int(run_of[-1]) + reach)
+                        if lo < hi:
+                            rows.append(i), items.append(item), starts.append(lo), parts.append(v[offs[i] + lo : offs[i] + hi].tobytes())
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.rows.column("doc").take(take), b.rows.column("alt").take(take), pa.array(items, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], ["doc", "alt", "item_id", "start", "words"])
+
+    return found.select("doc", "alt", "_text", "seeds").mapInArrow(run, "doc long, alt long, item_id long, start long, words binary")
 
 
 def smith_waterman(text: np.ndarray, size: np.ndarray, item: np.ndarray, item_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,15 +274,15 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str
     """(doc, alt, item_id, score, end_word): every document with a passage that aligns with a test item; doc is the id, NO_ID for null (see ``buckets.named``)."""
     scratch = Scratch(spark)
     items = scratch.keep(item_rows(benchmark), "items")
-    longest, total, grams = items.agg(F.max("n"), F.sum("n"), F.sum(F.size("grams"))).first()
-    reach = int(longest or 1) * 3 // 2
+    total, grams = items.agg(F.sum("n"), F.sum(F.size("grams"))).first()
     near = F.broadcast if (total or 0) <= BROADCAST_WORDS else (lambda df: df)  # a larger benchmark is joined by shuffling
-    found = scratch.keep(regions(docs, bit_table(items, grams or 1), reach, text, key), "regions")
+    counts = document_counts(docs, items.select(F.explode("grams").alias("gram")), grams or 1, text)
+    seeds = scratch.keep(seeds_of(items, counts, least), "seeds")
+    hits = seed_hits(docs, seeds, grams or 1, text, key).join(near(seeds), "gram").join(near(items.select("item_id", "n")), "item_id")
+    by_text = scratch.keep(hits.groupBy("doc", "alt").agg(F.collect_set(F.struct("item_id", "n", "pos")).alias("seeds")), "by_text")  # the seeds of one text
+    met = docs.select(*named(text, key), F.lower(text).alias("_text")).join(by_text, ["doc", "alt"])
+    rows = regions(met, least).join(near(items.select("item_id", F.col("words").alias("item_words"))), "item_id")
     at = ["doc", "alt", "start"]
-    hits = found.select(*at, F.explode(F.array_distinct("grams")).alias("gram"))
-    seeds = items.select("item_id", F.explode(F.array_distinct("grams")).alias("gram"))
-    pairs = hits.join(near(seeds), "gram").select(*at, "item_id").distinct()
-    rows = pairs.join(found.select(*at, "words"), at).join(near(items.select("item_id", F.col("words").alias("item_words"))), "item_id")
     scored = rows.select(*at, "words", "item_id", "item_words").mapInArrow(lambda batches: align(enough(batches, least)), "doc long, alt long, item_id long, score double, end_word long")
     best = scored.where(F.col("score") >= least).groupBy("doc", "alt", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("e"))).alias("b"))
     return best.select("doc", "alt", "item_id", F.col("b.score").alias("score"), (-F.col("b.e")).alias("end_word"))

@@ -334,6 +334,52 @@ def test_leaks_of_an_item_s_frequent_part(spark):
     assert {(r.doc, r.score) for r in got} == {(i, 0.45) for i in range(30)} | {(100 + i, 1.0) for i in range(3)}
 
 
+def test_leaks_equal_all_pairs_aligned(spark):
+    """Items of 3 to 60 words in texts with none to half of their words replaced, dropped or followed by others: every pair that scores enough is found, and no other."""
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(60)] + [f"rare{i}" for i in range(400)]
+    draw = lambda n: [vocabulary[min(int(rng.expovariate(0.03)), 459)] for _ in range(n)]
+    items = {k: draw(n) for k, n in enumerate([3, 4, 5, 5, 8, 8, 12, 15, 20, 30, 45, 60])}
+    texts = {}
+    for k, words in items.items():
+        for share in (0.0, 0.1, 0.2, 0.3, 0.4, 0.5):
+            for way in range(4):
+                out = []
+                for i, w in enumerate(words):
+                    hit = rng.random() < share if way else i % 3 == 2 and share > 0
+                    kind = way if way < 3 else rng.randrange(3)
+                    out += ([w] if not hit else draw(1) if kind < 2 else []) + (draw(1) if hit and kind == 1 and rng.random() < 0.5 else [])
+                texts[len(texts) + 1000] = draw(rng.randrange(8)) + out + draw(rng.randrange(8))
+    for _ in range(40):
+        texts[len(texts) + 1000] = draw(rng.randrange(1, 120))
+    rows = [(k, " ".join(t)) for k, t in texts.items()]
+    got = {(r.doc, r.item_id): r.score for r in decontaminate.leaks(spark, frame(spark, rows), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")).collect()}
+    code = {w: i + 1 for i, w in enumerate(vocabulary)}
+    want = {}
+    for k, w in items.items():
+        q = np.array([code[x] for x in w], np.uint64)
+        n = np.array([len(t) for t in texts.values()])
+        t = np.zeros((len(texts), n.max()), np.uint64)
+        for z, x in enumerate(texts.values()):
+            t[z, : n[z]] = [code[y] for y in x]
+        best, _ = decontaminate.smith_waterman(t, n, np.tile(q, (len(texts), 1)), np.full(len(texts), len(q)))
+        want |= {(d, k): b / (decontaminate.MATCH * len(q)) for d, b in zip(texts, best.tolist()) if b / (decontaminate.MATCH * len(q)) >= decontaminate.LEAST}
+    assert len(want) > 250 and got == want
+
+
+def test_seeds_leave_out_what_is_in_every_document(spark):
+    """A pair of words in all documents and half of the items joins nothing where an item can do without it."""
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    items = spark.createDataFrame([(i, f"of the {word(f'q{i}x', 12)} of the") for i in range(20)] + [(i + 20, word(f"r{i}x", 12)) for i in range(20)], "item_id long, text string")
+    docs = frame(spark, [(i, f"of the {word(f'd{i}y', 30)} of the") for i in range(50)])
+    rows = decontaminate.item_rows(items)
+    counts = decontaminate.document_counts(docs, rows.selectExpr("explode(grams) AS gram"), 2000, "text")
+    assert counts.selectExpr("max(docs)").first()[0] == 50
+    seeds = decontaminate.seeds_of(rows, counts, decontaminate.LEAST)
+    assert decontaminate.seed_hits(docs, seeds, 2000, "text", "doc_id").join(seeds, "gram").count() == 0
+    assert decontaminate.leaks(spark, docs, items).count() == 0
+
+
 def image_frame(spark, rows):
     return spark.createDataFrame([(k, None if p is None else p if isinstance(p, bytes) else image_copies.to_pgm(p), "x", 2) for k, p in rows], "page_id long, image binary, corners string, node int")
 
