@@ -109,6 +109,7 @@ def decode_ids(v: Vocabulary, ids: np.ndarray, offs: np.ndarray) -> tuple[np.nda
 
 def encode_columns(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, ids array<int>, and exact: whether the decoded ids are the text (null: empty)."""
+    kept = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -117,10 +118,11 @@ def encode_columns(docs: DataFrame, path: str, text: str = "text", keep: tuple[s
             raw, cut = decode_ids(v, ids, offs)
             exact = [np.array_equal(raw[cut[i] : cut[i + 1]], b.data[b.offs[i] : b.offs[i + 1]]) for i in range(len(b))]
             lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.rows.column(k) for k in keep), lists, pa.array(exact, pa.bool_())], [*keep, "ids", "exact"])
+            yield pa.RecordBatch.from_arrays([*(b.rows.column(k) for k in kept), lists, pa.array(exact, pa.bool_())], [*kept, "ids", "exact"])
 
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, docs[text].alias("_text")).mapInArrow(run, f"{schema}, ids array<int>, exact boolean")
+    schema = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep))
+    rows = docs.select(*(docs[f"`{c}`"].alias(k) for k, c in zip(kept, keep)), docs[f"`{text}`"].alias("_text"))
+    return rows.mapInArrow(run, f"{schema}, ids array<int>, exact boolean").toDF(*keep, "ids", "exact")
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:

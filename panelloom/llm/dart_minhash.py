@@ -273,6 +273,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, text: str = "text", key: s
     Classes of rows without an id keep one row each.  Which rows go is decided on
     ids; the texts pass once.
     """
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # columns by position: any name and type will do
+    at = dict(zip(docs.columns, plain, strict=True))
+    names, docs, text, key = docs.columns, docs.toDF(*plain), at[text], at[key]
     scratch = Scratch(spark)
     rows = scratch.keep(row_classes(spark, docs, text, key), "classes")
     leads = F.col("lead").isNull() | ((F.col("doc") == F.col("lead.doc")) & (F.col("alt") == F.col("lead.alt")))
@@ -280,15 +283,15 @@ def one_of_each(spark: SparkSession, docs: DataFrame, text: str = "text", key: s
     again = rows.where(leads).groupBy("doc", "alt").agg(F.count("*").alias("n"), F.min("own").alias("own")).where("n > 1")
     again = scratch.keep(again.select("doc", "alt", "own"), "again")
     ids = [c.alias(f"_{n}") for c, n in zip(named(text, key), ("doc", "alt"), strict=True)]
-    full = docs.select(*ids, F.xxhash64(F.col(text)).alias("_own"), F.struct(*docs.columns).alias("_row"))
+    full = docs.select(*ids, F.xxhash64(F.col(text)).alias("_own"), F.struct(*plain).alias("_row"))
     on = lambda t: (F.col("_doc") == t["doc"]) & (F.col("_alt") == t["alt"])
     away = scratch.keep(gone.unionAll(again.select("doc", "alt")), "away")
     once = full.join(within(away), on(away), "left_anti").select("_row.*")
-    if again.isEmpty():
-        return once
-    # few rows as a rule: an id that occurs more than once
-    twice = full.join(within(again), on(again) & (F.col("_own") == again["own"]), "left_semi")
-    return once.unionByName(twice.groupBy("_doc", "_alt").agg(F.min("_row").alias("_row")).select("_row.*"))
+    if not again.isEmpty():
+        # few rows as a rule: an id that occurs more than once; of equal texts the row that reads smallest
+        twice = full.join(within(again), on(again) & (F.col("_own") == again["own"]), "left_semi")
+        once = once.unionByName(twice.groupBy("_doc", "_alt").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row.*"))
+    return once.toDF(*names)
 
 
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

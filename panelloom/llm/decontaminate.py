@@ -290,10 +290,13 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of documents without a leak; rows that share an id go together."""
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # columns by position: any name will do
+    at = dict(zip(docs.columns, plain, strict=True))
+    names, docs, text, key = docs.columns, docs.toDF(*plain), at[text], at[key]
     bad = Scratch(spark).keep(leaks(spark, docs, benchmark, text, key).select("doc", "alt").distinct(), "leaks")
     doc, alt = named(text, key)
-    rows = docs.select(doc.alias("_doc"), alt.alias("_alt"), F.struct(*docs.columns).alias("_row"))
-    return rows.join(within(bad), (F.col("_doc") == bad["doc"]) & (F.col("_alt") == bad["alt"]), "left_anti").select("_row.*")
+    rows = docs.select(doc.alias("_doc"), alt.alias("_alt"), *plain)
+    return rows.join(within(bad), (F.col("_doc") == bad["doc"]) & (F.col("_alt") == bad["alt"]), "left_anti").select(*plain).toDF(*names)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

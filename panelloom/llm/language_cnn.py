@@ -3,9 +3,8 @@
 Bytes (ASCII letters lowered) are embedded; filters of several widths slide over
 windows of a fixed length, each filter keeps its maximum over the window, and a
 softmax layer turns the maxima into language probabilities.  Training is plain
-numpy on the driver over a bounded sample of labelled documents (about
-``SAMPLE`` documents, chosen by a hash of their id, up to ``PER_DOC`` windows
-each).
+numpy on the driver over the whole texts of a bounded sample of labelled documents
+(about ``SAMPLE`` documents, chosen by a hash of their id).
 Prediction covers every byte of every text: a document's probabilities are the
 byte-weighted mean over its consecutive windows.
 
@@ -28,7 +27,7 @@ from .arrays import blocks
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4)
 REACH = max(WIDTHS)
-SAMPLE, PER_DOC, STEPS, BATCH = 2400, 4, 700, 128
+SAMPLE, STEPS, BATCH = 800, 700, 128
 BLOCK = 1 << 18
 
 
@@ -136,20 +135,18 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """Train on labelled rows outside the held-out fold.
 
     About ``sample`` documents are chosen by a hash of their id against a
-    threshold that follows the number of labelled rows; only PER_DOC windows of
-    each, chosen on the executors, reach the driver.
+    threshold that follows the number of labelled rows; all their windows reach the
+    driver.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~fold(key))
     total = max(1, known.count())
     draw = F.pmod(F.xxhash64(F.lit("lang"), F.col(key)), F.lit(1 << 30))
-    few = known.where(draw < int(min(1.0, sample / total) * (1 << 30))).select(F.col(lang).alias("lang"), F.col(key).cast("string").alias("key"), F.col(text).alias("_text"))
+    few = known.where(draw < int(min(1.0, sample / total) * (1 << 30))).select(F.col(lang).alias("lang"), F.col(text).alias("_text"))
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "_text", BLOCK):
             grid, row, _ = cut_windows(b.data, b.offs)
-            ids = b.rows.column("key").to_pylist()
-            chosen = [w for i in range(len(b)) for w in _some(np.flatnonzero(row == i), ids[i])]
-            yield pa.RecordBatch.from_arrays([b.rows.column("lang").take(pa.array(row[chosen].astype(np.int64))), pa.array([grid[w].tobytes() for w in chosen], pa.binary())], ["lang", "window"])
+            yield pa.RecordBatch.from_arrays([b.rows.column("lang").take(pa.array(row)), pa.array([w.tobytes() for w in grid], pa.binary())], ["lang", "window"])
 
     got = few.mapInArrow(pick, "lang string, window binary").toPandas().sort_values(["lang", "window"])
     langs = sorted(got.lang.unique()) if len(got) else ["und"]
@@ -159,11 +156,6 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return train(grid, np.searchsorted(langs, got.lang.to_numpy().astype(str)), langs)
 
 
-def _some(windows: np.ndarray, name: str) -> np.ndarray:
-    """At most PER_DOC of a document's windows."""
-    return windows if len(windows) <= PER_DOC else np.sort(np.random.default_rng(list(name.encode())).choice(windows, PER_DOC, replace=False))
-
-
 def predict(docs: DataFrame, net: Net, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with lang_pred and score for every row."""
     names = np.array(net.langs, object)

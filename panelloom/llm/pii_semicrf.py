@@ -364,7 +364,7 @@ def sentence(rng: random.Random, only: tuple[int, ...] = ()) -> tuple[str, list[
     return text, [(at, at + len(entity), kind)] if kind else [], template
 
 
-@lru_cache(1)
+@lru_cache(2)
 def trained(n: int = 1000, epochs: int = 3, leave: tuple[int, ...] = ()) -> Field:
     """A field learned from n generated sentences, without the templates to be left out."""
     rng, field = random.Random(17), Field()
@@ -455,6 +455,7 @@ def all_spans(field: Field, texts: list[str | None]) -> Iterator[tuple[list[Span
 def pii_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with base and spans, arrays of (kind, start, end)."""
     field = trained()
+    kept = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -463,11 +464,12 @@ def pii_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
                 base.append([{"kind": k, "start": x, "end": y} for x, y, k in b])
                 full.append([{"kind": k, "start": x, "end": y} for x, y, k in s])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(base, kind), pa.array(full, kind)], [*keep, "base", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(base, kind), pa.array(full, kind)], [*kept, "base", "spans"])
 
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
+    schema = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep))
     span = "array<struct<kind:string,start:int,end:int>>"
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, base {span}, spans {span}")
+    rows = docs.select(*(docs[f"`{c}`"].alias(k) for k, c in zip(kept, keep)), docs[f"`{text}`"].alias("_text"))
+    return rows.mapInArrow(run, f"{schema}, base {span}, spans {span}").toDF(*keep, "base", "spans")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -482,16 +484,16 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows and columns, personal data in the text masked; null texts stay null."""
-    field = trained()
+    field, at = trained(), docs.columns.index(text)
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # columns by position: any name will do
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
             texts = batch.column(at).to_pylist()
             new = [t and masked(t, s) for t, (_, s) in zip(texts, all_spans(field, texts), strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def _joined(column: str):

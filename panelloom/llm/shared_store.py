@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import new_folder
+
 #: With it, a job's shuffle files go when the job is done: a written table never needs them again.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _lock, _users, _was = threading.Lock(), [0], [None]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor and the driver see.
+#: Folders of the steps that are running, the innermost last.
+_steps: list[str] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
-    Where none is set, a temporary one on a local master, whose executors are the
-    driver itself, and an error on a cluster.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go when the step is done, whatever wrote them; its result has to be written elsewhere by then."""
+    folder = new_folder(spark, "step")
+    _steps.append(folder)
+    try:
+        yield
+    finally:
+        _steps.remove(folder)
+        _delete(spark, folder)
 
 
 class _Tidy:
@@ -53,7 +61,7 @@ class Scratch:
     """Tables of one run, written as Parquet under a folder of their own and read again; ``drop`` removes those that are done with."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self.spark, self.folder = spark, f"{_steps[-1]}/{uuid.uuid4().hex}" if _steps else new_folder(spark, "scratch")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         with _Tidy(self.spark):
@@ -61,10 +69,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.folder}/{name}")
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

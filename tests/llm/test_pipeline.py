@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import collections
 import re
+import uuid
 
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from panelloom.llm import pii_semicrf
+from panelloom.llm import bpe_codec, dart_minhash, decontaminate, pii_semicrf, shared_store
+from panelloom.llm.shared_store import written
 
 
 def words(t):
@@ -27,7 +29,7 @@ def steps(spark, sf_dir):
     extra = spark.createDataFrame([(None, "no id but plain words here", "en", "x", 26), (900001, None, None, None, None), (900002, "12 34 !!", "en", "x", 8)], docs.schema)
     out = [docs.unionByName(extra)]
     for name, stage in corpus_pipeline.STAGES:
-        out.append(corpus_pipeline.written(spark, stage(spark, out[-1], sf_dir), name))
+        out.append(written(spark, stage(spark, out[-1], sf_dir), name))
     return out
 
 
@@ -102,3 +104,26 @@ def test_tokens_are_those_of_the_library(steps):
 def test_run_gives_the_last_stage(spark, sf_dir, steps):
     got = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in got.select("doc_id").collect()} == {k for k in rows(steps[5]) if k is not None}
+
+
+def test_a_run_leaves_its_last_input_only(spark, tmp_path, sf_dir, monkeypatch):
+    """Tables of stages and operators go when they are done with."""
+    monkeypatch.setattr(shared_store, "new_folder", lambda _, kind: f"{tmp_path}/{kind}-{uuid.uuid4().hex}")
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert [p.name for p in tmp_path.glob("*/*") if not p.name.startswith(".")] == ["personal_data"]
+
+
+def test_any_columns(spark):
+    """Maps, dots in names, the operators' own names, repeated ids, nulls and no rows at all."""
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, {"k": 1}, "a", "x", 2), (1, text, {"k": 2}, "b", "y", 3), (2, text + " end", None, None, None, None), (3, "my mail is me@b.org now", {}, "c", "z", 1), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, `a.b` string, _text string, _doc int")
+    kept = dart_minhash.one_of_each(spark, df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+    clean = decontaminate.without_leaks(spark, df, spark.createDataFrame([(5, "word3 word4 word5 word6 word7")], "item_id long, text string"))
+    assert clean.columns == df.columns and sorted(str(r.doc_id) for r in clean.collect()) == ["3", "None"]
+    assert [r.text for r in pii_semicrf.redact(df.where("doc_id = 3")).collect()] == ["my mail is [EMAIL] now"]
+    assert pii_semicrf.pii_spans(df, keep=("doc_id", "_text", "a.b", "m")).where("doc_id = 3").first()["a.b"] == "c"
+    coded = bpe_codec.encode_columns(df, public_tokenizers.path("byte_bpe_50k.json"), keep=("_text", "a.b", "m"))
+    assert coded.columns == ["_text", "a.b", "m", "ids", "exact"] and coded.where("exact").count() == 5
+    assert dart_minhash.one_of_each(spark, df.limit(0)).columns == df.columns
