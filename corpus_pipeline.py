@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm import bpe_codec, dart_minhash, decontaminate, language_cnn, pii_semicrf
-from panelloom.llm.shared_store import written
+from panelloom.llm.shared_store import Scratch, step
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage wrote on its way goes with it, and its result when the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(spark, stage(spark, docs, sf_dir), name)
+        table = Scratch(spark)
+        with step(spark):
+            docs = table.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            before[0].drop(before[1])
+        before = table, name
     return STAGES[-1][1](spark, docs, sf_dir)
