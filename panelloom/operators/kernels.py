@@ -389,6 +389,28 @@ def walked_regimes(x: np.ndarray, at: list[int], penalty: float, least: int = 50
     return [latest_regime(x[:i], penalty) if i >= least else "neutral" for i in at]
 
 
+def sliding_median(x: np.ndarray, size: int, least: int) -> np.ndarray:
+    """Median of the known values among the last ``size``; nan while they are fewer than ``least``.  A sorted window that each value enters and leaves once."""
+    held: list[float] = []
+    out = np.full(len(x), np.nan)
+    known, values = ~np.isnan(x), x.tolist()
+    for i, v in enumerate(values):
+        if i >= size and known[i - size]:
+            held.pop(bisect.bisect_left(held, values[i - size]))
+        if known[i]:
+            bisect.insort(held, v)
+        if (n := len(held)) >= max(least, 1):
+            out[i] = held[n // 2] if n % 2 else (held[n // 2 - 1] + held[n // 2]) / 2
+    return out
+
+
+def robust_scores(x: np.ndarray, size: int, least: int) -> np.ndarray:
+    """Distance of every value from its trailing median in scaled trailing median deviations; nan for a zero one."""
+    off = x - sliding_median(x, size, least)
+    spread = 1.4826 * sliding_median(np.abs(off), size, least)
+    return np.divide(off, spread, out=np.full(len(x), np.nan), where=spread > 0)
+
+
 def expanding_rank(x: np.ndarray) -> np.ndarray:
     """Average rank of every value among those up to it."""
     seen: list[float] = []

@@ -321,3 +321,32 @@ def test_certification_is_the_same_in_chunks(spark):
 
 def test_long_run_kernel_queries_agree(spark, sf_dir):
     assert kernel_queries.long_run_sql("x").count("FROM x") == 1
+
+
+def test_sliding_median_with_gaps_and_ties():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 6, 300).astype(float)
+    x[rng.random(300) < 0.2] = np.nan
+    got = K.sliding_median(x, 20, 5)
+    for i in range(300):
+        known = x[max(0, i - 19) : i + 1]
+        known = known[~np.isnan(known)]
+        assert np.isnan(got[i]) if len(known) < 5 else got[i] == np.median(known)
+
+
+def test_robust_scores_in_blocks(spark):
+    """Blocks of any size give the scores of a whole line."""
+    from datetime import date, timedelta
+
+    from panelloom.operators import quality
+
+    rng = np.random.default_rng(9)
+    rows = [(s, date(2020, 1, 1) + timedelta(days=i), None if rng.random() < 0.1 else float(rng.integers(-4, 5))) for s in "ab" for i in range(120)]
+    df = spark.createDataFrame(rows, "symbol string, date date, r double")
+    for block in (1000, 16, 7):
+        got = {(r.symbol, r.date): r.z for r in quality.with_robust_z(df, window=10, least=4, block=block).collect()}
+        assert len(got) == len(rows)
+        for s in "ab":
+            x = np.array([np.nan if v is None else v for k, _, v in rows if k == s])
+            for (_, d, _), z in zip([r for r in rows if r[0] == s], K.robust_scores(x, 10, 4)):
+                assert (got[s, d] is None) == bool(np.isnan(z)) and (np.isnan(z) or abs(got[s, d] - z) < 1e-12)
