@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..operators import contracts, regression
 from ..operators import series as S
-from ..sources import catalog, sinks
+from ..sources import catalog, sentinel, sinks
 from ..sources import panels as P
 from ..sources.panels import with_panels
 from ..sources.scratch import new_folder
@@ -237,6 +237,23 @@ def contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.column_faults(o, rules)
 
 
+@query(
+    "q_s11_sentinel_source",
+    with_panels("ord") + "SELECT symbol, count(*) AS n, min(date) AS first_day, round(avg(round(close, 4)), 2) AS mean, (SELECT count(*) FROM ord) AS rows_read, (SELECT count(*) FROM ord WHERE day(date) = 5) AS sentinels FROM ord WHERE day(date) <> 5 AND date >= DATE '1995-01-01' GROUP BY 1",
+)
+def sentinel_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel through the sentinel source in the comma locale and back, filtered while it is read, with what the sentinels stood for."""
+    sentinel.register(spark)
+    px = P.px_orders(spark, sf_dir).select("symbol", AT, F.when(F.day(AT) != 5, F.col("close")).alias("close"))
+    folder = new_folder(spark, "sentinel")
+    px.write.format("sentinel_csv").option("locale", "de").option("digits", 4).mode("append").save(folder)
+    read = spark.read.format("sentinel_csv").option("locale", "de")
+    counts = read.option("report", "true").load(folder).where("column = 'close'").agg(F.sum("rows").alias("rows_read"), F.sum("missing").alias("sentinels"))  # one row
+    back = read.option("report", "false").schema("symbol string, date date, close double").load(folder).where("close IS NOT NULL AND date >= DATE '1995-01-01'")
+    g = back.groupBy("symbol").agg(F.count("*").alias("n"), F.min(AT).alias("first_day"), F.round(F.avg("close"), 2).alias("mean"))
+    return g.crossJoin(F.broadcast(counts))
+
+
 @query("q_s27_mirror_faults", with_panels("px") + "SELECT symbol, date FROM px WHERE day(date) IN (1, 9)")
 def mirror_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A panel against its mirror in the other locale, read back after cells of one day were changed and rows of another left out."""
