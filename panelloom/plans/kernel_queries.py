@@ -58,11 +58,11 @@ def long_run_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_stability(spark, sf_dir).select("symbol", "n", "lags", "lr_var"), 5)
 
 
-@query("q_a44_stability_score", with_panels("ret") + _PATH + ", m AS (SELECT symbol, avg(s) AS m FROM z GROUP BY 1), q AS (SELECT symbol, m / sqrt(v) AS ssr FROM lr JOIN m USING (symbol)) SELECT symbol, round(ssr, 5) AS ssr, round((rank() OVER (ORDER BY ssr) + 0.0) / count(*) OVER () * 100, 5) AS score FROM q")
+@query("q_a44_stability_score", with_panels("ret") + _PATH + ", m AS (SELECT symbol, avg(s) AS m FROM z GROUP BY 1), q AS (SELECT symbol, m / sqrt(v) AS ssr FROM lr JOIN m USING (symbol)) SELECT symbol, round(ssr, 5) AS ssr, round((rank() OVER (ORDER BY ssr) + (count(*) OVER (PARTITION BY ssr) - 1) / 2.0) / count(*) OVER () * 100, 5) AS score FROM q")
 def stability_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of the path over its long-run deviation, with the percentile score over the universe (A43, A44, W20): one row a symbol."""
     s = _stability(spark, sf_dir).withColumn("ssr", F.col("mean_rolling") / F.sqrt("lr_var"))
-    return rounded(s.select("symbol", "ssr", (F.rank().over(Window.orderBy("ssr")) / F.count("*").over(Window.partitionBy()) * 100).alias("score")), 5)
+    return rounded(s.select("symbol", "ssr", ((F.rank().over(Window.orderBy("ssr")) + (F.count("*").over(Window.partitionBy("ssr")) - 1) / 2) / F.count("*").over(Window.partitionBy()) * 100).alias("score")), 5)
 
 
 @query(
