@@ -46,7 +46,7 @@ def reducers(spark: SparkSession, sf_dir: str) -> DataFrame:
     f AS (SELECT symbol, sum(CASE WHEN k = 0 THEN g END) + 2 * sum(CASE WHEN k > 0 AND k <= width THEN least(1, 2 * (1 - k / greatest(width, 1)::DOUBLE)) * g ELSE 0 END) AS power,
         sum(CASE WHEN k > 0 AND k <= width THEN k * least(1, 2 * (1 - k / greatest(width, 1)::DOUBLE)) * g ELSE 0 END) AS slope FROM c JOIN wide USING (symbol) GROUP BY 1)
     SELECT s.symbol, CAST(CASE WHEN s.n < 30 THEN greatest(1, s.n // 4) WHEN power <= 0 OR slope = 0 THEN 1
-        ELSE greatest(1, least(ceil(least(3 * sqrt(s.n), s.n / 3.0)), round_even(pow(1.5 * slope * slope / (power * power) * s.n, 1.0 / 3), 0))) END AS BIGINT) AS block FROM s LEFT JOIN f USING (symbol)""",
+        ELSE greatest(1, least(ceil(least(3 * sqrt(s.n), s.n / 3.0)), round_even(pow(6 * slope * slope / (power * power) * s.n, 1.0 / 3), 0))) END AS BIGINT) AS block FROM s LEFT JOIN f USING (symbol)""",
 )
 def block_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The automatic block length of every line, as an aggregate called by name."""
