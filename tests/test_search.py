@@ -148,7 +148,7 @@ def test_game_cannot_be_beaten(spark):
     got = registry.QUERIES["q_k19_game"](spark, LARGER).toPandas()
     part = lambda k: got[got.kind == k].set_index("name").value
     assert math.isclose(part("mix").sum(), 1, abs_tol=1e-9) and math.isclose(part("asset").sum(), 1, abs_tol=1e-9) and math.isclose(part("regime").sum(), 1, abs_tol=1e-9)
-    z = search_queries.regimes(spark, LARGER).select("month", "regime")
+    z = search_queries.regime_months(spark, LARGER).select("month", "regime")
     r = search_queries._returns(spark, LARGER).withColumn("month", F.trunc("date", "MM")).join(z, "month").toPandas()
     mean = r.groupby(["symbol", "regime"]).r.mean().unstack() * 252
     pay = {n: sum(w / sum(ws) * mean.loc[a] for a, w in zip(search_queries._ASSETS, ws, strict=True)) for n, ws in search_queries._MIXES.items()}
