@@ -281,7 +281,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str
     hits = seed_hits(docs, seeds, grams or 1, text, key).join(near(seeds), "gram").join(near(items.select("item_id", "n")), "item_id")
     by_text = scratch.keep(hits.groupBy("doc", "alt").agg(F.collect_set(F.struct("item_id", "n", "pos")).alias("seeds")), "by_text")  # the seeds of one text
     met = docs.select(*named(text, key), F.lower(text).alias("_text")).join(by_text, ["doc", "alt"])
-    rows = regions(met, least).join(near(items.select("item_id", F.col("words").alias("item_words"))), "item_id")
+    rows = scratch.keep(regions(met, least), "regions").join(near(items.select("item_id", F.col("words").alias("item_words"))), "item_id")
     at = ["doc", "alt", "start"]
     scored = rows.select(*at, "words", "item_id", "item_words").mapInArrow(lambda batches: align(enough(batches, least)), "doc long, alt long, item_id long, score double, end_word long")
     best = scored.where(F.col("score") >= least).groupBy("doc", "alt", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("e"))).alias("b"))

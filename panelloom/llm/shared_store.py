@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import new_folder
 
-#: With it, a job's shuffle files go when the job is done: a written table never needs them again.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_lock, _users, _was = threading.Lock(), [0], [None]
+#: While a table is written: a job's shuffle files go when the job is done, as a written table never needs them again; rows travel to Python in small batches.
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_lock, _users = threading.Lock(), [0]
+_was: dict[str, str | None] = {}
 
 
 #: Folders of the steps that are running, the innermost last.
@@ -38,7 +39,7 @@ def step(spark: SparkSession) -> Iterator[None]:
 
 
 class _Tidy:
-    """Shuffle files are freed after each job while any thread is inside; the old setting comes back with the last one out."""
+    """The settings hold while any thread is inside; the old ones come back with the last one out."""
 
     def __init__(self, spark: SparkSession):
         self.conf = spark.conf
@@ -46,15 +47,17 @@ class _Tidy:
     def __enter__(self) -> None:
         with _lock:
             if not _users[0]:
-                _was[0] = self.conf.get(_CLEANUP, None)
-                self.conf.set(_CLEANUP, "true")
+                for name, value in _WHILE.items():
+                    _was[name] = self.conf.get(name, None)
+                    self.conf.set(name, value)
             _users[0] += 1
 
     def __exit__(self, *_: object) -> None:
         with _lock:
             _users[0] -= 1
             if not _users[0]:
-                self.conf.unset(_CLEANUP) if _was[0] is None else self.conf.set(_CLEANUP, _was[0])
+                for name, value in _was.items():
+                    self.conf.unset(name) if value is None else self.conf.set(name, value)
 
 
 class Scratch:
