@@ -33,6 +33,18 @@ def correlation_scale(c: str | Column, normal: float = 0.3, crisis: float = 0.7,
     return F.when(_c(c).isNull() | F.isnan(_c(c)) | (_c(c) <= normal), 1.0).when(_c(c) >= crisis, least).otherwise(1 - (_c(c) - normal) / (crisis - normal) * (1 - least))
 
 
+def correlation(x: str | Column, y: str | Column, noise: float = 1e-13) -> Column:
+    """An aggregate as F.corr, but NaN where a side is constant, which divides by zero there and raises; null without a pair.
+
+    A side whose deviation is below ``noise`` of its mean is constant: equal means of
+    doubles differ in their last digit with the order in which they were summed.
+    """
+    cov = F.covar_pop(_c(x), _c(y))
+    sides = F.when(_c(y).isNotNull(), _c(x)), F.when(_c(x).isNotNull(), _c(y))
+    spread = [F.when(F.stddev_pop(v) > noise * F.abs(F.avg(v)), F.stddev_pop(v)) for v in sides]
+    return F.when(cov.isNotNull(), F.coalesce(F.try_divide(cov, spread[0] * spread[1]), F.lit(float("nan"))))
+
+
 def mapped(x: str | Column, names: dict[str, str]) -> Column:
     """names[x], or x where it has no entry."""
     pairs = F.create_map(*(F.lit(v) for kv in names.items() for v in kv))

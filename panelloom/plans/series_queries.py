@@ -230,7 +230,7 @@ _PHI = "(1 - exp(-x * x / 2) / sqrt(2 * pi()) * (0.319381530 * t - 0.356563782 *
 def signal_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal ratio, first autocorrelation, share of rises, and the share of rises that a Gaussian drift of that ratio would give."""
     x = P.returns(spark, sf_dir).withColumn("p", F.lag("r").over(S.ordered(KEYS, AT)))
-    rho = F.corr("r", "p")
+    rho = C.correlation("r", "p")
     a = x.groupBy("symbol").agg((F.abs(F.avg("r")) / F.stddev_samp("r")).alias("x"), rho.alias("rho"), F.pow(rho, 2).alias("r2"), F.avg((F.col("r") > 0).cast("double")).alias("up"))
     b = a.withColumn("t", 1 / (1 + 0.2316419 * F.col("x")))
     return rounded(b.select("symbol", F.col("x").alias("snr"), "rho", "r2", F.expr(_PHI).alias("ceiling"), "up"))
@@ -244,7 +244,7 @@ def signal_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def moment_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = S.ordered(KEYS, AT)
     x = P.returns(spark, sf_dir).withColumn("d", F.col("r") - F.lag("r").over(w)).withColumn("p", F.lag("d").over(w))
-    g = x.groupBy("symbol").agg(F.var_samp("d").alias("g0"), (F.corr("d", "p") * F.var_samp("d")).alias("g1"))
+    g = x.groupBy("symbol").agg(F.var_samp("d").alias("g0"), (C.correlation("d", "p") * F.var_samp("d")).alias("g1"))
     return rounded(g.select("symbol", (F.col("g0") * 1e6).alias("g0"), (F.col("g1") * 1e6).alias("g1"), F.when(F.col("g1") < 0, (F.col("g0") + 2 * F.col("g1")) / -F.col("g1")).alias("q")))
 
 
@@ -260,7 +260,7 @@ def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_a39_regression", with_panels("ret") + _PAIRED + " SELECT symbol, round(regr_slope(y, x), 6) AS beta, round(regr_intercept(y, x) * 252, 6) AS alpha, round(regr_r2(y, x), 6) AS r2, round(corr(y, x), 6) AS rho, count(*) AS n FROM y GROUP BY 1")
 def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_paired(spark, sf_dir).groupBy("symbol").agg(F.regr_slope("y", "x").alias("beta"), (F.regr_intercept("y", "x") * 252).alias("alpha"), F.regr_r2("y", "x").alias("r2"), F.corr("y", "x").alias("rho"), F.count("*").alias("n")))
+    return rounded(_paired(spark, sf_dir).groupBy("symbol").agg(F.regr_slope("y", "x").alias("beta"), (F.regr_intercept("y", "x") * 252).alias("alpha"), F.regr_r2("y", "x").alias("r2"), C.correlation("y", "x").alias("rho"), F.count("*").alias("n")))
 
 
 @query("q_a45_active", with_panels("ret") + _PAIRED + " SELECT symbol, round(avg(y - x) * 252, 6) AS active, round(stddev_samp(y - x) * sqrt(252), 6) AS tracking_error, round(avg(y - x) * 252 / (stddev_samp(y - x) * sqrt(252)), 6) AS information_ratio FROM y GROUP BY 1")
@@ -417,7 +417,7 @@ def ewm_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def avg_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = P.returns(spark, sf_dir)
     j = p.select(AT, F.col("symbol").alias("a"), F.col("r").alias("x")).join(p.select(AT, F.col("symbol").alias("b"), F.col("r").alias("y")), AT).where("a < b")
-    return rounded(j.groupBy("a", "b").agg(F.corr("x", "y").alias("c")).agg(F.avg("c").alias("avg_corr"), F.count("*").alias("pairs")))
+    return rounded(j.groupBy("a", "b").agg(C.correlation("x", "y").alias("c")).agg(F.avg("c").alias("avg_corr"), F.count("*").alias("pairs")))
 
 
 @query("q_w12_drawdown", with_panels("idx") + "SELECT symbol, date, round(level / max(level) OVER (PARTITION BY symbol ORDER BY date) - 1, 8) AS dd FROM idx")

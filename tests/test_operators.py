@@ -158,3 +158,13 @@ def test_turbulence_absorption_and_paths_are_whole(spark, sf_dir, monkeypatch):
     assert sorted(got) == dates[251:]
     assert all(abs(got[dates[i]] - K.absorption(x[(e := i - (i - 251) % 5) - 251 : e + 1])) < 1e-9 for i in range(251, len(x), 7))
     assert Q.paths(spark, sf_dir).select("path").distinct().count() == 10_000
+
+
+def test_correlation_of_constants_is_unknown(spark):
+    third = (0.1 + 0.2 + 0.3) / 3, (0.3 + 0.2 + 0.1) / 3  # one mean, summed in two orders
+    rows = [("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 2.0), ("c", 1.0, None), ("c", None, 2.0), ("d", third[0], third[0]), ("d", third[1], third[1]), ("e", 1.0, 2.0), ("e", 2.0, 5.0), ("e", 4.0, 3.0), ("e", 99.0, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(C.correlation("x", "y").alias("c"))
+    got = {r.k: (r.c, r.scale) for r in df.withColumn("scale", C.correlation_scale(F.abs("c"))).collect()}
+    assert third[0] != third[1] and got["c"] == (None, 1.0)
+    assert all(np.isnan(got[k][0]) and got[k][1] == 1.0 for k in "abd")
+    assert abs(got["e"][0] - np.corrcoef([1, 2, 4], [2, 5, 3])[0, 1]) < 1e-12
