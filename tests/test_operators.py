@@ -168,3 +168,16 @@ def test_correlation_of_constants_is_unknown(spark):
     assert third[0] != third[1] and got["c"] == (None, 1.0)
     assert all(np.isnan(got[k][0]) and got[k][1] == 1.0 for k in "abd")
     assert abs(got["e"][0] - np.corrcoef([1, 2, 4], [2, 5, 3])[0, 1]) < 1e-12
+
+
+def test_a_panel_is_compared_with_itself_and_not_with_a_second_run(spark, sf_dir, monkeypatch):
+    import random
+
+    from panelloom.plans import relational_queries as Q
+    from panelloom.sources import panels as P
+
+    # as means over shuffled rows do, a close differs in its last digits from run to run
+    noisy = F.udf(lambda: 1 + random.SystemRandom().random() * 1e-12, "double").asNondeterministic()
+    days = [("a", dt.date(2020, 1, 1) + dt.timedelta(i)) for i in range(60)]
+    monkeypatch.setattr(P, "px_line", lambda spark, sf_dir: spark.createDataFrame(days, "symbol string, date date").withColumn("close", noisy()))
+    assert [(r.symbol, r.cells, r.changed) for r in Q.revision_diff(spark, sf_dir).collect()] == [("a", 60, 2)]
