@@ -137,15 +137,20 @@ def evidence_violation(at: str = "rebalance_date") -> Column:
 def evidence_faults(records: DataFrame, expected: DataFrame, bundle: list[str], at: str, order: str) -> DataFrame:
     """(bundle, variant, at, fault) of a bundle's records: its own first broken rule, else a repeated key, else a date not after the one before it in the order given; and expected keys without a record, and keys that were not expected.
 
-    Duplicate texts are sound, duplicate keys are not.  Both coverage checks are anti-joins.
+    Duplicate texts are sound, duplicate keys are not.  A record is judged before it is
+    sorted, so that only its key, its order and its fault travel; one count of every
+    key's records and expectations gives both kinds of coverage, and null keys are alike.
     """
-    key = [*bundle, "variant", at]
-    again = F.row_number().over(Window.partitionBy(*key).orderBy(order)) > 1
-    back = F.col(at) <= F.max(at).over(Window.partitionBy(*bundle, "variant").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    judged = records.withColumn("fault", F.coalesce(evidence_violation(at), F.when(again, "repeated"), F.when(back, "order")))
-    own = judged.where("fault is not null").select(*key, "fault")
-    have, want = records.select(*key).distinct(), expected.select(*key).distinct()
-    return own.unionByName(want.join(have, key, "left_anti").withColumn("fault", F.lit("missing"))).unionByName(have.join(want, key, "left_anti").withColumn("fault", F.lit("unexpected")))
+    key, line = [*bundle, "variant", at], [*bundle, "variant"]
+    judged = records.select(*key, order, evidence_violation(at).alias("fault"))
+    # the lines are dealt once: a key's records lie in one line
+    back = F.col(at) <= F.max(at).over(Window.partitionBy(*line).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    judged = judged.withColumn("_back", back).withColumn("_again", F.row_number().over(Window.partitionBy(*key).orderBy(order)) > 1)
+    judged = judged.select(*key, F.coalesce("fault", F.when(F.col("_again"), "repeated"), F.when(F.col("_back"), "order")).alias("fault"))
+    own = judged.where("fault is not null")
+    sides = records.select(*key, F.lit(True).alias("_had")).unionByName(expected.select(*key, F.lit(False).alias("_had")))
+    met = sides.groupBy(*key).agg(F.min("_had").alias("_lo"), F.max("_had").alias("_hi")).where("_lo = _hi")
+    return own.unionByName(met.select(*key, F.when(F.col("_hi"), "unexpected").otherwise("missing").alias("fault")))
 
 
 def index_faults(labels: DataFrame, lines: DataFrame, key: str, label: str, order: str) -> DataFrame:

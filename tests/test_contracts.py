@@ -97,3 +97,24 @@ def test_seeded_rows(spark, sf_dir):
     orders = contract_queries.P.table(spark, sf_dir, "orders").toPandas().sort_values("o_orderkey").o_orderkey.to_numpy()
     drawn = np.sort(np.random.default_rng(0).choice(len(orders), 50, replace=False))
     assert got.pos.tolist() == drawn.tolist() and got.o_orderkey.tolist() == orders[drawn].tolist()
+
+
+def test_evidence_is_judged_before_it_is_sorted(spark, sf_dir):
+    df = contract_queries.evidence_faults(spark, sf_dir)
+    nodes, seen = [df._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+        if node.nodeName() == "Window":
+            seen.append({c.split("#")[0] for c in node.children().apply(0).output().mkString(" ").split()})
+    assert len(seen) == 2 and set().union(*seen) <= {"user_id", "variant", "rebalance_date", "event_id", "fault", "_back", "_again", "_w0"}
+
+
+def test_coverage_of_null_keys(spark, sf_dir, monkeypatch):
+    import datetime as dt
+
+    rows = [(32 * 31 + 20, dt.datetime(2024, 1, 2), None, "view", 1.0), (32 * 31 + 21, dt.datetime(2024, 1, 2), None, "click", 1.0), (32 * 31 + 22, dt.datetime(2024, 1, 15), 1, "view", 1.0), (32 * 31 + 23, dt.datetime(2024, 1, 2), 2, "purchase", 1.0)]
+    monkeypatch.setattr(contract_queries.P, "table", lambda spark, sf_dir, name: spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"))
+    got = sorted((r.user_id or 0, r.variant, r.fault) for r in contract_queries.evidence_faults(spark, sf_dir).collect())
+    assert got == [(1, "pit", "unexpected"), (2, "nonpit_diagnostic", "missing"), (2, "pit", "missing")]
