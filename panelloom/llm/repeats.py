@@ -462,7 +462,8 @@ def send_windows(docs: DataFrame, replies: DataFrame, deal: Deal, units: Callabl
         return pa.Table.from_batches([reply_batch(rows + out.flush())])
 
     open_ones = replies.where(F.col("kind").isin(*kinds))
-    return docs.select("_text", "_doc", "_tag", "_owner").groupBy("_owner").cogroup(open_ones.groupBy("owner")).applyInArrow(run, REPLY)
+    # all columns, as the last step has them: Spark then deals the texts once for both
+    return docs.groupBy("_owner").cogroup(open_ones.groupBy("owner")).applyInArrow(run, REPLY)
 
 
 def covered_units(b: Block, offs: np.ndarray, answers: Answers, target: int, kinds: tuple[int, ...] = (COVERED, WINDOW)) -> np.ndarray:

@@ -163,7 +163,8 @@ def send_open(docs: DataFrame, replies: DataFrame, deal: Deal, target: int) -> D
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["owner", "kind", "blob", "body"])
 
     open_ones = replies.where(F.col("kind").isin(OPEN, OPEN_HOT))
-    return docs.select("_text", "_doc", "_tag", "_owner").groupBy("_owner").cogroup(open_ones.groupBy("owner")).applyInArrow(run, PARCEL)
+    # all columns, as the last step has them: Spark then deals the texts once for both
+    return docs.groupBy("_owner").cogroup(open_ones.groupBy("owner")).applyInArrow(run, PARCEL)
 
 
 def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -505,3 +505,13 @@ def test_a_tall_image_is_described_in_strips(monkeypatch):
     whole = image_copies.describe([p])[1]
     monkeypatch.setattr(image_copies, "STRIP", 64)
     assert sorted(image_copies.describe([p])[1].tolist()) == sorted(whole.tolist())
+
+
+@pytest.mark.parametrize("remove", [suffix_dedup.dedup_bytes, substring_dedup.dedup_words])
+def test_texts_are_dealt_once_for_both_steps(spark, remove):
+    phrase = " ".join(f"w{i}" for i in range(60))
+    out = remove(spark.createDataFrame([(i, f"{i} {phrase} {'x' * i}") for i in range(6)], "doc_id long, text string"))
+    assert out.where("n_removed > 0").count() == 5
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange [_owner" in plan and plan.count("ReusedExchange") == 1
