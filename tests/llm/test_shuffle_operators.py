@@ -515,3 +515,31 @@ def test_texts_are_dealt_once_for_both_steps(spark, remove):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange [_owner" in plan and plan.count("ReusedExchange") == 1
+
+
+def test_screen_loses_no_pair_at_the_bound():
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        n = int(rng.integers(20, 401))
+        need = int(np.ceil(image_copies.SHARE * n))
+        common = rng.integers(0, 1 << 63, need, np.uint64)
+        sides = [np.unique(np.r_[common, rng.integers(0, 1 << 63, n - need, np.uint64)]) for _ in range(2)]
+        content = {"shorts": [np.sort(w.astype(np.uint16)).tobytes() for w in sides]}
+        assert image_copies.screen(content, np.array([0]), np.array([1]), np.ones((1, 1), bool)).all()
+    assert image_copies.told_apart(np.array([3, 3, 3, 9], np.uint16)).tolist() == [3, 3 | 1 << 16, 3 | 2 << 16, 9]
+
+
+def test_shifts_on_an_edge_both_ways_agree():
+    rng = np.random.default_rng(6)
+    a = np.zeros(40, image_copies.CORNER)
+    a["bits"], a["y"], a["x"] = rng.integers(0, 1 << 63, 40, np.uint64), rng.integers(100, 900, 40), rng.integers(100, 900, 40)
+    b = a.copy()
+    b["y"], b["x"] = a["y"] + 8 - np.arange(40) % 2, a["x"] + 4 - np.arange(40) // 2 % 2
+    assert image_copies.agreeing(a, b) == 40
+
+
+def test_no_corner_is_left_out():
+    c = np.zeros(300, image_copies.CORNER)
+    c["bits"] = np.random.default_rng(7).integers(0, 1 << 63, 300, np.uint64)
+    assert len(image_copies.entered(c)) == 300 and len(image_copies.table_words(c)) == 300 * image_copies.WORDS
+    assert len(image_copies.entered(c, 3)) < 300
