@@ -10,7 +10,7 @@ import re
 import numpy as np
 import pytest
 
-from panelloom.llm import arrays, buckets, dart_minhash, decontaminate, image_copies, repeats, substring_dedup, suffix_dedup
+from panelloom.llm import arrays, buckets, dart_minhash, decontaminate, image_copies, repeats, shared_store, substring_dedup, suffix_dedup
 
 
 def invented(seed: int, n: int) -> list[tuple[int | None, str | None]]:
@@ -543,3 +543,49 @@ def test_no_corner_is_left_out():
     c["bits"] = np.random.default_rng(7).integers(0, 1 << 63, 300, np.uint64)
     assert len(image_copies.entered(c)) == 300 and len(image_copies.table_words(c)) == 300 * image_copies.WORDS
     assert len(image_copies.entered(c, 3)) < 300
+
+
+def test_image_copies_write_no_rows_for_shared_words(spark, monkeypatch):
+    """Images that share a border, but are no copies: what is written does not grow with the words or pairs that they share."""
+    rng = np.random.default_rng(10)
+    border = rng.integers(0, 256, (14, 40)).astype(np.uint8)
+    rows = [(i, np.concatenate([border, rng.integers(0, 256, (50, 40)).astype(np.uint8)])) for i in range(40)]
+    written, keep = {}, shared_store.Scratch.keep
+
+    def counting(self, df, name):
+        table = keep(self, df, name)
+        written[name] = table.count()
+        return table
+
+    monkeypatch.setattr(shared_store.Scratch, "keep", counting)
+    assert classes_of(spark, rows) and max(written.values()) <= len(rows), written
+
+
+@pytest.mark.parametrize("frequent, match", [(1 << 14, 1 << 20), (0, 1 << 20), (40, 100)])
+@pytest.mark.parametrize("most", [1, 7, 100])
+def test_blocks_of_any_size_give_the_classes_of_all_pairs(monkeypatch, most, frequent, match):
+    monkeypatch.setattr(image_copies, "FREQUENT", frequent)
+    monkeypatch.setattr(image_copies, "MATCH", match)
+    rng = np.random.default_rng(11)
+    border = rng.integers(0, 256, (14, 40)).astype(np.uint8)
+    body = [rng.integers(0, 256, (int(rng.integers(20, 60)), 40)).astype(np.uint8) for _ in range(14)]
+    images = [np.concatenate([border, p]) for p in body] + [edited(rng, p, 4) for p in body[:5]] + [p[: len(p) * 3 // 4] for p in body[5:9]] + [border]
+    images += [np.concatenate([border, body[i][:18], body[i + 1][:18]]) for i in range(9, 13)]
+    found = [image_copies.describe([p])[1] for p in images]
+    words = [image_copies.table_words(c) for c in found]
+    want = {i: i for i in range(len(found))}
+    for j in range(len(found)):
+        for i in range(j):
+            votes = image_copies.agreeing(found[i], found[j])
+            if len(np.intersect1d(words[i], words[j])) >= max(1, image_copies.SHARE * min(len(words[i]), len(words[j]))) and votes >= max(image_copies.LEAST_VOTES, image_copies.LEAST_SHARE * min(len(found[i]), len(found[j]))):
+                x, y = sorted((image_copies.root_of(want, i), image_copies.root_of(want, j)))
+                want[y] = x
+    blocks = []
+    for lo in range(0, len(found), most):
+        part = found[lo : lo + most]
+        blocks.append(image_copies.Block(np.arange(lo, lo + len(part)).tobytes(), np.array([len(c) for c in part], np.int32).tobytes(), image_copies.pack(np.concatenate(part))))
+    root = {}
+    links = [x for i, a in enumerate(blocks) for b in blocks[: i + 1] for x in image_copies.block_links(a, b, a is b, root)]
+    classes = [image_copies.root_of(want, i) for i in range(len(found))]
+    assert [image_copies.root_of(root, i) for i in range(len(found))] == classes
+    assert len(links) == len(found) - len(set(classes)) > 5
