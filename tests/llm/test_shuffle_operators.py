@@ -589,3 +589,54 @@ def test_blocks_of_any_size_give_the_classes_of_all_pairs(monkeypatch, most, fre
     classes = [image_copies.root_of(want, i) for i in range(len(found))]
     assert [image_copies.root_of(root, i) for i in range(len(found))] == classes
     assert len(links) == len(found) - len(set(classes)) > 5
+
+
+def test_open_segments_do_not_grow_with_the_text(spark):
+    """Unrelated texts of few words: hardly a segment has to be compared byte by byte, however many texts there are."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(20)]
+    docs = frame(spark, [(i, " ".join(rng.choices(words, k=600))) for i in range(300)])
+    deal = repeats.Deal(127, 1)
+    rows = repeats.prepared(shared_store.Scratch(spark), docs, deal, "text", "doc_id")
+    sent = repeats.send_segments(rows, deal, suffix_dedup.byte_units, 50, suffix_dedup.SEED, suffix_dedup.BLOCK)
+    count = lambda df, *kinds: sum(int(np.frombuffer(r.blob, np.int64, 1)[0]) for r in df.where(repeats.F.col("kind").isin(*kinds)).collect())
+    assert count(repeats.exchange(sent, deal, True, repeats.COVERED), repeats.OPEN, repeats.OPEN_HOT) < 0.01 * count(sent, repeats.KEYS)
+
+
+@pytest.mark.parametrize("target,seed", [(50, 32), (50, 16), (50, 7), (20, 12), (9, 2), (4, 4)])
+def test_seeds_follow_the_window(target, seed):
+    """Equal windows have equal seeds at equal places, inside the window, and the segments are those of the seeds."""
+    units = np.random.default_rng(22).integers(0, 3, 400).astype(np.uint64)
+    units = np.r_[units, units[5:305], units[17:317]]
+    u = repeats.Units(units, np.array([0, len(units)]))
+    starts = np.arange(len(units) - target + 1)
+    place = repeats.seeds_of(u, arrays.prefix(units), starts, target, seed) - starts
+    assert 0 <= place.min() and place.max() <= target - seed
+    seen = {}
+    assert all(seen.setdefault(units[s : s + target].tobytes(), p) == p for s, p in zip(starts.tolist(), place.tolist()))
+    s = repeats.segments(u, target, seed)
+    assert s.count.sum() == len(starts) and s.count.max() <= target - seed + 1
+    assert (np.repeat(s.seed, s.count) == starts + place).all()
+
+
+def test_long_seeds_make_few_segments():
+    units = np.random.default_rng(23).integers(0, 256, 50_000).astype(np.uint64)
+    assert len(repeats.segments(repeats.Units(units, np.array([0, len(units)])), 50, suffix_dedup.SEED).row) < len(units) / 12
+
+
+@pytest.mark.parametrize("target", [1, 3, 17, 33, 70])
+def test_bytes_of_any_length(spark, target):
+    rows = invented(24, 40)
+    raw = lambda t: (t or "").encode()
+    want = sorted((str(k), int(m.sum()), bytes(np.frombuffer(raw(t), np.uint8)[~m])) for (k, t), m in zip(rows, covered(rows, raw, target)))
+    assert sorted((str(r.doc_id), r.n_removed, bytes(r.kept)) for r in suffix_dedup.dedup_bytes(frame(spark, rows), target=target).collect()) == want
+
+
+def test_windows_in_a_row_are_one_answer():
+    deal = repeats.Deal(127, 1)
+    # two segments of five windows of ten bytes, seed at the sixth byte; the last byte differs
+    columns = [np.array([9, 9], np.uint64), np.array([1, 2]), np.array([0, 0]), np.array([40, 60]), np.array([5 * 11 + 5, 5 * 11 + 5])]
+    rows = suffix_dedup.judge_bytes(repeats.pa.chunked_array([[repeats.pack(*columns)]]), b"0123456789abcd0123456789abcX", deal, 10)
+    assert len(rows) == 1
+    doc, _, pos, ext, _ = (c.view(np.int64).tolist() for c in repeats.unpack(rows[0][2], 5))
+    assert (doc, pos, ext) == ([2], [60], [4])
